@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language_id, quality_classifier, quality_rules, substring_dedup, token_counts
+from . import decontaminate, html_extract, jaccard_join, language_id, packing, quality_classifier, quality_rules, substring_dedup, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads, payloads = warc.archive(warc.records(table(spark, sf_dir, "pages")))
+    got = warc.parsed(warc.restore(heads, payloads))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return got.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -60,6 +70,8 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
@@ -70,4 +82,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
+    "op4_decontaminate": r"""
+        WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[k : k + least(len(w), 10) - 1] AS win FROM i, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS t(k) WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT n FROM iw),
+        dw AS (SELECT doc_id, n, k, w[k : k + n - 1] AS win FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(k)),
+        hits AS (SELECT doc_id, dw.n, k, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+        words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(x) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, k, hash(array_to_string(w[k : k + 34], ' ')) AS h, md5(array_to_string(w[k : k + 34], ' ')) AS m FROM d, unnest(range(1, len(w) - 33)) AS t(k)),
+        rep AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY h, m) AS c FROM win) WHERE c > 1),
+        gone AS (SELECT DISTINCT doc_id, x FROM rep, unnest(range(k, k + 35)) AS t(x)),
+        g AS (SELECT doc_id, count(*) AS n, list(x) AS xs FROM gone GROUP BY doc_id),
+        words AS (SELECT doc_id, x, w[x] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(x)),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY x) AS s FROM words ANTI JOIN gone USING (doc_id, x) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}
