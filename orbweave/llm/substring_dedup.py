@@ -30,11 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrays import PLAIN, Texts, Words, covered, gram_hashes, mix, slices, sums, whole
 from .fm_index import FMIndex
+from .store import written
 
 WINDOW, GRAM = 35, 8
+NONE = -(1 << 63)  #: stands for a null id
 SHARD_WORDS = 400_000
 PART = 512  #: different segments of one key that go to one part
 _R = 0x9E3779B97F4A7C15 | 1
@@ -73,8 +76,8 @@ def anchors(words: Words, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarr
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text and what tells a row's text from any other: the id (null: the least long) and a hash of the text."""
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"did": F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")), "tid": F.xxhash64("text")})
+    """text and what tells it from any other: the row's id (null: the least long) and a hash of the text."""
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("did")).withColumn("tid", F.xxhash64("text"))
 
 
 def segments(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -146,6 +149,9 @@ def _search(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _shards(batches):
+            key, seg = b.column(0).to_numpy(), b.column(3).to_numpy()
+            fresh = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
+            b = b.filter(pa.array(fresh))  # equal rows of the table give the same segment again
             words = b.column(4)
             size = np.diff(words.offsets.to_numpy())
             h = words.flatten().to_numpy().view(np.uint64)
@@ -159,7 +165,7 @@ def _search(window: int):
             mask = repeated_windows(index, text, begin, count, window)
             key, seg, split = b.column(0), b.column(3), np.flatnonzero(b.column(2).to_numpy() > 1)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), key, seg, pa.array(mask), pa.array(np.zeros(n, np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), key, seg, pa.array(mask), seg], names=names)
             if not len(split):
                 continue
             off = np.concatenate([[0], np.cumsum(size)])
@@ -184,7 +190,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window has {GRAM} to 60 words")
     every = segments(docs, window)
     shared = every.groupBy("key").count().where("count > 1").select("key")
-    rows = every.join(shared, "key")
+    rows = written(every.join(shared, "key"), "segments")
     place = F.struct("did", "tid", "w0", "nw")
     distinct = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p"))
     parts = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("m > 1 AND least = 1")
@@ -211,14 +217,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     # both uses of the texts are left joins on the same columns, so the plan shuffles them once
     pieces = texts.join(by_text, ["did", "tid"], "left").select("text", "x").mapInArrow(fetch, "key long, part int, parts int, seg long, words array<long>")
-    pieces = pieces.dropDuplicates(["key", "seg"])
     found = pieces.repartition("key", "part").sortWithinPartitions("key", "part", "seg").mapInArrow(_search(window), "kind byte, key long, seg long, mask long, hash long")
-    met = found.where("kind = 1").groupBy("key", "hash").count().where("count > 1").select("key", "hash")
-    late = found.where("kind = 2").join(met, ["key", "hash"]).select("key", "seg", "mask")
-    masks = found.where("kind = 0").select("key", "seg", "mask").unionByName(late).groupBy("key", "seg").agg(F.bit_or("mask").alias("mask"))
+    # windows that two parts of a split key have; a part gives each of its windows once, so the groups are small
+    parts_with = F.sum((F.col("kind") == 1).cast("int")).over(Window.partitionBy("key", "hash"))
+    met = found.withColumn("n", parts_with).where("kind = 0 OR kind = 2 AND n > 1")
+    masks = met.groupBy("key", "seg").agg(F.bit_or("mask").alias("mask"))
     masks = distinct.join(masks, ["key", "seg"], "left").select("key", "seg", F.when(F.col("c") > 1, F.lit(-1)).otherwise(F.col("mask")).cast("long").alias("mask")).where("mask <> 0")
     spans = rows.join(masks, ["key", "seg"]).groupBy("did", "tid").agg(F.collect_set(F.struct("w0", "nw", "mask")).alias("x"))
-    return texts.join(spans, ["did", "tid"], "left").select("doc_id", "text", "x")
+    return texts.join(spans, ["did", "tid"], "left").select(F.nullif(F.col("did"), F.lit(NONE)).alias("doc_id"), "text", "x")
 
 
 def _removed(words: Words, x: pa.ListArray, window: int) -> np.ndarray:
@@ -272,7 +278,7 @@ def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             out = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(texts.data[keep].tobytes()))
             yield pa.RecordBatch.from_arrays([out.cast(pa.string()), b.column(2), b.column(3)], names=["new_text", "did", "tid"])
 
-    pairs = found.where("x IS NOT NULL").select("text", "x", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("did"), F.xxhash64("text").alias("tid"))
+    pairs = found.where("x IS NOT NULL").select("text", "x", F.coalesce("doc_id", F.lit(NONE)).alias("did"), F.xxhash64("text").alias("tid"))
     return pairs.mapInArrow(run, "new_text string, did long, tid long")
 
 
@@ -282,7 +288,7 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A text that had words and has none left goes; all other columns are as they are.
     """
     new = cleaned(docs, window).dropDuplicates(["did", "tid"]).select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("new_text").alias("_new"))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")) == F.col("_did")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tid"))
+    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("_did")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tid"))
     joined = docs.join(new, on, "left").where(F.col("_new").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
     text = F.coalesce("_new", "text")
     cols = {"text": text} | ({"n_chars": F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
