@@ -156,7 +156,7 @@ def pooled(net: Network, texts: Texts, block: int = 4096) -> tuple[np.ndarray, n
     return total / np.maximum(1, letters)[:, None], letters
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = 3, batch: int = 256, most_steps: int = 500, rate: float = 0.01, seed: int = 7) -> Network | None:
+def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int = 400, rate: float = 0.01, seed: int = 7) -> Network | None:
     """A network for the labels met, by Adam on the mean cross entropy of all letter positions."""
     langs = sorted(set(labels))
     if not langs:
@@ -167,13 +167,14 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, batch: int = 256,
         return net
     y = np.array([langs.index(v) for v in labels])[of]
     r = np.random.default_rng(seed)
-    order = np.concatenate([r.permutation(len(of)) for _ in range(epochs)])
+    batch = min(batch, len(of))
+    order = np.concatenate([r.permutation(len(of)) for _ in range(-(-most_steps * batch // len(of)))])
     # languages weigh the same whatever their share of the sample
     weight = (1 / np.bincount(y, minlength=len(langs)).clip(1))[y]
     weight = (weight / weight.mean()).astype(np.float32)
     params = net.arrays()
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for s in range(1, min(most_steps, -(-len(order) // batch)) + 1):
+    for s in range(1, most_steps + 1):
         pick = order[(s - 1) * batch : s * batch]
         part, label = steps[:, pick], y[pick]
         tf, tb = [], []
