@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, Texts, Words, covered, slices, sums
-from .store import written
+from .store import spare, written
 
 WINDOW = 10
 MOST_WORDS = 2_000_000
@@ -295,5 +295,6 @@ def _search(index: DataFrame, p: Phrases, span: int | None) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns as they are. A hit removes every row of its doc_id (null ids count as one)."""
-    hit = find_matches(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    (name,) = spare(docs.columns, "_hit")
+    hit = find_matches(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
