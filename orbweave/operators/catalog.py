@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.running import running_sums
 from ..schema import locator, require
 
 SEA = "Sea"
@@ -138,13 +139,12 @@ def day_night_tracks(catalog: DataFrame) -> DataFrame:
 def lifetime_classes(catalog: DataFrame, k: int) -> DataFrame:
     """``class`` 0..k-1 of equal row counts by the track's lifetime (time span); the remainder goes to the last.
 
-    Rows count in order of (lifetime, trackid, seq). Places are summed over tracks: one window over the distinct
-    lifetimes, one within each lifetime, one within each track, so no row-level sort is global.
+    Rows count in order of (lifetime, trackid, seq). Places are summed over tracks: running sums over the distinct
+    lifetimes, a window within each lifetime and one within each track, so no sort is global.
     """
     tracks = catalog.groupBy("trackid").agg((F.max("time").cast("timestamp").cast("double") - F.min("time").cast("timestamp").cast("double")).alias("life"), F.count(F.lit(1)).alias("n"))
-    lives = tracks.groupBy("life").agg(F.sum("n").alias("rows"))
-    ordered = Window.orderBy("life")
-    lives = lives.select("life", (F.sum("rows").over(ordered) - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    lives = running_sums(tracks.groupBy("life").agg(F.sum("n").alias("rows")), "life", ["rows"])
+    lives = lives.select("life", (F.col("cum_rows") - F.col("rows")).alias("before")).join(F.broadcast(tracks.agg(F.sum("n").alias("total"))), F.lit(True))
     within = Window.partitionBy("life").orderBy("trackid")
     tracks = tracks.withColumn("inner", F.sum("n").over(within) - F.col("n")).join(lives, "life").select("trackid", (F.col("before") + F.col("inner")).alias("start"), "total")
     place = F.row_number().over(Window.partitionBy("trackid").orderBy("seq")) - 1

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.running import running_sums
 
 
 def p_values(real: DataFrame, null: DataFrame, metric: str, two_sided: bool = False, key: str = "cell") -> DataFrame:
@@ -80,10 +81,9 @@ def _ecdf(values: DataFrame, column: str, group: str, a, b) -> DataFrame:
     x = S.no_nan(F.col(column).cast("double"))
     v = values.where(F.col(group).isin(a, b)).select(x.alias("x"), (F.col(group) == a).cast("int").alias("g")).where("x IS NOT NULL")
     each = v.groupBy("x").agg(F.sum("g").alias("na"), F.sum(1 - F.col("g")).alias("nb"))
-    w = Window.orderBy("x")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy()
-    return each.select("x", F.lead("x").over(w).alias("next"), "na", "nb", F.sum("na").over(run).alias("ca"), F.sum("nb").over(run).alias("cb"), F.sum("na").over(total).alias("ta"), F.sum("nb").over(total).alias("tb"))
+    total = each.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    run = running_sums(each, "x", ["na", "nb"]).join(F.broadcast(total), F.lit(True))
+    return run.select("x", "next", "na", "nb", F.col("cum_na").alias("ca"), F.col("cum_nb").alias("cb"), "ta", "tb")
 
 
 def wasserstein(values: DataFrame, column: str, group: str, a, b, pooled: bool = True) -> DataFrame:

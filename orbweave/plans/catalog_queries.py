@@ -144,7 +144,7 @@ _ENTRY = """r AS (SELECT trackid, seq, coalesce(coord_idx IN (20, 21, 22), false
             b AS (SELECT *, min(CASE WHEN r THEN seq END) OVER (PARTITION BY trackid) AS en FROM r),
             d AS (SELECT *, min(CASE WHEN NOT r AND seq > en THEN seq END) OVER (PARTITION BY trackid) AS ex FROM b)"""
 _region = lambda fx: fx.cells.where("cell BETWEEN 20 AND 22").select("cell")
-register("T3_to_region_exit", lambda fx: C.to_entry_region(fx.catalog_a, _region(fx)).select("trackid", "seq"), f"WITH {_ENTRY} SELECT trackid, seq FROM d WHERE en IS NOT NULL AND (ex IS NULL OR seq < ex)")
+register("T3_F15_to_region_exit", lambda fx: C.to_entry_region(fx.catalog_a, _region(fx)).select("trackid", "seq"), f"WITH {_ENTRY} SELECT trackid, seq FROM d WHERE en IS NOT NULL AND (ex IS NULL OR seq < ex)")
 register("T3_to_region_entry", lambda fx: C.to_entry_region(fx.catalog_a, _region(fx), False).select("trackid", "seq"), f"WITH {_ENTRY} SELECT trackid, seq FROM d WHERE seq <= en")
 register("T4_run_dedup", lambda fx: C.run_dedup(fx.catalog_a.where("coord_idx IS NOT NULL")).select("trackid", "seq", "coord_idx"),
          "WITH p AS (SELECT trackid, seq, coord_idx, lag(coord_idx) OVER (PARTITION BY trackid ORDER BY seq) AS b FROM fx_catalog_a WHERE coord_idx IS NOT NULL) SELECT trackid, seq, coord_idx FROM p WHERE b IS NULL OR b <> coord_idx")
@@ -163,7 +163,7 @@ _T7 = """s AS (SELECT trackid, seq, coord_idx, lag(coord_idx) OVER (PARTITION BY
 _net0 = lambda fx: fx.edges.where("net = 0")
 register("T7_classify_tracks", lambda fx: C.classify_tracks(fx.catalog_a, _net0(fx), "weight"), "WITH " + _T7.format(value="ln(weight + 1e-12)", score="(v - a) / (b - a + 1e-12)"))
 register("T7_classify_linear", lambda fx: C.classify_tracks(fx.catalog_a, _net0(fx), "weight", scale="linear"), "WITH " + _T7.format(value="weight", score="v / (b + 1e-12)"))
-register("T8_sample_tracks", lambda fx: _ids(C.sample_tracks(fx.catalog_a, 20, 123)))
+register("T8_O3_sample_tracks", lambda fx: _ids(C.sample_tracks(fx.catalog_a, 20, 123)))
 register("T9_track_means", lambda fx: C.track_means(fx.catalog_a, "mean_ivt", "centroid_lat"), "SELECT trackid, round(avg(mean_ivt), 6) AS mean_ivt, round(avg(centroid_lat), 6) AS centroid_lat, count(*) / 4 AS days FROM fx_catalog_a GROUP BY 1")
 register("T10_preprocess", lambda fx: C.preprocess(fx.catalog_a, loc="centroid", res=7, cond="season").groupBy("class", "coord_idx").agg(F.count(F.lit(1)).alias("n")),
          f"""WITH c AS (SELECT -180 + 7 * least(52, greatest(0, ceil((centroid_lon + 180) / 7 - 0.5))) AS lon, -90 + 7 * least(26, greatest(0, ceil((centroid_lat + 90) / 7 - 0.5))) AS lat, month(time) AS m FROM fx_catalog_a)

@@ -171,6 +171,13 @@ def _gml(fx):
     return tables.read_gml(fx.spark, path).select(F.col("realization").cast("long"), F.col("orig").cast("long"), F.col("dest").cast("long"), "weight")
 
 
+def _ragged(fx):
+    path = new_path(fx.spark, "ragged")
+    C.paths(fx.catalog_a.where("coord_idx IS NOT NULL")).write.parquet(path)
+    return tables.read_catalog(fx.spark, path).select("trackid", F.size("path").alias("n"), F.element_at("path", -1).alias("last"))
+
+
+register("S8_ragged_lists", _ragged, "SELECT trackid, count(*) AS n, arg_max(coord_idx, seq) AS last FROM fx_catalog_a WHERE coord_idx IS NOT NULL GROUP BY 1")
 register("S5_gexf", lambda fx: tables.parse_gexf(fx.spark, tables.gexf(Network(fx.nodes, net0(fx)))).select(F.col("orig").cast("long"), F.col("dest").cast("long"), "weight"), f"WITH {_E0} SELECT * FROM e")
 register("S6_parquet_network", _parquet, "SELECT net, count(*) AS n, sum(weight) AS w FROM fx_edges GROUP BY 1")
 register("S6_gml", _gml, "SELECT net AS realization, orig, dest, weight FROM fx_edges")
