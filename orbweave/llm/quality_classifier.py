@@ -61,7 +61,7 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worth(x) + self.shift, -500, 500)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, steps: int = 400, pairs: int = 2048, rate: float = 0.03, ridge: float = 1e-3, seed: int = 11) -> Ranker:
+def fit(x: np.ndarray, label: np.ndarray, steps: int = 1500, pairs: int = 2048, rate: float = 0.03, ridge: float = 1e-4, seed: int = 11) -> Ranker:
     """Weights by Adam on batches of pairs, then slope and shift by Newton's method."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     mean, scale = x.mean(axis=0), x.std(axis=0)

@@ -33,7 +33,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 
-FEATURES = ("bias", "short", "long", "symbols", "upper", "repeats", "shouts", "digits", "again", "open_end", "pipes", "odd_words")
+FEATURES = ("bias", "short", "long", "symbols", "upper", "repeats", "shouts", "digits", "again", "pipes", "odd_words")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
 
@@ -45,7 +45,6 @@ def _is(chars: bytes) -> np.ndarray:
 
 _SYMBOL, _UPPER, _DIGIT, _SHOUT = _is(SYMBOLS), _is(bytes(range(65, 91))), _is(b"0123456789"), _is(b"!?")
 _LOWER = _is(bytes(range(97, 123)))
-_STOP = _is(b".!?:;\"')")
 
 
 class Lines:
@@ -95,11 +94,10 @@ class Lines:
         pipe = (words.end - words.start == 1) & (data[words.start] == ord("|"))
         odd = (chars == 1) | (chars > 25)
         by_line = lambda x: sums(x, self.first) / np.maximum(1, count)
-        last = data[words.end[self.first[1:] - 1] - 1] if n_words else np.zeros(0, np.uint8)
         self.line_words = count
         self.x = np.stack([
             np.ones(len(count)), count <= 3, count > 12, np.minimum(1, 5 * per["symbol"] / size), per["upper"] / letters * (per["upper"] > 3),
-            by_line(same), np.minimum(1, per["shout"] / np.maximum(1, count)), np.minimum(1, 3 * per["digit"] / size), self.again, ~_STOP[last], by_line(pipe), by_line(odd),
+            by_line(same), np.minimum(1, per["shout"] / np.maximum(1, count)), np.minimum(1, 3 * per["digit"] / size), self.again, by_line(pipe), by_line(odd),
         ], axis=1).astype(np.float64) if n_words else np.zeros((0, len(FEATURES)))
 
 
@@ -131,7 +129,7 @@ class Chain:
 
 
 #: Used where there are no labels of both classes.
-DEFAULT = Chain(np.array([2.0, -0.3, 0.3, -6, -5, -8, -5, -2, -2, -0.5, -6, -1.0]), np.array([[0.7, -0.7], [-0.7, 0.7]]), np.zeros(2))
+DEFAULT = Chain(np.array([2.0, -0.3, 0.3, -6, -5, -8, -5, -2, -2, -6, -1.0]), np.array([[0.7, -0.7], [-0.7, 0.7]]), np.zeros(2))
 
 
 def _time_major(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
