@@ -28,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrays import PLAIN, Texts, Words, covered, gram_hashes, mix, slices, sums, whole
 from .fm_index import FMIndex
-from .store import written
+from .store import spare, written
 
 WINDOW, GRAM = 35, 8
 NONE = -(1 << 63)  #: stands for a null id
@@ -184,17 +185,18 @@ def _search(window: int):
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The words to remove of each row: doc_id, text, spans (pairs of first word and number of words, as one flat array; null if none)."""
+def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(did, tid, x) of the texts with repeated windows; x: segments (w0, nw, mask), bit w of mask being window w0 + w."""
     if not GRAM <= window <= 60:
         raise ValueError(f"a window has {GRAM} to 60 words")
     every = segments(docs, window)
-    shared = every.groupBy("key").count().where("count > 1").select("key")
+    # as a table of its own, so that a hot key's segments can be split over tasks
+    shared = written(every.groupBy("key").count().where("count > 1").select("key"), "keys")
     rows = written(every.join(shared, "key"), "segments")
     place = F.struct("did", "tid", "w0", "nw")
     distinct = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p"))
     parts = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("m > 1 AND least = 1")
-    parts = parts.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
+    parts = written(parts.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "parts")
     wanted = distinct.join(parts, "key").select("key", "seg", "parts", F.pmod("seg", "parts").cast("int").alias("part"), F.col("p.did").alias("did"), F.col("p.tid").alias("tid"), F.struct("key", "seg", "parts", F.pmod("seg", "parts").cast("int").alias("part"), F.col("p.w0").alias("w0"), F.col("p.nw").alias("nw")).alias("x"))
     by_text = wanted.groupBy("did", "tid").agg(F.collect_list("x").alias("x"))
     texts = _identified(docs)
@@ -223,8 +225,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = found.withColumn("n", parts_with).where("kind = 0 OR kind = 2 AND n > 1")
     masks = met.groupBy("key", "seg").agg(F.bit_or("mask").alias("mask"))
     masks = distinct.join(masks, ["key", "seg"], "left").select("key", "seg", F.when(F.col("c") > 1, F.lit(-1)).otherwise(F.col("mask")).cast("long").alias("mask")).where("mask <> 0")
-    spans = rows.join(masks, ["key", "seg"]).groupBy("did", "tid").agg(F.collect_set(F.struct("w0", "nw", "mask")).alias("x"))
-    return texts.join(spans, ["did", "tid"], "left").select(F.nullif(F.col("did"), F.lit(NONE)).alias("doc_id"), "text", "x")
+    # dealt anew, so that the join has an exchange of its own on either side and a hot segment's rows can be split
+    masks = masks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.join(masks, ["key", "seg"]).groupBy("did", "tid").agg(F.collect_set(F.struct("w0", "nw", "mask")).alias("x"))
+
+
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Every row's doc_id and text (null: empty), and its repeated windows x (null: none)."""
+    return _identified(docs).join(spans(docs, window), ["did", "tid"], "left").select(F.nullif(F.col("did"), F.lit(NONE)).alias("doc_id"), "text", "x")
 
 
 def _removed(words: Words, x: pa.ListArray, window: int) -> np.ndarray:
@@ -256,30 +264,19 @@ def digests(found: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(did, tid, new_text): texts of which words go, without these words and the white space after each."""
-    found = repeats(docs, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            b = b.filter(b.column(1).is_valid())
-            if not b.num_rows:
-                continue
-            texts = Texts(b.column(0))
-            words = Words(texts, PLAIN)
-            gone = np.flatnonzero(_removed(words, b.column(1), window))
-            nxt = np.append(words.start, len(texts.data))[gone + 1] if len(gone) else gone
-            text = np.searchsorted(words.off, gone, side="right") - 1
-            cut = np.zeros(len(texts.data) + 1, np.int32)
-            np.add.at(cut, words.start[gone], 1)
-            np.add.at(cut, np.minimum(nxt, texts.off[text + 1]), -1)
-            keep = np.cumsum(cut[:-1]) == 0
-            off = np.concatenate([[0], np.cumsum(keep)])[texts.off]
-            out = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(texts.data[keep].tobytes()))
-            yield pa.RecordBatch.from_arrays([out.cast(pa.string()), b.column(2), b.column(3)], names=["new_text", "did", "tid"])
-
-    pairs = found.where("x IS NOT NULL").select("text", "x", F.coalesce("doc_id", F.lit(NONE)).alias("did"), F.xxhash64("text").alias("tid"))
-    return pairs.mapInArrow(run, "new_text string, did long, tid long")
+def _without(text: pa.Array, x: pa.Array, window: int) -> pa.Array:
+    """Texts without their repeated words and the white space after each."""
+    texts = Texts(text)
+    words = Words(texts, PLAIN)
+    gone = np.flatnonzero(_removed(words, x, window))
+    after = np.append(words.start, len(texts.data))[gone + 1]
+    own = np.searchsorted(words.off, gone, side="right") - 1
+    cut = np.zeros(len(texts.data) + 1, np.int32)
+    np.add.at(cut, words.start[gone], 1)
+    np.add.at(cut, np.minimum(after, texts.off[own + 1]), -1)
+    keep = np.cumsum(cut[:-1]) == 0
+    off = np.concatenate([[0], np.cumsum(keep)])[texts.off].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(off.tobytes()), pa.py_buffer(texts.data[keep].tobytes())).cast(pa.string())
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -287,9 +284,23 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A text that had words and has none left goes; all other columns are as they are.
     """
-    new = cleaned(docs, window).dropDuplicates(["did", "tid"]).select(F.col("did").alias("_did"), F.col("tid").alias("_tid"), F.col("new_text").alias("_new"))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)) == F.col("_did")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tid"))
-    joined = docs.join(new, on, "left").where(F.col("_new").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    text = F.coalesce("_new", "text")
-    cols = {"text": text} | ({"n_chars": F.when(F.col("_new").isNull(), F.col("n_chars")).otherwise(F.length("_new").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return joined.select(*(cols.get(c, F.col(c)).alias(c) for c in docs.columns))
+    d, t, x = spare(docs.columns, "_did", "_tid", "_x")
+    found = spans(docs, window).select(F.col("did").alias(d), F.col("tid").alias(t), F.col("x").alias(x))
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), t: F.xxhash64(F.coalesce("text", F.lit("")))})
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            spans_ = b.column(len(names))
+            columns = [b.column(i) for i in range(len(names))]
+            if spans_.null_count < b.num_rows:
+                new = _without(columns[at], spans_, window)
+                columns[at] = pc.if_else(spans_.is_valid(), new, columns[at])
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pc.if_else(spans_.is_valid(), pc.utf8_length(new).cast(columns[k].type), columns[k])
+                left = np.diff(Words(Texts(new), PLAIN).off) > 0
+                columns = [c.filter(pa.array(left | ~spans_.is_valid().to_numpy(zero_copy_only=False))) for c in columns]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return keyed.join(found, [d, t], "left").select(*names, x).mapInArrow(run, docs.schema)
