@@ -220,7 +220,8 @@ def fit(x: np.ndarray, off: np.ndarray, label: np.ndarray, steps: int = 150, rat
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "quality", where=None) -> DataFrame:
     """(doc_id, text, label): labelled texts, ``per_class`` ids of each class at most, those of smallest hash.
 
-    The ids are few by construction, so they are broadcast to the one scan of the texts.
+    The ids are few by construction, so they are broadcast to the one scan of the texts. Of rows that repeat an id
+    one counts, that of the smallest text.
     """
     labels = labels.select("doc_id", F.col(column).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     labels = labels if where is None else labels.where(where)
@@ -228,7 +229,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "qu
     for k in (0, 1):
         some = labels.where(F.col("label") == k).groupBy("doc_id", "label").count().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "label")
         ids = some if ids is None else ids.unionByName(some)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 400) -> Chain:
