@@ -45,6 +45,7 @@ def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start
     """
     steps = _adjacency(lattice)
     cells = sorted(steps)
+    own = {k: k for k in cells}  # pandas may hand ids over as floats
     kind = lattice.schema["orig"].dataType.simpleString()
     anchor = "last" if end else "first" if start else None
     rows = tracks.select("trackid", "n", F.col(anchor).alias("a") if anchor else F.lit(None).cast(kind).alias("a"))
@@ -57,7 +58,7 @@ def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start
             out = {"realization": [], "trackid": [], "seq": [], "coord_idx": []}
             for t, n, a, k, h in part[["trackid", "n", "a", "realization", "h"]].itertuples(index=False):
                 r = np.random.default_rng(int(h) & 0xFFFFFFFFFFFFFFFF)
-                at = a if a in steps else cells[int(r.integers(len(cells)))]
+                at = own[a] if a in own else cells[int(r.integers(len(cells)))]
                 walk = [at]
                 for _ in range(int(n) - 1):
                     near, p = steps[at]
