@@ -56,7 +56,7 @@ def page(i, body, host="h.example"):
     html = f"""<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style><script>var x = "</p><p>no";</script></head><body class="has-sidebar">
 <header><a href="/">Site</a> slogan</header><nav><ul><li><a href=/a>Home</a><li><a href=/b>About {i}</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id="ad-1">Buy {i}</div>
-<main><article><h1>Title {i} &amp; more</h1>{body}<!-- hidden <p>no</p> --></article></main>
+<div class="site-header">Top {i}</div><main><article><div class="entry-header"><h1>Title {i} &amp; more</h1></div>{body}<!-- hidden <p>no</p> --></article></main>
 <aside>Related {i}</aside><section class="comments"><p>Nice post {i}</p></section><form><label>Mail</label><input><button>Go</button></form>
 <footer>&copy; {host} {i}</footer></body></html>"""
     return (i, f"https://{host}/p/{i}", html)
