@@ -39,8 +39,13 @@ class AxialHexGrid:
     def encode(self, lat: Column, lon: Column, res: int) -> Column:
         a = self.radius(res)
         lon = F.pmod(lon + 180, F.lit(360.0)) - 180
-        q, s = self._round((math.sqrt(3) / 3 * lon - lat / 3) / a, (lat * 2 / 3) / a)
-        return F.when(q.isNotNull() & s.isNotNull(), F.format_string("%d:%d:%d", F.lit(res), q.cast("int"), s.cast("int")))
+        axial = F.struct(((math.sqrt(3) / 3 * lon - lat / 3) / a).alias("q"), ((lat * 2 / 3) / a).alias("s"))
+
+        def name(p: Column) -> Column:  # inside a lambda, so that the coordinates' expressions are not repeated
+            q, s = self._round(p["q"], p["s"])
+            return F.when(q.isNotNull() & s.isNotNull(), F.format_string("%d:%d:%d", F.lit(res), q.cast("int"), s.cast("int")))
+
+        return F.element_at(F.transform(F.array(axial), name), 1)
 
     def _parts(self, cell: Column) -> tuple[Column, Column, Column]:
         p = F.split(cell, ":")
