@@ -5,18 +5,18 @@ n-gram hashes. The columns are multiplied in blocks, and after each block the ov
 gives a bound from the set sizes: two sets of sizes m and n reach the threshold only with an
 overlap of o(m, n) n-grams, so each may miss only m - o (n - o) of its own.
 
-Block 1 holds each set's columns of smallest hash (``LOW`` at most). A pair comes up where it
-shares one of the set's first k columns. k is the prefix length n - ceil(t n) + 1 that any pair at
-threshold t must share one of, or ``FIRST`` if that is less: the order of hashes is random, so a
-pair at t misses all of ``FIRST`` columns with a chance of (1 - t)^FIRST, 7e-14 at most for 0.85,
-which is below what 64-bit hashes give away anyway. Columns with more than ``COMMON`` entries are
-passed over for later ones where a set has enough others (they come last in every set's order).
-Overlaps within block 1 drop the pairs that miss too many; block 2 is all remaining columns, for
-the surviving pairs only.
+Block 1 holds each set's columns of smallest hash: its prefix and some spare ones. The prefix has length
+n - ceil(t n) + 1, and any pair at threshold t shares a column within both prefixes, whichever order of
+columns they are taken in, so long as all sets use the same. Here columns with more than ``COMMON`` entries
+in block 1 come last, the others go by hash. Where a set's spare columns don't make up for the common ones
+passed over, its prefix is taken from all of its columns; a set that has too few others even so is compared
+by all its columns, as below. A pair comes up where the places of a shared column in both orders allow it to
+be the first one shared. Overlaps within the ``LOW`` lowest columns drop the pairs that miss too many; block
+2 is all remaining columns, for the surviving pairs only.
 
 No long column's entries are multiplied pair by pair. Columns of ``COMMON`` entries at most compare all
-of them. Classes of longer ones are mostly members of large families; they are taken again by all their
-columns, in order of rarity among themselves, which makes the prefix exact and tells how many columns
+of them. Classes of longer ones, or without a prefix of other columns, are mostly members of large families;
+they are taken again by all their columns, in order of rarity among themselves, which makes the prefix exact and tells how many columns
 are a class's own. A pair comes up only in columns that may be the first it shares: there the places in
 both orders bound the overlap from above, so members of a family with many columns of their own drop
 out by size alone. In the first round over these prefixes each column pairs its entries with one of
@@ -46,7 +46,7 @@ from .components import components
 from .store import spare, written
 
 NONE = -(1 << 63)
-LOW, FIRST, COMMON, LEADERS = 64, 16, 8, 512
+LOW, SPARE, COMMON, LEADERS = 64, 16, 8, 512
 
 
 def sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(NONE).cast("long")).alias("did"), F.xxhash64("text").alias("tid"))
 
 
-def classes(docs: DataFrame, k: int) -> DataFrame:
+def prefix(n, percent: int):
+    """The number of columns, first in any order, of which two sets at the threshold share one."""
+    return n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(cid, n, did, tid, low): each class of equal non-empty sets, one of its rows, its columns of smallest hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +100,8 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
             grams, off = sets(b.column(1), k)
             n, cid = np.diff(off), _class_ids(grams, off)
             some = np.flatnonzero(n)
-            size = np.minimum(n[some], LOW)
+            first = n[some] * (100 - percent) // 100 + 1
+            size = np.minimum(n[some], np.maximum(LOW, first + first // 4 + SPARE))
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(off[some], size)
             low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(grams[at], pa.int64()))
             row = pa.array(some)
@@ -118,19 +124,38 @@ def members(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
 
 
-def entries(found: DataFrame, percent: int) -> DataFrame:
-    """(s, cid): the entries of block 1 that bring up pairs, in columns of two entries or more."""
+def _columns(texts: DataFrame, k: int) -> DataFrame:
+    """(cid, n, s) of all columns of (cid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, most=1 << 19):
+            grams, off = sets(b.column(1), k)
+            n = np.diff(off)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(grams, pa.int64())], names=["cid", "n", "s"])
+
+    return texts.select("cid", "text").mapInArrow(run, "cid long, n int, s long").distinct()
+
+
+def entries(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(s, cid, n, r, m): each class's prefix, in columns of two entries (m) or more; (cid) of those without a whole one.
+
+    r is the column's place in the class's order, which has no column with more than ``COMMON`` entries in block 1.
+    """
     low = found.select("cid", F.explode("low").alias("s"))
-    shared = written(low.groupBy("s").count().where("count > 1"), "shared")  # as a table, so that a hot column's side can be split
-    own = low.join(shared, "s").groupBy("cid").agg(F.collect_list(F.struct("s", (F.col("count") > COMMON).alias("common"))).alias("shared"))
-    common = F.transform(F.filter("shared", lambda x: x["common"]), lambda x: x["s"])
-    rare = F.transform(F.filter("shared", lambda x: ~x["common"]), lambda x: x["s"])
-    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    k = F.least(F.lit(FIRST), prefix)
-    others = F.array_except("low", common)
-    chosen = F.when(F.size(others) >= k, F.array_intersect(F.slice(others, F.lit(1), k), rare)).otherwise(F.transform("shared", lambda x: x["s"]))
-    rows = found.select("cid", "n", "low").join(own, "cid").select("cid", F.explode(chosen).alias("s"))
-    return rows.join(written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "columns"), "s")
+    common = written(low.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")  # as a table, so that a hot column's side can be split
+    own = written(low.join(common, "s", "left_semi").groupBy("cid").agg(F.collect_list("s").alias("common")), "own")
+    first = prefix(F.col("n"), percent)
+    left = found.select("cid", "n", "did", "tid", F.size("low").alias("left")).join(own.select("cid", F.size("common").alias("gone")), "cid")
+    few = written(left.where(F.col("left") - F.col("gone") < first).select("cid", "n", "did", "tid"), "few")
+    every = _columns(_rows(docs).select("did", "tid", "text").join(few, ["did", "tid"]), k).join(common, "s", "left_anti")
+    every = every.groupBy("cid").agg(F.sort_array(F.collect_list("s")).alias("others"))
+    every = few.select("cid", "n").join(every, "cid", "left").select("cid", "n", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
+    others = found.select("cid", "n", "low").join(own, "cid", "left").select("cid", "n", F.coalesce(F.array_except("low", "common"), "low").alias("others"))
+    chosen = others.where(F.size("others") >= first).unionByName(every)
+    chosen = written(chosen.select("cid", "n", F.slice("others", F.lit(1), first).alias("others")), "chosen")
+    rows = chosen.select("cid", "n", F.posexplode("others").alias("r", "s")).withColumn("r", F.col("r") + 1)
+    ent = rows.join(written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "columns"), "s")
+    return ent, chosen.where(F.size("others") < first).select("cid")
 
 
 def needed(m, n, percent: int):
@@ -140,7 +165,7 @@ def needed(m, n, percent: int):
 
 def bounded(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those that the overlap within block 1 doesn't rule out."""
-    side = lambda x: found.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("low").alias(f"low{x}"))
+    side = lambda x: found.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.slice("low", 1, LOW).alias(f"low{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     last = lambda x: F.when(F.col(f"n{x}") > F.size(f"low{x}"), F.element_at(f"low{x}", -1)).otherwise(F.lit((1 << 63) - 1))
     both = both.withColumn("t", F.least(last("a"), last("b"))).withColumn("o", needed(F.col("na"), F.col("nb"), percent))
@@ -192,20 +217,12 @@ def by_rarity(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
     r is the column's place in the class's order, u the number of columns that no other of the classes has.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=1 << 19):
-            grams, off = sets(b.column(1), k)
-            n = np.diff(off)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(grams, pa.int64())], names=["cid", "n", "s"])
-
-    rows = texts.select("cid", "text").mapInArrow(run, "cid long, n int, s long").distinct()
+    rows = _columns(texts, k)
     shared = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "columns")
     rows = rows.join(shared, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     of = Window.partitionBy("cid")
     rows = rows.withColumns({"u": F.sum((F.col("df") == 1).cast("int")).over(of).cast("int"), "r": F.row_number().over(of.orderBy("df", "s"))})
-    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1
-    return rows.where((F.col("r") <= prefix) & (F.col("df") > 1)).select("s", "cid", "n", "u", "r")
+    return rows.where((F.col("r") <= prefix(F.col("n"), percent)) & (F.col("df") > 1)).select("s", "cid", "n", "u", "r")
 
 
 def _meeting(left: DataFrame, right: DataFrame, percent: int, also=None) -> DataFrame:
@@ -222,21 +239,23 @@ def _meeting(left: DataFrame, right: DataFrame, percent: int, also=None) -> Data
 
 
 def _side(entries_: DataFrame, x: str, *more: str) -> DataFrame:
-    return entries_.select("s", F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "u", "r", *more)])
+    return entries_.select("s", F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "r", *more)])
 
 
 def component_of_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The classes, and (id, comp) of those in any link."""
-    found = written(classes(docs, k), "classes")
-    ent = written(entries(found, percent), "entries")
+    found = written(classes(docs, k, percent), "classes")
+    ent, family = entries(docs, found, k, percent)
+    ent = written(ent, "entries")
     short = ent.where(F.col("m") <= COMMON)
-    pairs = short.select("s", F.col("cid").alias("a")).join(short.select("s", F.col("cid").alias("b")), "s").where("a > b").select("a", "b").distinct()
+    pairs = _meeting(_side(short, "x"), _side(short, "y"), percent, F.col("x") > F.col("y"))
     pairs = written(bounded(pairs, found, percent), "pairs")
-    needs = found.select("cid", "did", "tid").join(ent.select("cid").distinct(), "cid")
+    long = written(ent.where(F.col("m") > COMMON).select("cid").unionByName(family).distinct(), "long")
+    needs = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(long).distinct()
+    needs = found.select("cid", "did", "tid").join(needs, "cid")
     texts = written(_rows(docs).select("did", "tid", "text").join(needs, ["did", "tid"]).select("cid", "text"), "texts")
     links = written(linked(pairs, texts, k, percent), "links")
 
-    long = ent.where(F.col("m") > COMMON).select("cid").distinct()
     ent = written(by_rarity(texts.join(long, "cid", "left_semi"), k, percent), "entries")
     first = written(ent.groupBy("s").agg(F.min(F.struct("u", "n", "cid", "r")).alias("z"), F.count(F.lit(1)).alias("m")).where("m > 1").select("s", "z.*"), "leaders")
     led = first.select("s", F.col("cid").alias("x"))
@@ -251,7 +270,7 @@ def component_of_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFra
             size = rows.groupBy("s", "comp").count()
             top = size.groupBy("s").agg(F.max(F.struct("count", "comp")).alias("z"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", F.col("z.comp").alias("top"))
             held = written(rows.join(written(top, "mixed"), "s"), "mixed")
-        small = _side(held.where("comp <> top"), "x", "comp").join(led, ["s", "x"], "left_anti")
+        small = _side(held.where("comp <> top"), "x", "u", "comp").join(led, ["s", "x"], "left_anti")
         place = F.row_number().over(Window.partitionBy("s").orderBy("ux", "x"))
         lead = written(small.withColumn("place", place).where(F.col("place") <= LEADERS), "leaders")
         if lead.isEmpty():

@@ -122,6 +122,20 @@ def test_jaccard_join_finds_every_link(monkeypatch, docs, empty, common):
         assert jaccard_join.join(empty).count() == 0 and jaccard_join.first_of_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("k, percent, own", [(4, 85, 68), (5, 80, 97)])
+def test_jaccard_join_links_longer_versions_of_a_family(spark, k, percent, own):
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = [base] + [base[:i] + ["edit"] + base[i + 1 :] for i in range(20, 380, 30)]
+    texts += [base + [f"own{r.randrange(10**9)}" for _ in range(own)] for _ in range(120)]
+    rows = list(enumerate(" ".join(w) for w in texts))
+    _, comp = components_of(rows, k, percent)
+    assert set(comp) == {0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [x.doc_id for x in jaccard_join.join(docs, k, percent).collect() if x.component_id] == []
+    assert [x.doc_id for x in jaccard_join.first_of_groups(docs, k, percent).collect()] == [0]
+
+
 def brute_repeats(rows, window):
     words = [SPACE_WORD.findall(t or "") for _, t in rows]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
