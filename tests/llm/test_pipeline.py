@@ -1,6 +1,7 @@
 """The pipeline's stages, one after the other."""
 
 import os
+import random
 
 import pytest
 
@@ -28,3 +29,12 @@ def test_stages_take_empty_tables(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_near_duplicates_drops_longer_versions_of_a_family(spark):
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = [base] + [base[:i] + ["edit"] + base[i + 1 :] for i in range(20, 380, 30)]
+    texts += [base + [f"own{r.randrange(10**9)}" for _ in range(97)] for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert [x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
