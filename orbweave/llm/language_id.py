@@ -203,20 +203,21 @@ def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int =
 
 
 def train(labelled: DataFrame, per_lang: int = 200) -> Network | None:
-    """A network from (text, lang) rows; ``per_lang`` texts of each language at most, picked by a hash of the text.
+    """A network from (text, lang) rows; ``per_lang`` different texts of each language at most, picked by a hash of the text.
 
     The counts cover all rows; only the sample comes to the driver.
     """
     rows = labelled.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0")
-    # the share of a language that is drawn
-    count = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # the share of a language's different texts that is drawn
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    count = {r.lang: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not count:
         return None
-    bin_ = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
+    bin_ = F.pmod("h", F.lit(1 << 20))
     take = F.lit(0)
     for lang, n in sorted(count.items()):
         take = F.when(F.col("lang") == lang, int(min(1.0, 1.3 * per_lang / n) * (1 << 20)) + 1).otherwise(take)
-    some = rows.where(bin_ < take).select("lang", "text", F.xxhash64("text").alias("h")).collect()
+    some = rows.where(bin_ < take).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     by: dict[str, list] = {}
     for r in sorted(some, key=lambda r: (r.lang, r.h, r.text)):
         if len(by.setdefault(r.lang, [])) < per_lang:

@@ -342,3 +342,11 @@ def test_batches_keep_the_budget(spark, monkeypatch):
         assert len({x.padded_to for x in v}) == 1 and sorted(x.slot for x in v) == list(range(len(v)))
         assert len(v) == 1 or sum(x.padded_to for x in v) <= 1000
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
+
+
+def test_language_id_learns_from_different_texts(monkeypatch, spark):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs: seen.extend(texts))
+    rows = [(f"text {i}", "en") for i in range(40) for _ in range(1 if i % 2 else 50)]
+    language_id.train(spark.createDataFrame(rows, "text string, lang string"), per_lang=30)
+    assert len(seen) == len(set(seen)) == 30
