@@ -1,53 +1,65 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. For each host one page (that of smallest content hash)
-serves as the wrapper's skeleton. Every other page's tree of block elements is aligned to it
-by simple tree matching, the ordered matching of greatest size found by dynamic programming
-over the child lists of matched nodes. Over all pages of the host it is counted how often each
-skeleton node is met and how often with the skeleton's own text: nodes that keep their text are
-template, nodes whose text varies are slots. A second pass aligns each page again and returns
-the text of its slots. Slots in elements that say by tag, role or class that they are menus,
-headers, footers, sidebars, notices, adverts, forms or reader comments are not content.
-
-Pages with nearly all of their text in common with the skeleton are copies of it and no evidence,
-so a host full of copies doesn't turn its article into template. Inside an article or main element a
-node is template only on much evidence.
-
-Bounds: a skeleton is one page for each host. Skeletons are broadcast only where all of them
-together take at most ``BROADCAST_BYTES``; beyond that they are joined by host.
-
-Defined cases: null or empty html gives empty text; a null url belongs to the host ""; broken,
-unclosed or very deep markup (deeper than ``DEEPEST``: flattened) is read as far as it goes;
-repeated rows each give a row; other columns of the input are ignored.
+Pages of one host share templates. For each host and outline (the names of its sectioning elements) one page,
+that of smallest content hash, serves as the wrapper's skeleton; a host has up to ``SKELETONS`` of them, so a
+listing or an error page doesn't stand for its articles. Every page's tree of block elements is aligned to the
+skeleton of its outline by simple tree matching, the ordered matching of greatest size found by dynamic
+programming over the child lists of matched nodes (equal subtrees are compared once; long lists by divide and
+conquer in linear memory).
+
+Over all pages it is then counted for each skeleton node how much of the pages' text it holds, how much of that is link text, and how much of it *recurs*: stands in pieces (sentences, parts between bars and
+dots; inside an article whole blocks) that are met on another page too. Pages are told apart by the longest block
+outside the piece's own element, so copies of a page are no evidence. A text without a matched element of its own
+counts for the innermost matched one around it. ``template`` decides from these counts:
+
+* a node that holds most of the text, or an article or main element, is never template as a whole;
+* a node whose text mostly recurs is constant, hence template (inside the article more evidence is asked for);
+* a node that is nearly all link text is a menu, hence template (not inside the article);
+* a node that is named as page furniture by tag, role or class is template: a prior, for slots that vary
+  without being content (reader comments, rotating adverts) and for hosts of few pages.
+
+A second pass aligns each page again and returns the text of all that is not template. Nodes that the skeleton
+doesn't have take the verdict of the node that they lie in, or of like-named siblings; else name and links decide.
+
+Bounds: skeletons are broadcast only where all of them together take at most ``BROADCAST_BYTES``; beyond that they
+are joined by host. Evidence is summed by node before it is shuffled.
+
+Defined cases: null or empty html gives empty text; a null url belongs to the host ""; broken, unclosed or deep
+markup is read as far as it goes; repeated rows each give a row; other columns of the input are ignored; an empty
+table gives an empty result. Two subtrees that differ only beyond their matched parts count as equally good, the
+earlier one in page order is taken.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrays import slices
 from .store import written
 
 BROADCAST_BYTES = 16 << 20
-DEEPEST = 150
-WIDEST = 40_000  #: child pairs of two nodes up to which the matching of their children is optimal
-LEAST_PAGES, CONSTANT = 3, 0.6  #: evidence and share of equal texts that make a node template
-COPY = 0.9  #: share of common text that makes a page a copy of the skeleton
-INNER_PAGES, INNER_CONSTANT = 20, 0.95  #: the same inside an article or main element, where most text is content
+SKELETONS = 4  #: skeleton pages of a host
+CONSTANT, INNER_PIECES, INNER_CONSTANT = 0.5, 20, 0.95  #: share of recurring text that makes a node template; inside the article, where most text is content, the least evidence and its share
+MOST = 0.5  #: share of the page's text that makes a node the main slot
+MENU = 0.8  #: share of link text that makes a node a menu
+CELLS = 1 << 20  #: size of a matching table beyond which it is split
 
 # HTML element names and the words that name page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul button label caption video audio".split())
-CHROME_TAGS = frozenset("head title nav footer aside form menu dialog button label select option textarea fieldset search".split())
+RAW = frozenset("title script style noscript template iframe svg math object canvas".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul button label caption video audio".split())
+CHROME_TAGS = frozenset("head nav footer aside form menu dialog button label select option textarea fieldset search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search form share sharing social comment comments commentlist respond reply replies disqus related recommended recommendations widget pagination pager skip copyright legal disclaimer".split())
 HEADER_WORDS = frozenset("header masthead".split())  #: page furniture unless within an article
@@ -62,22 +74,22 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Page:
     """The block elements of a page in order, and the text of each that has some of its own.
 
-    ``symbol``, ``parent``, ``kids``, ``chrome``: by node, 0 being the root. ``blocks``: (node, text, share of it in links).
+    ``symbol``, ``parent``, ``kids``, ``named`` (as page furniture): by node, 0 being the root, parents first.
+    ``blocks``: (node, text, characters of it in links).
     """
 
     def __init__(self, source: str):
-        self.symbol, self.parent, self.kids, self.chrome = ["#"], [-1], [[]], [False]
-        self.blocks: list[tuple[int, str, float]] = []
+        self.symbol, self.parent, self.kids, self.named = ["#"], [-1], [[]], [False]
+        self.blocks: list[tuple[int, str, int]] = []
         self._read(source)
-        self.text = defaultdict(str)
-        for node, text, _ in self.blocks:
-            self.text[node] = f"{self.text[node]} {text}" if node in self.text else text
-        self.plain = {t for n, t, _ in self.blocks if not self.chrome[n]}
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements, inline ones with the node they are in
+        opened: Counter[str] = Counter()
+        block_at: list[int] = []  # places of block elements in the stack
+        within = [False]  # by node: inside an article or main element
         buffer: list[str] = []
-        linked = links = at = 0
+        linked = at = 0
 
         def flush() -> None:
             nonlocal linked
@@ -85,22 +97,24 @@ class Page:
                 text = " ".join("".join(buffer).split())
                 buffer.clear()
                 if text:
-                    self.blocks.append((stack[-1][1], text, linked / len(text)))
+                    self.blocks.append((stack[-1][1], text, min(linked, len(text))))
             linked = 0
 
         def add(raw: str) -> None:
             nonlocal linked
             text = entities.unescape(raw) if "&" in raw else raw
             buffer.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text.strip())
 
         def close(k: int) -> None:
-            nonlocal links
             if any(stack[i][1] != stack[i - 1][1] for i in range(k, len(stack))):
                 flush()
-            links -= sum(x[0] == "a" for x in stack[k:])
+            for name, _ in stack[k:]:
+                opened[name] -= 1
             del stack[k:]
+            while block_at and block_at[-1] >= k:
+                block_at.pop()
 
         end = len(source)
         while at < end:
@@ -117,17 +131,18 @@ class Page:
                 continue
             name = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
+                if opened[name]:
+                    k = len(stack) - 1
+                    low = 0 if name in BLOCK or not block_at else block_at[-1]  # an inline end tag doesn't close a block
+                    while k > low and stack[k][0] != name:
+                        k -= 1
+                    if k and stack[k][0] == name:
                         close(k)
-                        break
-                    if name not in BLOCK and stack[k][0] in BLOCK:  # an inline end tag doesn't close a block
-                        break
                 continue
             if name in RAW:
                 if m[3].endswith("/") and name in ("svg", "math"):
                     continue
-                stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+                stop = _END[name].search(source, at)
                 at = stop.end() if stop else end
                 continue
             if name == "br" or name == "wbr":
@@ -137,48 +152,68 @@ class Page:
                 if name == "hr":
                     flush()
                 continue
-            for k in range(len(stack) - 1, max(0, len(stack) - 12), -1):
+            for k in block_at[:-3:-1]:  # the innermost block, or that around an open paragraph
                 if name in CLOSED_BY.get(stack[k][0], ()):
                     close(k)
                     break
-                if stack[k][0] in BLOCK and stack[k][0] != "p":
+                if stack[k][0] != "p":
                     break
             here = stack[-1][1]
             words, out, head = _names(m[3]) if m[3] else ("", False, False)
-            head = (head or name == "header") and not self._within(here)
+            head = (head or name == "header") and not within[here]
             out = (out or head) and name not in ("html", "body", "main", "article")
-            chrome = out or name in CHROME_TAGS
-            if (name in BLOCK or out) and len(stack) < DEEPEST:
+            if name in BLOCK or out:
                 flush()
                 node = len(self.symbol)
                 self.symbol.append(f"{name}.{words}" if words else name)
                 self.parent.append(here)
                 self.kids.append([])
                 self.kids[here].append(node)
-                self.chrome.append(self.chrome[here] or chrome)
+                self.named.append(out or name in CHROME_TAGS)
+                within.append(within[here] or name in ("article", "main"))
                 here = node
-            if len(stack) < 4 * DEEPEST:
-                stack.append((name, here))
-                links += name == "a"
+                block_at.append(len(stack))
+            stack.append((name, here))
+            opened[name] += 1
         flush()
 
-    def _within(self, node: int) -> bool:
-        while node > 0:
-            if self.symbol[node].split(".")[0] in ("article", "main"):
-                return True
-            node = self.parent[node]
-        return False
-
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of text in each node's subtree, and how many of them are link text."""
+        chars, links = np.zeros(len(self.symbol), np.int64), np.zeros(len(self.symbol), np.int64)
+        for node, text, linked in self.blocks:
+            chars[node] += len(text)
+            links[node] += linked
+        for node in range(len(self.symbol) - 1, 0, -1):
+            chars[self.parent[node]] += chars[node]
+            links[self.parent[node]] += links[node]
+        return chars, links
+
+    def holders(self) -> list[bool]:
+        """Which nodes are, or hold, an article or main element."""
+        out = [s.split(".")[0] in ("article", "main") for s in self.symbol]
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] |= out[node]
+        return out
 
-    def inner(self) -> set[int]:
-        """Nodes of articles and main elements that are no page furniture."""
-        out: set[int] = set()
-        for n, s in enumerate(self.symbol):
-            if not self.chrome[n] and (s.split(".")[0] in ("article", "main") or self.parent[n] in out):
-                out.add(n)
+    def inside(self, chars: np.ndarray | None = None) -> list[bool]:
+        """Which nodes lie in the article: in an article or main element, or without these in the innermost node with most of the text."""
+        core = [s.split(".")[0] in ("article", "main") for s in self.symbol]
+        if not any(core) and chars is not None:
+            x = 0
+            while (k := next((k for k in self.kids[x] if self.kids[k] and chars[k] >= MOST * max(1, chars[0])), None)) is not None:
+                x = k
+            if x and self.symbol[x] not in ("html", "body"):
+                core[x] = True
+        out = [False] * len(core)
+        for node in range(1, len(core)):
+            above = self.parent[node]
+            out[node] = out[above] or core[above]
         return out
 
 
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+
+
 @lru_cache(4096)
 def _names(attributes: str) -> tuple[str, bool, bool]:
     """Class and id words of an element, and whether they name page furniture or a header."""
@@ -199,64 +234,125 @@ def _names(attributes: str) -> tuple[str, bool, bool]:
     return " ".join(words), out, head
 
 
-def align(a: Page, b: Page) -> dict[int, int]:
-    """Simple tree matching: the node of ``a`` for each matched node of ``b``."""
-    memo: dict[tuple[int, int], int] = {}
-    table: dict[tuple[int, int], list[list[int]]] = {}
+def _shapes(page: Page, known: dict) -> list[int]:
+    """A number for each node's subtree, the same for equal ones; ``known``: (symbol, numbers of the children) → number."""
+    out = [0] * len(page.symbol)
+    for x in range(len(out) - 1, -1, -1):
+        out[x] = known.setdefault((page.symbol[x], tuple(out[k] for k in page.kids[x])), len(known))
+    return out
 
-    def size(x: int, y: int) -> int:
-        if a.symbol[x] != b.symbol[y]:
-            return 0
-        p, q = a.kids[x], b.kids[y]
-        if not p or not q:
-            return 1
-        if (x, y) in memo:
-            return memo[x, y]
-        if len(p) * len(q) > WIDEST:
-            memo[x, y] = out = 1 + sum(size(*k) for k in in_order(p, q))
-            return out
-        rows = [[0] * (len(q) + 1)]
-        for u in p:
-            last, row = rows[-1], [0]
-            su, leaf = a.symbol[u], not a.kids[u]
-            for j, v in enumerate(q):
-                w = (1 if leaf or not b.kids[v] else size(u, v)) if su == b.symbol[v] else 0
-                row.append(max(row[j], last[j + 1], last[j] + w))
-            rows.append(row)
-        table[x, y] = rows
-        memo[x, y] = 1 + rows[-1][-1]
-        return memo[x, y]
-
-    def in_order(p: list[int], q: list[int]) -> list[tuple[int, int]]:
-        out, i = [], 0
-        for v in q:
-            k = next((k for k in range(i, min(len(p), i + 50)) if a.symbol[p[k]] == b.symbol[v]), None)
-            if k is not None:
-                out.append((p[k], v))
-                i = k + 1
+
+class _Matching:
+    """Sizes of the greatest ordered matchings of subtrees, by their shapes."""
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self.memo: dict[tuple[int, int], int] = {}
+        self.forms: list[tuple] = []
+
+    def size(self, p: int, q: int) -> int:
+        """Matched nodes of the subtrees of shapes p and q, without recursion: pairs of children first."""
+        todo = [(p, q)]
+        while todo:
+            x, y = todo[-1]
+            if (x, y) in self.memo:
+                todo.pop()
+                continue
+            (s, a), (t, b) = self.forms[x], self.forms[y]
+            if s != t:
+                self.memo[x, y] = 0
+            elif not a or not b:
+                self.memo[x, y] = 1
+            elif x == y:
+                self.memo[x, y] = self.nodes(x)
+            else:
+                ask = {(u, v) for u in set(a) for v in set(b) if (u, v) not in self.memo}
+                if ask:
+                    todo += ask
+                    continue
+                self.memo[x, y] = 1 + self.last_row(a, b)[-1]
+            todo.pop()
+        return self.memo[p, q]
+
+    def nodes(self, x: int) -> int:
+        todo, n = [x], 0
+        while todo:
+            n += 1
+            todo += self.forms[todo.pop()][1]
+        return n
+
+    def rows(self, a: tuple, b: tuple) -> Iterator[np.ndarray]:
+        """The matching table of two child lists, row by row."""
+        row = np.zeros(len(b) + 1, np.int64)
+        yield row
+        kinds, at = np.unique(np.array(b, np.int64), return_inverse=True)
+        for u in a:
+            w = np.array([self.memo[u, int(v)] for v in kinds])[at]
+            row = np.concatenate([[0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))])
+            yield row
+
+    def last_row(self, a: tuple, b: tuple) -> list[int]:
+        if len(a) * len(b) > 400:
+            for row in self.rows(a, b):
+                pass
+            return row.tolist()
+        last = [0] * (len(b) + 1)
+        for u in a:
+            row = [0]
+            for j, v in enumerate(b):
+                row.append(max(row[j], last[j + 1], last[j] + self.memo[u, v]))
+            last = row
+        return last
+
+    def pairs(self, a: tuple, b: tuple, i0: int = 0, j0: int = 0) -> list[tuple[int, int]]:
+        """Places of matched children in a greatest matching; tables beyond ``CELLS`` are split in two."""
+        out, todo = [], [(0, len(a), 0, len(b))]
+        while todo:
+            lo, hi, l, r = todo.pop()
+            if hi - lo > 1 and (hi - lo) * (r - l) > CELLS:
+                mid = (lo + hi) >> 1
+                left = np.array(self.last_row(a[lo:mid], b[l:r]))
+                right = np.array(self.last_row(a[lo:hi][mid - lo :][::-1], b[l:r][::-1]))[::-1]
+                cut = l + int(np.argmax(left + right))
+                todo += [(lo, mid, l, cut), (mid, hi, cut, r)]
+                continue
+            table = [row.tolist() for row in self.rows(a[lo:hi], b[l:r])]
+            i, j = hi - lo, r - l
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((lo + i, l + j))
         return out
 
+
+def align(a: Page, b: Page) -> dict[int, int]:
+    """Simple tree matching: the node of ``a`` for each matched node of ``b``."""
+    m = _Matching()
+    sa, sb = _shapes(a, m.known), _shapes(b, m.known)
+    m.forms = list(m.known)
     found: dict[int, int] = {}
+    ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
     todo = [(0, 0)]
-    size(0, 0)
+    m.size(sa[0], sb[0])
     while todo:
         x, y = todo.pop()
         found[y] = x
         p, q = a.kids[x], b.kids[y]
         if not p or not q:
             continue
-        if (x, y) not in table:
-            todo += in_order(p, q)
+        if sa[x] == sb[y]:
+            todo += zip(p, q, strict=True)
             continue
-        rows, i, j = table[x, y], len(p), len(q)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((p[i], q[j]))
+        key = sa[x], sb[y]
+        if key not in ways:
+            ways[key] = m.pairs(m.forms[key[0]][1], m.forms[key[1]][1])
+            for i, j in ways[key]:
+                m.size(sa[p[i]], sb[q[j]])
+        todo += [(p[i], q[j]) for i, j in ways[key]]
     return found
 
 
@@ -265,72 +361,146 @@ def _page(source: str) -> Page:
     return Page(source)
 
 
-def evidence(skeleton: Page, page: Page) -> list[tuple[int, bool, bool]]:
-    """(skeleton node, inside an article, same text) of the skeleton's nodes with text that the page has too; none for a copy of the skeleton."""
-    if sum(len(t) for t in page.plain & skeleton.plain) >= COPY * sum(map(len, page.plain)):
-        return []
-    inner = skeleton.inner()
-    return [(x, x in inner, skeleton.text[x] == page.text.get(y, "")) for y, x in align(skeleton, page).items() if x in skeleton.text]
+def evidence(skeleton: Page, page: Page) -> Iterator[tuple[int, int, int, int, int]]:
+    """(skeleton node, hash of a piece of its text, the rest of the page, characters, those in links) of every piece of the page.
 
-
-def content(skeleton: Page | None, page: Page, template: frozenset[int]) -> str:
-    """Text of the page's slots: blocks that are neither template nor page furniture."""
-    fixed = align(skeleton, page) if skeleton and template else {}
-    constant = {(skeleton.symbol[x], skeleton.text[x]) for x in template} if skeleton else set()
-    slots = []
+    The rest of the page is told by a hash of its longest block outside the piece's element, the first of several; 0 where there is none.
+    """
+    n = len(page.blocks)
+    first, last = [n] * len(page.symbol), [0] * len(page.symbol)  # a subtree's blocks follow one another
+    for i, (node, _, _) in enumerate(page.blocks):
+        first[node], last[node] = min(first[node], i), max(last[node], i + 1)
+    for node in range(len(first) - 1, 0, -1):
+        above = page.parent[node]
+        first[above], last[above] = min(first[above], first[node]), max(last[above], last[node])
+    before, after = [-1] * (n + 1), [-1] * (n + 1)  # the longest block before and from each place on
+    longer = lambda i, j: j if i < 0 or j >= 0 and len(page.blocks[j][1]) > len(page.blocks[i][1]) else i
+    for i in range(n):
+        before[i + 1] = longer(before[i], i)
+    for i in range(n - 1, -1, -1):
+        after[i] = i if after[i + 1] < 0 or len(page.blocks[i][1]) >= len(page.blocks[after[i + 1]][1]) else after[i + 1]
+    name = [_hash(t) for _, t, _ in page.blocks] + [0]
+    at = align(skeleton, page)
+    for y in range(1, len(page.symbol)):
+        at.setdefault(y, at[page.parent[y]])
+    inside = page.inside()
     for node, text, linked in page.blocks:
-        if page.chrome[node] or fixed.get(node) in template and skeleton.text[fixed[node]] == page.text[node]:
-            continue
-        if (page.symbol[node], text) in constant:
-            continue
-        slots.append((node, text, linked))
-    inside = page.inner()
-    within = [s for s in slots if s[0] in inside]
-    if 3 * sum(len(s[1]) for s in within) >= sum(len(s[1]) for s in slots) and within:
-        slots = within
-    else:
-        slots = [s for s in slots if s[2] < 0.8]  # blocks of links are menus
-    return " ".join(s[1] for s in slots)
+        rest = name[longer(before[first[node]], after[last[node]])]
+        for piece in [text] if inside[node] else filter(None, _PIECE.split(text)):
+            yield at[node], _hash(piece), rest, len(piece), linked * len(piece) // len(text)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+_PIECE = re.compile(r"(?<=[.!?])\s+|\s*[·•|»›—–]\s*")
+
+
+def template(skeleton: Page, counts: list[tuple[int, int, int, int, int]]) -> frozenset[int]:
+    """The skeleton's template nodes by induced counts: (node, pieces of text of its own, their characters, recurring ones, those in links).
+
+    A node below a template node is template. Nodes without text on any page are left to their names.
+    """
+    n, chars, again, links = (np.zeros(len(skeleton.symbol), np.int64) for _ in range(4))
+    for node, *c in counts:
+        n[node], chars[node], again[node], links[node] = c
+    for node in range(len(n) - 1, 0, -1):
+        above = skeleton.parent[node]
+        n[above] = max(n[above], n[node])
+        for column in (chars, again, links):
+            column[above] += column[node]
+    holds, inside = skeleton.holders(), skeleton.inside(chars)
+    out: set[int] = set()
+    for x in range(1, len(n)):
+        if skeleton.parent[x] in out:
+            out.add(x)
+        elif not holds[x] and chars[x] < MOST * max(1, chars[0]):
+            if inside[x]:
+                constant, menu = n[x] >= INNER_PIECES and again[x] >= INNER_CONSTANT * chars[x], False
+            else:
+                constant, menu = chars[x] > 0 and again[x] >= CONSTANT * chars[x], chars[x] > 0 and links[x] >= MENU * chars[x]
+            if constant or menu or skeleton.named[x]:
+                out.add(x)
+    return frozenset(out)
+
+
+def content(skeleton: Page, page: Page, fixed: frozenset[int]) -> str:
+    """Text of the page's slots: all blocks outside template nodes."""
+    at = align(skeleton, page)
+    chars, links = page.sizes()
+    holds = page.holders()
+    named = {(skeleton.parent[x], skeleton.symbol[x]): True for x in range(1, len(skeleton.symbol))}
+    for x in range(1, len(skeleton.symbol)):
+        if x not in fixed:
+            named[skeleton.parent[x], skeleton.symbol[x]] = False
+    inside = page.inside(chars)
+    gone = [False] * len(page.symbol)
+    for y in range(1, len(page.symbol)):
+        above = page.parent[y]
+        if gone[above]:
+            gone[y] = True
+        elif y in at:
+            gone[y] = at[y] in fixed
+        elif not holds[y] and chars[y] < MOST * chars[0]:
+            like = named.get((at[above], page.symbol[y]), False) if above in at else False
+            gone[y] = like or page.named[y] or (not inside[y] and chars[y] > 0 and links[y] >= MENU * chars[y])
+    return " ".join(text for node, text, _ in page.blocks if not gone[node])
 
 
 def with_host(pages: DataFrame) -> DataFrame:
-    return pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"))
+    """page_id, url, html, host, and outline: a hash of the names of the sectioning elements and of the classes that the page has."""
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    names = F.regexp_extract_all(F.lower("html"), F.lit(r"<(article|main|nav|aside|header|footer|section|table|form)[\s>]"), F.lit(1))
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    return rows.withColumn("outline", F.xxhash64(F.concat_ws(" ", F.array_sort(F.array_distinct(names)))))
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
-    """(host, skeleton): one page's html for each host. Each task keeps one page of a host at most before the shuffle."""
+    """(host, outline, rank, skeleton): pages of the host's ``SKELETONS`` most frequent outlines, rank 1 the most frequent.
+
+    Each task keeps one page of an outline at most before the shuffle.
+    """
     rows = with_host(pages).where("html <> ''")
-    return rows.groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("s")).select("host", F.col("s.html").alias("skeleton"))
+    one = rows.groupBy("host", "outline").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("s"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "outline"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= SKELETONS).select("host", "outline", "rank", F.col("s.html").alias("skeleton"))
 
 
-def _joined(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+def _joined(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Pages with the wrapper of their host and outline, or that of the host's most frequent outline."""
     size = wrappers.agg(F.coalesce(F.sum(F.length("skeleton") + 64), F.lit(0))).first()[0]
-    return rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+    few = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
+    ranks = wrappers.select("host", "outline", "rank")
+    rows = with_host(pages).join(few(ranks), ["host", "outline"], "left").withColumn("rank", F.coalesce("rank", F.lit(1))).drop("outline")
+    return rows.join(few(wrappers.drop("outline")), ["host", "rank"], "left")
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, template): the wrapper of each host; ``template`` lists the skeleton's constant nodes.
-
-    Counts cover every page of the host.
-    """
+    """(host, outline, rank, skeleton, counts): the wrappers of each host with the evidence of all pages, see ``template``."""
     base = written(skeletons(pages), "skeletons")
+    names = ["host", "rank", "node", "piece", "page", "last", "n", "chars", "links"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):
-            tally: dict[tuple[str, int, bool], list[int]] = {}
-            for host, source, skeleton in zip(*(b.column(k).to_pylist() for k in ("host", "html", "skeleton")), strict=True):
-                if source and skeleton and source != skeleton:
-                    for node, inner, same in evidence(_page(skeleton), Page(source)):
-                        t = tally.setdefault((host, node, inner), [0, 0])
-                        t[0] += 1
-                        t[1] += same
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.string()), pa.array([k[1] for k in tally], pa.int32()), pa.array([k[2] for k in tally], pa.bool_()), pa.array([t[0] for t in tally.values()], pa.int64()), pa.array([t[1] for t in tally.values()], pa.int64())], names=["host", "node", "inner", "n", "same"])
-
-    met = _joined(with_host(pages).select("host", "html"), base).mapInArrow(count, "host string, node int, inner boolean, n long, same long")
-    nodes = met.groupBy("host", "node", "inner").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    nodes = nodes.where((F.col("n") >= F.when(F.col("inner"), INNER_PAGES).otherwise(LEAST_PAGES)) & (F.col("same") >= F.when(F.col("inner"), INNER_CONSTANT).otherwise(CONSTANT) * F.col("n")))
-    template = nodes.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("template"))
-    return written(base.join(template, "host", "left"), "wrappers")
+            tally: dict[tuple, list[int]] = {}
+            for host, rank, source, skeleton in zip(*(b.column(k).to_pylist() for k in ("host", "rank", "html", "skeleton")), strict=True):
+                if source and skeleton:
+                    for node, piece, rest, chars, links in evidence(_page(skeleton), Page(source)):
+                        t = tally.setdefault((host, rank, node, piece), [rest, rest, 0, 0, 0])
+                        t[:] = min(t[0], rest), max(t[1], rest), t[2] + 1, t[3] + chars, t[4] + links
+            kinds = [pa.string(), pa.int32(), pa.int32()] + [pa.int64()] * 6
+            columns = [[k[i] for k in tally] for i in range(4)] + [[t[i] for t in tally.values()] for i in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    met = _joined(pages, base).select("host", "rank", "html", "skeleton").mapInArrow(count, "host string, rank int, node int, piece long, page long, last long, n long, chars long, links long")
+    met = written(met, "evidence")
+    again = met.groupBy("piece").agg(F.min("page").alias("page"), F.max("last").alias("last")).where("page <> last").select("piece", F.lit(1).alias("again"))
+    again = written(again, "recurring")
+    recurring = F.sum(F.when(F.col("again") == 1, F.col("chars")).otherwise(0)).alias("again")
+    nodes = met.join(again, "piece", "left").groupBy("host", "rank", "node").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), recurring, F.sum("links").alias("links"))
+    counts = nodes.groupBy("host", "rank").agg(F.sort_array(F.collect_list(F.struct("node", "n", "chars", "again", "links"))).alias("counts"))
+    return written(base.join(counts, ["host", "rank"], "left").select("host", "outline", "rank", "skeleton", "counts"), "wrappers")
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
@@ -338,10 +508,19 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     wrappers = induce(pages) if wrappers is None else wrappers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decided: dict[tuple, frozenset[int]] = {}
         for b in slices(batches, "html"):
             text = []
-            for source, skeleton, template in zip(*(b.column(k).to_pylist() for k in ("html", "skeleton", "template")), strict=True):
-                text.append(content(_page(skeleton) if skeleton else None, Page(source), frozenset(template or ())) if source else "")
+            for host, rank, source, skeleton, counts in zip(*(b.column(k).to_pylist() for k in ("host", "rank", "html", "skeleton", "counts")), strict=True):
+                if not source:
+                    text.append("")
+                    continue
+                base = _page(skeleton)
+                if (host, rank) not in decided:
+                    if len(decided) >= 1000:
+                        decided.clear()
+                    decided[host, rank] = template(base, [tuple(c.values()) for c in counts or ()])
+                text.append(content(base, Page(source), decided[host, rank]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return _joined(with_host(pages), wrappers).select("page_id", "url", "html", "skeleton", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return _joined(pages, wrappers).select("page_id", "url", "html", "host", "rank", "skeleton", "counts").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,11 +1,17 @@
 """WARC archive and HTML extraction."""
 
 import hashlib
+import html as entities
+import os
+import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.llm import html_extract, warc
 
+SF = "/root/testdata/sf0.01"
 BIG = "<p>" + "long payload " * 20 + "</p>"
 ROWS = [(5, "http://a.example/x", BIG), (3, None, BIG), (9, "http://a.example/ y\r\n", "small"), (2, "http://b.example", "small"), (7, "u", None), (8, "u", ""), (None, "u", BIG), (4, "http://ü.example/ß", "é" * 60), (6, "x", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n" * 5), (3, "twice", BIG)]
 
@@ -94,3 +100,87 @@ def test_alignment_is_the_largest():
     b = html_extract.Page("<div><ul><li>b</li><li>c</li></ul><p>3</p></div>")
     pairs = {(a.symbol[x], b.symbol[y]) for y, x in html_extract.align(a, b).items()}
     assert all(x == y for x, y in pairs) and len(html_extract.align(a, b)) == 5
+
+
+def sizes_by_brute_force(a, b, x=0, y=0):
+    """The greatest simple tree matching, by trying every ordered set of child pairs."""
+    if a.symbol[x] != b.symbol[y]:
+        return 0
+
+    def best(p, q):
+        if not p or not q:
+            return 0
+        return max(best(p[1:], q), best(p, q[1:]), sizes_by_brute_force(a, b, p[0], q[0]) + best(p[1:], q[1:]))
+
+    return 1 + best(a.kids[x], b.kids[y])
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 20])
+def test_alignment_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(html_extract, "CELLS", cells)
+    r = random.Random(3)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1)}x</{t}>" for t in (r.choice(["div", "ul", "section"]) for _ in range(r.randint(0, 4 if depth > 1 else 2)))) if depth else ""
+
+    for _ in range(60):
+        a, b = html_extract.Page(tree(3)), html_extract.Page(tree(3))
+        got = html_extract.align(a, b)
+        assert len(got) == sizes_by_brute_force(a, b) and all(a.symbol[x] == b.symbol[y] for y, x in got.items())
+        assert all(y == 0 or got[b.parent[y]] == a.parent[x] for y, x in got.items())
+        order = sorted(got)
+        assert all(got[u] < got[v] for u, v in zip(order, order[1:]))
+
+
+def test_long_lists_and_deep_trees_are_aligned_whole():
+    a = html_extract.Page("<div>" + "<p>x</p>" * 4000 + "<div class=x>t</div></div>")
+    b = html_extract.Page("<div>" + "<p>y</p>" * 2500 + "<div class=x>u</div></div>")
+    assert len(html_extract.align(a, b)) == 2 + 2500 + 1
+    deep = html_extract.Page("<div>" * 5000 + "<nav>Home</nav><p>body</p>")
+    assert len(html_extract.align(deep, deep)) == len(deep.symbol) == 5003
+
+
+def test_wrappers_of_articles_stay(spark):
+    words = "some words of the article that go on for a while, "
+    odd = ["<div class='layout sidebar-left'><nav>Home About</nav><article>{}</article></div>", "<div id=wrapper class=navbar-fixed><nav>Home About</nav><main>{}</main></div>", "<form action=/><nav>Home About</nav><article>{}</article></form>", "<nav>Home About</nav><div class=share-price-report><p>{}</p></div>", "<div>" * 200 + "<nav>Home About</nav><p>{}</p>"]
+    rows = [(10 * k + i, f"http://h{k}.example/{i}", html.format(words * 3 + f"page {i}")) for k, html in enumerate(odd) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * k + i: (words * 3 + f"page {i}").strip() for k in range(len(odd)) for i in range(3)}
+
+
+def neutral(source):
+    """The page with its sectioning elements as plain div, without classes."""
+    return re.sub(r" class=\"[^\"]*\"", "", re.sub(r"<(/?)(?:nav|article|footer)\b", r"<\1div", source))
+
+
+def article(source):
+    body = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    return " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
+def test_the_wrapper_decides(spark):
+    """Without names menus, adverts and footers go by induced evidence alone; without a template they all stay."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    want = {i: article(html) for i, _, html in rows}
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+    plain = spark.createDataFrame([(i, u, neutral(html)) for i, u, html in rows], pages.schema)
+    got = {r.page_id: r.text for r in html_extract.extract(plain).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+    without = html_extract.extract(pages, html_extract.induce(pages).withColumn("counts", F.lit(None).cast("array<struct<node:int,n:long,chars:long,again:long,links:long>>")))
+    assert without.count() == len(rows)
+
+
+def test_templates_null_keeps_everything():
+    got = [html_extract.Page(page(i, f"<p>text {i}")[2]) for i in range(2)]
+    full = html_extract.content(got[0], got[1], frozenset())
+    assert "Home About 1" in full and "Nice post 1" in full and "text 1" in full
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [page(i, f"<p>text {i}") for i in (1, 2, 3, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS skeleton", "3 AS template", "4 AS text", "5 AS rank", "6 AS outline", "7 AS counts", "8 AS node")
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((r.page_id, r.text) for r in got.collect()) == [(i, f"Title {i} & more text {i}") for i in (1, 2, 3, 3)]
