@@ -5,9 +5,12 @@ features of the line, transition scores from the pair of neighbouring labels; th
 sequence is found by Viterbi decoding. A text is kept when the base rules pass and the share
 of its words that lie in content lines is at least ``share``.
 
-The CRF is trained by its exact conditional likelihood (forward-backward) on a bounded
-sample: up to ``per_class`` labelled texts of each quality. A line takes the label of its
-text, so a few lines are labelled wrongly; transitions and ridge penalty smooth that out.
+Labels are given for texts, not lines, so the lines' labels are hidden and found along with the weights, on a
+bounded sample: up to ``per_class`` labelled texts of each quality. A text's label only says on which side of one half
+the share of its words in content lines lies. First each line is scored by a logistic regression of its text's label
+on its features alone, so a clean line of a bad text counts as content; where the scores contradict the text's label,
+the lines nearest to the other side change over (``constrained``). The CRF is fitted to these sequences by its exact
+conditional likelihood (forward-backward), its marginals score the lines anew, and so on for ``ROUNDS`` rounds.
 Without labels of both classes a fixed set of weights is used.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are
@@ -33,6 +36,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 
+ROUNDS = 2  #: fits of the CRF, each to line labels of the one before
+
 FEATURES = ("bias", "short", "long", "symbols", "upper", "repeats", "shouts", "digits", "again", "pipes", "odd_words")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
@@ -176,47 +181,95 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(x: np.ndarray, off: np.ndarray, label: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
-    """Weights of greatest conditional likelihood (Adam on the exact gradient)."""
+def _passes(chain: Chain, x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward log sums, marginals of each entry's labels, and the emission scores."""
     order, running = _time_major(off)
+    begin = off[order]
+    e = np.stack([np.zeros(len(x)), x @ chain.emit], axis=1)
+    fwd, bwd = np.zeros((len(x), 2)), np.zeros((len(x), 2))
+    fwd[begin] = chain.begin + e[begin]
+    for t in range(1, len(running)):
+        at = begin[: running[t]] + t
+        fwd[at] = _log_sum(fwd[at - 1][:, :, None] + chain.move[None], 1) + e[at]
+    for t in range(len(running) - 1, 0, -1):
+        at = begin[: running[t]] + t
+        bwd[at - 1] = _log_sum(chain.move[None] + (e[at] + bwd[at])[:, None, :], 2)
+    post = fwd + bwd
+    return fwd, bwd, np.exp(post - _log_sum(post, 1)[:, None]), e
+
+
+def marginals(chain: Chain, x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Probability that each entry is content."""
+    return _passes(chain, x, off)[2][:, 1]
+
+
+def fit(x: np.ndarray, off: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
+    """Weights of greatest conditional likelihood (Adam on the exact gradient)."""
+    order, _ = _time_major(off)
     n_feat = x.shape[1]
     w = np.zeros(n_feat + 6)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     begin, total = off[order], len(x)
     weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * total
+    inner = np.ones(total, bool)
+    inner[begin] = False
+    at = np.flatnonzero(inner)
+    pair = np.zeros((len(at), 2, 2))
+    pair[np.arange(len(at)), label[at - 1], label[at]] = 1
+    first = np.zeros((len(begin), 2))
+    first[np.arange(len(begin)), label[begin]] = 1
     gold = np.zeros_like(w)
+    chain = _unpacked(w, n_feat)
     for s in range(1, steps + 1):
-        emit, move, start = w[:n_feat], w[n_feat : n_feat + 4].reshape(2, 2), w[n_feat + 4 :]
-        e = np.stack([np.zeros(total), x @ emit], axis=1)
-        fwd = np.zeros((total, 2))
-        bwd = np.zeros((total, 2))
-        fwd[begin] = start + e[begin]
-        for t in range(1, len(running)):
-            at = begin[: running[t]] + t
-            fwd[at] = _log_sum(fwd[at - 1][:, :, None] + move[None], 1) + e[at]
-        for t in range(len(running) - 1, 0, -1):
-            at = begin[: running[t]] + t
-            bwd[at - 1] = _log_sum(move[None] + (e[at] + bwd[at])[:, None, :], 2)
-        post = fwd + bwd
-        post = np.exp(post - _log_sum(post, 1)[:, None])
-        inner = np.ones(total, bool)
-        inner[begin] = False
-        at = np.flatnonzero(inner)
-        both = fwd[at - 1][:, :, None] + move[None] + (e[at] + bwd[at])[:, None, :]
+        fwd, bwd, post, e = _passes(chain, x, off)
+        both = fwd[at - 1][:, :, None] + chain.move[None] + (e[at] + bwd[at])[:, None, :]
         both = np.exp(both - _log_sum(both.reshape(len(at), 4), 1)[:, None, None])
         gold[:n_feat] = x.T @ (weight * (label - post[:, 1]))
-        pair = np.zeros((len(at), 2, 2))
-        pair[np.arange(len(at)), label[at - 1], label[at]] = 1
         gold[n_feat : n_feat + 4] = (weight[at, None, None] * (pair - both)).sum(axis=0).ravel()
-        first = np.zeros((len(begin), 2))
-        first[np.arange(len(begin)), label[begin]] = 1
         gold[n_feat + 4 :] = (weight[begin, None] * (first - post[begin])).sum(axis=0)
         g = gold / total - ridge * w
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w = w + rate * (m1 / (1 - 0.9**s)) / (np.sqrt(m2 / (1 - 0.999**s)) + 1e-8)
+        chain = _unpacked(w, n_feat)
+    return chain
+
+
+def _unpacked(w: np.ndarray, n_feat: int) -> Chain:
     return Chain(w[:n_feat].copy(), w[n_feat : n_feat + 4].reshape(2, 2).copy(), w[n_feat + 4 :].copy())
 
 
+def logistic(x: np.ndarray, label: np.ndarray, steps: int = 30, ridge: float = 1e-2) -> np.ndarray:
+    """Probability of label 1 of each row by a logistic regression on these rows, both labels weighing the same (Newton's method)."""
+    weight = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())) * len(label)
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * len(x) * np.eye(len(w)), x.T @ (weight * (label - p)) - ridge * len(x) * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+def constrained(score: np.ndarray, words: np.ndarray, off: np.ndarray, text_label: np.ndarray) -> np.ndarray:
+    """Labels of lines with content probability ``score``, such that content has half of a good text's words or more, and less than half of a bad one's.
+
+    Where the scores alone don't give that, lines change over in the order of their scores, the earlier of equals first, until it holds.
+    """
+    label = (score >= 0.5).astype(np.int64)
+    have = sums(words * label, off)
+    every = sums(words, off)
+    for i in np.flatnonzero((every > 0) & ((2 * have >= every) != (text_label == 1))):
+        part = slice(off[i], off[i + 1])
+        order = np.argsort(-score[part] if text_label[i] else score[part], kind="stable")
+        moved = np.cumsum(words[part][order])
+        need = int(np.searchsorted(2 * moved, every[i], side="left" if text_label[i] else "right")) + 1
+        own = np.full(len(order), 1 - text_label[i])
+        own[order[:need]] = text_label[i]
+        label[part] = own
+    return label
+
+
 def sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "quality", where=None) -> DataFrame:
     """(doc_id, text, label): labelled texts, ``per_class`` ids of each class at most, those of smallest hash.
 
@@ -232,6 +285,16 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "qu
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
+def learn(x: np.ndarray, off: np.ndarray, words: np.ndarray, text_label: np.ndarray) -> Chain:
+    """The CRF of texts with known labels and hidden line labels; text i has lines off[i]:off[i + 1], ``words`` words each."""
+    score = logistic(x, np.repeat(text_label, np.diff(off)))
+    for _ in range(ROUNDS):
+        label = constrained(score, words, off, text_label)
+        chain = fit(x, off, label)
+        score = marginals(chain, x, off)
+    return chain
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 400) -> Chain:
     """The CRF of a bounded sample: ``per_class`` labelled texts of each quality at most."""
 
@@ -239,16 +302,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 400) -> Chain:
         for b in slices(batches):
             got = Lines(b.column(1))
             ids, label = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            rows = [(int(ids[i]), int(label[i]), got.x[got.off[i] : got.off[i + 1]].ravel().tolist()) for i in range(b.num_rows) if got.off[i + 1] > got.off[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+            rows = [(int(ids[i]), int(label[i]), got.x[got.off[i] : got.off[i + 1]].ravel().tolist(), got.line_words[got.off[i] : got.off[i + 1]].tolist()) for i in range(b.num_rows) if got.off[i + 1] > got.off[i]]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "label", "x", "words"])
 
-    rows = sample(docs, labels, per_class).mapInArrow(lines, "doc_id long, label int, x array<double>").collect()
+    rows = sample(docs, labels, per_class).mapInArrow(lines, "doc_id long, label int, x array<double>, words array<long>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, r.x))
     if {r.label for r in rows} != {0, 1}:
         return DEFAULT
-    size = np.array([len(r.x) // len(FEATURES) for r in rows])
+    size = np.array([len(r.words) for r in rows])
     x = np.concatenate([np.array(r.x) for r in rows]).reshape(-1, len(FEATURES))
-    return fit(x, np.concatenate([[0], np.cumsum(size)]), np.repeat([r.label for r in rows], size))
+    return learn(x, np.concatenate([[0], np.cumsum(size)]), np.concatenate([r.words for r in rows]).astype(np.int64), np.array([r.label for r in rows]))
 
 
 def line_labeller(chain: Chain) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -350,3 +350,54 @@ def test_language_id_learns_from_different_texts(monkeypatch, spark):
     rows = [(f"text {i}", "en") for i in range(40) for _ in range(1 if i % 2 else 50)]
     language_id.train(spark.createDataFrame(rows, "text string, lang string"), per_lang=30)
     assert len(seen) == len(set(seen)) == 30
+
+
+def test_glued_texts_get_both_labels(spark):
+    """Texts of known good and bad lines: labels are learnt from whole texts' labels alone, some bad texts hold good lines."""
+    r = random.Random(9)
+    good = lambda: " ".join(f"{r.choice('abcdefgh')}{r.choice('aeiou')}n" for _ in range(r.randint(6, 14))) + "."
+    bad = lambda: r.choice([lambda: " ".join(f"{r.choice('ABCDEFGH')}{r.choice('AEIOU')}N!!" for _ in range(10)), lambda: " | ".join(f"{r.choice('abcdefgh')}n" for _ in range(8)), lambda: " ".join(f"{r.choice('abc')}n$$$" for _ in range(9))])()
+    lines = [[(good(), True) for _ in range(6)] if i % 2 else [(bad(), False) for _ in range(5)] + [(good(), True)] * (i % 4 == 0) for i in range(120)]
+    docs = spark.createDataFrame([(i, "\n".join(t for t, _ in x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    chain = quality_rules.train(docs, labels)
+    glued = [(200 + i, [(good(), True)] * r.randint(2, 5) + [(bad(), False)] * r.randint(2, 5) if i % 2 else [(bad(), False)] * r.randint(2, 5) + [(good(), True)] * r.randint(2, 5)) for i in range(60)]
+    got = {(x.doc_id, x.line): x.content for x in quality_rules.label_lines(spark.createDataFrame([(i, "\n".join(t for t, _ in x)) for i, x in glued], "doc_id long, text string"), chain).collect()}
+    want = {(i, k): v for i, x in glued for k, (_, v) in enumerate(x)}
+    assert got.keys() == want.keys()
+    hit = sum(not got[k] and not want[k] for k in want)
+    f1 = 2 * hit / (sum(not v for v in got.values()) + sum(not v for v in want.values()))
+    assert f1 >= 0.95 and len({got[k] for k in got if k[0] == 201}) == 2
+
+
+def test_verdict_against_brute_force(docs):
+    import itertools
+
+    chain = quality_rules.Chain(np.linspace(1, -3, len(quality_rules.FEATURES)), np.array([[0.6, -0.3], [-0.5, 0.4]]), np.array([0.1, -0.2]))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = collections.Counter()
+    for d, t in rows:
+        got = quality_rules.Lines(pa.array([t], pa.string()))
+        n, e = len(got.x), got.x @ chain.emit
+        best = max(itertools.product((1, 0), repeat=n), key=lambda s: sum(e[i] * v for i, v in enumerate(s)) + (chain.begin[s[0]] if s else 0) + sum(chain.move[a, b] for a, b in zip(s, s[1:]))) if n <= 14 else None
+        words = [len(SPACE_WORD.findall(x)) for x in (t or "").split("\n") if SPACE_WORD.search(x)]
+        base = brute_rules(t)[-1]
+        if best is not None:
+            want[d, not base and 2 * sum(w for w, v in zip(words, best, strict=True) if v) >= sum(words)] += 1
+    got = collections.Counter((r.doc_id, r.kept) for r in quality_rules.judge(docs, chain).collect())
+    assert sum(want.values()) > 50 and all(got[k] >= n for k, n in want.items())
+
+
+def test_line_labels_obey_the_text():
+    r = np.random.default_rng(5)
+    size = r.integers(0, 6, 80)
+    off = np.concatenate([[0], np.cumsum(size)])
+    words, score, label = r.integers(1, 9, off[-1]), r.random(off[-1]), r.integers(0, 2, 80)
+    got = quality_rules.constrained(score, words, off, label)
+    for i in range(80):
+        part = slice(off[i], off[i + 1])
+        if size[i]:
+            assert (2 * (words[part] * got[part]).sum() >= words[part].sum()) == bool(label[i])
+            plain = score[part] >= 0.5
+            if (2 * (words[part] * plain).sum() >= words[part].sum()) == bool(label[i]):
+                assert (got[part] == plain).all()
