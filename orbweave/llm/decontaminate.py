@@ -9,19 +9,22 @@ A phrase is searched by intersecting lists: its terms are ordered by their frequ
 whole corpus, the rarest term's places give candidate starts (place minus the term's offset in
 the phrase), and each further term's list, adjusted by its offset, keeps the starts that it has
 too. The lists of all phrases of a shard are intersected together, in numpy. A proximity
-match asks for all terms within a span instead, in any order.
+match asks instead for all terms near the rarest one, in any order: the list of each further
+term is asked for the places next to it.
 
-Bounds: the phrases go to every task only where all test texts together have at most
-``MOST_WORDS`` words; a larger set of items is searched in blocks of that size, one pass of the
-index for each.
+Bounds: items are searched in blocks of ``MOST_WORDS`` words at most (a longer item is cut into
+pieces that overlap by a window less a word), one after the other: only one block's phrases are on
+the driver and go to the tasks, ``MOST_WORDS * window * 9`` bytes at most.
 
 Defined cases: a null or empty text has no words and no hits; an item of fewer than ``window``
 words is one phrase, an item without words is never met; repeated rows each give a row; equal
-items are each reported; an empty table of items gives no hits; other columns are ignored.
+items are each reported, items without an id count as hits but are not listed; an empty table of
+items gives no hits; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +38,8 @@ from .arrays import ALNUM, Texts, Words, covered, slices, sums
 from .store import spare, written
 
 WINDOW = 10
-MOST_WORDS = 2_000_000
+SPAN = 20  #: words on either side of a phrase's rarest term in which a proximity match has all others
+MOST_WORDS = 400_000
 INDEX = "shard string, doc_id array<long>, off array<int>, token array<long>, begin array<int>, place array<int>"
 
 
@@ -103,16 +107,12 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
 
 
 def frequencies(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """How often each token of ``vocabulary`` occurs in the whole corpus; one entry for each of them at most."""
+    """How often each token of ``vocabulary`` occurs in the whole corpus. The vocabulary, bounded by its block, is broadcast before tokens are counted."""
+    spark = index.sparkSession
     steps = F.transform(F.sequence(F.lit(1), F.size("token")), lambda i: F.struct(F.element_at("token", i).alias("t"), (F.element_at("begin", i + 1) - F.element_at("begin", i)).cast("long").alias("n")))
-    rows = index.where(F.size("token") > 0).select(F.explode(steps).alias("x")).groupBy("x.t").agg(F.sum("x.n").alias("n"))
-    asked = set(vocabulary.view(np.int64).tolist())
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array([t in asked for t in b.column(0).to_pylist()], pa.bool_()))
-
-    return {r.t: r.n for r in rows.mapInArrow(only, "t long, n long").collect()}
+    rows = index.where(F.size("token") > 0).select(F.explode(steps).alias("x")).select("x.*")
+    asked = spark.createDataFrame(pa.table({"t": pa.array(vocabulary.view(np.int64))}))
+    return {r.t: r.n for r in rows.join(F.broadcast(asked), "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n")).collect()}
 
 
 @dataclass(frozen=True)
@@ -143,31 +143,37 @@ def rarest_first(terms: np.ndarray, counts: dict[int, int]) -> np.ndarray:
     return np.argsort(np.where(terms == 0, np.iinfo(np.int64).max, n), axis=1, kind="stable")
 
 
-def exact(s: Shard, p: Phrases, order: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start place) of every occurrence of every phrase inside one text."""
-    if not len(p.terms):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _candidates(s: Shard, p: Phrases, order: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(phrase, place of its rarest term) in blocks, one phrase at least; a phrase with a term that the shard doesn't have can't occur."""
     rows = np.arange(len(p.terms))
     lo, hi = s.lists(p.terms[rows, order[:, 0]])
-    # a phrase with a term that the shard doesn't have can't occur
     alive = hi > lo
     for k in range(1, order.shape[1]):
         term = p.terms[rows, order[:, k]]
         a, b = s.lists(term)
         alive &= (b > a) | (term == 0)
-    found_p, found_s = [], []
     rows = rows[alive]
     size = (hi - lo)[alive]
     ends = np.cumsum(size)
     at = 0
-    while at < len(rows):  # blocks of candidates, one phrase at least
+    while at < len(rows):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, side="right")))
         part, n = rows[at:to], size[at:to]
         at = to
-        phrase = np.repeat(part, n)
-        index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)
-        start = s.place[index] - order[phrase, 0]
-        text = np.searchsorted(s.off, s.place[index], side="right") - 1
+        yield np.repeat(part, n), s.place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate([x for x, _ in parts] + none), np.concatenate([y for _, y in parts] + none)
+
+
+def exact(s: Shard, p: Phrases, order: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, start place) of every occurrence of every phrase inside one text."""
+    found = []
+    for phrase, place in _candidates(s, p, order, block):
+        start = place - order[phrase, 0]
+        text = np.searchsorted(s.off, place, side="right") - 1
         ok = (start >= s.off[text]) & (start + p.size[phrase] <= s.off[text + 1])
         phrase, start = phrase[ok], start[ok]
         for k in range(1, order.shape[1]):
@@ -176,62 +182,69 @@ def exact(s: Shard, p: Phrases, order: np.ndarray, block: int = 1 << 20) -> tupl
             offset = order[phrase, k]
             term = p.terms[phrase, offset]
             a, b = s.lists(term)
-            hit = (_bisect(s.place, a, b, start + offset)) | (term == 0)
+            at = _first_from(s.place, a, b, start + offset)
+            hit = (at < b) & (s.place[np.minimum(at, len(s.place) - 1)] == start + offset) | (term == 0)
             phrase, start = phrase[hit], start[hit]
-        found_p.append(phrase)
-        found_s.append(start)
-    return (np.concatenate(found_p), np.concatenate(found_s)) if found_p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        found.append((phrase, start))
+    return _joined(found)
 
 
-def _bisect(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """Whether each sorted list values[lo:hi] holds ``want``."""
-    lo, end = lo.copy(), hi
-    hi = hi.copy()
+def _first_from(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The place of the first value not below ``want`` in each sorted list values[lo:hi]; hi if there is none."""
+    lo, hi = lo.copy(), hi.copy()
     for _ in range(int(max(1, (hi - lo).max(initial=1))).bit_length()):
         mid = (lo + hi) >> 1
         less = (lo < hi) & (values[np.minimum(mid, len(values) - 1)] < want)
         lo = np.where(less, mid + 1, lo)
         hi = np.where(less | (lo >= hi), hi, mid)
-    return (lo < end) & (values[np.minimum(lo, max(0, len(values) - 1))] == want)
+    return lo
 
 
-def near(s: Shard, p: Phrases, order: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def near(s: Shard, p: Phrases, order: np.ndarray, span: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(phrase, text) where all terms of the phrase occur within ``span`` words of some occurrence of its rarest term."""
-    rows = np.arange(len(p.terms))
-    out_p, out_t = [], []
-    for r in rows:
-        lo, hi = s.lists(p.terms[r : r + 1, order[r, 0]])
-        at = s.place[lo[0] : hi[0]]
-        text = np.searchsorted(s.off, at, side="right") - 1
-        for k in range(1, int(p.size[r])):
-            if not len(at):
-                break
-            a, b = s.lists(p.terms[r : r + 1, order[r, k]])
-            own = s.place[a[0] : b[0]]
-            if not len(own):
-                at = at[:0]
+    found = []
+    for phrase, place in _candidates(s, p, order, block):
+        text = np.searchsorted(s.off, place, side="right") - 1
+        for k in range(1, order.shape[1]):
+            if not len(phrase):
                 break
-            right = own[np.minimum(np.searchsorted(own, at), len(own) - 1)]
-            left = own[np.maximum(np.searchsorted(own, at, side="right") - 1, 0)]
-            ok = ((np.abs(right - at) < span) & (right < s.off[text + 1]) & (right >= s.off[text])) | ((np.abs(left - at) < span) & (left >= s.off[text]) & (left < s.off[text + 1]))
-            at, text = at[ok], text[ok]
-        hit = np.unique(text[: len(at)])
-        out_p.append(np.full(len(hit), r))
-        out_t.append(hit)
-    return (np.concatenate(out_p), np.concatenate(out_t)) if out_p else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _blocks(benchmark: DataFrame) -> list[list[tuple[object, str | None]]]:
-    """Test items in blocks of ``MOST_WORDS`` words at most (one item at least)."""
-    out, words = [[]], 0
+            term = p.terms[phrase, order[phrase, k]]
+            a, b = s.lists(term)
+            at = _first_from(s.place, a, b, place)
+            right = s.place[np.minimum(at, len(s.place) - 1)]
+            left = s.place[np.maximum(at - 1, 0)]
+            hit = (at < b) & (right - place < span) & (right < s.off[text + 1]) | (at > a) & (place - left < span) & (left >= s.off[text]) | (term == 0)
+            phrase, place, text = phrase[hit], place[hit], text[hit]
+        one = np.unique(np.stack([phrase, text]), axis=1)
+        found.append((one[0], one[1]))
+    return _joined(found)
+
+
+def _pieces(text: str, window: int) -> Iterator[tuple[str, int]]:
+    """A text and the number of its words at most; texts of more than ``MOST_WORDS`` in pieces that hold each window once at least."""
+    if len(text) // 2 + 1 <= MOST_WORDS:
+        yield text, len(text) // 2 + 1
+        return
+    at = [m.start() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
+    step = max(1, MOST_WORDS - window + 1)
+    for i in range(0, max(1, len(at) - window + 1), step):
+        to = i + step + window - 1
+        yield text[at[i] if at else 0 : at[to] if to < len(at) else None], min(to, len(at)) - i
+
+
+def _blocks(benchmark: DataFrame, window: int) -> Iterator[list[tuple[object, str]]]:
+    """Test items in blocks of ``MOST_WORDS`` words at most (one piece at least); one empty block if there are none."""
+    out: list[tuple[object, str]] = []
+    words, met = 0, False
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        n = len(r.text) // 2 + 1
-        if words + n > MOST_WORDS and out[-1]:
-            out.append([])
-            words = 0
-        out[-1].append((r.item_id, r.text))
-        words += n
-    return out
+        for piece, n in _pieces(r.text, window):
+            if words + n > MOST_WORDS and out:
+                yield out
+                out, words, met = [], 0, True
+            out.append((r.item_id, piece))
+            words += n
+    if out or not met:
+        yield out
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Shard]]:
@@ -244,28 +257,32 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, Sh
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None) -> DataFrame:
     """Hits of each text: doc_id, n_words, n_hit (words inside an occurrence), items (ids, as strings in order), near_items.
 
-    ``near_items`` are items with a window whose words all occur within ``span`` words in any order; without ``span`` it is empty.
+    ``near_items`` are items with a window whose words all occur within ``span`` words of its rarest one in any order;
+    without ``span`` it is empty.
     """
-    blocks = [phrases(items, window) for items in _blocks(benchmark)]
-    if len(blocks) == 1:
-        index = build_index(docs, blocks[0].vocabulary())
-        return _search(index, blocks[0], span).select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", "near_items")
+    blocks = _blocks(benchmark, window)
+    block, more = next(blocks), next(blocks, None)
+    p = phrases(block, window)
+    if more is None:
+        return _search(build_index(docs, p.vocabulary()), p, span).select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", "near_items")
     index = build_index(docs)
-    return _merged([_search(index, p, span) for p in blocks])
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """The hits of several blocks of items: rows of one text are told apart by shard and place."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    both = every.groupBy("key", "doc_id", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"))
-    return both.select("doc_id", "n_words", F.size(F.array_distinct("hit")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_distinct("near_items")).alias("near_items"))
+    hits = None
+    while block is not None:
+        part = _search(index, phrases(block, window), span).where(F.size("hit") + F.size("near_items") > 0)
+        part = written(part.select("key", "hit", "items", "near_items"), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+        block, more = more, next(blocks, None)
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    hits = hits.groupBy("key").agg(flat("hit"), flat("items"), flat("near_items"))
+    rows = index.select("shard", F.posexplode("doc_id").alias("i", "doc_id"), "off")
+    rows = rows.select(F.concat_ws(".", "shard", "i").alias("key"), "doc_id", (F.element_at("off", F.col("i") + 2) - F.element_at("off", F.col("i") + 1)).cast("long").alias("n_words"))
+    listed = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    return rows.join(hits, "key", "left").select("doc_id", "n_words", F.size(listed("hit", "long")).cast("long").alias("n_hit"), *(listed(c, "string").alias(c) for c in ("items", "near_items")))
 
 
 def _search(index: DataFrame, p: Phrases, span: int | None) -> DataFrame:
-    order = rarest_first(p.terms, frequencies(index, p.vocabulary()))
-    names = np.array([str(k) for k in p.items], dtype=object)
+    order = rarest_first(p.terms, frequencies(index, p.vocabulary())).astype(np.int8)
+    names = np.array([None if k is None else str(k) for k in p.items], dtype=object)
     by = np.searchsorted(p.window_of, np.arange(len(p.terms) + 1))  # pairs are sorted by window
 
     def items_of(window: np.ndarray, text: np.ndarray, n: int) -> list[list[str]]:
@@ -273,7 +290,7 @@ def _search(index: DataFrame, p: Phrases, span: int | None) -> DataFrame:
         pair = np.unique(np.stack([text, window]), axis=1) if len(window) else np.zeros((2, 0), np.int64)
         for t, w in pair.T:
             out[t] += names[p.item_of[by[w] : by[w + 1]]].tolist()
-        return [sorted(set(x)) for x in out]
+        return [sorted(set(x) - {None}) for x in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, s in _rows(batches):
@@ -294,7 +311,11 @@ def _search(index: DataFrame, p: Phrases, span: int | None) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns as they are. A hit removes every row of its doc_id (null ids count as one)."""
+    """The rows of ``docs`` whose text has no hit, all columns as they are.
+
+    A text is told by a 64-bit hash, so each row is judged by its own text whatever its id, and repeated rows alike.
+    """
     (name,) = spare(docs.columns, "_hit")
-    hit = find_matches(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    tid = F.xxhash64("text")
+    hit = find_matches(docs.select(tid.alias("doc_id"), "text"), benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(written(hit, "hits"), tid == F.col(name), "left_anti")

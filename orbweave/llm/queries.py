@@ -34,8 +34,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    got = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=decontaminate.SPAN)
+    return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +99,19 @@ ORACLES: dict[str, str] = {
         dw AS (SELECT doc_id, n, k, w[k : k + n - 1] AS win FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(k)),
         hits AS (SELECT doc_id, dw.n, k, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
         words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM hits, unnest(range(k, k + n)) AS t(x) GROUP BY doc_id),
-        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id),
+        post AS (SELECT doc_id, x AS place, w[x] AS term FROM d, unnest(range(1, len(w) + 1)) AS t(x) WHERE w[x] IN (SELECT unnest(win) FROM iw)),
+        wins AS (SELECT win, row_number() OVER () AS id FROM (SELECT DISTINCT win FROM iw)),
+        terms AS (SELECT id, o, win[o] AS term FROM wins, unnest(range(1, len(win) + 1)) AS t(o)),
+        need AS (SELECT id, count(DISTINCT term) AS n FROM terms GROUP BY id),
+        freq AS (SELECT term, count(*) AS f FROM post GROUP BY term),
+        rare AS (SELECT id, arg_min(term, f * 100 + o) AS term FROM terms JOIN freq USING (term) GROUP BY id),
+        cand AS (SELECT id, doc_id, place FROM rare JOIN post USING (term)),
+        met AS (SELECT c.id, c.doc_id, c.place, count(DISTINCT t.term) AS n FROM cand c JOIN terms t ON t.id = c.id JOIN post p ON p.doc_id = c.doc_id AND p.term = t.term AND abs(p.place - c.place) < 20 GROUP BY c.id, c.doc_id, c.place),
+        close AS (SELECT m.doc_id, count(DISTINCT iw.item_id) AS n_near FROM (SELECT DISTINCT id, doc_id FROM met JOIN need USING (id, n)) m JOIN wins USING (id) JOIN iw USING (win) GROUP BY m.doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN close USING (doc_id)""",
     "op5_jaccard_join": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, g FROM d, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS t(k), LATERAL (SELECT array_to_string(w[k : k + 3], ' ') AS g) WHERE len(w) > 0),
