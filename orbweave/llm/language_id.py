@@ -9,12 +9,13 @@ also reads ``WARM`` bytes of its neighbours on either side, whose positions are
 so the states have context before the first pooled position. All segments of a slice advance
 together, one byte a step.
 
-Training takes a bounded sample (``per_lang`` texts of each language at most) of the rows
-that the caller passes as labelled.
+Training takes a bounded sample of the rows that the caller passes as labelled: ``per_lang`` different
+texts of each language at most, ``per_text`` characters of each at most.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; labels that are
 null are not learned; with nothing to learn from every text is ``und``; repeated rows are
-labelled each on their own; other columns of the input are ignored.
+labelled each on their own and count once in training; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrays import Texts, slices
 
@@ -156,6 +158,30 @@ def pooled(net: Network, texts: Texts, block: int = 4096) -> tuple[np.ndarray, n
     return total / np.maximum(1, letters)[:, None], letters
 
 
+def loss_and_gradient(net: Network, part: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Weighted mean cross entropy of all letter positions of (time, segment) bytes, and its gradient by each array of the network."""
+    tf, tb = [], []
+    fs, bs = part[: WARM + STEPS], part[WARM:][::-1]
+    hf, hb = states(net.forth, fs, tf), states(net.back, bs, tb)
+    both = np.concatenate([hf[WARM:], hb[::-1][:STEPS]], axis=2)
+    logits = both @ net.out + net.bias
+    logits -= logits.max(axis=2, keepdims=True)
+    p = np.exp(logits)
+    total = p.sum(axis=2, keepdims=True)
+    p /= total
+    mask = is_letter(part[WARM : WARM + STEPS])
+    each = mask * weight / max(1, mask.sum())
+    own = np.arange(len(label))
+    loss = float((each * (np.log(total[:, :, 0]) - logits[:, own, label])).sum())
+    p[:, own, label] -= 1
+    p *= each[:, :, None].astype(p.dtype)
+    d = p @ net.out.T
+    df, db = np.zeros_like(hf), np.zeros_like(hb)
+    df[WARM:] = d[:, :, :HIDDEN]
+    db[WARM:] = d[:, :, HIDDEN:][::-1]
+    return loss, [*gradient(net.forth, fs, tf, df), *gradient(net.back, bs, tb, db), np.einsum("tsh,tsl->hl", both, p), p.sum(axis=(0, 1))]
+
+
 def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int = 400, rate: float = 0.01, seed: int = 7) -> Network | None:
     """A network for the labels met, by Adam on the mean cross entropy of all letter positions."""
     langs = sorted(set(labels))
@@ -176,22 +202,7 @@ def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int =
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for s in range(1, most_steps + 1):
         pick = order[(s - 1) * batch : s * batch]
-        part, label = steps[:, pick], y[pick]
-        tf, tb = [], []
-        fs, bs = part[: WARM + STEPS], part[WARM:][::-1]
-        hf, hb = states(net.forth, fs, tf), states(net.back, bs, tb)
-        both = np.concatenate([hf[WARM:], hb[::-1][:STEPS]], axis=2)
-        logits = both @ net.out + net.bias
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        p[:, np.arange(len(pick)), label] -= 1
-        mask = is_letter(part[WARM : WARM + STEPS])
-        p *= (mask * weight[pick] / max(1, mask.sum()))[:, :, None].astype(np.float32)
-        d = p @ net.out.T
-        df, db = np.zeros_like(hf), np.zeros_like(hb)
-        df[WARM:] = d[:, :, :HIDDEN]
-        db[WARM:] = d[:, :, HIDDEN:][::-1]
-        grads = [*gradient(net.forth, fs, tf, df), *gradient(net.back, bs, tb, db), np.einsum("tsh,tsl->hl", both, p), p.sum(axis=(0, 1))]
+        _, grads = loss_and_gradient(net, steps[:, pick], y[pick], weight[pick])
         scale = min(1.0, 1.0 / (1e-9 + float(np.sqrt(sum((g * g).sum() for g in grads)))))
         now = rate * (1 - (s - 1) / most_steps * 0.8)
         for i, (w, g) in enumerate(zip(params, grads, strict=True)):
@@ -202,27 +213,31 @@ def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int =
     return net
 
 
-def train(labelled: DataFrame, per_lang: int = 200) -> Network | None:
-    """A network from (text, lang) rows; ``per_lang`` different texts of each language at most, picked by a hash of the text.
+def _thinned(text: str, most: int, run: int = 960) -> str:
+    """``text``, or of a longer one evenly spaced runs with ``most`` characters in all."""
+    if len(text) <= most:
+        return text
+    n = max(1, most // run)
+    return " ".join(text[len(text) * i // n :][:run] for i in range(n))
+
 
-    The counts cover all rows; only the sample comes to the driver.
+def train(labelled: DataFrame, per_lang: int = 200, per_text: int = 65_536) -> Network | None:
+    """A network from (text, lang) rows: of each language ``per_lang`` different texts at most, those of smallest hash.
+
+    Copies of a text count once, however many there are. Only the sample comes to the driver, of a text longer than
+    ``per_text`` characters evenly spaced runs with that many.
     """
-    rows = labelled.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0")
-    # the share of a language's different texts that is drawn
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    count = {r.lang: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
-    if not count:
-        return None
-    bin_ = F.pmod("h", F.lit(1 << 20))
-    take = F.lit(0)
-    for lang, n in sorted(count.items()):
-        take = F.when(F.col("lang") == lang, int(min(1.0, 1.3 * per_lang / n) * (1 << 20)) + 1).otherwise(take)
-    some = rows.where(bin_ < take).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    by: dict[str, list] = {}
-    for r in sorted(some, key=lambda r: (r.lang, r.h, r.text)):
-        if len(by.setdefault(r.lang, [])) < per_lang:
-            by[r.lang].append(r.text)
-    return fit([t for v in by.values() for t in v], [k for k, v in by.items() for _ in v])
+    rows = labelled.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    drawn = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "h")
+    some = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", "text")
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(2, "text", pa.array([_thinned(t, per_text) for t in b.column(2).to_pylist()], pa.string()))
+
+    found = sorted((r.lang, r.h, r.text) for r in some.mapInArrow(thin, "lang string, h long, text string").collect())
+    return fit([t for _, _, t in found], [k for k, _, _ in found]) if found else None
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

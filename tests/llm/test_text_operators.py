@@ -438,3 +438,62 @@ def test_line_labels_obey_the_text():
             plain = score[part] >= 0.5
             if (2 * (words[part] * plain).sum() >= words[part].sum()) == bool(label[i]):
                 assert (got[part] == plain).all()
+
+
+def test_gradient_of_the_whole_network():
+    """Both directions, output layer, bias, mask and weights against finite differences of the loss."""
+    net = language_id.fresh(["a", "b", "c"])
+    for d in (net.forth, net.back):
+        d.table, d.gates, d.turn = (x.astype(np.float64) for x in (d.table, d.gates, d.turn))
+    net.out, net.bias = net.out.astype(np.float64), net.bias.astype(np.float64)
+    texts = arrays.Texts(pa.array(["abc de, 12 é" * 12, "xy z", "hello"]))
+    steps, of = language_id.segments(texts)
+    label, weight = of % 3, np.linspace(0.5, 2, len(of))
+    _, grads = language_id.loss_and_gradient(net, steps, label, weight)
+    for p, g in zip(net.arrays(), grads, strict=True):
+        for at in np.argwhere(np.abs(g) >= np.abs(g).max() / 2)[:3]:
+            at, keep = tuple(at), p[tuple(at)]
+            p[at] = keep + 1e-2
+            up = language_id.loss_and_gradient(net, steps, label, weight)[0]
+            p[at] = keep - 1e-2
+            down = language_id.loss_and_gradient(net, steps, label, weight)[0]
+            p[at] = keep
+            assert (up - down) / 2e-2 == pytest.approx(g[at], rel=5e-2, abs=1e-4)
+
+
+def test_pooling_is_the_mean_over_letters():
+    net = language_id.fresh(["a", "b"])
+    texts = ["ab 1", "", "é!" * 150]
+    got, letters = language_id.pooled(net, arrays.Texts(pa.array(texts)))
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        want = np.zeros(2)
+        for k in range(0, len(raw), language_id.STEPS):
+            part = np.zeros((language_id.STEPS + 2 * language_id.WARM, 1), np.uint8)
+            for j in range(len(part)):
+                if 0 <= k + j - language_id.WARM < len(raw):
+                    part[j] = raw[k + j - language_id.WARM]
+            score = language_id.position_scores(net, part)[:, 0]
+            want += score[language_id.is_letter(part[language_id.WARM :][: language_id.STEPS, 0])].sum(axis=0)
+        assert letters[i] == language_id.is_letter(raw).sum()
+        np.testing.assert_allclose(got[i], want / max(1, letters[i]), rtol=1e-4, atol=1e-5)
+
+
+def test_many_copies_do_not_hide_a_language(spark):
+    rows = [("the same english words again", "en")] * 20_000 + [("ein paar deutsche worte " + "abcdefgh"[i % 8] * i, "de") for i in range(40)] + [("x" * 200_000 + " y", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    net = language_id.train(df, per_lang=30, per_text=2000)
+    assert net.langs == ["de", "en", "fr"]
+    assert len(language_id._thinned("ab" * 50_000, 2000)) <= 2100
+
+
+def test_operators_take_empty_tables(spark, docs, empty):
+    net = language_id.fresh(["a", "b"])
+    assert language_id.identify(empty, net).count() == 0
+    ranker = quality_classifier.train(*labelled(spark, 40), 10)
+    assert quality_classifier.score(empty, ranker).count() == 0
+    assert packing.pack_texts(empty).count() == 0
+    assert quality_rules.label_lines(empty, quality_rules.DEFAULT).count() == 0
+    n = sum(len([x for x in (r.text or "").split("\n") if SPACE_WORD.search(x)]) for r in docs.collect())
+    assert quality_rules.label_lines(docs, quality_rules.DEFAULT).count() == n
+    assert language_id.identify(docs, net).count() == docs.count()
