@@ -38,7 +38,7 @@ REPEAT_WINDOW = 8
 
 ROUNDS = 2  #: fits of the CRF, each to line labels of the one before
 
-FEATURES = ("bias", "short", "long", "symbols", "upper", "repeats", "shouts", "digits", "again", "pipes", "odd_words")
+FEATURES = ("bias", "short", "long", "symbols", "upper", "repeats", "shouts", "digits", "again", "pipes", "odd_words", "echo")
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
 
@@ -102,7 +102,7 @@ class Lines:
         self.line_words = count
         self.x = np.stack([
             np.ones(len(count)), count <= 3, count > 12, np.minimum(1, 5 * per["symbol"] / size), per["upper"] / letters * (per["upper"] > 3),
-            by_line(same), np.minimum(1, per["shout"] / np.maximum(1, count)), np.minimum(1, 3 * per["digit"] / size), self.again, by_line(pipe), by_line(odd),
+            by_line(same), np.minimum(1, per["shout"] / np.maximum(1, count)), np.minimum(1, 3 * per["digit"] / size), self.again, by_line(pipe), by_line(odd), by_line(self.repeated),
         ], axis=1).astype(np.float64) if n_words else np.zeros((0, len(FEATURES)))
 
 
@@ -134,7 +134,7 @@ class Chain:
 
 
 #: Used where there are no labels of both classes.
-DEFAULT = Chain(np.array([2.0, -0.3, 0.3, -6, -5, -8, -5, -2, -2, -6, -1.0]), np.array([[0.7, -0.7], [-0.7, 0.7]]), np.zeros(2))
+DEFAULT = Chain(np.array([2.0, -0.3, 0.3, -6, -5, -8, -5, -2, -2, -6, -1.0, -4.0]), np.array([[0.7, -0.7], [-0.7, 0.7]]), np.zeros(2))
 
 
 def _time_major(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def marginals(chain: Chain, x: np.ndarray, off: np.ndarray) -> np.ndarray:
     return _passes(chain, x, off)[2][:, 1]
 
 
-def fit(x: np.ndarray, off: np.ndarray, label: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
+def fit(x: np.ndarray, off: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.2, ridge: float = 1e-5) -> Chain:
     """Weights of greatest conditional likelihood (Adam on the exact gradient)."""
     order, _ = _time_major(off)
     n_feat = x.shape[1]
