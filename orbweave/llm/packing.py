@@ -2,13 +2,14 @@
 
 The histogram of token counts covers all texts and is exact up to ``EXACT`` tokens; longer counts
 are rounded up to 1/1024 of their power of two, so its size doesn't grow with the corpus. Dynamic
-programming over it places ``n_buckets`` boundaries such that padding every text to the boundary
-above costs the fewest tokens; as the cost of a bucket is linear in its boundary, each layer of the
+programming over it places ``n_buckets`` boundaries such that padding every text, its length taken
+as rounded, to the boundary above costs the fewest tokens; as the cost of a bucket is linear in its boundary, each layer of the
 programme is one sweep along a convex hull of lines.
 
 A batch of a bucket holds as many texts as fit the token budget at the bucket's length (one text at
 least). Batches form within shards of a bucket, so no bucket is sorted in one task; each shard leaves
-one batch unfilled at most.
+one batch unfilled at most. Rows are dealt to shards by id, length and place in the table, so neither equal rows
+nor rows without an id meet in one shard; the number of shards follows the number of rows.
 
 Defined cases: a null or empty text has no tokens and is in no bucket (bucket and batch are null, padded
 to 0); repeated rows are packed each on their own; ties go in order of doc_id; an empty table gives an
@@ -85,7 +86,9 @@ def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataF
     histogram = [(r.bin, r["count"]) for r in sized.groupBy("bin").count().collect()]
     edges = boundaries(histogram, n_buckets)
     bucket = padded = F.lit(None)
-    shards = room = F.lit(1)
+    room = F.lit(1)
+    shards = F.lit(1)
+    empty = F.lit(max(1, -(-sum(n for length, n in histogram if length <= 0) // SHARD_ROWS)))
     for i in range(len(edges) - 1, -1, -1):
         below = edges[i - 1] if i else 0
         rows = sum(n for length, n in histogram if below < length <= edges[i])
@@ -95,7 +98,8 @@ def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataF
         shards = F.when(fits, F.lit(-(-rows // SHARD_ROWS))).otherwise(shards)
         room = F.when(fits, F.lit(max(1, budget // edges[i]))).otherwise(room)
     some = F.col("n_tokens") > 0
-    rows = sized.select("doc_id", "n_tokens", F.when(some, bucket).cast("int").alias("bucket"), F.when(some, padded).otherwise(0).cast("long").alias("padded_to"), room.cast("int").alias("room"), F.when(some, F.pmod(F.xxhash64("doc_id", "n_tokens"), shards.cast("long"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1024))).alias("shard"))
+    shard = F.pmod(F.xxhash64("doc_id", "n_tokens", F.monotonically_increasing_id()), F.when(some, shards).otherwise(empty).cast("long"))
+    rows = sized.select("doc_id", "n_tokens", F.when(some, bucket).cast("int").alias("bucket"), F.when(some, padded).otherwise(0).cast("long").alias("padded_to"), room.cast("int").alias("room"), shard.alias("shard"))
     place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
     rows = rows.withColumn("place", place)
     batch = F.when(F.col("bucket").isNotNull(), F.format_string("%d.%d.%d", F.col("bucket"), F.col("shard"), F.floor(F.col("place") / F.col("room"))))

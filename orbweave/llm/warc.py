@@ -3,7 +3,8 @@
 ``records`` builds a WARC/1.1 record for each page: header block and payload. ``archive`` stores them as
 two tables: payload bytes once for each SHA-256 digest, and the exact header block of every record with
 the digest of its payload. ``restore`` joins the two, checks each payload against its digest and gives the
-records back byte by byte. ``write_files`` and ``read_files`` exchange plain WARC files.
+records back byte by byte. ``write_files`` and ``read_files`` exchange WARC files, one gzip member for each
+record; payloads of any bytes come through.
 
 Of records with equal payloads of ``LEAST`` bytes or more the one of smallest page_id is a response, the
 others are revisits that refer to it; smaller payloads are all responses.
@@ -15,6 +16,12 @@ an empty table gives empty tables; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import os
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +46,7 @@ def records(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.length("payload"))
     # only digests are shuffled to find the first of equal payloads
     first = rows.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 AND first IS NOT NULL").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    rows = rows.join(written(first, "first"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -78,36 +85,130 @@ def parsed(restored: DataFrame) -> DataFrame:
     return rows.select("page_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), field("WARC-Type").alias("record_type"), F.nullif(refers, F.lit("")).cast("long").alias("refers_to"), field("WARC-Target-URI").alias("target_uri"))
 
 
-def write_files(restored: DataFrame, path: str, per_file: int = 50_000) -> None:
-    """Plain WARC files (gzip), a part each task; ``restored`` holds UTF-8 records."""
-    restored.select(F.decode("record", "UTF-8").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+def write_files(restored: DataFrame, path: str, file_bytes: int = 256 << 20) -> int:
+    """WARC files (a gzip member for each record) of about ``file_bytes`` bytes; the number of records.
+
+    ``path`` is a folder or URI that every executor can write. Tasks write under ``_part`` names of their own; only
+    files of tasks that came through get their final names, so lost or repeated tasks leave no record twice.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[str, int]] = []
+        out, size, n = None, 0, 0
+        fs, base = _files(path)
+        for b in batches:
+            for record in b.column(0).to_pylist():
+                if out is None:
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    out, size, n = fs.open_output_stream(f"{base}/_part/{name}", compression=None), 0, 0
+                member = gzip.compress(record + b"\r\n\r\n", mtime=0)
+                out.write(member)
+                size, n = size + len(member), n + 1
+                if size >= file_bytes:
+                    out.close()
+                    made.append((name, n))
+                    out = None
+        if out is not None:
+            out.close()
+            made.append((name, n))
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["name", "n"])
+
+    fs, base = _files(path)
+    fs.create_dir(f"{base}/_part", recursive=True)
+    made = restored.select("record").mapInArrow(run, "name string, n long").collect()
+    for m in made:
+        fs.move(f"{base}/_part/{m.name}", f"{base}/{m.name}")
+    fs.delete_dir(f"{base}/_part")
+    return sum(m.n for m in made)
+
+
+def _files(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+
+
+def _inflated(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """Plain bytes of gzip members one after the other (or of a plain file), ``most`` at a time."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + most] for i in range(0, len(data), most))
+        return
+    view = memoryview(data)
+    while len(view) and bytes(view[:2]) == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        feed = view[:most]
+        view = view[most:]
+        while True:
+            got = z.decompress(feed, most)
+            if got:
+                yield got
+            if z.eof:
+                view = _from(view, z.unused_data)
+                break
+            feed = z.unconsumed_tail
+            if not feed:
+                if not len(view):
+                    return
+                feed, view = view[:most], view[most:]
+
+
+def _from(view: memoryview, unused: bytes) -> memoryview:
+    """``view`` preceded by the ``unused`` bytes, which stand right before it in the same buffer."""
+    whole = memoryview(view.obj)
+    return whole[len(whole) - len(view) - len(unused) :]
+
+
+def _records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(header block, payload) of each record by its Content-Length; one record is held at a time."""
+    held = bytearray()
+
+    def fill(enough) -> bool:
+        while not enough():
+            more = next(chunks, None)
+            if more is None:
+                return False
+            held.extend(more)
+        return True
+
+    while True:
+        if not fill(lambda: held.find(b"WARC/1.") >= 0):
+            return
+        del held[: held.find(b"WARC/1.")]
+        if not fill(lambda: held.find(b"\r\n\r\n") >= 0):
+            return
+        body = held.find(b"\r\n\r\n") + 4
+        header = bytes(held[:body])
+        length = re.search(rb"(?im)^Content-Length:\s*(\d+)", header)
+        size = int(length[1]) if length else 0
+        fill(lambda: len(held) >= body + size)
+        payload = bytes(held[body : body + size])
+        if len(payload) < size:
+            raise ValueError("WARC record cut short")
+        del held[: body + size]
+        yield header, payload
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, header, digest, payload) of the records in WARC files, by their own Content-Length; the digest is that of the payload."""
-    import gzip
-    import hashlib
-    import re
+    """(page_id, header, digest, payload) of the records in WARC files, by their own Content-Length; the digest is that of the payload.
+
+    A task holds a file as it is stored (``write_files`` bounds it) and one record of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                at, out = 0, []
-                while (at := data.find(b"WARC/1.", at)) >= 0:
-                    body = data.index(b"\r\n\r\n", at) + 4
-                    header = data[at:body]
-                    size = int(re.search(rb"(?im)^Content-Length:\s*(\d+)", header)[1])
+            for data in b.column(0):
+                out, size = [], 0
+                for header, payload in _records(_inflated(data.as_py())):
                     ident = re.search(rb"(?im)^WARC-Record-ID:\s*<?[^\r\n>]*?(-?\d+)>?\r", header)
-                    payload = data[body : body + size]
                     out.append((int(ident[1]) if ident else None, header, hashlib.sha256(payload).hexdigest(), payload))
-                    at = body + size
-                    if len(out) >= 1000:
+                    size += len(payload)
+                    if len(out) >= 1000 or size > 16 << 20:
                         yield _batch(out)
-                        out = []
+                        out, size = [], 0
                 yield _batch(out)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*warc*").load(path).select("content")
     return files.mapInArrow(run, "page_id long, header binary, digest string, payload binary")
 
 

@@ -1,5 +1,6 @@
 """WARC archive and HTML extraction."""
 
+import gzip
 import hashlib
 import html as entities
 import os
@@ -47,11 +48,27 @@ def test_damage_is_noticed(spark, pages):
 def test_files_round_trip(spark, pages, tmp_path):
     heads, payloads = warc.archive(warc.records(pages))
     restored = warc.restore(heads, payloads)
-    warc.write_files(restored, str(tmp_path / "warc"))
+    assert warc.write_files(restored, str(tmp_path / "warc"), 300) == len(ROWS)
+    assert len(list((tmp_path / "warc").iterdir())) > 1 and not (tmp_path / "warc" / "_part").exists()
     back = warc.read_files(spark, str(tmp_path / "warc"))
     assert sorted(bytes(r.header) + bytes(r.payload) for r in back.collect()) == sorted(bytes(r.record) for r in restored.collect())
 
 
+def test_files_of_any_bytes(spark, tmp_path):
+    head = lambda i, n: f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n".encode()
+    payloads = [bytes(range(256)) * 5, b"", b"\xff\xfe\r\n\r\nWARC/1.1 inside", random.Random(1).randbytes(5_000_000)]
+    made = spark.createDataFrame([(i, head(i, len(p)) + p) for i, p in enumerate(payloads)], "page_id long, record binary")
+    warc.write_files(made.coalesce(1), str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").iterdir()
+    plain = b"".join(head(i, len(p)) + p + b"\r\n\r\n" for i, p in enumerate(payloads))
+    assert gzip.decompress(file.read_bytes()) == plain
+    assert {r.page_id: bytes(r.payload) for r in warc.read_files(spark, str(tmp_path / "w")).collect()} == dict(enumerate(payloads))
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.warc").write_bytes(plain)
+    assert [bytes(r.payload) for r in warc.read_files(spark, str(tmp_path / "p")).collect()] == payloads
+    assert list(warc._records(warc._inflated(gzip.compress(plain), 1000))) == [(head(i, len(p)), p) for i, p in enumerate(payloads)]
+
+
 def test_empty_tables(spark, pages):
     none = pages.limit(0)
     assert warc.parsed(warc.restore(*warc.archive(warc.records(none)))).count() == 0

@@ -381,6 +381,16 @@ def test_batches_keep_the_budget(spark, monkeypatch):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_shards_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 50)
+    rows = [(None, 7)] * 1000 + [(5, 9)] * 1000 + [(None, 0)] * 1000
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long").repartition(4), 2, 90).collect()
+    by = collections.Counter(x.batch for x in got if x.bucket is not None)
+    shards = {x.batch.rsplit(".", 1)[0] for x in got if x.bucket is not None}
+    assert len(got) == 3000 and len(shards) == 40 and max(by.values()) == 12
+    assert {(x.bucket, x.padded_to, x.batch, x.slot) for x in got if x.n_tokens == 0} == {(None, 0, None, None)}
+
+
 def test_language_id_learns_from_different_texts(monkeypatch, spark):
     seen = []
     monkeypatch.setattr(language_id, "fit", lambda texts, langs: seen.extend(texts))
