@@ -1,18 +1,19 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
 Rows of the incidence are classes of texts with the same set of word n-grams, columns are 64-bit
-n-gram hashes. The columns are multiplied in blocks, and after each block the overlap so far
-gives a bound from the set sizes: two sets of sizes m and n reach the threshold only with an
-overlap of o(m, n) n-grams, so each may miss only m - o (n - o) of its own.
-
-Block 1 holds each set's columns of smallest hash: its prefix and some spare ones. The prefix has length
-n - ceil(t n) + 1, and any pair at threshold t shares a column within both prefixes, whichever order of
-columns they are taken in, so long as all sets use the same. Here columns with more than ``COMMON`` entries
-in block 1 come last, the others go by hash. Where a set's spare columns don't make up for the common ones
-passed over, its prefix is taken from all of its columns; a set that has too few others even so is compared
-by all its columns, as below. A pair comes up where the places of a shared column in both orders allow it to
-be the first one shared. Overlaps within the ``LOW`` lowest columns drop the pairs that miss too many; block
-2 is all remaining columns, for the surviving pairs only.
+n-gram hashes. The columns are multiplied in blocks, overlap counts are accumulated, and after each block the
+count so far and the columns that the two sets have left bound the overlap from above: two sets of sizes m
+and n reach the threshold only with an overlap of o(m, n) n-grams, so pairs that can't get there are discarded.
+
+Block 1 holds each set's prefix, n - ceil(t n) + 1 columns: any pair at threshold t shares a column within
+both prefixes, whichever order of columns they are taken in, so long as all sets use the same. Here columns
+with more than ``COMMON`` entries among the sets' columns of smallest hash come last, the others go by hash.
+Where a set's columns of smallest hash don't make up for the common ones passed over, its prefix is taken from
+all of its columns; a set that has too few others even so is compared by all its columns, as below. The
+product of block 1 is a join of its entries by column, the counts are sums of its terms, and the places of the
+shared columns and the ends of the prefixes tell how many columns are left. The remaining blocks are ``BLOCKS``
+ranges of hashes: the surviving pairs' sets are read again and multiplied range by range, one row with all of
+its partners at a time; the sums over all ranges are the overlaps.
 
 No long column's entries are multiplied pair by pair. Columns of ``COMMON`` entries at most compare all
 of them. Classes of longer ones, or without a prefix of other columns, are mostly members of large families;
@@ -46,7 +47,7 @@ from .components import components
 from .store import spare, written
 
 NONE = -(1 << 63)
-LOW, SPARE, COMMON, LEADERS = 64, 16, 8, 512
+LOW, SPARE, COMMON, LEADERS, BLOCKS = 64, 16, 8, 512, 4
 
 
 def sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,40 +93,30 @@ def prefix(n, percent: int):
     return n - F.ceil(F.lit(percent) * n / 100).cast("int") + 1
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cid, n, did, tid, low): each class of equal non-empty sets, one of its rows, its columns of smallest hash."""
+def incidence(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n, cid, did, tid, low) of every row, written: its set's size and id, and its columns of smallest hash; cid is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             grams, off = sets(b.column(1), k)
             n, cid = np.diff(off), _class_ids(grams, off)
-            some = np.flatnonzero(n)
-            first = n[some] * (100 - percent) // 100 + 1
-            size = np.minimum(n[some], np.maximum(LOW, first + first // 4 + SPARE))
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(off[some], size)
+            first = n * (100 - percent) // 100 + 1
+            size = np.minimum(n, np.maximum(LOW, first + first // 4 + SPARE))
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(off[:-1], size)
             low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(grams[at], pa.int64()))
-            row = pa.array(some)
-            yield pa.RecordBatch.from_arrays([pa.array(cid[some]), pa.array(n[some], pa.int32()), b.column(2).take(row), b.column(3).take(row), low], names=["cid", "n", "did", "tid", "low"])
-
-    every = _rows(docs).mapInArrow(run, "cid long, n int, did long, tid long, low array<long>")
-    one = every.groupBy("cid").agg(F.max("n").alias("n"), F.min(F.struct("did", "tid", "low")).alias("x"))
-    return one.select("cid", "n", "x.did", "x.tid", "x.low")
-
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64(), mask=n == 0), b.column(2), b.column(3), low], names=["doc_id", "n", "cid", "did", "tid", "low"])
 
-def members(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, cid) of every row; cid is null for an empty set."""
+    return written(_rows(docs).mapInArrow(run, "doc_id long, n int, cid long, did long, tid long, low array<long>"), "incidence")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            grams, off = sets(b.column(1), k)
-            n = np.diff(off)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(_class_ids(grams, off), pa.int64(), mask=n == 0)], names=["doc_id", "n_shingles", "cid"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
+def classes(rows: DataFrame) -> DataFrame:
+    """(cid, n, did, tid, low): each class of equal non-empty sets, one of its rows, its columns of smallest hash."""
+    one = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.max("n").alias("n"), F.min(F.struct("did", "tid", "low")).alias("x"))
+    return one.select("cid", "n", "x.did", "x.tid", "x.low")
 
 
 def _columns(texts: DataFrame, k: int) -> DataFrame:
-    """(cid, n, s) of all columns of (cid, text)."""
+    """(cid, n, s) of all columns of (cid, text), a text for each cid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=1 << 19):
@@ -133,13 +124,20 @@ def _columns(texts: DataFrame, k: int) -> DataFrame:
             n = np.diff(off)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n), pa.int32()), pa.array(grams, pa.int64())], names=["cid", "n", "s"])
 
-    return texts.select("cid", "text").mapInArrow(run, "cid long, n int, s long").distinct()
+    return texts.select("cid", "text").mapInArrow(run, "cid long, n int, s long")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cid, text) of the classes (cid, did, tid): one text each, also where rows repeat."""
+    rows = _rows(docs).select("did", "tid", "text").join(wanted, ["did", "tid"])
+    return rows.groupBy("did", "tid").agg(F.first("cid").alias("cid"), F.first("text").alias("text")).select("cid", "text")
 
 
-def entries(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(s, cid, n, r, m): each class's prefix, in columns of two entries (m) or more; (cid) of those without a whole one.
+def entries(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(s, cid, r, m): each class's prefix, in columns of two entries (m) or more; (cid, p, last) of all classes; (cid) of those without a whole prefix.
 
-    r is the column's place in the class's order, which has no column with more than ``COMMON`` entries in block 1.
+    r is the column's place in the class's order, which has no column with more than ``COMMON`` entries in the sets' lowest
+    columns; p is the length of the prefix and last its last column, the largest long where it holds all such columns.
     """
     low = found.select("cid", F.explode("low").alias("s"))
     common = written(low.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")  # as a table, so that a hot column's side can be split
@@ -147,15 +145,17 @@ def entries(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[Da
     first = prefix(F.col("n"), percent)
     left = found.select("cid", "n", "did", "tid", F.size("low").alias("left")).join(own.select("cid", F.size("common").alias("gone")), "cid")
     few = written(left.where(F.col("left") - F.col("gone") < first).select("cid", "n", "did", "tid"), "few")
-    every = _columns(_rows(docs).select("did", "tid", "text").join(few, ["did", "tid"]), k).join(common, "s", "left_anti")
+    every = _columns(_texts(docs, few.select("cid", "did", "tid")), k).join(common, "s", "left_anti")
     every = every.groupBy("cid").agg(F.sort_array(F.collect_list("s")).alias("others"))
     every = few.select("cid", "n").join(every, "cid", "left").select("cid", "n", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
     others = found.select("cid", "n", "low").join(own, "cid", "left").select("cid", "n", F.coalesce(F.array_except("low", "common"), "low").alias("others"))
     chosen = others.where(F.size("others") >= first).unionByName(every)
     chosen = written(chosen.select("cid", "n", F.slice("others", F.lit(1), first).alias("others")), "chosen")
-    rows = chosen.select("cid", "n", F.posexplode("others").alias("r", "s")).withColumn("r", F.col("r") + 1)
+    rows = chosen.select("cid", F.posexplode("others").alias("r", "s")).withColumn("r", F.col("r") + 1)
     ent = rows.join(written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "columns"), "s")
-    return ent, chosen.where(F.size("others") < first).select("cid")
+    whole_ = F.size("others") >= first
+    last = F.when(whole_, F.element_at("others", -1)).otherwise(F.lit((1 << 63) - 1))
+    return ent, chosen.select("cid", "n", F.size("others").alias("p"), last.alias("last")), chosen.where(~whole_).select("cid")
 
 
 def needed(m, n, percent: int):
@@ -163,19 +163,51 @@ def needed(m, n, percent: int):
     return F.ceil(F.lit(percent) * (m + n) / (100 + percent))
 
 
-def bounded(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that the overlap within block 1 doesn't rule out."""
-    side = lambda x: found.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.slice("low", 1, LOW).alias(f"low{x}"))
+def product(short: DataFrame) -> DataFrame:
+    """(a, b, c, ra, rb), a > b: how many columns of block 1 two classes share, and the places of the last of them in their orders."""
+    x = short.select("s", F.col("cid").alias("a"), F.col("r").alias("ra"))
+    y = short.select("s", F.col("cid").alias("b"), F.col("r").alias("rb"))
+    both = x.join(y, "s").where("a > b")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+
+
+def bounded(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Of the products (a, b, c, ra, rb), the pairs that the overlap within block 1 doesn't rule out.
+
+    The set whose prefix ends first has n - p columns after that end, the other one n - r at most, r being the
+    place of the last shared column. Shared columns of block 1 that were passed over as too long (skip) are taken as shared.
+    """
+    side = lambda x: sizes.select(F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "p", "last", "skip")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    last = lambda x: F.when(F.col(f"n{x}") > F.size(f"low{x}"), F.element_at(f"low{x}", -1)).otherwise(F.lit((1 << 63) - 1))
-    both = both.withColumn("t", F.least(last("a"), last("b"))).withColumn("o", needed(F.col("na"), F.col("nb"), percent))
-    both = both.withColumn("c", F.size(F.array_intersect("lowa", "lowb")))
-    met = lambda x: F.size(F.filter(f"low{x}", lambda v: v <= F.col("t")))
-    return both.where((F.col("o") <= F.least("na", "nb")) & (met("a") - F.col("c") <= F.col("na") - F.col("o")) & (met("b") - F.col("c") <= F.col("nb") - F.col("o"))).select("a", "b")
+    left = lambda x, y: F.col(f"n{x}") - F.when(F.col(f"last{x}") <= F.col(f"last{y}"), F.col(f"p{x}")).otherwise(F.col(f"r{x}"))
+    most = F.col("c") + F.least("skipa", "skipb") + F.least(left("a", "b"), left("b", "a"))
+    return both.where(F.least(most, "na", "nb") >= needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _overlaps(k: int, percent: int):
-    """Rows (a, salt, who, text) sorted by a, salt, its own row first → the pairs at the threshold (block 2)."""
+    """Rows (a, salt, who, text) sorted by a, salt, its own row first → the pairs at the threshold (the remaining blocks)."""
+    edges = np.array([(i << 64) // BLOCKS - (1 << 63) for i in range(1, BLOCKS)], np.int64)
+
+    def row_times_partners(own: np.ndarray, part: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Which sets part[off[i]:off[i + 1]] reach the threshold with ``own``: overlaps are summed block by block."""
+        n, m = np.diff(off), len(own)
+        cuts = np.concatenate([[0], np.searchsorted(own, edges), [m]])
+        block = np.searchsorted(edges, part, side="right")
+        overlap, met, alive = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), n > 0
+        for i in range(BLOCKS):
+            mine = own[cuts[i] : cuts[i + 1]]
+            of = block == i
+            met += sums(of, off)
+            if len(mine):
+                at = np.flatnonzero(of & np.repeat(alive, n))
+                hit = np.zeros(len(part), bool)
+                hit[at] = mine[np.minimum(np.searchsorted(mine, part[at]), len(mine) - 1)] == part[at]
+                overlap += sums(hit, off)
+            most = overlap + np.minimum(m - cuts[i + 1], n - met)
+            alive &= 100 * most >= percent * (m + n - most)
+            if not alive.any():
+                break
+        return alive
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, own = None, np.zeros(0, np.int64)
@@ -187,14 +219,9 @@ def _overlaps(k: int, percent: int):
             for i, j in zip(starts, np.append(starts[1:], len(a)), strict=True):
                 if lead != a[i]:
                     lead, own = a[i], grams[off[i] : off[i + 1]]
-                part = grams[off[i] : off[j]]
-                if len(own):
-                    hit = own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part
-                    both = sums(hit, off[i : j + 1] - off[i])
-                    n = np.diff(off[i : j + 1])
-                    ok = (100 * both >= percent * (n + len(own) - both)) & (who[i:j] != lead)
-                    out_a.append(np.full(ok.sum(), lead))
-                    out_b.append(who[i:j][ok])
+                ok = row_times_partners(own, grams[off[i] : off[j]], off[i : j + 1] - off[i]) & (who[i:j] != lead)
+                out_a.append(np.full(ok.sum(), lead))
+                out_b.append(who[i:j][ok])
             z = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a + z), pa.int64()), pa.array(np.concatenate(out_b + z), pa.int64())], names=["a", "b"])
 
@@ -219,10 +246,10 @@ def by_rarity(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """
     rows = _columns(texts, k)
     shared = written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "columns")
-    rows = rows.join(shared, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    of = Window.partitionBy("cid")
-    rows = rows.withColumns({"u": F.sum((F.col("df") == 1).cast("int")).over(of).cast("int"), "r": F.row_number().over(of.orderBy("df", "s"))})
-    return rows.where((F.col("r") <= prefix(F.col("n"), percent)) & (F.col("df") > 1)).select("s", "cid", "n", "u", "r")
+    of = rows.join(shared, "s").groupBy("cid").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))  # columns of its own need not be sent
+    of = of.withColumn("u", F.col("n") - F.size("x"))
+    of = of.select("cid", "n", "u", F.posexplode(F.slice("x", F.lit(1), F.greatest(F.lit(0), prefix(F.col("n"), percent) - F.col("u")).cast("int"))).alias("r", "x"))
+    return of.select("x.s", "cid", "n", "u", (F.col("r") + F.col("u") + 1).alias("r"))
 
 
 def _meeting(left: DataFrame, right: DataFrame, percent: int, also=None) -> DataFrame:
@@ -242,18 +269,17 @@ def _side(entries_: DataFrame, x: str, *more: str) -> DataFrame:
     return entries_.select("s", F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "r", *more)])
 
 
-def component_of_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The classes, and (id, comp) of those in any link."""
-    found = written(classes(docs, k, percent), "classes")
-    ent, family = entries(docs, found, k, percent)
+def component_of_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes, and (id, comp) of those in any link; ``rows`` is the incidence of ``docs``."""
+    found = written(classes(rows), "classes")
+    ent, sizes, family = entries(docs, found, k, percent)
     ent = written(ent, "entries")
-    short = ent.where(F.col("m") <= COMMON)
-    pairs = _meeting(_side(short, "x"), _side(short, "y"), percent, F.col("x") > F.col("y"))
-    pairs = written(bounded(pairs, found, percent), "pairs")
-    long = written(ent.where(F.col("m") > COMMON).select("cid").unionByName(family).distinct(), "long")
+    over = ent.where(F.col("m") > COMMON).groupBy("cid").agg(F.count(F.lit(1)).alias("skip"))
+    sizes = sizes.join(over, "cid", "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
+    pairs = written(bounded(product(ent.where(F.col("m") <= COMMON)), sizes, percent), "pairs")
+    long = written(over.select("cid").unionByName(family).distinct(), "long")
     needs = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(long).distinct()
-    needs = found.select("cid", "did", "tid").join(needs, "cid")
-    texts = written(_rows(docs).select("did", "tid", "text").join(needs, ["did", "tid"]).select("cid", "text"), "texts")
+    texts = written(_texts(docs, found.select("cid", "did", "tid").join(needs, "cid")), "texts")
     links = written(linked(pairs, texts, k, percent), "links")
 
     ent = written(by_rarity(texts.join(long, "cid", "left_semi"), k, percent), "entries")
@@ -286,11 +312,12 @@ def component_of_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFra
 
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
-    found, comp = component_of_classes(docs, k, percent)
+    incident = incidence(docs, k, percent)
+    found, comp = component_of_classes(docs, incident, k, percent)
     ids = found.select("cid", "did").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "did", F.coalesce("comp", "cid").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("did").alias("least"))
     named = ids.join(least, "comp").select("cid", "least")
-    rows = members(docs, k).join(named, "cid", "left")
+    rows = incident.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid").join(named, "cid", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("least"), F.lit(NONE))).alias("component_id"))
 
 
@@ -299,7 +326,7 @@ def first_of_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
     Rows without n-grams stay. Of several rows with that id one stays, that of smallest text hash.
     """
-    found, comp = component_of_classes(docs, k, percent)
+    found, comp = component_of_classes(docs, incidence(docs, k, percent), k, percent)
     ids = found.select("cid", "did", "tid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("did", "tid", F.coalesce("comp", "cid").alias("comp"))
     d, t, empty, kd, kt = spare(docs.columns, "_d", "_t", "_empty", "_kd", "_kt")
     kept = ids.groupBy("comp").agg(F.min(F.struct("did", "tid")).alias("x")).select(F.col("x.did").alias(kd), F.col("x.tid").alias(kt))
