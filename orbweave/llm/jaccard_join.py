@@ -9,13 +9,13 @@ Block 1 holds each set's prefix, n - ceil(t n) + 1 columns: any pair at threshol
 both prefixes, whichever order of columns they are taken in, so long as all sets use the same. Here columns
 with more than ``COMMON`` entries among the sets' columns of smallest hash come last, the others go by hash.
 Where a set's columns of smallest hash don't make up for the common ones passed over, its prefix is taken from
-all of its columns; a set that has too few others even so is compared by all its columns, as below. The
-product of block 1 is a join of its entries by column, the counts are sums of its terms, and the places of the
+all of its columns; a set that has too few others even so is compared by all its columns, as below. Only columns
+that come up in more than ``COMMON`` of these later prefixes can still be long. The product of block 1 is a join of its entries by column, the counts are sums of its terms, and the places of the
 shared columns and the ends of the prefixes tell how many columns are left. The remaining blocks are ``BLOCKS``
 ranges of hashes: the surviving pairs' sets are read again and multiplied range by range, one row with all of
 its partners at a time; the sums over all ranges are the overlaps.
 
-No long column's entries are multiplied pair by pair. Columns of ``COMMON`` entries at most compare all
+No long column's entries are multiplied pair by pair. Columns of up to twice ``COMMON`` entries compare all
 of them. Classes of longer ones, or without a prefix of other columns, are mostly members of large families;
 they are taken again by all their columns, in order of rarity among themselves, which makes the prefix exact and tells how many columns
 are a class's own. A pair comes up only in columns that may be the first it shares: there the places in
@@ -44,10 +44,11 @@ from pyspark.sql.window import Window
 
 from .arrays import LOWER, Texts, Words, gram_hashes, mix, slices, sums, whole
 from .components import components
-from .store import spare, written
+from .store import release, spare, written
 
 NONE = -(1 << 63)
-LOW, SPARE, COMMON, LEADERS, BLOCKS = 64, 16, 8, 512, 4
+SPARE, COMMON, LEADERS, BLOCKS = 12, 8, 512, 4
+BITS = 1 << 26  #: size of the bitmap of wanted texts, 8 MB; fuller bitmaps let more other texts through, which costs time only
 
 
 def sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,7 @@ def incidence(docs: DataFrame, k: int, percent: int) -> DataFrame:
             grams, off = sets(b.column(1), k)
             n, cid = np.diff(off), _class_ids(grams, off)
             first = n * (100 - percent) // 100 + 1
-            size = np.minimum(n, np.maximum(LOW, first + first // 4 + SPARE))
+            size = np.minimum(n, first + first // 8 + SPARE)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(off[:-1], size)
             low = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(grams[at], pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(cid, pa.int64(), mask=n == 0), b.column(2), b.column(3), low], names=["doc_id", "n", "cid", "did", "tid", "low"])
@@ -128,16 +129,24 @@ def _columns(texts: DataFrame, k: int) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cid, text) of the classes (cid, did, tid): one text each, also where rows repeat."""
-    rows = _rows(docs).select("did", "tid", "text").join(wanted, ["did", "tid"])
+    """(cid, text) of the classes (cid, did, tid): one text each, also where rows repeat.
+
+    A bitmap of text hashes, broadcast, keeps most texts that aren't wanted out of the exchange.
+    """
+    wanted = written(wanted, "wanted")
+    h = F.pmod("tid", F.lit(BITS))
+    bits = wanted.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    rows = _rows(docs).select("did", "tid", "text", F.bitmap_bucket_number(h).alias("bucket"), F.bitmap_bit_position(h).alias("bit"))
+    byte = F.expr("cast(conv(hex(substring(bits, cast(bit div 8 + 1 AS int), 1)), 16, 10) AS int)")
+    rows = rows.join(F.broadcast(written(bits, "bits")), "bucket").where(F.call_function("shiftright", byte, F.expr("cast(bit % 8 AS int)")).bitwiseAND(F.lit(1)) == 1)
+    rows = rows.select("did", "tid", "text").join(wanted, ["did", "tid"])
     return rows.groupBy("did", "tid").agg(F.first("cid").alias("cid"), F.first("text").alias("text")).select("cid", "text")
 
 
-def entries(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(s, cid, r, m): each class's prefix, in columns of two entries (m) or more; (cid, p, last) of all classes; (cid) of those without a whole prefix.
+def prefixes(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(cid, n, others, late, whole): each class's prefix in order, whether it was taken from all columns, whether it is a whole one; (s) of long columns.
 
-    r is the column's place in the class's order, which has no column with more than ``COMMON`` entries in the sets' lowest
-    columns; p is the length of the prefix and last its last column, the largest long where it holds all such columns.
+    The order has no column with more than ``COMMON`` entries in the sets' columns of smallest hash.
     """
     low = found.select("cid", F.explode("low").alias("s"))
     common = written(low.groupBy("s").count().where(F.col("count") > COMMON).select("s"), "common")  # as a table, so that a hot column's side can be split
@@ -149,13 +158,11 @@ def entries(docs: DataFrame, found: DataFrame, k: int, percent: int) -> tuple[Da
     every = every.groupBy("cid").agg(F.sort_array(F.collect_list("s")).alias("others"))
     every = few.select("cid", "n").join(every, "cid", "left").select("cid", "n", F.coalesce("others", F.array().cast("array<long>")).alias("others"))
     others = found.select("cid", "n", "low").join(own, "cid", "left").select("cid", "n", F.coalesce(F.array_except("low", "common"), "low").alias("others"))
-    chosen = others.where(F.size("others") >= first).unionByName(every)
-    chosen = written(chosen.select("cid", "n", F.slice("others", F.lit(1), first).alias("others")), "chosen")
-    rows = chosen.select("cid", F.posexplode("others").alias("r", "s")).withColumn("r", F.col("r") + 1)
-    ent = rows.join(written(rows.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "columns"), "s")
-    whole_ = F.size("others") >= first
-    last = F.when(whole_, F.element_at("others", -1)).otherwise(F.lit((1 << 63) - 1))
-    return ent, chosen.select("cid", "n", F.size("others").alias("p"), last.alias("last")), chosen.where(~whole_).select("cid")
+    chosen = others.where(F.size("others") >= first).withColumn("late", F.lit(False)).unionByName(every.withColumn("late", F.lit(True)))
+    chosen = written(chosen.select("cid", "n", F.slice("others", F.lit(1), first).alias("others"), "late", (F.size("others") >= first).alias("whole")), "prefixes")
+    # other prefixes hold a column COMMON times at most
+    long = chosen.where("late").select(F.explode("others").alias("s")).groupBy("s").count().where(F.col("count") > COMMON).select("s")
+    return chosen, written(long, "long")
 
 
 def needed(m, n, percent: int):
@@ -163,12 +170,18 @@ def needed(m, n, percent: int):
     return F.ceil(F.lit(percent) * (m + n) / (100 + percent))
 
 
-def product(short: DataFrame) -> DataFrame:
-    """(a, b, c, ra, rb), a > b: how many columns of block 1 two classes share, and the places of the last of them in their orders."""
-    x = short.select("s", F.col("cid").alias("a"), F.col("r").alias("ra"))
-    y = short.select("s", F.col("cid").alias("b"), F.col("r").alias("rb"))
-    both = x.join(y, "s").where("a > b")
-    return both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+def product(chosen: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b, c, ra, rb), a > b: how many columns of block 1 two classes share, and the places of the last of them in their orders.
+
+    Rows without b count a class's long columns, which are passed over. All terms come from one exchange of the entries.
+    """
+    rows = chosen.select("cid", F.posexplode("others").alias("r", "s")).select("s", "cid", (F.col("r") + 1).alias("r"))
+    short = rows.join(long, "s", "left_anti")
+    both = short.select("s", F.col("cid").alias("a"), F.col("r").alias("ra")).join(short.select("s", F.col("cid").alias("b"), F.col("r").alias("rb")), "s").where("a > b")
+    terms = both.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("c"), F.max("ra").alias("ra"), F.max("rb").alias("rb"))
+    none = F.lit(None)
+    over = rows.join(long, "s", "left_semi").groupBy(F.col("cid").alias("a")).agg(F.count(F.lit(1)).cast("int").alias("c"))
+    return terms.unionByName(over.select("a", none.cast("long").alias("b"), "c", none.cast("int").alias("ra"), none.cast("int").alias("rb")))
 
 
 def bounded(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -269,17 +282,20 @@ def _side(entries_: DataFrame, x: str, *more: str) -> DataFrame:
     return entries_.select("s", F.col("cid").alias(x), *[F.col(c).alias(c + x) for c in ("n", "r", *more)])
 
 
-def component_of_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The classes, and (id, comp) of those in any link; ``rows`` is the incidence of ``docs``."""
-    found = written(classes(rows), "classes")
-    ent, sizes, family = entries(docs, found, k, percent)
-    ent = written(ent, "entries")
-    over = ent.where(F.col("m") > COMMON).groupBy("cid").agg(F.count(F.lit(1)).alias("skip"))
-    sizes = sizes.join(over, "cid", "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
-    pairs = written(bounded(product(ent.where(F.col("m") <= COMMON)), sizes, percent), "pairs")
-    long = written(over.select("cid").unionByName(family).distinct(), "long")
+def component_of_classes(docs: DataFrame, found: DataFrame, names: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, comp) of the classes in any link. ``found``, the classes of ``docs``, is deleted once the prefixes are written; ``names`` has their (cid, did, tid)."""
+    chosen, long = prefixes(docs, found, k, percent)
+    release(found)
+    block = written(product(chosen, long), "block")
+    over = block.where("b IS NULL").select(F.col("a").alias("cid"), F.col("c").alias("skip"))
+    last = F.when(F.col("whole"), F.element_at("others", -1)).otherwise(F.lit((1 << 63) - 1))
+    sizes = chosen.select("cid", "n", F.size("others").alias("p"), last.alias("last"), "whole").join(over, "cid", "left").withColumn("skip", F.coalesce("skip", F.lit(0)))
+    sizes = written(sizes, "sizes")
+    pairs = written(bounded(block.where("b IS NOT NULL"), sizes, percent), "pairs")
+    release(chosen, block)
+    long = written(sizes.where("skip > 0 OR NOT whole").select("cid"), "long")
     needs = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).unionByName(long).distinct()
-    texts = written(_texts(docs, found.select("cid", "did", "tid").join(needs, "cid")), "texts")
+    texts = written(_texts(docs, names.join(needs, "cid")), "texts")
     links = written(linked(pairs, texts, k, percent), "links")
 
     ent = written(by_rarity(texts.join(long, "cid", "left_semi"), k, percent), "entries")
@@ -300,7 +316,7 @@ def component_of_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int)
         place = F.row_number().over(Window.partitionBy("s").orderBy("ux", "x"))
         lead = written(small.withColumn("place", place).where(F.col("place") <= LEADERS), "leaders")
         if lead.isEmpty():
-            return found, comp
+            return comp
         led = led.unionByName(lead.select("s", "x"))
         pairs = _meeting(lead, _side(held, "y", "comp"), percent, F.col("compx") != F.col("compy"))
         pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
@@ -310,14 +326,22 @@ def component_of_classes(docs: DataFrame, rows: DataFrame, k: int, percent: int)
             links, comp = links.unionByName(more), None
 
 
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cid) of every row, and (cid, did, tid, comp) of every class."""
+    rows = incidence(docs, k, percent)
+    found = written(classes(rows), "classes")
+    members, names = written(rows.select("doc_id", "n", "cid"), "members"), written(found.select("cid", "did", "tid"), "names")
+    release(rows)
+    comp = component_of_classes(docs, found, names, k, percent).withColumnRenamed("id", "cid")
+    return members, names.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
 def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id of its component)."""
-    incident = incidence(docs, k, percent)
-    found, comp = component_of_classes(docs, incident, k, percent)
-    ids = found.select("cid", "did").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "did", F.coalesce("comp", "cid").alias("comp"))
+    rows, ids = _grouped(docs, k, percent)
     least = ids.groupBy("comp").agg(F.min("did").alias("least"))
     named = ids.join(least, "comp").select("cid", "least")
-    rows = incident.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid").join(named, "cid", "left")
+    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cid").join(named, "cid", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("least"), F.lit(NONE))).alias("component_id"))
 
 
@@ -326,8 +350,7 @@ def first_of_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
     Rows without n-grams stay. Of several rows with that id one stays, that of smallest text hash.
     """
-    found, comp = component_of_classes(docs, incidence(docs, k, percent), k, percent)
-    ids = found.select("cid", "did", "tid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("did", "tid", F.coalesce("comp", "cid").alias("comp"))
+    _, ids = _grouped(docs, k, percent)
     d, t, empty, kd, kt = spare(docs.columns, "_d", "_t", "_empty", "_kd", "_kt")
     kept = ids.groupBy("comp").agg(F.min(F.struct("did", "tid")).alias("x")).select(F.col("x.did").alias(kd), F.col("x.tid").alias(kt))
     did, tid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)), F.xxhash64(F.coalesce("text", F.lit("")))

@@ -11,10 +11,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="orbweave-"))
     return _OWN[0]
@@ -27,6 +29,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that no later step reads, and let go of the shuffle files of finished steps."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            spark._jvm.System.gc()  # shuffle files go when the driver's JVM finds their plans unreachable
+
+
 def spare(columns: list[str], *names: str) -> list[str]:
     """``names``, each made longer until no column has it (in any case)."""
     taken, out = {c.lower() for c in columns}, []
