@@ -1,4 +1,4 @@
-"""Running sums over a whole frame without ordering it in one task."""
+"""Running sums, places and exact quantiles of a whole frame without ordering it in one task."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
 
 def running_sums(df: DataFrame, x: str, columns: Sequence[str], bins: int = 128) -> DataFrame:
     """``df`` (one row for each value of x) with ``next`` (the next larger x) and ``cum_<column>`` (its sum up to and with x).
@@ -26,3 +28,36 @@ def running_sums(df: DataFrame, x: str, columns: Sequence[str], bins: int = 128)
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
     d = d.select("*", F.lead(x).over(inner).alias("_next"), *[F.sum(c).over(run).alias(f"_c_{c}") for c in columns]).join(F.broadcast(totals), "_bin")
     return d.select(*df.columns, F.coalesce("_next", "_after").alias("next"), *[(F.col(f"_b_{c}") + F.col(f"_c_{c}")).alias(f"cum_{c}") for c in columns])
+
+
+def running_places(df: DataFrame, order: Sequence[str], count: str) -> DataFrame:
+    """``df`` with ``before``: the sum of ``count`` over all rows that come before in ``order``, which no two rows share.
+
+    Rows are dealt by ranges of the whole order, so equal first columns are spread too; the ranges' totals are all that one task sees.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("_part").agg(F.sum(count).alias("_t")).select("_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
+    inner = Window.partitionBy("_part").orderBy(*order)
+    rows = dealt.withColumn("_c", F.sum(count).over(inner) - F.col(count)).join(F.broadcast(totals), "_part")
+    return rows.select(*df.columns, (F.col("_b") + F.col("_c")).alias("before"))
+
+
+def quantiles(df: DataFrame, x: str, at: Sequence[float], count: str | None = None) -> DataFrame:
+    """One row with ``q``: the quantiles ``at`` of x, interpolated between neighbours; NULL and NaN don't count, an array of NULLs without values.
+
+    ``count`` weighs each row. Exact in bounded memory: counts of distinct values run up to each quantile's place
+    (``running_sums``), and only the values at these places are gathered.
+    """
+    n = F.sum(count) if count else F.count(F.lit(1))
+    values = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"), *([count] if count else [])).groupBy("x").agg(n.cast("long").alias("n"))
+    run = running_sums(values, "x", ["n"], 1024)
+    total = F.broadcast(values.agg(F.sum("n").alias("total")))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("p")) for i, q in enumerate(at)])
+    asked = F.filter(F.transform(places, lambda a: F.struct(a["i"].alias("i"), (a["p"] * (F.col("total") - 1)).alias("r"))), lambda a: (F.floor(a["r"]) >= F.col("cum_n") - F.col("n")) & (F.floor(a["r"]) < F.col("cum_n")))
+    hits = run.join(total, F.lit(True)).select("x", "next", "cum_n", F.explode(asked).alias("a"))
+    low = F.floor("a.r")
+    high = F.when((low + 1 < F.col("cum_n")) | F.col("next").isNull(), F.col("x")).otherwise(F.col("next"))
+    q = F.col("x") + (F.col("a.r") - low) * (high - F.col("x"))
+    got = hits.agg(F.map_from_entries(F.collect_list(F.struct(F.col("a.i").alias("i"), q.alias("q")))).alias("s"))
+    return got.select(F.array(*[F.try_element_at("s", F.lit(i)) for i in range(len(at))]).alias("q"))

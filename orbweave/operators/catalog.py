@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.running import running_sums
+from ..functions.running import quantiles, running_places
 from ..schema import locator, require
 
 SEA = "Sea"
@@ -99,9 +99,10 @@ def hemisphere(catalog: DataFrame, lat: str, north: bool = True, edge: float = 1
 
 
 def _edges(values: DataFrame, column: str, k: int, exact: bool) -> DataFrame:
-    at = F.array(*[F.lit(i / k) for i in range(k + 1)])
-    q = F.percentile(column, at) if exact else F.percentile_approx(column, at)
-    return values.agg(q.alias("edges"))
+    at = [i / k for i in range(k + 1)]
+    if exact:
+        return quantiles(values, column, at).withColumnRenamed("q", "edges")
+    return values.agg(F.percentile_approx(column, F.array(*[F.lit(x) for x in at])).alias("edges"))
 
 
 def feature_classes(catalog: DataFrame, feature: str, average: bool, bins: int | Sequence[float] = 5, exact: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -136,21 +137,21 @@ def day_night_tracks(catalog: DataFrame) -> DataFrame:
     return long_tracks(df, 2).where("class IS NOT NULL")
 
 
-def lifetime_classes(catalog: DataFrame, k: int) -> DataFrame:
-    """``class`` 0..k-1 of equal row counts by the track's lifetime (time span); the remainder goes to the last.
+def lifetime_classes(catalog: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``class`` 0..k-1 of equal row counts by the track's lifetime (time span), and the edges: k quantiles of the rows' lifetimes.
 
-    Rows count in order of (lifetime, trackid, seq). Places are summed over tracks: running sums over the distinct
-    lifetimes, a window within each lifetime and one within each track, so no sort is global.
+    Rows count in order of (lifetime, trackid, seq); the remainder goes to the last class, and with fewer rows than
+    classes each row has one of its own. Places are summed over tracks dealt by ranges of (lifetime, trackid), so a
+    lifetime that most tracks have is spread over tasks, and over each track, so no sort is global.
     """
     tracks = catalog.groupBy("trackid").agg((F.max("time").cast("timestamp").cast("double") - F.min("time").cast("timestamp").cast("double")).alias("life"), F.count(F.lit(1)).alias("n"))
-    lives = running_sums(tracks.groupBy("life").agg(F.sum("n").alias("rows")), "life", ["rows"])
-    lives = lives.select("life", (F.col("cum_rows") - F.col("rows")).alias("before")).join(F.broadcast(tracks.agg(F.sum("n").alias("total"))), F.lit(True))
-    within = Window.partitionBy("life").orderBy("trackid")
-    tracks = tracks.withColumn("inner", F.sum("n").over(within) - F.col("n")).join(lives, "life").select("trackid", (F.col("before") + F.col("inner")).alias("start"), "total")
+    tracks = running_places(tracks, ["life", "trackid"], "n")
+    edges = quantiles(tracks.select("life", "n"), "life", [i / k for i in range(k + 1)], "n").withColumnRenamed("q", "edges")
+    total = tracks.agg(F.sum("n").alias("total"))
     place = F.row_number().over(Window.partitionBy("trackid").orderBy("seq")) - 1
-    df = catalog.withColumn("_r", place).join(tracks, "trackid")
-    label = F.least(F.floor((F.col("start") + F.col("_r")) / F.floor(F.col("total") / k)), F.lit(k - 1))
-    return df.withColumn("class", label.cast("long")).drop("_r", "start", "total")
+    df = catalog.withColumn("_r", place).join(tracks.select("trackid", F.col("before").alias("start")), "trackid").join(F.broadcast(total), F.lit(True))
+    label = F.least(F.floor((F.col("start") + F.col("_r")) / F.greatest(F.lit(1), F.floor(F.col("total") / k))), F.lit(k - 1))
+    return df.withColumn("class", label.cast("long")).drop("_r", "start", "total"), edges.select(F.posexplode("edges").alias("i", "edge"))
 
 
 def condition(catalog: DataFrame, cond: str | None, bins: int | Sequence[float] = 5) -> tuple[DataFrame, DataFrame | None]:
@@ -169,7 +170,7 @@ def condition(catalog: DataFrame, cond: str | None, bins: int | Sequence[float]
         require(catalog, cond)
         return feature_classes(catalog, cond, cond != "lifecycle", bins)
     if cond == "lifetime":
-        return lifetime_classes(catalog, bins if isinstance(bins, int) else len(bins)), None
+        return lifetime_classes(catalog, bins if isinstance(bins, int) else len(bins))
     warnings.warn(f"unknown condition {cond!r}: a single class", stacklevel=2)
     return catalog.withColumn("class", F.lit(0)), None
 
@@ -270,7 +271,7 @@ def classify_tracks(catalog: DataFrame, edges: DataFrame, attribute: str = "edge
     steps = short.select("trackid", F.col("coord_idx").alias("orig"), F.lead("coord_idx").over(w).alias("dest")).where("dest IS NOT NULL")
     median = steps.join(scored, ["orig", "dest"], "left").groupBy("trackid").agg((1 - F.percentile("s", F.lit(0.5))).alias("stray"))
     tracks = size.join(median, "trackid", "left").select("trackid", F.when(F.col("n") >= least, F.col("stray")).alias("stray"))
-    edge = tracks.agg(F.percentile("stray", F.array(F.lit(low), F.lit(high))).alias("_q"))
+    edge = quantiles(tracks, "stray", [low, high]).withColumnRenamed("q", "_q")
     kind = F.when(F.col("stray") <= F.col("_q")[0], "conformist").when(F.col("stray") >= F.col("_q")[1], "stray").when(F.col("stray").isNotNull(), "straddler")
     return tracks.join(F.broadcast(edge), F.lit(True)).select("trackid", "stray", kind.alias("kind"))
 

@@ -36,13 +36,14 @@ def direction_bins(bearings: DataFrame, n: int = 8) -> DataFrame:
 
 
 def split_at_meridian(edges: DataFrame) -> DataFrame:
-    """Edges (lon1, lat1, lon2, lat2) as segments: one that crosses the date line becomes two that end at ±180,
-    each at its own end's latitude. An end at ±180 itself is moved 0.5 inwards first."""
-    nudge = lambda x: F.when(F.col(x) == 180, 179.5).when(F.col(x) == -180, -179.5).otherwise(S.wrap(F.col(x)))
-    df = edges.withColumns({"_a": nudge("lon1"), "_b": nudge("lon2")})
+    """Edges (lon1, lat1, lon2, lat2) as segments: one that crosses the date line becomes two that end at ±180, each at
+    its own end's latitude. Longitudes are wrapped to [-180, 180) first; where an end lies on the cut, the cut moves 0.5 inwards.
+    """
+    df = edges.withColumns({"_a": S.wrap(F.col("lon1")), "_b": S.wrap(F.col("lon2"))})
     seg = lambda a, y, b, z: F.struct(a.alias("x1"), y.alias("y1"), b.alias("x2"), z.alias("y2"))
-    side = lambda x: F.when(F.col(x) > 0, 180.0).otherwise(-180.0)
-    cut = F.array(seg(F.col("_a"), F.col("lat1"), side("_a"), F.col("lat1")), seg(side("_b"), F.col("lat2"), F.col("_b"), F.col("lat2")))
+    west = lambda x: F.when(F.col(x) == -180, -179.5).otherwise(-180.0)
+    east = F.col("_a") > F.col("_b")
+    cut = F.array(seg(F.col("_a"), F.col("lat1"), F.when(east, 180.0).otherwise(west("_a")), F.col("lat1")), seg(F.when(east, west("_b")).otherwise(180.0), F.col("lat2"), F.col("_b"), F.col("lat2")))
     whole = F.array(seg(F.col("_a"), F.col("lat1"), F.col("_b"), F.col("lat2")))
     df = df.withColumn("_s", F.when(F.abs(F.col("_a") - F.col("_b")) > 180, cut).otherwise(whole))
     return df.select(*edges.columns, F.posexplode("_s").alias("segment", "s")).select(*edges.columns, "segment", "s.x1", "s.y1", "s.x2", "s.y2")
@@ -74,9 +75,8 @@ def unwrap(steps: DataFrame, lon: str) -> DataFrame:
 
 
 def curve_control(edges: DataFrame, curvature: float = 0.2) -> DataFrame:
-    """``cx``, ``cy``: control point of a curved edge, the midpoint moved by curvature times the differences, at right angles."""
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return edges.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2 - curvature * dy, "cy": (F.col("y1") + F.col("y2")) / 2 + curvature * dx})
+    """``cx``, ``cy``: control point of a curved edge, the midpoint moved up by curvature times its extent in x."""
+    return edges.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2 + curvature * (F.col("x2") - F.col("x1"))})
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:

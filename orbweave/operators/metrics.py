@@ -69,30 +69,39 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
     return rank.select("coord_id", (F.col("r") * 100 if normalised else F.col("r")).alias("pagerank"))
 
 
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Directed unweighted clustering coefficient (Fagiolo): triangles over possible ones, 0 without triangles.
+def _triangles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, m): the ties, m = 2 where both directions exist; (a, b, c, ab, ac, bc): each triangle once, with its ties' m.
 
-    Triangles are joined from each node's smaller side: wedges form only over ordered neighbours.
+    A tie belongs to its end of fewer ties (of equals that of smaller id), and wedges form over the ties of one end, so a hub
+    forms none with its leaves and a graph of m ties at most m to the power 1.5.
     """
     arcs = edges.where("orig <> dest").select("orig", "dest").distinct()
     ties = arcs.select(F.least("orig", "dest").alias("u"), F.greatest("orig", "dest").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("m"))
+    size = ties.select("u").unionByName(ties.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("k"))
+    both = ties.join(size.select("u", F.struct("k", F.col("u").alias("id")).alias("x")), "u").join(size.select(F.col("u").alias("v"), F.struct("k", F.col("u").alias("id")).alias("y")), "v")
+    owned = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "m")
+    side = lambda n: owned.select(F.col("x.id").alias("a"), F.col("y").alias(n), F.col("m").alias("a" + n))
+    wedges = side("b").join(side("c"), "a").where("b < c").select("a", F.col("b.id").alias("b"), F.col("c.id").alias("c"), "ab", "ac")
+    return ties, wedges.join(owned.select(F.col("x.id").alias("b"), F.col("y.id").alias("c"), F.col("m").alias("bc")), ["b", "c"])
+
+
+def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Directed unweighted clustering coefficient (Fagiolo): triangles over possible ones, 0 without triangles."""
+    ties, tri = _triangles(edges)
     degree = ties.select("u", "m").unionByName(ties.select(F.col("v").alias("u"), "m")).groupBy("u").agg(F.sum("m").alias("d"), F.sum(F.when(F.col("m") == 2, 1).otherwise(0)).alias("r"))
-    ab = ties.alias("x").join(ties.alias("y"), F.col("x.u") == F.col("y.u")).where("x.v < y.v").select(F.col("x.u").alias("a"), F.col("x.v").alias("b"), F.col("y.v").alias("c"), (F.col("x.m") * F.col("y.m")).alias("m"))
-    tri = ab.join(ties.select(F.col("u").alias("b"), F.col("v").alias("c"), F.col("m").alias("m2")), ["b", "c"]).select("a", "b", "c", (F.col("m") * F.col("m2")).alias("m"))
-    # each triangle counts 2m at each of its corners in (A + A')³
-    t = tri.select(F.explode(F.array("a", "b", "c")).alias("coord_id"), (2 * F.col("m")).alias("m")).groupBy("coord_id").agg(F.sum("m").alias("t"))
+    # each triangle counts twice the product of its ties at each of its corners in (A + A')³
+    t = tri.select(F.explode(F.array("a", "b", "c")).alias("coord_id"), (2 * F.col("ab") * F.col("ac") * F.col("bc")).alias("m")).groupBy("coord_id").agg(F.sum("m").alias("t"))
     rows = nodes.select("coord_id").join(degree.withColumnRenamed("u", "coord_id"), "coord_id", "left").join(t, "coord_id", "left")
     return rows.select("coord_id", F.when(F.coalesce("t", F.lit(0)) == 0, 0.0).otherwise(F.col("t") / (2 * (F.col("d") * (F.col("d") - 1) - 2 * F.col("r")))).alias("clustering"))
 
 
 def cycle_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Of each node's reciprocal neighbours R: directed edges among them over |R|(|R| - 1); 0 if |R| < 2."""
-    arcs = edges.where("orig <> dest").select("orig", "dest").distinct()
-    mutual = arcs.join(arcs.select(F.col("dest").alias("orig"), F.col("orig").alias("dest")), ["orig", "dest"])
-    size = mutual.groupBy(F.col("orig").alias("coord_id")).agg(F.count(F.lit(1)).alias("r"))
-    first = mutual.select(F.col("orig").alias("coord_id"), F.col("dest").alias("a"))
-    second = mutual.select(F.col("orig").alias("coord_id"), F.col("dest").alias("b"))
-    inner = first.join(arcs.select(F.col("orig").alias("a"), F.col("dest").alias("b")), "a").join(second, ["coord_id", "b"], "left_semi").groupBy("coord_id").agg(F.count(F.lit(1)).alias("e"))
+    ties, tri = _triangles(edges)
+    mutual = ties.where("m = 2")
+    size = mutual.select("u").unionByName(mutual.select(F.col("v").alias("u"))).groupBy(F.col("u").alias("coord_id")).agg(F.count(F.lit(1)).alias("r"))
+    corners = F.array(*[F.struct(F.col(i).alias("coord_id"), ((F.col(p) == 2) & (F.col(q) == 2)).alias("in"), F.col(o).alias("e")) for i, p, q, o in (("a", "ab", "ac", "bc"), ("b", "ab", "bc", "ac"), ("c", "ac", "bc", "ab"))])
+    inner = tri.select(F.explode(corners).alias("k")).where("k.in").groupBy("k.coord_id").agg(F.sum("k.e").alias("e"))
     rows = nodes.select("coord_id").join(size, "coord_id", "left").join(inner, "coord_id", "left")
     return rows.select("coord_id", F.when(F.col("r") >= 2, F.coalesce("e", F.lit(0)) / (F.col("r") * (F.col("r") - 1))).otherwise(0.0).alias("cycle_clustering"))
 
@@ -129,7 +138,7 @@ def _classed(df: DataFrame, pool: DataFrame, column: str, output: str, quantiles
         return df.withColumn("ivt_class", S.digitize(F.col(column), [F.lit(float(t)) for t in sorted(thresholds)], -3, "null" if nan_class == "null" else "last"))
     from .network import pooled_thresholds
 
-    edge = pool.agg(pooled_thresholds(pool, pooled or column, quantiles).alias("_q"))
+    edge = pooled_thresholds(pool, pooled or column, quantiles).withColumnRenamed("q", "_q")
     out = df.join(F.broadcast(edge), F.lit(True))
     return out.withColumn("ivt_class", S.digitize(F.col(column), [F.col("_q")[i] for i in range(6)], -3, "null" if nan_class == "null" else "last")).drop("_q")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.running import quantiles
 from ..schema import Network
 
 
@@ -174,22 +175,22 @@ def average(edges: DataFrame, *attributes: str, by: Sequence[str] = ()) -> DataF
 
 
 def average_networks(a: Network, b: Network, attribute: str | None = None) -> Network:
-    """Mean weights (and edge_betweenness, 0 if missing) over the networks that have an edge.
+    """Mean weights (and edge_betweenness, 0 if missing) over the networks that have an edge; the nodes of both.
 
-    ``attribute`` is averaged only if every edge of both has it; node attributes likewise.
+    ``attribute`` is averaged over edges only if every edge of both networks has a value of it, over nodes only if
+    every node of both has; else the result lacks it.
     """
     names = ["weight", "edge_betweenness"]
-    if attribute and all(attribute in n.edges.columns for n in (a, b)):
+    full = lambda x, y: attribute in x.columns and attribute in y.columns and x.select(attribute).unionByName(y.select(attribute)).where(F.col(attribute).isNull()).isEmpty()
+    if attribute and full(a.edges, b.edges):
         names.append(attribute)
-    one = lambda n: n.edges.select("orig", "dest", *[F.col(c) if c in n.edges.columns else F.lit(0.0).alias(c) for c in names])
+    one = lambda n: n.edges.select("orig", "dest", *[F.coalesce(c, F.lit(0.0)).alias(c) if c in n.edges.columns else F.lit(0.0).alias(c) for c in names])
     edges = average(one(a).unionByName(one(b)), *names)
-    common = [c for c in a.nodes.columns if c in b.nodes.columns and c not in ("coord_id", "lat", "lon")]
-    nodes = a.nodes.select("coord_id", "lat", "lon", *common).unionByName(b.nodes.select("coord_id", "lat", "lon", *common))
-    means = [F.avg(c).alias(c) for c in common if dict(nodes.dtypes)[c] != "string"]
-    return Network(nodes.groupBy("coord_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), *means), edges, a.directed)
+    own = [attribute] if attribute and full(a.nodes, b.nodes) else []
+    nodes = a.nodes.select("coord_id", "lat", "lon", *own).unionByName(b.nodes.select("coord_id", "lat", "lon", *own))
+    return Network(nodes.groupBy("coord_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), *[F.avg(c).alias(c) for c in own]), edges, True)
 
 
-def pooled_thresholds(values: DataFrame, column: str, quantiles: Sequence[float] = (0.75, 0.85, 0.95)) -> Column:
-    """Six thresholds 1 - q and q of the pooled values, as an aggregate expression (array)."""
-    at = sorted([1 - q for q in quantiles] + list(quantiles))
-    return F.percentile(column, F.array(*[F.lit(float(q)) for q in at]))
+def pooled_thresholds(values: DataFrame, column: str, at: Sequence[float] = (0.75, 0.85, 0.95)) -> DataFrame:
+    """One row with ``q``: the six thresholds 1 - a and a of the pooled values, exact."""
+    return quantiles(values, column, sorted([1 - a for a in at] + list(at)))

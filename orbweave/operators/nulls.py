@@ -42,9 +42,12 @@ def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start
     """(realization, trackid, seq, coord_idx): walks on the lattice as long as the tracks (trackid, n, first, last).
 
     start='first' begins at the track's first cell, end='last' walks back from its last one; neither: from a random cell.
+    A track whose fixed cell is missing or not on the lattice has no walk; at a cell without a way on the walk ends, shorter
+    than its track; a track without rows has no walk.
     """
-    steps = _adjacency(lattice)
-    cells = sorted(steps)
+    # a walk that is fixed at its end goes against the lattice's directions, and is turned round
+    steps = _adjacency(lattice.select(F.col("dest").alias("orig"), F.col("orig").alias("dest"), "weight") if end else lattice)
+    cells = sorted({*steps, *(c for near, _ in steps.values() for c in near)})
     own = {k: k for k in cells}  # pandas may hand ids over as floats
     kind = lattice.schema["orig"].dataType.simpleString()
     anchor = "last" if end else "first" if start else None
@@ -58,9 +61,13 @@ def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start
             out = {"realization": [], "trackid": [], "seq": [], "coord_idx": []}
             for t, n, a, k, h in part[["trackid", "n", "a", "realization", "h"]].itertuples(index=False):
                 r = np.random.default_rng(int(h) & 0xFFFFFFFFFFFFFFFF)
-                at = own[a] if a in own else cells[int(r.integers(len(cells)))]
+                if n < 1 or not cells or anchor and a not in own:
+                    continue
+                at = own[a] if anchor else cells[int(r.integers(len(cells)))]
                 walk = [at]
                 for _ in range(int(n) - 1):
+                    if at not in steps:
+                        break
                     near, p = steps[at]
                     at = near[min(int(np.searchsorted(p, r.random(), side="right")), len(near) - 1)]
                     walk.append(at)
@@ -76,13 +83,14 @@ def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start
 
 
 def rewire(edges: DataFrame, lattice: DataFrame, realizations: int, maxdist: int = 3, seed: int = 0) -> DataFrame:
-    """(realization, orig, dest, weight): each edge gets a destination among the cells within ``maxdist`` lattice steps of
-    its origin, picked by hash; weights stay and edges that fall together add up."""
+    """(realization, orig, dest, weight): each edge gets a destination among the other cells within ``maxdist`` lattice steps of
+    its origin, picked by hash; weights stay and edges that fall together add up. An edge whose origin has no such cell keeps
+    its destination."""
     ring = lattice.select("orig", "dest").distinct()
     reach = ring
     for _ in range(maxdist - 1):
         reach = reach.unionByName(reach.select("orig", F.col("dest").alias("m")).join(ring.select(F.col("orig").alias("m"), "dest"), "m").select("orig", "dest")).where("orig <> dest").distinct()
     near = reach.groupBy("orig").agg(F.sort_array(F.collect_list("dest")).alias("near"))
-    many = edges.select("orig", "dest", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(realizations - 1).cast("long"))).alias("realization")).join(near, "orig")
+    many = edges.select("orig", "dest", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(realizations - 1).cast("long"))).alias("realization")).join(near, "orig", "left")
     pick = F.pmod(F.xxhash64(F.lit(seed), "realization", F.col("orig").cast("string"), F.col("dest").cast("string")), F.size("near").cast("long"))
-    return many.select("realization", "orig", F.element_at("near", (pick + 1).cast("int")).alias("dest"), "weight").groupBy("realization", "orig", "dest").agg(F.sum("weight").alias("weight"))
+    return many.select("realization", "orig", F.coalesce(F.element_at("near", (pick + 1).cast("int")), F.col("dest")).alias("dest"), "weight").groupBy("realization", "orig", "dest").agg(F.sum("weight").alias("weight"))

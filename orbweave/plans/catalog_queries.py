@@ -90,12 +90,11 @@ register("P27_sentinel_difference", lambda fx: geometry.sentinel_difference(_avg
 _ids = lambda df: df.groupBy("trackid").agg(F.count(F.lit(1)).alias("n"))
 register("F1_time_window", lambda fx: _ids(C.time_window(fx.catalog_b, (1996, 1998))), "SELECT trackid, count(*) AS n FROM fx_catalog_b WHERE time > '1996-01-01' AND time < '1998-12-31' GROUP BY 1")
 register("F2_drop_end_tracks", lambda fx: _ids(C.drop_end_tracks(fx.catalog_b)), "SELECT trackid, count(*) AS n FROM fx_catalog_b WHERE trackid > (SELECT min(trackid) FROM fx_catalog_b) AND trackid < (SELECT max(trackid) FROM fx_catalog_b) GROUP BY 1")
-_LOC = "loc AS (SELECT a.*, continent FROM fx_catalog_a a JOIN fx_cells USING (cell))"
-register("F3_continent_contained", lambda fx: _ids(C.in_continent(_located(fx).where("continent IN ('ASIA', 'Sea') OR trackid % 3 = 0"), "ASIA")),
-         f"WITH {_LOC}, s AS (SELECT * FROM loc WHERE continent IN ('ASIA', 'Sea') OR trackid % 3 = 0) SELECT trackid, count(*) AS n FROM s GROUP BY 1 HAVING bool_and(continent IN ('ASIA', 'Sea')) AND bool_or(continent = 'ASIA')")
-register("F4_continent_touched", lambda fx: _ids(C.in_continent(_located(fx).where("seq <= 3"), "EUROPE", False)), f"WITH {_LOC} SELECT trackid, count(*) AS n FROM loc WHERE seq <= 3 GROUP BY 1 HAVING bool_or(continent = 'EUROPE')")
-register("F5_bounding_box", lambda fx: _ids(C.in_box(fx.catalog_a.where("seq <= 2"), [-60, 60, -150, 150], F.col("centroid_lon"), F.col("centroid_lat"))),
-         "SELECT trackid, count(*) AS n FROM fx_catalog_a WHERE seq <= 2 GROUP BY 1 HAVING bool_and(centroid_lat > -60 AND centroid_lat < 60 AND centroid_lon > -150 AND centroid_lon < 150)")
+_LOC = "loc AS (SELECT b.*, lat, lon, continent FROM fx_catalog_b b JOIN fx_cells USING (cell))"
+_placed = lambda fx: fx.catalog_b.join(fx.cells, "cell")
+register("F3_continent_contained", lambda fx: _ids(C.in_continent(_placed(fx), "ASIA")), f"WITH {_LOC} SELECT trackid, count(*) AS n FROM loc GROUP BY 1 HAVING bool_and(continent IN ('ASIA', 'Sea')) AND bool_or(continent = 'ASIA')")
+register("F4_continent_touched", lambda fx: _ids(C.in_continent(_placed(fx), "EUROPE", False)), f"WITH {_LOC} SELECT trackid, count(*) AS n FROM loc GROUP BY 1 HAVING bool_or(continent = 'EUROPE')")
+register("F5_bounding_box", lambda fx: _ids(C.in_box(_placed(fx), [-70, 70, -150, 80], F.col("lon"), F.col("lat"))), f"WITH {_LOC} SELECT trackid, count(*) AS n FROM loc GROUP BY 1 HAVING bool_and(lat > -70 AND lat < 70 AND lon > -150 AND lon < 80)")
 register("F6_constrain", lambda fx: _ids(C.constrain(fx.catalog_b.withColumn("continent", F.when(F.col("cell") < 5, "Sea").otherwise("ASIA")), (1995, 1999), "ASIA")),
          """WITH t AS (SELECT *, CASE WHEN cell < 5 THEN 'Sea' ELSE 'ASIA' END AS continent FROM fx_catalog_b WHERE time > '1995-01-01' AND time < '1999-12-31'),
             u AS (SELECT * FROM t WHERE trackid > (SELECT min(trackid) FROM t) AND trackid < (SELECT max(trackid) FROM t))
@@ -111,8 +110,7 @@ register("F9_C2_day_night_tracks", lambda fx: _dn(fx).groupBy(F.col("trackid").a
 register("F10_path_length", lambda fx: C.paths(C.run_dedup(fx.catalog_a.where("coord_idx IS NOT NULL"))).where(F.size("path") >= 60).select("trackid", F.size("path").alias("n")),
          """WITH p AS (SELECT trackid, coord_idx, lag(coord_idx) OVER (PARTITION BY trackid ORDER BY seq) AS b FROM fx_catalog_a WHERE coord_idx IS NOT NULL)
             SELECT trackid, count(*) AS n FROM p WHERE b IS NULL OR b <> coord_idx GROUP BY 1 HAVING count(*) >= 60""")
-register("F11_hemisphere", lambda fx: _ids(C.hemisphere(fx.catalog_a.where("seq <= 10"), "centroid_lat")).unionByName(_ids(C.hemisphere(fx.catalog_a.where("seq <= 10"), "centroid_lat", False))),
-         "SELECT trackid, count(*) AS n FROM fx_catalog_a WHERE seq <= 10 GROUP BY 1 HAVING avg(centroid_lat) >= 15 OR avg(centroid_lat) < -15")
+register("F11_hemisphere", lambda fx: _ids(C.hemisphere(_placed(fx), "lat")).unionByName(_ids(C.hemisphere(_placed(fx), "lat", False))), f"WITH {_LOC} SELECT trackid, count(*) AS n FROM loc GROUP BY 1 HAVING avg(lat) >= 15 OR avg(lat) < -15")
 register("F16_dropna", lambda fx: fx.catalog_a.na.drop(subset=["coord_idx", "lf_lon"]).groupBy("trackid").agg(F.count(F.lit(1)).alias("n")), "SELECT trackid, count(*) AS n FROM fx_catalog_a WHERE coord_idx IS NOT NULL AND lf_lon IS NOT NULL GROUP BY 1")
 
 _class = lambda pair: pair[0].groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trackid").alias("tracks"))
@@ -129,6 +127,7 @@ register("C7_lifetime", lambda fx: _class(C.condition(fx.catalog_a, "lifetime",
          f"""WITH l AS (SELECT *, max(time) OVER (PARTITION BY trackid) - min(time) OVER (PARTITION BY trackid) AS life FROM fx_catalog_a),
              r AS (SELECT *, row_number() OVER (ORDER BY life, trackid, seq) - 1 AS i, count(*) OVER () AS total FROM l)
              SELECT CAST(least(floor(i / floor(total / 4)), 3) AS BIGINT) AS class, {_CLASS} FROM r GROUP BY 1""")
+register("C9_lifetime_edges", lambda fx: C.condition(fx.catalog_a, "lifetime", 4)[1], "WITH l AS (SELECT epoch(max(time) OVER (PARTITION BY trackid)) - epoch(min(time) OVER (PARTITION BY trackid)) AS life FROM fx_catalog_a), q AS (SELECT quantile_cont(life, [0, 0.25, 0.5, 0.75, 1]) AS e FROM l) SELECT CAST(i - 1 AS BIGINT) AS i, round(e[i], 6) AS edge FROM q, unnest(range(1, 6)) AS t(i)")
 register("C8_unknown_condition", lambda fx: _class(C.condition(fx.catalog_a, "moon")), f"SELECT CAST(0 AS BIGINT) AS class, {_CLASS} FROM fx_catalog_a")
 register("C9_bin_edges", lambda fx: C.condition(fx.catalog_a.withColumn("area", F.col("centroid_lat")), "area", 5)[1], f"WITH {_MEANQ} SELECT CAST(i - 1 AS BIGINT) AS i, round(e[i], 6) AS edge FROM q, unnest(range(1, 7)) AS t(i)")
 

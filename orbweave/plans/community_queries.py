@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import catalog as C
@@ -11,7 +12,7 @@ from ..operators import community as H
 from ..operators import network as N
 from ..sources import tables
 from . import pipelines
-from .network_queries import few, net0
+from .network_queries import net0
 from .registry import register
 
 _P = "SELECT * FROM fx_partitions"
@@ -24,8 +25,8 @@ _CT = """ct AS (SELECT a.seed AS s1, a.community AS c1, b.seed AS s2, b.communit
 register("F14_small_unassigned", lambda fx: H.unassign_small(fx.partitions, 12), "SELECT seed, node, CASE WHEN count(*) OVER (PARTITION BY seed, community) < 12 THEN -999 ELSE community END AS community FROM fx_partitions")
 register("F17_both_assigned", lambda fx: H.both_assigned(fx.partitions.select("node", F.col("seed").alias("s1"), F.col("community").alias("a")).join(fx.partitions.select("node", F.col("seed").alias("s2"), F.col("community").alias("b")), "node").where("s1 < s2"), "a", "b").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("n")),
          "SELECT x.seed AS s1, y.seed AS s2, count(*) AS n FROM fx_partitions x JOIN fx_partitions y USING (node) WHERE x.seed < y.seed AND x.community <> -999 AND y.community <> -999 GROUP BY 1, 2")
-register("H1_communities", lambda fx: H.communities(fx.nodes, few(fx), (1, 2, 3)))
-register("H2_hierarchical", lambda fx: H.hierarchical_communities(fx.nodes, few(fx)))
+register("H1_communities", lambda fx: H.communities(fx.nodes, net0(fx), (1, 2, 3)))
+register("H2_hierarchical", lambda fx: H.hierarchical_communities(fx.nodes, net0(fx)))
 register("H3_filter_small_levels", lambda fx: H.filter_small(fx.levels, 7), "WITH s AS (SELECT *, (count(*) OVER (PARTITION BY level, community) < 7)::INT AS x FROM fx_levels) SELECT level, node, community, CAST(max(x) OVER (PARTITION BY node ORDER BY level) AS BIGINT) AS small FROM s")
 _MF = "mf AS (SELECT a.level, a.community AS c1, b.community AS c2, sum(flow) AS flow FROM fx_flow JOIN fx_levels a ON a.node = src JOIN fx_levels b ON b.node = dst AND b.level = a.level GROUP BY 1, 2, 3), tt AS (SELECT level, c2 AS c, sum(flow) AS total FROM mf GROUP BY 1, 2)"
 register("H4_J9_module_flow", lambda fx: H.module_flow(fx.levels, fx.flow)[0], f"WITH {_MF} SELECT level, c1, c2, round(flow, 6) AS flow FROM mf")
@@ -38,8 +39,8 @@ _modules = lambda fx: fx.levels.where("level = 0").select("node", "community")
 _M0 = "m AS (SELECT node, community FROM fx_levels WHERE level = 0), f AS (SELECT a.community AS c1, b.community AS c2, flow FROM fx_flow JOIN m a ON a.node = src JOIN m b ON b.node = dst)"
 register("H6_flow_ratio", lambda fx: H.flow_ratio(fx.flow, _modules(fx)), f"WITH {_M0} SELECT c1 AS community, round(sum(flow) FILTER (c1 = c2) / nullif(sum(flow) FILTER (c1 <> c2), 0), 6) AS ratio FROM f GROUP BY 1")
 register("H7_jaccard", lambda fx: H.set_jaccard(fx.partitions), f"WITH {_ANY}, {_CT} SELECT s1, c1, s2, c2, round(j, 6) AS jaccard FROM jc")
-_sets = lambda fx: fx.partitions.where("community <> -999 AND node < 40").groupBy(F.col("community").alias("group"), F.col("seed").alias("i")).agg(F.sort_array(F.collect_list("node")).alias("members"))
-register("H8_mean_similarity", lambda fx: H.mean_set_similarity(_sets(fx)), """WITH s AS (SELECT community AS g, seed AS i, list(node) AS m FROM fx_partitions WHERE community <> -999 AND node < 40 GROUP BY 1, 2)
+_sets = lambda fx: fx.partitions.where("community <> -999").groupBy(F.col("community").alias("group"), F.col("seed").alias("i")).agg(F.sort_array(F.collect_list("node")).alias("members"))
+register("H8_mean_similarity", lambda fx: H.mean_set_similarity(_sets(fx)), """WITH s AS (SELECT community AS g, seed AS i, list(node) AS m FROM fx_partitions WHERE community <> -999 GROUP BY 1, 2)
          SELECT x.g AS "group", round(avg(len(list_intersect(x.m, y.m)) / len(list_distinct(list_concat(x.m, y.m)))), 6) AS mean FROM s x JOIN s y ON x.g = y.g AND x.i < y.i GROUP BY 1""")
 register("H9_heterogeneity", lambda fx: H.heterogeneity(fx.partitions), f"WITH {_ANY}, {_CT}, k AS (SELECT node, max(community) AS mx FROM p GROUP BY 1), h AS (SELECT node, 1 - avg(j) AS h FROM nj WHERE s1 < s2 GROUP BY 1) SELECT node, CASE WHEN mx <> -999 THEN round(h, 6) END AS heterogeneity FROM k LEFT JOIN h USING (node)")
 _BEST = "mj AS (SELECT node, s1, c1, round_even(avg(j), 12) AS m FROM nj GROUP BY 1, 2, 3), sc AS (SELECT p.node, seed, community, coalesce(m, -1) AS m FROM p LEFT JOIN mj ON mj.node = p.node AND s1 = seed), best AS (SELECT node, seed, community FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY m DESC, seed) AS k FROM sc) WHERE k = 1)"
@@ -55,7 +56,7 @@ register("H13_A8_pick_seed", lambda fx: H.pick_seed(fx.partitions, H.heterogenei
              SELECT seed, round(score, 6) AS score, CAST(coalesce(row_number() OVER (ORDER BY round_even(score, 12) NULLS LAST, seed) = 1 AND score IS NOT NULL, false) AS BIGINT) AS best FROM sc""")
 register("H14_node_flow_ratios", lambda fx: H.node_flow_ratios(net0(fx), _modules(fx)), "WITH m AS (SELECT node, community FROM fx_levels WHERE level = 0), r AS (SELECT a.community, sum(weight) FILTER (a.community = b.community) / sum(weight) AS ratio FROM fx_edges JOIN m a ON a.node = orig JOIN m b ON b.node = dest WHERE net = 0 GROUP BY 1) SELECT node, round(ratio, 6) AS ratio FROM m LEFT JOIN r USING (community)")
 register("H15_relabel_dense", lambda fx: H.relabel_dense(fx.partitions), "SELECT seed, node, dense_rank() OVER (PARTITION BY seed ORDER BY community) - 1 AS community FROM fx_partitions")
-register("H16_seed_ensemble", lambda fx: H.unassign_small(H.relabel_dense(H.communities(fx.nodes, few(fx), (1, 2, 3, 4))), 2))
+register("H16_seed_ensemble", lambda fx: H.unassign_small(H.relabel_dense(H.communities(fx.nodes, net0(fx), (1, 2, 3, 4))), 2))
 register("H17_J13_adjusted_rand", lambda fx: H.adjusted_rand(fx.partitions),
          """WITH p AS (SELECT * FROM fx_partitions WHERE community <> -999), c AS (SELECT a.seed AS s1, b.seed AS s2, a.community AS c1, b.community AS c2, count(*) AS n FROM p a JOIN p b USING (node) WHERE a.seed < b.seed GROUP BY 1, 2, 3, 4),
             x AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS x, sum(n) AS t FROM c GROUP BY 1, 2), a AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS a FROM (SELECT s1, s2, c1, sum(n) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
@@ -108,15 +109,40 @@ register("N17_A4_group_median", lambda fx: stats.group_median(fx.catalog_a, "mea
 register("N18_percentile", lambda fx: stats.group_percentile(fx.null, "metric", 0.95, "model"), "SELECT model, round(quantile_cont(metric, 0.95), 6) AS q FROM fx_null GROUP BY 1")
 register("N19_summary", lambda fx: stats.summary(fx.catalog_a, "mean_ivt", "regime"), "SELECT regime, round(avg(mean_ivt), 6) AS mean, round(var_pop(mean_ivt), 6) AS \"var\", round(quantile_cont(mean_ivt, 0.25), 6) AS q25, round(quantile_cont(mean_ivt, 0.75), 6) AS q75, round(quantile_cont(mean_ivt, 0.75) - quantile_cont(mean_ivt, 0.25), 6) AS iqr FROM fx_catalog_a GROUP BY 1")
 _lattice = lambda fx: net0(fx)
-_tracks = lambda fx: C.track_ends(fx.catalog_a.where("coord_idx IS NOT NULL AND trackid < 30"))
-register("N2_free_walks", lambda fx: nulls.random_walks(_tracks(fx), _lattice(fx), 2, start=None).groupBy("realization", "trackid").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(r AS BIGINT) AS realization, trackid, count(*) AS n FROM fx_catalog_a, unnest([0, 1]) AS t(r) WHERE coord_idx IS NOT NULL AND trackid < 30 GROUP BY 1, 2")
-register("N3_genesis_walks", lambda fx: C.track_ends(nulls.random_walks(_tracks(fx), _lattice(fx), 2).withColumn("class", F.col("realization"))).select(F.col("class").alias("realization"), "trackid", "n", "first"), "SELECT CAST(r AS BIGINT) AS realization, trackid, count(*) AS n, arg_min(coord_idx, seq) AS first FROM fx_catalog_a, unnest([0, 1]) AS t(r) WHERE coord_idx IS NOT NULL AND trackid < 30 GROUP BY 1, 2")
-register("N3_termination_walks", lambda fx: C.track_ends(nulls.random_walks(_tracks(fx), _lattice(fx), 2, end="last").withColumn("class", F.col("realization"))).select(F.col("class").alias("realization"), "trackid", "n", "last"), "SELECT CAST(r AS BIGINT) AS realization, trackid, count(*) AS n, arg_max(coord_idx, seq) AS last FROM fx_catalog_a, unnest([0, 1]) AS t(r) WHERE coord_idx IS NOT NULL AND trackid < 30 GROUP BY 1, 2")
-register("N4_rewired", lambda fx: nulls.rewire(few(fx), few(fx), 2, 1).groupBy("realization").agg(F.sum("weight").alias("w")), "SELECT CAST(r AS BIGINT) AS realization, sum(weight) AS w FROM fx_edges, unnest([0, 1]) AS t(r) WHERE net = 0 AND weight >= 6 GROUP BY 1")
+_tracks = lambda fx: C.track_ends(fx.catalog_a.where("coord_idx IS NOT NULL"))
+
+
+def _walked(fx, **how):
+    """Length, ends and steps off the lattice of each walk."""
+    walks = nulls.random_walks(_tracks(fx), _lattice(fx), 2, **how)
+    steps = walks.withColumn("to", F.lead("coord_idx").over(Window.partitionBy("realization", "trackid").orderBy("seq")))
+    known = _lattice(fx).select(F.col("orig").alias("coord_idx"), F.col("dest").alias("to"), F.lit(1).alias("on"))
+    ends = lambda f: f("coord_idx", "seq")
+    return steps.join(known, ["coord_idx", "to"], "left").groupBy("realization", "trackid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("to").isNotNull() & F.col("on").isNull()).alias("off"), ends(F.min_by).alias("first"), ends(F.max_by).alias("last"))
+
+
+_WALK = "SELECT CAST(r AS BIGINT) AS realization, trackid, count(*) AS n, CAST(0 AS BIGINT) AS off{} FROM fx_catalog_a, unnest([0, 1]) AS t(r) WHERE coord_idx IS NOT NULL GROUP BY 1, 2"
+register("N2_free_walks", lambda fx: _walked(fx, start=None).drop("first", "last"), _WALK.format(""))
+register("N3_genesis_walks", lambda fx: _walked(fx).drop("last"), _WALK.format(", arg_min(coord_idx, seq) AS first"))
+register("N3_termination_walks", lambda fx: _walked(fx, end="last").drop("first"), _WALK.format(", arg_max(coord_idx, seq) AS last"))
+_grid = lambda fx: fx.cells.select("cell", F.floor(F.col("cell") / 5).alias("i"), (F.col("cell") % 5).alias("j"))
+
+
+def _rewired(fx):
+    """Weight of each origin's rewired edges, and how many end beyond two steps of a lattice of neighbouring cells or at their origin."""
+    a, b = (_grid(fx).select(*[F.col(c).alias(c + k) for c in ("cell", "i", "j")]) for k in "ab")
+    near = a.join(F.broadcast(b), F.col("ib").between(F.col("ia") - 1, F.col("ia") + 1)).where("abs(ja - jb) <= 1 AND cella <> cellb")
+    edges = nulls.rewire(net0(fx), near.select(F.col("cella").alias("orig"), F.col("cellb").alias("dest")), 2, 2)
+    placed = edges.join(a, F.col("orig") == F.col("cella")).join(b, F.col("dest") == F.col("cellb"))
+    return placed.groupBy("realization", "orig").agg(F.sum("weight").alias("w"), F.count_if((F.greatest(F.abs(F.col("ia") - F.col("ib")), F.abs(F.col("ja") - F.col("jb"))) > 2) | (F.col("orig") == F.col("dest"))).alias("far"))
+
+
+register("N4_rewired", _rewired, "SELECT CAST(r AS BIGINT) AS realization, orig, sum(weight) AS w, CAST(0 AS BIGINT) AS far FROM fx_edges, unnest([0, 1]) AS t(r) WHERE net = 0 GROUP BY 1, 2")
 register("N5_ensemble_average", lambda fx: N.consensus(fx.edges, 2, 0, 0), "SELECT orig, dest, sum(weight) / 2 AS weight FROM fx_edges GROUP BY 1, 2")
 
 # primitives
-register("A1_A6_aggregates", lambda fx: fx.catalog_a.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("mean_ivt").alias("s"), F.round(F.avg("mean_ivt"), 4).alias("m"), F.countDistinct("trackid").alias("tracks")), "SELECT cell, count(*) AS n, round(sum(mean_ivt), 6) AS s, round(avg(mean_ivt), 4) AS m, count(DISTINCT trackid) AS tracks FROM fx_catalog_a GROUP BY 1")
+_CENTS = "CAST(sum(CAST(mean_ivt AS DECIMAL(18, 2))) AS DOUBLE)"  # exact, so both engines give the same double
+register("A1_A6_aggregates", lambda fx: fx.catalog_a.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.expr(_CENTS).alias("s"), (F.expr(_CENTS) / F.count(F.lit(1))).alias("m"), F.countDistinct("trackid").alias("tracks")), f"SELECT cell, count(*) AS n, {_CENTS} AS s, {_CENTS} / count(*) AS m, count(DISTINCT trackid) AS tracks FROM fx_catalog_a GROUP BY 1", as_is=True)
 register("A2_group_broadcast", lambda fx: C.feature_classes(fx.catalog_a, "mean_ivt", True, [0.0, 40.0, 1000.0])[0].groupBy("trackid", "class").agg(F.count(F.lit(1)).alias("n")), "WITH m AS (SELECT trackid, avg(mean_ivt) AS v, count(*) AS n FROM fx_catalog_a GROUP BY 1) SELECT trackid, CAST(1 + (v > 40)::INT AS BIGINT) AS class, n FROM m WHERE v > 0 AND v <= 1000")
 register("A5_mode", lambda fx: fx.catalog_a.groupBy("trackid").agg(F.mode("cell", True).alias("cell")), "WITH n AS (SELECT trackid, cell, count(*) AS n FROM fx_catalog_a GROUP BY 1, 2) SELECT trackid, cell FROM (SELECT *, row_number() OVER (PARTITION BY trackid ORDER BY n DESC, cell) AS k FROM n) WHERE k = 1")
 register("A7_first_last", lambda fx: fx.catalog_a.groupBy("regime").agg(F.min_by("cell", F.struct("trackid", "seq")).alias("first"), F.max_by("cell", F.struct("trackid", "seq")).alias("last")), "SELECT regime, arg_min(cell, trackid * 1000 + seq) AS first, arg_max(cell, trackid * 1000 + seq) AS last FROM fx_catalog_a GROUP BY 1")
@@ -128,7 +154,7 @@ register("O1_ordered_head", lambda fx: fx.catalog_a.orderBy(F.desc("mean_ivt"),
 _C2 = "c AS (SELECT CAST(trackid % 2 AS BIGINT) AS net, orig, dest, count(*) AS n FROM fx_pairs WHERE orig <> dest GROUP BY 1, 2, 3 HAVING count(*) >= 4), k AS (SELECT orig, dest, sum(n) / 2 AS weight FROM c GROUP BY 1, 2 HAVING bool_and(n >= 5) AND sum(n) / 2 > 4)"
 register("entry_a_consensus", lambda fx: pipelines.consensus_strengths(fx.catalog_a, fx.nodes, 4, 5), f"WITH {_C2}, o AS (SELECT orig AS cell, sum(weight) AS o FROM k GROUP BY 1), i AS (SELECT dest AS cell, sum(weight) AS i FROM k GROUP BY 1) SELECT cell AS coord_id, coalesce(o, 0) AS out_strength, coalesce(i, 0) AS in_strength FROM fx_cells LEFT JOIN o USING (cell) LEFT JOIN i USING (cell)")
 register("entry_b_highways", lambda fx: pipelines.highways(fx.catalog_a, fx.nodes, 8))
-register("entry_c_community_ensemble", lambda fx: pipelines.community_ensemble(fx.nodes, few(fx), (1, 2, 3), 2))
+register("entry_c_community_ensemble", lambda fx: pipelines.community_ensemble(fx.nodes, net0(fx), (1, 2, 3), 2))
 register("entry_d_significance", lambda fx: pipelines.node_significance(_real(fx), fx.null, "metric", 0.4), f"WITH {_P1}, {_BH}, {_W}, rr AS (SELECT cell, metric FROM re) SELECT cell, metric, s1::INT::BIGINT AS s1, s2::INT::BIGINT AS s2, s3::INT::BIGINT AS s3, s4::INT::BIGINT AS s4 FROM rr LEFT JOIN w USING (cell)")
 register("seasonal_networks", lambda fx: pipelines.class_networks(fx.catalog_b, "season", {"DJF": 1, "MAM": 1, "JJA": 2, "SON": 2}),
          "WITH s AS (SELECT *, CASE WHEN month(time) IN (12,1,2) THEN 'DJF' WHEN month(time) < 6 THEN 'MAM' WHEN month(time) < 9 THEN 'JJA' ELSE 'SON' END AS class FROM fx_catalog_b), p AS (SELECT class, coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY class, trackid ORDER BY seq) AS dest FROM s), c AS (SELECT class, orig, dest, count(*) AS n FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2, 3) SELECT class, orig, dest, CAST(n AS DOUBLE) AS weight FROM c WHERE n >= CASE WHEN class IN ('JJA', 'SON') THEN 2 ELSE 1 END")

@@ -44,7 +44,7 @@ register("G9_eps_per_class", lambda fx: N.build_edges(_classed_counts(fx), eps=f
 register("G10_transport_by_class", _classed_counts, "SELECT CAST(trackid % 2 AS BIGINT) AS class, orig, dest, count(*) AS cnt FROM fx_pairs GROUP BY 1, 2, 3")
 register("G11_relabel", lambda fx: N.relabel(net0(fx), fx.cells.select(F.col("cell").alias("old"), F.floor(F.col("cell") / 3).alias("new"))),
          f"WITH {_E0}, r AS (SELECT CAST(floor(orig / 3) AS BIGINT) AS a, CAST(floor(dest / 3) AS BIGINT) AS b, *, row_number() OVER (PARTITION BY floor(orig / 3), floor(dest / 3) ORDER BY orig DESC, dest DESC) AS k FROM e) SELECT a AS orig, b AS dest, weight FROM r WHERE k = 1")
-register("G12_node_numbers", lambda fx: N.dense_index(fx.nodes.select("coord_id").where("coord_id % 2 = 1"), "coord_id"), "SELECT cell AS coord_id, row_number() OVER (ORDER BY cell) - 1 AS idx FROM fx_cells WHERE cell % 2 = 1")
+register("G12_node_numbers", lambda fx: N.dense_index(fx.catalog_b.select(F.col("trackid").alias("coord_id")).distinct(), "coord_id"), "SELECT trackid AS coord_id, row_number() OVER (ORDER BY trackid) - 1 AS idx FROM (SELECT DISTINCT trackid FROM fx_catalog_b)")
 _GRID = "g AS (SELECT -90 + 30 * a AS lat, -180 + 30 * b AS lon FROM unnest(range(0, 7)) x(a), unnest(range(0, 13)) y(b))"
 _HASH = "CAST(CAST(concat('0x', substr(sha256(printf('%.6f_%.6f', CAST(lat AS DOUBLE), CAST(lon AS DOUBLE))), 1, 16)) AS UBIGINT) AS VARCHAR)"
 register("G13_complete_nodes", lambda fx: N.complete_nodes(N.rect_cells(fx.spark, 30).where("lat > 20").withColumn("v", F.lit(1)), N.rect_cells(fx.spark, 30)),
@@ -68,13 +68,16 @@ def _two(fx, i):
 
 
 register("K2_average_networks", lambda fx: N.average_networks(_two(fx, 0), _two(fx, 1), "d").edges, "SELECT orig, dest, round(avg(weight), 6) AS weight, CAST(0 AS DOUBLE) AS edge_betweenness, round(avg(2 * weight), 6) AS d FROM fx_edges GROUP BY 1, 2")
+_gaps = lambda fx, i: Network(_two(fx, i).nodes, _two(fx, i).edges.withColumn("x", F.when(F.col("weight") > 5, F.col("d"))))
+register("K2_attribute_of_some_edges", lambda fx: N.average_networks(_gaps(fx, 0), _gaps(fx, 1), "x").edges, "SELECT orig, dest, round(avg(weight), 6) AS weight, CAST(0 AS DOUBLE) AS edge_betweenness FROM fx_edges GROUP BY 1, 2")
+register("K2_average_nodes", lambda fx: N.average_networks(_gaps(fx, 0), _gaps(fx, 1), "x").nodes, "SELECT cell AS coord_id, lat, lon, lat + 0.5 AS x FROM fx_cells")
 _Q6 = "quantile_cont({0}, 0.05) AS a, quantile_cont({0}, 0.15) AS b, quantile_cont({0}, 0.25) AS c, quantile_cont({0}, 0.75) AS d, quantile_cont({0}, 0.85) AS e, quantile_cont({0}, 0.95) AS f"
 register("K3_A3_pooled_thresholds", lambda fx: _pooled(fx), f"WITH s AS (SELECT dest_ivt - orig_ivt AS d FROM fx_pairs), q AS (SELECT {_Q6.format('d')} FROM s) SELECT round(a, 6) AS t0, round(b, 6) AS t1, round(c, 6) AS t2, round(d, 6) AS t3, round(e, 6) AS t4, round(f, 6) AS t5 FROM q")
 
 
 def _pooled(fx):
     d = fx.pairs.select((F.col("dest_ivt") - F.col("orig_ivt")).alias("d"))
-    return d.agg(N.pooled_thresholds(d, "d").alias("q")).select(*[F.col("q")[i].alias(f"t{i}") for i in range(6)])
+    return N.pooled_thresholds(d, "d").select(*[F.col("q")[i].alias(f"t{i}") for i in range(6)])
 
 
 # joins and set operations of networks
@@ -104,14 +107,13 @@ register("M3_pagerank_fixed", lambda fx: metrics.pagerank(fx.nodes, net0(fx), st
              r3 AS (SELECT cell, lost, 0.85 * (coalesce((SELECT sum(r * p) FROM p JOIN r2 x ON x.cell = orig WHERE dest = r2.cell), 0) + (SELECT coalesce(sum(r), 0) FROM r2 WHERE lost) / n) + 0.15 / n AS r FROM r2, n)
              SELECT cell AS coord_id, round(r, 6) AS pagerank FROM r3""")
 register("M3_pagerank", lambda fx: metrics.pagerank(fx.nodes, net0(fx), normalised=True))
-_ARC = "a AS (SELECT DISTINCT orig, dest FROM fx_edges WHERE net = 0 AND weight >= 6)"
-few = lambda fx: net0(fx).where("weight >= 6")
-register("M4_J14_clustering", lambda fx: metrics.clustering(fx.nodes, few(fx)),
+_ARC = "a AS (SELECT DISTINCT orig, dest FROM fx_edges WHERE net = 0)"
+register("M4_J14_clustering", lambda fx: metrics.clustering(fx.nodes, net0(fx)),
          f"""WITH {_ARC}, s AS (SELECT u, v, count(*) AS m FROM (SELECT orig AS u, dest AS v FROM a UNION ALL SELECT dest, orig FROM a) GROUP BY 1, 2),
              t AS (SELECT x.u AS cell, sum(x.m * y.m * z.m) AS t FROM s x JOIN s y ON y.u = x.v JOIN s z ON z.u = y.v AND z.v = x.u GROUP BY 1),
              d AS (SELECT u AS cell, sum(m) AS d, count(*) FILTER (m = 2) AS r FROM s GROUP BY 1)
              SELECT cell AS coord_id, CASE WHEN coalesce(t, 0) = 0 THEN 0 ELSE round(t / (2 * (d * (d - 1) - 2 * r)), 6) END AS clustering FROM fx_cells LEFT JOIN t USING (cell) LEFT JOIN d USING (cell)""")
-register("M5_cycle_clustering", lambda fx: metrics.cycle_clustering(fx.nodes, few(fx)),
+register("M5_cycle_clustering", lambda fx: metrics.cycle_clustering(fx.nodes, net0(fx)),
          f"""WITH {_ARC}, m AS (SELECT x.orig AS u, x.dest AS v FROM a x JOIN a y ON y.orig = x.dest AND y.dest = x.orig),
              r AS (SELECT u AS cell, count(*) AS r FROM m GROUP BY 1), e AS (SELECT x.u AS cell, count(*) AS e FROM m x JOIN m y ON y.u = x.u JOIN a ON a.orig = x.v AND a.dest = y.v GROUP BY 1)
              SELECT cell AS coord_id, CASE WHEN r >= 2 THEN round(coalesce(e, 0) / (r * (r - 1)), 6) ELSE 0 END AS cycle_clustering FROM fx_cells LEFT JOIN r USING (cell) LEFT JOIN e USING (cell)""")
@@ -124,7 +126,7 @@ register("M7_edge_transport", lambda fx: metrics.edge_transport(fx.pairs),
              SELECT orig, dest, round(v, 6) AS ivt_diff, {_DIG} AS ivt_class FROM g, q""")
 register("M7_manual_thresholds", lambda fx: metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2) SELECT orig, dest, round(v, 6) AS ivt_diff, CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g")
 register("M8_edge_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), chunks=8))
-register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, few(fx), weighted=False, chunks=8))
+register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), weighted=False, chunks=8))
 register("M9_visits", lambda fx: metrics.visits(fx.catalog_a), "SELECT coord_idx AS coord_id, count(*) AS visits FROM fx_catalog_a WHERE coord_idx IS NOT NULL GROUP BY 1")
 register("M10_widths", lambda fx: metrics.edge_widths(net0(fx), True), f"WITH {_E0} SELECT orig, dest, weight, round(log10(weight) / max(log10(weight)) OVER (), 6) AS width, CAST(NOT bool_and(weight = 1) OVER () AS BIGINT) AS weighted FROM e")
 register("M10_sign_widths", lambda fx: metrics.sign_widths(metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "ivt_class", 2.0).groupBy("ivt_class", "width").count(), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2), c AS (SELECT CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g) SELECT ivt_class, CAST(2 * CASE WHEN ivt_class = 0 THEN 0.5 ELSE abs(ivt_class) END AS DOUBLE) AS width, count(*) AS count FROM c GROUP BY 1, 2")
@@ -140,21 +142,33 @@ register("P15_direction_bins", lambda fx: G.direction_bins(G.edge_bearings(net0(
              q AS (SELECT degrees(atan2(sin(d) * cos(y2), cos(y1) * sin(y2) - sin(y1) * cos(y2) * cos(d))) AS g FROM p), r AS (SELECT CASE WHEN g < 0 THEN g + 360 ELSE g END / 360 AS g FROM q)
              SELECT CAST(floor((g - lo) / ((hi - lo) / 7) + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM r, (SELECT min(g) AS lo, max(g) AS hi FROM r) GROUP BY 1""")
 register("P16_wrap_longitude", lambda fx: fx.cells.select("cell", S.wrap(F.col("lon") * 3).alias("lon")), "SELECT cell, (lon * 3 + 180) - 360 * floor((lon * 3 + 180) / 360) - 180 AS lon FROM fx_cells")
-_SEG = """p AS (SELECT orig, dest, a.lat AS y1, b.lat AS y2, CASE WHEN a.lon = 180 THEN 179.5 WHEN a.lon = -180 THEN -179.5 ELSE a.lon END AS x1, CASE WHEN b.lon = 180 THEN 179.5 WHEN b.lon = -180 THEN -179.5 ELSE b.lon END AS x2 FROM e JOIN fx_cells a ON a.cell = orig JOIN fx_cells b ON b.cell = dest),
-          seg AS (SELECT orig, dest, 0 AS segment, x1, y1, CASE WHEN abs(x1 - x2) > 180 THEN CASE WHEN x1 > 0 THEN 180 ELSE -180 END ELSE x2 END AS x2, CASE WHEN abs(x1 - x2) > 180 THEN y1 ELSE y2 END AS y2 FROM p
-                  UNION ALL SELECT orig, dest, 1, CASE WHEN x2 > 0 THEN 180 ELSE -180 END, y2, x2, y2 FROM p WHERE abs(x1 - x2) > 180)"""
-_COLS = ["orig", "dest", "segment", "x1", "y1", "x2", "y2"]
-register("P17_V3_split_meridian", lambda fx: G.split_at_meridian(N.edge_places(net0(fx), fx.nodes)).select(*_COLS), f"WITH {_E0}, {_SEG} SELECT orig, dest, CAST(segment AS BIGINT) AS segment, CAST(x1 AS DOUBLE) AS x1, y1, CAST(x2 AS DOUBLE) AS x2, y2 FROM seg")
-register("P18_discard_long", lambda fx: G.discard_long(G.split_at_meridian(N.edge_places(net0(fx), fx.nodes)), 80).select(*_COLS), f"WITH {_E0}, {_SEG} SELECT orig, dest, CAST(segment AS BIGINT) AS segment, CAST(x1 AS DOUBLE) AS x1, y1, CAST(x2 AS DOUBLE) AS x2, y2 FROM seg WHERE abs(x1 - x2) <= 80")
+# the places shifted by 36 degrees either way, so that ends lie on 180 and on -180; wrapped, split, and the cut moved where it meets an end
+_SHIFT = "(VALUES (36), (-36)) AS s(shift)"
+_SEG = f"""p AS (SELECT orig, dest, CAST(shift AS BIGINT) AS shift, a.lat AS y1, b.lat AS y2, CASE WHEN a.lon + shift >= 180 THEN a.lon + shift - 360 ELSE a.lon + shift END AS x1, CASE WHEN b.lon + shift >= 180 THEN b.lon + shift - 360 ELSE b.lon + shift END AS x2 FROM e JOIN fx_cells a ON a.cell = orig JOIN fx_cells b ON b.cell = dest, {_SHIFT}),
+          seg AS (SELECT orig, dest, shift, CAST(0 AS BIGINT) AS segment, x1, y1, x2, y2 FROM p WHERE abs(x1 - x2) <= 180
+                  UNION ALL SELECT orig, dest, shift, 0, x1, y1, CASE WHEN x1 > x2 THEN 180 WHEN x1 = -180 THEN -179.5 ELSE -180 END, y1 FROM p WHERE abs(x1 - x2) > 180
+                  UNION ALL SELECT orig, dest, shift, 1, CASE WHEN x1 < x2 THEN 180 WHEN x2 = -180 THEN -179.5 ELSE -180 END, y2, x2, y2 FROM p WHERE abs(x1 - x2) > 180)"""
+
+
+def _shifted(fx):
+    places = N.edge_places(net0(fx), fx.nodes).withColumn("shift", F.explode(F.array(F.lit(36), F.lit(-36))))
+    return places.withColumns({"lon1": F.col("lon1") + F.col("shift"), "lon2": F.col("lon2") + F.col("shift")})
+
+
+_COLS = ["orig", "dest", "shift", "segment", "x1", "y1", "x2", "y2"]
+_SEGMENTS = "SELECT orig, dest, shift, segment, CAST(x1 AS DOUBLE) AS x1, y1, CAST(x2 AS DOUBLE) AS x2, y2 FROM seg"
+register("P17_V3_split_meridian", lambda fx: G.split_at_meridian(_shifted(fx)).select(*_COLS), f"WITH {_E0}, {_SEG} {_SEGMENTS}")
+register("P18_discard_long", lambda fx: G.discard_long(G.split_at_meridian(_shifted(fx)), 80).select(*_COLS), f"WITH {_E0}, {_SEG} {_SEGMENTS} WHERE abs(x1 - x2) <= 80")
 _flat = lambda c: F.concat_ws(";", F.transform(c, lambda p: F.concat_ws(" ", F.format_string("%.1f", p["lon"]), F.format_string("%.1f", p["lat"]))))
 register("P19_split_polygons", lambda fx: G.split_polygons(fx.cells.select("cell", F.transform(G.rect_boundary(F.col("lon") - 36, F.col("lat"), 10), lambda p: F.struct(S.wrap(p["lon"]).alias("lon"), p["lat"].alias("lat"))).alias("boundary"))).select("cell", "part", F.size("boundary").alias("n")),
          "SELECT cell, CAST(p AS BIGINT) AS part, CAST(5 AS BIGINT) AS n FROM fx_cells, unnest(CASE WHEN lon - 36 = -180 THEN [0, 1] ELSE [0] END) AS t(p)")
 register("P20_rect_boundary", lambda fx: fx.cells.select("cell", _flat(G.rect_boundary(F.col("lon"), F.col("lat"), 7)).alias("ring")), "SELECT cell, printf('%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f', lon - 3.5, lat - 3.5, lon + 3.5, lat - 3.5, lon + 3.5, lat + 3.5, lon - 3.5, lat + 3.5, lon - 3.5, lat - 3.5) AS ring FROM fx_cells")
 register("P20_hex_boundary", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select("coord_id", F.size(hexgrid.AxialHexGrid().boundary(F.col("coord_id"))).alias("n")))
-register("plot_table", lambda fx: G.plot_table(net0(fx), fx.nodes).select("orig", "dest", "segment", "x1", "x2", "weight", "bin"),
-         f"WITH {_E0}, {_SEG}, q AS (SELECT round_even(min(weight), 0) AS a, round_even(quantile_cont(weight, 0.999), 0) AS b FROM e) SELECT orig, dest, CAST(segment AS BIGINT) AS segment, CAST(x1 AS DOUBLE) AS x1, CAST(x2 AS DOUBLE) AS x2, weight, CAST(floor((least(greatest(weight, a), b) - a) * 6 / (b - a)) AS BIGINT) AS bin FROM seg JOIN e USING (orig, dest), q WHERE abs(x1 - x2) <= 180")
-register("plot_nodes", lambda fx: G.node_table(fx.nodes.select("coord_id"), metrics.degree_centrality(fx.nodes, few(fx))), "WITH e AS (SELECT * FROM fx_edges WHERE net = 0 AND weight >= 6), d AS (SELECT c, sum(w) AS degree FROM (SELECT orig AS c, weight AS w FROM e UNION ALL SELECT dest, weight FROM e) GROUP BY 1) SELECT cell AS coord_id, coalesce(degree, 0) AS degree, CAST(CASE WHEN degree > 0 THEN 0.6 ELSE 0.1 END AS DOUBLE) AS alpha FROM fx_cells LEFT JOIN d ON c = cell")
-register("plot_curves", lambda fx: G.curve_control(G.split_at_meridian(N.edge_places(net0(fx), fx.nodes))).select("orig", "dest", "segment", "cx", "cy"), f"WITH {_E0}, {_SEG} SELECT orig, dest, CAST(segment AS BIGINT) AS segment, round((x1 + x2) / 2 - 0.2 * (y2 - y1), 6) AS cx, round((y1 + y2) / 2 + 0.2 * (x2 - x1), 6) AS cy FROM seg")
+_shifted_nodes = lambda fx: fx.nodes.withColumn("lon", F.col("lon") + 36)
+register("plot_table", lambda fx: G.plot_table(net0(fx), _shifted_nodes(fx)).select("orig", "dest", "segment", "x1", "x2", "weight", "bin"),
+         f"WITH {_E0}, {_SEG}, q AS (SELECT round_even(min(weight), 0) AS a, round_even(quantile_cont(weight, 0.999), 0) AS b FROM e) SELECT orig, dest, segment, CAST(x1 AS DOUBLE) AS x1, CAST(x2 AS DOUBLE) AS x2, weight, CAST(floor((least(greatest(weight, a), b) - a) * 6 / (b - a)) AS BIGINT) AS bin FROM seg JOIN e USING (orig, dest), q WHERE shift = 36 AND abs(x1 - x2) <= 180")
+register("plot_nodes", lambda fx: G.node_table(fx.nodes.select("coord_id"), metrics.degree_centrality(fx.nodes, net0(fx))), "WITH e AS (SELECT * FROM fx_edges WHERE net = 0), d AS (SELECT c, sum(w) AS degree FROM (SELECT orig AS c, weight AS w FROM e UNION ALL SELECT dest, weight FROM e) GROUP BY 1) SELECT cell AS coord_id, coalesce(degree, 0) AS degree, CAST(CASE WHEN degree > 0 THEN 0.6 ELSE 0.1 END AS DOUBLE) AS alpha FROM fx_cells LEFT JOIN d ON c = cell")
+register("plot_curves", lambda fx: G.curve_control(G.split_at_meridian(_shifted(fx))).select("orig", "dest", "shift", "segment", "cx", "cy"), f"WITH {_E0}, {_SEG} SELECT orig, dest, shift, segment, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2 + 0.2 * (x2 - x1), 6) AS cy FROM seg")
 register("V2_pivot", lambda fx: fx.edges.groupBy("orig").pivot("net", [0, 1]).agg(F.sum("weight")).select("orig", F.col("0").alias("a"), F.col("1").alias("b")), "SELECT orig, sum(weight) FILTER (net = 0) AS a, sum(weight) FILTER (net = 1) AS b FROM fx_edges GROUP BY 1")
 
 

@@ -11,10 +11,12 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="orbweave-"))
     return _OWN[0]

@@ -62,7 +62,7 @@ def test_lifetime_remainder_goes_last(spark):
     start = dt.datetime(2000, 1, 1)
     rows = [(t, s, start + dt.timedelta(hours=t * (s - 1))) for t in range(11) for s in (1,)]
     df = spark.createDataFrame(rows, "trackid long, seq long, time timestamp")
-    got = C.lifetime_classes(df, 4).orderBy("trackid", "seq")
+    got = C.lifetime_classes(df, 4)[0].orderBy("trackid", "seq")
     assert col(got, "class") == [0, 0, 1, 1, 2, 2, 3, 3, 3, 3, 3]
 
 
@@ -217,3 +217,78 @@ def test_ami_of_equal_partitions_is_one(spark):
     assert H.adjusted_mutual_info(p).first().ami == pytest.approx(1.0)
     assert H.adjusted_rand(p).first().ari == pytest.approx(1.0)
     assert math.isclose(H.heterogeneity(p).first().heterogeneity, 0.0, abs_tol=1e-12)
+
+
+def test_segments_at_the_date_line(spark):
+    df = spark.createDataFrame([(0, 180.0, 0.0, 170.0, 5.0), (1, -180.0, 0.0, -170.0, 5.0), (2, 170.0, 1.0, -180.0, 2.0), (3, 170.0, 1.0, -170.0, 2.0), (4, -170.0, 1.0, 170.0, 2.0), (5, 10.0, 1.0, 20.0, 2.0)], "i int, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = {(r.i, r.segment): (r.x1, r.y1, r.x2, r.y2) for r in geometry.split_at_meridian(df).collect()}
+    assert got == {
+        (0, 0): (-180, 0, -179.5, 0), (0, 1): (180, 5, 170, 5), (1, 0): (-180, 0, -170, 5),
+        (2, 0): (170, 1, 180, 1), (2, 1): (-179.5, 2, -180, 2), (3, 0): (170, 1, 180, 1), (3, 1): (-180, 2, -170, 2),
+        (4, 0): (-170, 1, -180, 1), (4, 1): (180, 2, 170, 2), (5, 0): (10, 1, 20, 2),
+    }
+    curve = geometry.curve_control(spark.createDataFrame([(0.0, 0.0, 10.0, 10.0)], "x1 double, y1 double, x2 double, y2 double"))
+    assert [(r.cx, r.cy) for r in curve.collect()] == [(5.0, 7.0)]
+
+
+def test_null_models_lose_nothing(spark):
+    lattice = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 1.0)], "orig long, dest long, weight double")
+    tracks = spark.createDataFrame([(1, 5, 1, 1), (2, 5, 77, 1), (3, 5, None, 1), (4, 5, 3, 1), (5, 0, 1, 1)], "trackid long, n long, first long, last long")
+    walks = {}
+    for r in nulls.random_walks(tracks, lattice, 1).orderBy("seq").collect():
+        walks.setdefault(r.trackid, []).append(r.coord_idx)
+    assert set(walks) == {1, 4} and walks[1][0] == 1 and walks[4] == [3]  # 77 and null are no cells, 3 has no way on
+    edges = spark.createDataFrame([(9, 2, 4.0), (1, 3, 2.0)], "orig long, dest long, weight double")
+    assert sorted(map(tuple, nulls.rewire(edges, lattice, 1, 1).collect())) == [(0, 1, 2, 2.0), (0, 9, 2, 4.0)]
+
+
+def test_a_hub_forms_no_wedges(spark):
+    arcs = [(0, i, 1.0) for i in range(1, 400)] + [(1, 2, 1.0), (2, 0, 1.0)]
+    edges = spark.createDataFrame(arcs, "orig long, dest long, weight double")
+    ties, tri = metrics._triangles(edges)
+    assert ties.count() == 400 and [tuple(r) for r in tri.select("a", "b", "c").collect()] == [(1, 2, 0)]
+
+
+@pytest.mark.parametrize("values", [[5.0], [1.0, 1.0, 1.0, 9.0], [float(i * i % 97) for i in range(500)], [0.5] * 50 + [2.5] * 49])
+def test_exact_quantiles(spark, values):
+    import numpy as np
+
+    from orbweave.functions.running import quantiles
+
+    df = spark.createDataFrame([(v,) for v in [*values, None, NAN]], "x double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert quantiles(df, "x", at).first().q == pytest.approx(np.quantile(values, at).tolist())
+    weighed = df.where("x IS NOT NULL").groupBy("x").count()
+    assert quantiles(weighed, "x", at, "count").first().q == pytest.approx(np.quantile(values, at).tolist())
+    assert quantiles(df.limit(0), "x", [0.5]).first().q == [None]
+
+
+def test_equal_lifetimes_are_spread(spark):
+    times = [dt.datetime(2000, 1, 1), dt.datetime(2000, 1, 2)]
+    cat = spark.createDataFrame([(t, s, times[s]) for t in range(400) for s in (0, 1)], "trackid long, seq long, time timestamp")
+    got, edges = C.lifetime_classes(cat, 4)
+    assert {(r["class"], r["count"]) for r in got.groupBy("class").count().collect()} == {(k, 200) for k in range(4)}
+    assert col(edges, "edge") == [86400.0] * 5
+    assert C.lifetime_classes(cat.limit(1), 4)[0].count() == 1 and C.lifetime_classes(cat.limit(0), 4)[0].count() == 0
+
+
+def test_average_networks_follow_the_values(spark):
+    from orbweave.schema import Network
+
+    nodes = spark.createDataFrame([(1, 0.0, 0.0, 4.0), (2, 1.0, 1.0, 8.0)], "coord_id long, lat double, lon double, sign double").withColumn("more", F.lit(1.0))
+    edges = lambda w, s: spark.createDataFrame([(1, 2, w, s), (2, 1, w, 3.0)], "orig long, dest long, weight double, sign double")
+    full = N.average_networks(Network(nodes, edges(1.0, 1.0), True), Network(nodes, edges(3.0, 5.0), True), "sign")
+    assert {(r.orig, r.weight, r.sign) for r in full.edges.collect()} == {(1, 2.0, 3.0), (2, 2.0, 3.0)} and full.nodes.columns == ["coord_id", "lat", "lon", "sign"]
+    gaps = N.average_networks(Network(nodes, edges(1.0, None), True), Network(nodes, edges(3.0, 5.0), True), "sign")
+    assert "sign" not in gaps.edges.columns and "sign" in gaps.nodes.columns
+
+
+def test_operators_take_empty_tables(spark):
+    cat = spark.createDataFrame([], "trackid long, seq long, time timestamp, coord_idx long, mean_ivt double, lf_lon double, continent string, lat double, lon double")
+    edges = spark.createDataFrame([], "orig long, dest long, weight double")
+    nodes = spark.createDataFrame([], "coord_id long, lat double, lon double")
+    pairs = C.pairs(cat)
+    frames = [pairs, C.in_continent(cat, "ASIA"), C.in_box(cat, [0, 1, 0, 1], F.col("lon"), F.col("lat")), C.track_ends(cat), C.paths(cat), C.track_means(cat, "mean_ivt"), C.run_dedup(cat), C.sample_tracks(cat, 3),
+              N.transport_matrix(pairs), N.build_edges(N.transport_matrix(pairs)), N.consensus(edges, 2, 0, 0), N.average(edges, "weight"), metrics.clustering(nodes, edges), metrics.cycle_clustering(nodes, edges),
+              metrics.node_transport(pairs), metrics.edge_transport(pairs), geometry.split_at_meridian(N.edge_places(edges, nodes)), nulls.rewire(edges, edges, 2), nulls.random_walks(C.track_ends(cat), edges, 2)]
+    assert [f.count() for f in frames] == [0] * len(frames)
