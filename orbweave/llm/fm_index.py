@@ -69,15 +69,19 @@ def suffix_array(text: np.ndarray, most: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Counts of any pattern in a text of symbols ≥ 1, in which 0 separates pieces and never matches."""
+    """Counts of any pattern in a text of symbols ≥ 1, in which 0 separates pieces and never matches.
 
-    def __init__(self, text: np.ndarray, longest: int):
+    ``weight``: how often each place of the text stands for an occurrence (once without it), so a piece that is met many times is indexed once.
+    """
+
+    def __init__(self, text: np.ndarray, longest: int, weight: np.ndarray | None = None):
         text = np.append(text, 0)
         self.n_symbols = int(text.max()) + 1
         order = suffix_array(text, longest)
         self.bwt = WaveletMatrix(text[order - 1], self.n_symbols)
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.n_symbols))])
         self.size = len(text)
+        self.weight = np.arange(len(text) + 1) if weight is None else np.concatenate([[0], np.cumsum(np.append(weight, 1)[order])])  # of the first i suffixes
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the suffixes that begin with ``symbol`` and go on as those of [lo, hi)."""
@@ -96,7 +100,7 @@ class FMIndex:
         while len(live):
             live = live[(at[live] >= begin[live])]
             lo_, hi_ = self.step(query[at[live]], lo[live], hi[live])
-            ok = hi_ - lo_ >= least
+            ok = self.weight[hi_] - self.weight[lo_] >= least
             live = live[ok]
             lo[live], hi[live] = lo_[ok], hi_[ok]
             length[live] += 1

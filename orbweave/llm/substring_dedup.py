@@ -18,7 +18,8 @@ or more that occurs twice marks its windows, and halving covers the rest of the
 
 Defined cases: a null or empty text has no words and nothing to remove; repeated rows (same id
 or not) are occurrences of their own, so their windows repeat; texts shorter than the window
-keep all words; an empty table gives an empty result; other columns of the input are ignored.
+keep all words; a text of more than 2**26 - 1 words is an error; an empty table gives an empty result;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ def anchors(words: Words, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarr
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none, none
+    if n > int(_PLACE):
+        raise ValueError(f"a text of more than {int(_PLACE)} words")
     grams = gram_hashes(h, GRAM)
     low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     span, have = window - GRAM + 1, 1
@@ -132,20 +135,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = batch.slice(at, 1000)
             at += b.num_rows
             held.append(b)
-            size += len(b.column(4).flatten()) if b.num_rows else 0
+            size += len(b.column(5).flatten()) if b.num_rows else 0
             if size >= SHARD_WORDS:
                 every = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 cut = last_group(every)
                 if cut:
                     yield every.slice(0, cut)
                 held = [every.slice(cut)]
-                size = len(held[0].column(4).flatten())
+                size = len(held[0].column(5).flatten())
     if held:
         yield from (t for t in pa.Table.from_batches(held).combine_chunks().to_batches() if t.num_rows)
 
 
 def _search(window: int):
-    """(key, part, parts, seg, words) → (key, seg, mask) and, for split keys, each part's windows (kind 1) and open windows (kind 2)."""
+    """(key, part, parts, seg, c, words) → (key, seg, mask) and, for split keys, each part's windows (kind 1) and open windows (kind 2)."""
     names = ["kind", "key", "seg", "mask", "hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +156,18 @@ def _search(window: int):
             key, seg = b.column(0).to_numpy(), b.column(3).to_numpy()
             fresh = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
             b = b.filter(pa.array(fresh))  # equal rows of the table give the same segment again
-            words = b.column(4)
+            words = b.column(5)
             size = np.diff(words.offsets.to_numpy())
             h = words.flatten().to_numpy().view(np.uint64)
             symbol = np.unique(h, return_inverse=True)[1] + 1
             # pieces one after the other with a 0 between
             begin = np.cumsum(size + 1) - size - 1
             text = np.zeros(int(size.sum() + len(size)), np.int64)
-            text[np.arange(len(h)) + np.repeat(np.arange(len(size)), size)] = symbol
-            index = FMIndex(text, 2 * window - GRAM)
+            at = np.arange(len(h)) + np.repeat(np.arange(len(size)), size)
+            text[at] = symbol
+            weight = np.ones(len(text), np.int64)
+            weight[at] = np.repeat(b.column(4).to_numpy(), size)
+            index = FMIndex(text, 2 * window - GRAM, weight)
             count = size - window + 1
             mask = repeated_windows(index, text, begin, count, window)
             key, seg, split = b.column(0), b.column(3), np.flatnonzero(b.column(2).to_numpy() > 1)
@@ -195,9 +201,11 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = written(every.join(shared, "key"), "segments")
     place = F.struct("did", "tid", "w0", "nw")
     distinct = rows.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p"))
-    parts = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("m > 1 AND least = 1")
-    parts = written(parts.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "parts")
-    wanted = distinct.join(parts, "key").select("key", "seg", "parts", F.pmod("seg", "parts").cast("int").alias("part"), F.col("p.did").alias("did"), F.col("p.tid").alias("tid"), F.struct("key", "seg", "parts", F.pmod("seg", "parts").cast("int").alias("part"), F.col("p.w0").alias("w0"), F.col("p.nw").alias("nw")).alias("x"))
+    split = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART)
+    split = written(split.select("key", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "parts")
+    parts = F.coalesce("parts", F.lit(1))
+    x = F.struct("key", "seg", parts.alias("parts"), F.pmod("seg", parts).cast("int").alias("part"), F.least("c", F.lit(2)).cast("int").alias("c"), F.col("p.w0").alias("w0"), F.col("p.nw").alias("nw"))
+    wanted = distinct.join(split, "key", "left").select(F.col("p.did").alias("did"), F.col("p.tid").alias("tid"), x.alias("x"))
     by_text = wanted.groupBy("did", "tid").agg(F.collect_list("x").alias("x"))
     texts = _identified(docs)
 
@@ -215,16 +223,15 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             size = nw.astype(np.int64) + window - 1
             off = np.concatenate([[0], np.cumsum(size)])
             at = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(words.off[row] + w0, size)
-            yield pa.RecordBatch.from_arrays([x.field("key"), x.field("part"), x.field("parts"), x.field("seg"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h[at]))], names=["key", "part", "parts", "seg", "words"])
+            yield pa.RecordBatch.from_arrays([*(x.field(k) for k in ("key", "part", "parts", "seg", "c")), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h[at]))], names=["key", "part", "parts", "seg", "c", "words"])
 
     # both uses of the texts are left joins on the same columns, so the plan shuffles them once
-    pieces = texts.join(by_text, ["did", "tid"], "left").select("text", "x").mapInArrow(fetch, "key long, part int, parts int, seg long, words array<long>")
+    pieces = texts.join(by_text, ["did", "tid"], "left").select("text", "x").mapInArrow(fetch, "key long, part int, parts int, seg long, c int, words array<long>")
     found = pieces.repartition("key", "part").sortWithinPartitions("key", "part", "seg").mapInArrow(_search(window), "kind byte, key long, seg long, mask long, hash long")
     # windows that two parts of a split key have; a part gives each of its windows once, so the groups are small
     parts_with = F.sum((F.col("kind") == 1).cast("int")).over(Window.partitionBy("key", "hash"))
     met = found.withColumn("n", parts_with).where("kind = 0 OR kind = 2 AND n > 1")
-    masks = met.groupBy("key", "seg").agg(F.bit_or("mask").alias("mask"))
-    masks = distinct.join(masks, ["key", "seg"], "left").select("key", "seg", F.when(F.col("c") > 1, F.lit(-1)).otherwise(F.col("mask")).cast("long").alias("mask")).where("mask <> 0")
+    masks = met.groupBy("key", "seg").agg(F.bit_or("mask").alias("mask")).where("mask <> 0")
     # dealt anew, so that the join has an exchange of its own on either side and a hot segment's rows can be split
     masks = masks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.join(masks, ["key", "seg"]).groupBy("did", "tid").agg(F.collect_set(F.struct("w0", "nw", "mask")).alias("x"))

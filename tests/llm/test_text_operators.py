@@ -507,3 +507,19 @@ def test_operators_take_empty_tables(spark, docs, empty):
     n = sum(len([x for x in (r.text or "").split("\n") if SPACE_WORD.search(x)]) for r in docs.collect())
     assert quality_rules.label_lines(docs, quality_rules.DEFAULT).count() == n
     assert language_id.identify(docs, net).count() == docs.count()
+
+
+def test_weighed_index_counts_occurrences():
+    from orbweave.llm.fm_index import FMIndex
+
+    r = np.random.default_rng(3)
+    pieces = [r.integers(1, 4, r.integers(1, 9)) for _ in range(12)]
+    weight = r.integers(1, 4, 12)
+    text = np.concatenate([np.append(p, 0) for p in pieces])
+    index = FMIndex(text, 20, np.concatenate([np.full(len(p) + 1, w) for p, w in zip(pieces, weight)]))
+    full = collections.Counter(tuple(p[i:j]) for p, w in zip(pieces, weight) for _ in range(w) for i in range(len(p)) for j in range(i + 1, len(p) + 1))
+    for least in (1, 2, 3):
+        for p in pieces:
+            for end in range(1, len(p) + 1):
+                want = max((n for n in range(1, end + 1) if full[tuple(p[end - n : end])] >= least), default=0)
+                assert index.statistics(p, np.array([0]), np.array([end]), least)[0] == want
