@@ -56,6 +56,7 @@ MENU = 0.8  #: share of link text that makes a node a menu
 CELLS = 1 << 20  #: size of a matching table beyond which it is split
 
 # HTML element names and the words that name page furniture.
+SECTIONS = ("article", "main", "nav", "aside", "header", "footer", "section", "table", "form")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("title script style noscript template iframe svg math object canvas".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul button label caption video audio".split())
@@ -81,6 +82,7 @@ class Page:
     def __init__(self, source: str):
         self.symbol, self.parent, self.kids, self.named = ["#"], [-1], [[]], [False]
         self.blocks: list[tuple[int, str, int]] = []
+        self.shapes: tuple[list[int], dict] | None = None  # kept for a skeleton
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -248,6 +250,7 @@ class _Matching:
     def __init__(self) -> None:
         self.known: dict = {}
         self.memo: dict[tuple[int, int], int] = {}
+        self.small: dict[tuple[tuple, tuple], list[list[int]]] = {}  # tables of short child lists
         self.forms: list[tuple] = []
 
     def size(self, p: int, q: int) -> int:
@@ -296,15 +299,20 @@ class _Matching:
             for row in self.rows(a, b):
                 pass
             return row.tolist()
-        last = [0] * (len(b) + 1)
+        memo, last = self.memo, [0] * (len(b) + 1)
+        table = [last]
         for u in a:
-            row = [0]
+            row, best = [0], 0
             for j, v in enumerate(b):
-                row.append(max(row[j], last[j + 1], last[j] + self.memo[u, v]))
+                w = last[j] + memo[u, v]
+                best = max(best, last[j + 1], w)
+                row.append(best)
+            table.append(row)
             last = row
+        self.small[a, b] = table
         return last
 
-    def pairs(self, a: tuple, b: tuple, i0: int = 0, j0: int = 0) -> list[tuple[int, int]]:
+    def pairs(self, a: tuple, b: tuple) -> list[tuple[int, int]]:
         """Places of matched children in a greatest matching; tables beyond ``CELLS`` are split in two."""
         out, todo = [], [(0, len(a), 0, len(b))]
         while todo:
@@ -316,7 +324,7 @@ class _Matching:
                 cut = l + int(np.argmax(left + right))
                 todo += [(lo, mid, l, cut), (mid, hi, cut, r)]
                 continue
-            table = [row.tolist() for row in self.rows(a[lo:hi], b[l:r])]
+            table = self.small.get((a[lo:hi], b[l:r])) or [row.tolist() for row in self.rows(a[lo:hi], b[l:r])]
             i, j = hi - lo, r - l
             while i and j:
                 if table[i][j] == table[i - 1][j]:
@@ -332,7 +340,11 @@ class _Matching:
 def align(a: Page, b: Page) -> dict[int, int]:
     """Simple tree matching: the node of ``a`` for each matched node of ``b``."""
     m = _Matching()
-    sa, sb = _shapes(a, m.known), _shapes(b, m.known)
+    if a.shapes is None:
+        known: dict = {}
+        a.shapes = _shapes(a, known), known
+    sa, m.known = a.shapes[0], dict(a.shapes[1])
+    sb = _shapes(b, m.known)
     m.forms = list(m.known)
     found: dict[int, int] = {}
     ways: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -449,11 +461,11 @@ def content(skeleton: Page, page: Page, fixed: frozenset[int]) -> str:
 
 
 def with_host(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, host, and outline: a hash of the names of the sectioning elements and of the classes that the page has."""
+    """page_id, url, html, host, and outline: a bit for each sectioning element that the page has, written in lower case."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    names = F.regexp_extract_all(F.lower("html"), F.lit(r"<(article|main|nav|aside|header|footer|section|table|form)[\s>]"), F.lit(1))
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    return rows.withColumn("outline", F.xxhash64(F.concat_ws(" ", F.array_sort(F.array_distinct(names)))))
+    bits = [F.when(F.col("html").contains(f"<{name}"), 1 << i).otherwise(0) for i, name in enumerate(SECTIONS)]
+    return rows.withColumn("outline", sum(bits[1:], bits[0]))
 
 
 def skeletons(pages: DataFrame) -> DataFrame:
