@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrays import Texts, slices
+from .store import written
 
 STEPS, WARM, HIDDEN = 96, 8, 8
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -228,8 +229,12 @@ def train(labelled: DataFrame, per_lang: int = 200, per_text: int = 65_536) -> N
     ``per_text`` characters evenly spaced runs with that many.
     """
     rows = labelled.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text"))
+    distinct = written(rows.select("lang", "h").distinct(), "texts")
+    count = distinct.groupBy("lang").count()
+    # the sample lies far below this hash, so one task sees few rows of any language
+    below = (F.col("h").cast("double") + 2.0**63) * F.col("count") <= 2.0**64 * (2 * per_lang + 64)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    drawn = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "h")
+    drawn = distinct.join(F.broadcast(count), "lang").where(below).withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "h")
     some = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", "text")
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
