@@ -10,6 +10,7 @@ from ..operators import climate, geometry, hexgrid
 from ..schema import locator
 from ..sources import tables
 from ..sources.scratch import new_path
+from . import pipelines
 from .registry import register
 
 
@@ -162,7 +163,8 @@ _T7 = """s AS (SELECT trackid, seq, coord_idx, lag(coord_idx) OVER (PARTITION BY
 _net0 = lambda fx: fx.edges.where("net = 0")
 register("T7_classify_tracks", lambda fx: C.classify_tracks(fx.catalog_a, _net0(fx), "weight"), "WITH " + _T7.format(value="ln(weight + 1e-12)", score="(v - a) / (b - a + 1e-12)"))
 register("T7_classify_linear", lambda fx: C.classify_tracks(fx.catalog_a, _net0(fx), "weight", scale="linear"), "WITH " + _T7.format(value="weight", score="v / (b + 1e-12)"))
-register("T8_O3_sample_tracks", lambda fx: _ids(C.sample_tracks(fx.catalog_a, 20, 123)))
+# which tracks are drawn can't be told in SQL: how many, and how many rows of them are missing
+register("T8_O3_sample_tracks", lambda fx: _ids(C.sample_tracks(fx.catalog_a, 20, 123)).join(_ids(fx.catalog_a).withColumnRenamed("n", "every"), "trackid").agg(F.count(F.lit(1)).alias("tracks"), F.sum(F.col("every") - F.col("n")).alias("missing")), "SELECT least(20, count(DISTINCT trackid)) AS tracks, CAST(0 AS BIGINT) AS missing FROM fx_catalog_a")
 register("T9_track_means", lambda fx: C.track_means(fx.catalog_a, "mean_ivt", "centroid_lat"), "SELECT trackid, round(avg(mean_ivt), 6) AS mean_ivt, round(avg(centroid_lat), 6) AS centroid_lat, count(*) / 4 AS days FROM fx_catalog_a GROUP BY 1")
 register("T10_preprocess", lambda fx: C.preprocess(fx.catalog_a, loc="centroid", res=7, cond="season").groupBy("class", "coord_idx").agg(F.count(F.lit(1)).alias("n")),
          f"""WITH c AS (SELECT -180 + 7 * least(52, greatest(0, ceil((centroid_lon + 180) / 7 - 0.5))) AS lon, -90 + 7 * least(26, greatest(0, ceil((centroid_lat + 90) / 7 - 0.5))) AS lat, month(time) AS m FROM fx_catalog_a)
@@ -185,3 +187,14 @@ _DAYS = """, days AS (SELECT CAST(unnest(generate_series(min(d), max(d), INTERVA
 register("J12_daily_fill", lambda fx: climate.daily(_phases(fx), "phase").select(F.col("day").cast("string").alias("day"), "phase"), f"WITH {_PHASE}{_DAYS} SELECT strftime(d, '%Y-%m-%d') AS day, phase FROM dl")
 register("J1_daily_index", lambda fx: climate.with_index(fx.catalog_b, climate.daily(_phases(fx), "phase"), "phase").groupBy("teleconnection").agg(F.count(F.lit(1)).alias("n")),
          f"WITH {_PHASE}{_DAYS} SELECT phase AS teleconnection, count(*) AS n FROM fx_catalog_b LEFT JOIN dl ON dl.d = CAST(time AS DATE) GROUP BY 1")
+
+_REGIME = f"""{_PHASE}{_DAYS}, k AS (SELECT phase AS class, trackid, seq, coord_idx FROM fx_catalog_b JOIN dl ON dl.d = CAST(time AS DATE) WHERE phase IS NOT NULL),
+         pr AS (SELECT class, coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY class, trackid ORDER BY seq) AS dest FROM k),
+         e AS (SELECT class, orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM pr WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
+register("regime_networks", lambda fx: pipelines.regime_networks(fx.catalog_b, climate.daily(_phases(fx), "phase"), 2), f"WITH {_REGIME} SELECT class, orig, dest, weight FROM e")
+register("regime_change", lambda fx: pipelines.regime_change(fx.catalog_b, climate.daily(_phases(fx), "phase"), 2, -1, 1),
+         f"WITH {_REGIME}, sg AS (SELECT class, c, sum(weight) AS d FROM (SELECT class, orig AS c, weight FROM e UNION ALL SELECT class, dest, weight FROM e) GROUP BY 1, 2) SELECT x.c AS coord_id, round(y.d - x.d, 6) AS change FROM sg x JOIN sg y ON x.c = y.c AND x.class = -1 AND y.class = 1")
+_KINDS = "t7 AS (WITH " + _T7.format(value="ln(weight + 1e-12)", score="(v - a) / (b - a + 1e-12)") + "), m AS (SELECT trackid, avg(mean_ivt) AS v FROM fx_catalog_a GROUP BY 1), w AS (SELECT v, kind FROM m JOIN t7 USING (trackid) WHERE kind IN ('conformist', 'stray'))"
+register("typed_track_tests", lambda fx: pipelines.typed_track_tests(fx.catalog_a, _net0(fx), "mean_ivt").select("statistic"),
+         f"""WITH {_KINDS}, c AS (SELECT v, sum(count(*) FILTER (kind = 'conformist')) OVER (ORDER BY v) AS a, sum(count(*) FILTER (kind = 'stray')) OVER (ORDER BY v) AS b FROM w GROUP BY v),
+             n AS (SELECT count(*) FILTER (kind = 'conformist') AS na, count(*) FILTER (kind = 'stray') AS nb FROM w) SELECT round(max(abs(a / na - b / nb)), 6) AS statistic FROM c, n""")

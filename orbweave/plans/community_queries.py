@@ -57,11 +57,11 @@ register("H13_A8_pick_seed", lambda fx: H.pick_seed(fx.partitions, H.heterogenei
 register("H14_node_flow_ratios", lambda fx: H.node_flow_ratios(net0(fx), _modules(fx)), "WITH m AS (SELECT node, community FROM fx_levels WHERE level = 0), r AS (SELECT a.community, sum(weight) FILTER (a.community = b.community) / sum(weight) AS ratio FROM fx_edges JOIN m a ON a.node = orig JOIN m b ON b.node = dest WHERE net = 0 GROUP BY 1) SELECT node, round(ratio, 6) AS ratio FROM m LEFT JOIN r USING (community)")
 register("H15_relabel_dense", lambda fx: H.relabel_dense(fx.partitions), "SELECT seed, node, dense_rank() OVER (PARTITION BY seed ORDER BY community) - 1 AS community FROM fx_partitions")
 register("H16_seed_ensemble", lambda fx: H.unassign_small(H.relabel_dense(H.communities(fx.nodes, net0(fx), (1, 2, 3, 4))), 2))
-register("H17_J13_adjusted_rand", lambda fx: H.adjusted_rand(fx.partitions),
-         """WITH p AS (SELECT * FROM fx_partitions WHERE community <> -999), c AS (SELECT a.seed AS s1, b.seed AS s2, a.community AS c1, b.community AS c2, count(*) AS n FROM p a JOIN p b USING (node) WHERE a.seed < b.seed GROUP BY 1, 2, 3, 4),
+_ARI = """WITH p AS (SELECT * FROM fx_partitions WHERE community <> -999), c AS (SELECT a.seed AS s1, b.seed AS s2, a.community AS c1, b.community AS c2, count(*) AS n FROM p a JOIN p b USING (node) WHERE a.seed < b.seed GROUP BY 1, 2, 3, 4),
             x AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS x, sum(n) AS t FROM c GROUP BY 1, 2), a AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS a FROM (SELECT s1, s2, c1, sum(n) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
             b AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS b FROM (SELECT s1, s2, c2, sum(n) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2)
-            SELECT s1, s2, round((x - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS ari FROM x JOIN a USING (s1, s2) JOIN b USING (s1, s2)""")
+            SELECT s1, s2, round((x - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS ari FROM x JOIN a USING (s1, s2) JOIN b USING (s1, s2)"""
+register("H17_J13_adjusted_rand", lambda fx: H.adjusted_rand(fx.partitions), _ARI)
 register("H18_adjusted_mutual_info", lambda fx: H.adjusted_mutual_info(fx.partitions))
 register("H19_outlines", lambda fx: H.boundary_cells(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("node"), F.when(F.col("lat") > 0, 1).otherwise(0).alias("community")), hexgrid.AxialHexGrid().neighbours(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("cell"))).select(F.col("cell").alias("node"), "neighbour")))
 _LOG = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
@@ -75,7 +75,19 @@ def _rates(fx):
     return fx.flow.groupBy(F.col("src").alias("node")).agg(F.sum("flow").alias("rate"))
 
 
-register("S12_flow_tree", lambda fx: tables.flow_tree(fx.levels, _rates(fx)).select(F.substring_index("value", " ", 1).alias("path")), "SELECT string_agg(CAST(community AS VARCHAR), ':' ORDER BY level) AS path FROM fx_levels WHERE node IN (SELECT src FROM fx_flow) GROUP BY node")
+register("S12_flow_tree", lambda fx: tables.flow_tree(fx.levels, _rates(fx)), "WITH p AS (SELECT node, string_agg(CAST(community AS VARCHAR), ':' ORDER BY level) AS path FROM fx_levels GROUP BY 1), ra AS (SELECT src AS node, sum(flow) AS rate FROM fx_flow GROUP BY 1) SELECT printf('%s %.9f \"%s\" %s', path, rate, CAST(node AS VARCHAR), CAST(node AS VARCHAR)) AS value FROM p JOIN ra USING (node)")
+
+
+def _gain(fx):
+    """Nodes with a module, and whether the modules found describe the walk in no more bits than one module of all nodes."""
+    found = H.communities(fx.nodes, net0(fx), (1,)).select("node", "community")
+    flow = fx.flow
+    one = H.codelength(_rates(fx), flow, found.withColumn("community", F.lit(0).cast("long"))).withColumnRenamed("codelength", "one")
+    best = H.codelength(_rates(fx), flow, found)
+    return found.agg(F.count(F.lit(1)).alias("nodes")).join(best, F.lit(True)).join(one, F.lit(True)).select("nodes", (F.col("codelength") <= F.col("one") + 1e-9).alias("better"))
+
+
+register("H1_codelength_gain", _gain, "SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS better FROM fx_cells")
 _flows = lambda fx: H.module_flow(fx.levels.where("level = 0"), fx.flow)[0].select("c1", "c2", "flow")
 register("M12_module_graph", lambda fx: metrics.module_graph(_flows(fx), 0.3)[1],
          f"""WITH {_M0}, g AS (SELECT c1, c2, sum(flow) AS flow FROM f GROUP BY 1, 2), ids AS (SELECT c1 AS c FROM g UNION SELECT c2 FROM g), al AS (SELECT a.c AS c1, b.c AS c2, coalesce(flow, 0) AS flow FROM ids a CROSS JOIN ids b LEFT JOIN g ON c1 = a.c AND c2 = b.c),
@@ -160,3 +172,11 @@ register("seasonal_networks", lambda fx: pipelines.class_networks(fx.catalog_b,
          "WITH s AS (SELECT *, CASE WHEN month(time) IN (12,1,2) THEN 'DJF' WHEN month(time) < 6 THEN 'MAM' WHEN month(time) < 9 THEN 'JJA' ELSE 'SON' END AS class FROM fx_catalog_b), p AS (SELECT class, coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY class, trackid ORDER BY seq) AS dest FROM s), c AS (SELECT class, orig, dest, count(*) AS n FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2, 3) SELECT class, orig, dest, CAST(n AS DOUBLE) AS weight FROM c WHERE n >= CASE WHEN class IN ('JJA', 'SON') THEN 2 ELSE 1 END")
 register("upstream_network", lambda fx: pipelines.upstream_network(fx.catalog_a, fx.levels.where("level = 0").select(F.col("node").alias("hex_id"), "community"), 2, 2),
          "WITH r AS (SELECT *, coalesce(coord_idx IN (SELECT node FROM fx_levels WHERE level = 0 AND community = 2), false) AS r FROM fx_catalog_a), b AS (SELECT *, min(CASE WHEN r THEN seq END) OVER (PARTITION BY trackid) AS en FROM r), k AS (SELECT trackid, seq, coord_idx FROM b WHERE seq <= en AND coord_idx IS NOT NULL), p AS (SELECT coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY trackid ORDER BY seq) AS dest FROM k) SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2 HAVING count(*) >= 2")
+register("ensemble_stability", lambda fx: pipelines.ensemble_stability(fx.partitions), f"WITH ari AS ({_ARI}) SELECT count(*) AS pairs, round(avg(ari), 6) AS mean, round(min(ari), 6) AS least FROM ari")
+register("basin_highways", lambda fx: pipelines.basin_highways(fx.catalog_a, fx.levels, 0, 2, 2, 0.5),
+         "WITH r AS (SELECT *, coalesce(coord_idx IN (SELECT node FROM fx_levels WHERE level = 0 AND community = 2), false) AS r FROM fx_catalog_a), b AS (SELECT *, min(CASE WHEN r THEN seq END) OVER (PARTITION BY trackid) AS en FROM r), k AS (SELECT trackid, seq, coord_idx FROM b WHERE seq <= en AND coord_idx IS NOT NULL), p AS (SELECT coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY trackid ORDER BY seq) AS dest FROM k), e AS (SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2 HAVING count(*) >= 2) SELECT * FROM e WHERE weight >= 0.5 * (SELECT max(weight) FROM e)")
+_LEVEL = "x AS (SELECT a.level, a.community AS c1, b.community AS c2, flow FROM fx_flow JOIN fx_levels a ON a.node = src JOIN fx_levels b ON b.node = dst AND b.level = a.level), l AS (SELECT level, c1, sum(CASE WHEN c1 <> c2 THEN flow ELSE 0 END) / sum(flow) AS x FROM x GROUP BY 1, 2), rl AS (SELECT level, count(*) AS modules, avg(x) AS mean FROM l GROUP BY 1)"
+register("level_conductance", lambda fx: pipelines.level_conductance(fx.flow, fx.levels), f"WITH {_LEVEL} SELECT level, modules, round(mean, 6) AS mean FROM rl")
+_null_means = lambda fx: fx.null.groupBy("realization").agg((F.avg("metric") / 50 - 0.1).alias("mean")).withColumn("level", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+register("conductance_significance", lambda fx: pipelines.conductance_significance(fx.flow, fx.levels, _null_means(fx)),
+         f"WITH {_LEVEL}, nm AS (SELECT realization, avg(metric) / 50 - 0.1 AS o FROM fx_null GROUP BY 1) SELECT level, round(any_value(mean), 6) AS mean, round(avg((o <= mean)::INT), 6) AS p FROM rl, nm GROUP BY level")

@@ -100,4 +100,6 @@ def _braced(sql: str, name: str) -> str:
 def with_views(sql: str) -> str:
     """``sql`` after a WITH clause of all views."""
     views = ",\n".join(f"{n} AS ({s})" for n, s in VIEWS.items())
+    if sql.lstrip().upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {views},\n{sql.lstrip()[len('WITH RECURSIVE'):]}"
     return f"WITH {views},\n{sql[4:].lstrip()}" if sql.lstrip().upper().startswith("WITH") else f"WITH {views}\n{sql}"

@@ -106,7 +106,11 @@ register("M3_pagerank_fixed", lambda fx: metrics.pagerank(fx.nodes, net0(fx), st
              r2 AS (SELECT cell, lost, 0.85 * (coalesce((SELECT sum(r * p) FROM p JOIN r1 x ON x.cell = orig WHERE dest = r1.cell), 0) + (SELECT coalesce(sum(r), 0) FROM r1 WHERE lost) / n) + 0.15 / n AS r FROM r1, n),
              r3 AS (SELECT cell, lost, 0.85 * (coalesce((SELECT sum(r * p) FROM p JOIN r2 x ON x.cell = orig WHERE dest = r2.cell), 0) + (SELECT coalesce(sum(r), 0) FROM r2 WHERE lost) / n) + 0.15 / n AS r FROM r2, n)
              SELECT cell AS coord_id, round(r, 6) AS pagerank FROM r3""")
-register("M3_pagerank", lambda fx: metrics.pagerank(fx.nodes, net0(fx), normalised=True))
+register("M3_pagerank", lambda fx: metrics.pagerank(fx.nodes, net0(fx), tol=1e-14, normalised=True),
+         f"""WITH RECURSIVE {_E0}, n AS (SELECT count(*) AS n FROM fx_cells), s AS (SELECT orig, sum(weight) AS t FROM e GROUP BY 1),
+             mx AS (SELECT a.cell AS o, b.cell AS d, CASE WHEN t IS NULL THEN 1.0 / n ELSE coalesce(weight, 0) / t END AS p FROM fx_cells a CROSS JOIN fx_cells b CROSS JOIN n LEFT JOIN s ON s.orig = a.cell LEFT JOIN e ON e.orig = a.cell AND e.dest = b.cell),
+             r(step, cell, r) AS (SELECT 0, cell, CAST(1 AS DOUBLE) / n FROM fx_cells, n UNION ALL SELECT step + 1, d, 0.85 * sum(r * p) + 0.15 / any_value(n) FROM r JOIN mx ON o = cell CROSS JOIN n WHERE step < 100 GROUP BY step, d)
+             SELECT cell AS coord_id, round(100 * r, 6) AS pagerank FROM r WHERE step = 100""")
 _ARC = "a AS (SELECT DISTINCT orig, dest FROM fx_edges WHERE net = 0)"
 register("M4_J14_clustering", lambda fx: metrics.clustering(fx.nodes, net0(fx)),
          f"""WITH {_ARC}, s AS (SELECT u, v, count(*) AS m FROM (SELECT orig AS u, dest AS v FROM a UNION ALL SELECT dest, orig FROM a) GROUP BY 1, 2),
@@ -197,6 +201,15 @@ register("S6_parquet_network", _parquet, "SELECT net, count(*) AS n, sum(weight)
 register("S6_gml", _gml, "SELECT net AS realization, orig, dest, weight FROM fx_edges")
 register("S7_geojson", lambda fx: tables.geojson(fx.cells.select("cell", G.rect_boundary(F.col("lon"), F.col("lat"), 7).alias("boundary"))).select(F.get_json_object("value", "$.properties.cell").cast("long").alias("cell"), F.get_json_object("value", "$.geometry.coordinates[0][0][0]").cast("double").alias("x")), "SELECT cell, lon - 3.5 AS x FROM fx_cells")
 
+
+def _polygons(fx):
+    path = new_path(fx.spark, "polygons")
+    tables.geojson(fx.cells.select("cell", "continent", G.rect_boundary(F.col("lon"), F.col("lat"), 7).alias("boundary"))).write.text(path)
+    return tables.read_geojson(fx.spark, path, "cell bigint, continent string")
+
+
+register("S7_read_polygons", lambda fx: _polygons(fx).select("cell", "continent", _flat("boundary").alias("ring")), "SELECT cell, continent, printf('%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f', lon - 3.5, lat - 3.5, lon + 3.5, lat - 3.5, lon + 3.5, lat + 3.5, lon - 3.5, lat + 3.5, lon - 3.5, lat - 3.5) AS ring FROM fx_cells")
+
 register("N1_rect_lattice", lambda fx: nulls.rect_lattice(fx.spark, 30).groupBy("orig").agg(F.count(F.lit(1)).alias("n")),
          f"""WITH g AS (SELECT -90 + 30 * a AS lat, -180 + 30 * b AS lon FROM unnest(range(0, 7)) x(a), unnest(range(0, 12)) y(b)),
              w AS (SELECT DISTINCT g.lat, g.lon, lat + 30 * da AS la, (lon + 30 * db + 540) % 360 - 180 AS lo FROM g, unnest([-1, 0, 1]) x(da), unnest([-1, 0, 1]) y(db) WHERE (da <> 0 OR db <> 0) AND lat + 30 * da BETWEEN -90 AND 90)

@@ -140,6 +140,18 @@ def geojson(cells: DataFrame, boundary: str = "boundary") -> DataFrame:
     return cells.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*rest).alias("properties"))).alias("value"))
 
 
+def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Polygons of GeoJSON features, one a line: the columns of ``properties`` (a DDL string) and ``boundary``, the outer ring.
+
+    Lines that are no feature are left out; a missing geometry gives NULL.
+    """
+    own = ", ".join(c.strip().replace(" ", ": ", 1) for c in properties.split(","))
+    shape = f"type string, geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<{own}>"
+    rows = spark.read.text(path).select(F.from_json("value", shape).alias("f"))
+    ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat")))
+    return rows.where("f.type = 'Feature'").select("f.properties.*", ring.alias("boundary"))
+
+
 def flow_tree(levels: DataFrame, rates: DataFrame) -> DataFrame:
     """``value``: a line 'path flow "node" node' for each node, path being its community at each level."""
     path = levels.groupBy("node").agg(F.concat_ws(":", F.transform(F.sort_array(F.collect_list(F.struct("level", "community"))), lambda x: x["community"].cast("string"))).alias("path"))
