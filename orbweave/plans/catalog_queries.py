@@ -10,7 +10,7 @@ from ..operators import climate, geometry, hexgrid
 from ..schema import locator
 from ..sources import tables
 from ..sources.scratch import new_path
-from . import pipelines
+from . import oracles, pipelines
 from .registry import register
 
 
@@ -60,7 +60,7 @@ register("P3_cell_hash", lambda fx: fx.cells.select("cell", S.cell_id(F.col("lat
 register("P4_invert_hash", lambda fx: fx.cells.select(S.cell_id(F.col("lat"), F.col("lon")).alias("id")).unionByName(fx.spark.createDataFrame([("7",)], "id string")).join(fx.cells.select(S.cell_id(F.col("lat"), F.col("lon")).alias("id"), "lat", "lon"), "id", "left"),
          f"SELECT {_HASH} AS id, lat, lon FROM fx_cells UNION ALL SELECT '7', NULL, NULL")
 register("P5_prune_columns", lambda fx: C.prune(fx.catalog_a, ["k", "regime", "event_id", "time", "mean_ivt", "coord_idx", "cell"], ["centroid_"]), "SELECT trackid, seq, round(lf_lon, 6) AS lf_lon FROM fx_catalog_a")
-register("P6_hex_encode", lambda fx: fx.catalog_a.select(*[hexgrid.AxialHexGrid().encode(F.col("centroid_lat"), F.col("centroid_lon"), r).alias(f"res{r}") for r in range(3)]).groupBy("res0", "res1", "res2").count())
+register("P6_hex_encode", lambda fx: fx.catalog_a.select(*[hexgrid.AxialHexGrid().encode(F.col("centroid_lat"), F.col("centroid_lon"), r).alias(f"res{r}") for r in range(3)]).groupBy("res0", "res1", "res2").count(), oracles.HEX_ENCODE)
 register("P6_wrap", lambda fx: fx.cells.select("cell", S.wrap(F.col("lon") + 200).alias("lon")), "SELECT cell, (lon + 380) - 360 * floor((lon + 380) / 360) - 180 AS lon FROM fx_cells")
 register("P7_season", lambda fx: fx.catalog_b.groupBy(S.season(F.col("time")).alias("season")).agg(F.count(F.lit(1)).alias("n")),
          "SELECT CASE WHEN month(time) IN (12,1,2) THEN 'DJF' WHEN month(time) < 6 THEN 'MAM' WHEN month(time) < 9 THEN 'JJA' ELSE 'SON' END AS season, count(*) AS n FROM fx_catalog_b GROUP BY 1")

@@ -11,7 +11,7 @@ from ..operators import climate, hexgrid, metrics, nulls, stats
 from ..operators import community as H
 from ..operators import network as N
 from ..sources import tables
-from . import pipelines
+from . import oracles, pipelines
 from .network_queries import net0
 from .registry import register
 
@@ -62,8 +62,8 @@ _ARI = """WITH p AS (SELECT * FROM fx_partitions WHERE community <> -999), c AS
             b AS (SELECT s1, s2, sum(n * (n - 1) / 2) AS b FROM (SELECT s1, s2, c2, sum(n) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2)
             SELECT s1, s2, round((x - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS ari FROM x JOIN a USING (s1, s2) JOIN b USING (s1, s2)"""
 register("H17_J13_adjusted_rand", lambda fx: H.adjusted_rand(fx.partitions), _ARI)
-register("H18_adjusted_mutual_info", lambda fx: H.adjusted_mutual_info(fx.partitions))
-register("H19_outlines", lambda fx: H.boundary_cells(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("node"), F.when(F.col("lat") > 0, 1).otherwise(0).alias("community")), hexgrid.AxialHexGrid().neighbours(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("cell"))).select(F.col("cell").alias("node"), "neighbour")))
+register("H18_adjusted_mutual_info", lambda fx: H.adjusted_mutual_info(fx.partitions), oracles.ADJUSTED_INFORMATION)
+register("H19_outlines", lambda fx: H.boundary_cells(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("node"), F.when(F.col("lat") > 0, 1).otherwise(0).alias("community")), hexgrid.AxialHexGrid().neighbours(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("cell"))).select(F.col("cell").alias("node"), "neighbour")), oracles.HEX_OUTLINES)
 _LOG = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
 register("H_codelength", lambda fx: H.codelength(_rates(fx), fx.flow, _modules(fx)),
          f"""WITH {_M0}, ra AS (SELECT src AS node, sum(flow) AS rate FROM fx_flow GROUP BY 1), q AS (SELECT c1 AS community, coalesce(sum(flow) FILTER (c1 <> c2), 0) AS q FROM f GROUP BY 1),

@@ -12,6 +12,7 @@ from ..operators import network as N
 from ..schema import Network
 from ..sources import tables
 from ..sources.scratch import new_path
+from . import oracles
 from .registry import register
 
 net0 = lambda fx: fx.edges.where("net = 0").select("orig", "dest", "weight")
@@ -49,7 +50,7 @@ _GRID = "g AS (SELECT -90 + 30 * a AS lat, -180 + 30 * b AS lon FROM unnest(rang
 _HASH = "CAST(CAST(concat('0x', substr(sha256(printf('%.6f_%.6f', CAST(lat AS DOUBLE), CAST(lon AS DOUBLE))), 1, 16)) AS UBIGINT) AS VARCHAR)"
 register("G13_complete_nodes", lambda fx: N.complete_nodes(N.rect_cells(fx.spark, 30).where("lat > 20").withColumn("v", F.lit(1)), N.rect_cells(fx.spark, 30)),
          f"WITH {_GRID} SELECT {_HASH} AS coord_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CASE WHEN lat > 20 THEN CAST(1 AS BIGINT) END AS v FROM g")
-register("G13_hex_cells", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 1))
+register("G13_hex_cells", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 1), oracles.HEX_CELLS)
 register("G14_probabilities", lambda fx: N.normalize_outgoing(net0(fx)), f"WITH {_E0} SELECT orig, dest, weight, round(weight / sum(weight) OVER (PARTITION BY orig), 6) AS probability FROM e")
 register("G15_invert", lambda fx: N.invert_weights(net0(fx)), f"WITH {_E0} SELECT orig, dest, round(1 / weight, 6) AS weight FROM e")
 _mask = lambda fx: fx.catalog_a.select(F.floor(F.col("k") / 10).cast("long").alias("row"), (F.col("k") % 10).alias("col"), (F.col("k") * 7 % 4).alias("value")).distinct()
@@ -129,8 +130,8 @@ register("M7_edge_transport", lambda fx: metrics.edge_transport(fx.pairs),
          f"""WITH s AS (SELECT orig, dest, dest_ivt - orig_ivt AS x FROM fx_pairs), g AS (SELECT orig, dest, avg(x) AS v FROM s GROUP BY 1, 2), q AS (SELECT {_Q6.format('x')} FROM s)
              SELECT orig, dest, round(v, 6) AS ivt_diff, {_DIG} AS ivt_class FROM g, q""")
 register("M7_manual_thresholds", lambda fx: metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2) SELECT orig, dest, round(v, 6) AS ivt_diff, CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g")
-register("M8_edge_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), chunks=8))
-register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), weighted=False, chunks=8))
+register("M8_edge_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), chunks=8), oracles.betweenness("1 / weight"))
+register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), weighted=False, chunks=8), oracles.betweenness("1"))
 register("M9_visits", lambda fx: metrics.visits(fx.catalog_a), "SELECT coord_idx AS coord_id, count(*) AS visits FROM fx_catalog_a WHERE coord_idx IS NOT NULL GROUP BY 1")
 register("M10_widths", lambda fx: metrics.edge_widths(net0(fx), True), f"WITH {_E0} SELECT orig, dest, weight, round(log10(weight) / max(log10(weight)) OVER (), 6) AS width, CAST(NOT bool_and(weight = 1) OVER () AS BIGINT) AS weighted FROM e")
 register("M10_sign_widths", lambda fx: metrics.sign_widths(metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "ivt_class", 2.0).groupBy("ivt_class", "width").count(), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2), c AS (SELECT CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g) SELECT ivt_class, CAST(2 * CASE WHEN ivt_class = 0 THEN 0.5 ELSE abs(ivt_class) END AS DOUBLE) AS width, count(*) AS count FROM c GROUP BY 1, 2")
@@ -167,7 +168,8 @@ _flat = lambda c: F.concat_ws(";", F.transform(c, lambda p: F.concat_ws(" ", F.f
 register("P19_split_polygons", lambda fx: G.split_polygons(fx.cells.select("cell", F.transform(G.rect_boundary(F.col("lon") - 36, F.col("lat"), 10), lambda p: F.struct(S.wrap(p["lon"]).alias("lon"), p["lat"].alias("lat"))).alias("boundary"))).select("cell", "part", F.size("boundary").alias("n")),
          "SELECT cell, CAST(p AS BIGINT) AS part, CAST(5 AS BIGINT) AS n FROM fx_cells, unnest(CASE WHEN lon - 36 = -180 THEN [0, 1] ELSE [0] END) AS t(p)")
 register("P20_rect_boundary", lambda fx: fx.cells.select("cell", _flat(G.rect_boundary(F.col("lon"), F.col("lat"), 7)).alias("ring")), "SELECT cell, printf('%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f', lon - 3.5, lat - 3.5, lon + 3.5, lat - 3.5, lon + 3.5, lat + 3.5, lon - 3.5, lat + 3.5, lon - 3.5, lat - 3.5) AS ring FROM fx_cells")
-register("P20_hex_boundary", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select("coord_id", F.size(hexgrid.AxialHexGrid().boundary(F.col("coord_id"))).alias("n")))
+register("P20_hex_boundary", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select("coord_id", F.size(hexgrid.AxialHexGrid().boundary(F.col("coord_id"))).alias("n")), f"SELECT coord_id, count(*) + 1 AS n FROM ({oracles.HEX_RINGS}) r GROUP BY 1")
+register("P20_hex_corners", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select("coord_id", F.posexplode(F.slice(hexgrid.AxialHexGrid().boundary(F.col("coord_id")), 1, 6)).alias("corner", "p")).select("coord_id", "corner", F.round("p.lon", 4).alias("lon"), F.round("p.lat", 4).alias("lat")), oracles.HEX_RINGS)
 _shifted_nodes = lambda fx: fx.nodes.withColumn("lon", F.col("lon") + 36)
 register("plot_table", lambda fx: G.plot_table(net0(fx), _shifted_nodes(fx)).select("orig", "dest", "segment", "x1", "x2", "weight", "bin"),
          f"WITH {_E0}, {_SEG}, q AS (SELECT round_even(min(weight), 0) AS a, round_even(quantile_cont(weight, 0.999), 0) AS b FROM e) SELECT orig, dest, segment, CAST(x1 AS DOUBLE) AS x1, CAST(x2 AS DOUBLE) AS x2, weight, CAST(floor((least(greatest(weight, a), b) - a) * 6 / (b - a)) AS BIGINT) AS bin FROM seg JOIN e USING (orig, dest), q WHERE shift = 36 AND abs(x1 - x2) <= 180")
