@@ -130,8 +130,8 @@ register("M7_edge_transport", lambda fx: metrics.edge_transport(fx.pairs),
          f"""WITH s AS (SELECT orig, dest, dest_ivt - orig_ivt AS x FROM fx_pairs), g AS (SELECT orig, dest, avg(x) AS v FROM s GROUP BY 1, 2), q AS (SELECT {_Q6.format('x')} FROM s)
              SELECT orig, dest, round(v, 6) AS ivt_diff, {_DIG} AS ivt_class FROM g, q""")
 register("M7_manual_thresholds", lambda fx: metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2) SELECT orig, dest, round(v, 6) AS ivt_diff, CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g")
-register("M8_edge_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), chunks=8), oracles.betweenness("1 / weight"))
-register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), weighted=False, chunks=8), oracles.betweenness("1"))
+register("M8_edge_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), chunks=8), oracles.EDGE_BETWEENNESS)
+register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), weighted=False, chunks=8), oracles.HOP_BETWEENNESS)
 register("M9_visits", lambda fx: metrics.visits(fx.catalog_a), "SELECT coord_idx AS coord_id, count(*) AS visits FROM fx_catalog_a WHERE coord_idx IS NOT NULL GROUP BY 1")
 register("M10_widths", lambda fx: metrics.edge_widths(net0(fx), True), f"WITH {_E0} SELECT orig, dest, weight, round(log10(weight) / max(log10(weight)) OVER (), 6) AS width, CAST(NOT bool_and(weight = 1) OVER () AS BIGINT) AS weighted FROM e")
 register("M10_sign_widths", lambda fx: metrics.sign_widths(metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "ivt_class", 2.0).groupBy("ivt_class", "width").count(), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2), c AS (SELECT CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g) SELECT ivt_class, CAST(2 * CASE WHEN ivt_class = 0 THEN 0.5 ELSE abs(ivt_class) END AS DOUBLE) AS width, count(*) AS count FROM c GROUP BY 1, 2")

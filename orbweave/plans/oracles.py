@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 
-def betweenness(length: str) -> str:
-    """Edge betweenness on the arcs of net 0, each ``length`` long, from distances, path counts and path counts to each target.
+def betweenness(length: str, edges: str, nodes: str) -> str:
+    """Common table expressions up to ``eb`` (orig, dest, edge_betweenness): shortest paths over ``edges``, each ``length`` long, between all ``nodes`` (cell).
 
     Distances relax once for each possible hop; the other two recursions walk the arcs that lie on shortest paths.
     """
-    return f"""WITH RECURSIVE arc AS MATERIALIZED (SELECT orig AS v, dest AS w, CAST({length} AS DOUBLE) AS len FROM fx_edges WHERE net = 0 AND orig <> dest),
-        hop AS MATERIALIZED (SELECT * FROM arc UNION ALL SELECT cell, cell, CAST(0 AS DOUBLE) FROM fx_cells),
-        far(step, s, v, d) AS (SELECT 0, cell, cell, CAST(0 AS DOUBLE) FROM fx_cells UNION ALL SELECT step + 1, s, hop.w, min(d + len) FROM far JOIN hop USING (v) WHERE step < 24 GROUP BY step, s, hop.w),
+    return f"""e AS MATERIALIZED ({edges}), node AS MATERIALIZED ({nodes}),
+        arc AS MATERIALIZED (SELECT orig AS v, dest AS w, CAST({length} AS DOUBLE) AS len FROM e WHERE orig <> dest),
+        hop AS MATERIALIZED (SELECT * FROM arc UNION ALL SELECT cell, cell, CAST(0 AS DOUBLE) FROM node),
+        far(step, s, v, d) AS (SELECT 0, cell, cell, CAST(0 AS DOUBLE) FROM node UNION ALL SELECT step + 1, s, hop.w, min(d + len) FROM far JOIN hop USING (v) WHERE step < 24 GROUP BY step, s, hop.w),
         dist AS MATERIALIZED (SELECT s, v, d FROM far WHERE step = 24),
         dag AS MATERIALIZED (SELECT a.s, arc.v, arc.w FROM arc JOIN dist a ON a.v = arc.v JOIN dist b ON b.s = a.s AND b.v = arc.w WHERE a.d + len = b.d),
-        walk(step, s, v, c) AS (SELECT 0, cell, cell, CAST(1 AS DOUBLE) FROM fx_cells UNION ALL SELECT step + 1, s, dag.w, sum(c) FROM walk JOIN dag USING (s, v) GROUP BY step, s, dag.w),
+        walk(step, s, v, c) AS (SELECT 0, cell, cell, CAST(1 AS DOUBLE) FROM node UNION ALL SELECT step + 1, s, dag.w, sum(c) FROM walk JOIN dag USING (s, v) GROUP BY step, s, dag.w),
         sigma AS MATERIALIZED (SELECT s, v, sum(c) AS c FROM walk GROUP BY 1, 2),
         back(step, s, v, t, c) AS (SELECT 0, s, v, v, CAST(1 AS DOUBLE) FROM dist UNION ALL SELECT step + 1, dag.s, dag.v, t, sum(c) FROM back JOIN dag ON dag.s = back.s AND dag.w = back.v GROUP BY step, dag.s, dag.v, t),
         rest AS MATERIALIZED (SELECT s, v, t, sum(c) AS c FROM back GROUP BY 1, 2, 3),
-        b AS (SELECT dag.v, dag.w, sum(x.c * rest.c / y.c) AS b FROM dag JOIN sigma x ON x.s = dag.s AND x.v = dag.v JOIN rest ON rest.s = dag.s AND rest.v = dag.w JOIN sigma y ON y.s = dag.s AND y.v = rest.t GROUP BY 1, 2)
-        SELECT e.orig, e.dest, round(coalesce(b, 0) / (n * (n - 1)), 6) AS edge_betweenness FROM (SELECT DISTINCT orig, dest FROM fx_edges WHERE net = 0) e
-        LEFT JOIN b ON b.v = e.orig AND b.w = e.dest CROSS JOIN (SELECT count(*) AS n FROM fx_cells)"""
+        b AS (SELECT dag.v, dag.w, sum(x.c * rest.c / y.c) AS b FROM dag JOIN sigma x ON x.s = dag.s AND x.v = dag.v JOIN rest ON rest.s = dag.s AND rest.v = dag.w JOIN sigma y ON y.s = dag.s AND y.v = rest.t GROUP BY 1, 2),
+        eb AS (SELECT o.orig, o.dest, round(coalesce(b, 0) / (n * (n - 1)), 6) AS edge_betweenness FROM (SELECT DISTINCT orig, dest FROM e) o LEFT JOIN b ON b.v = o.orig AND b.w = o.dest CROSS JOIN (SELECT count(*) AS n FROM node))"""
+
+
+_NET0 = ("SELECT * FROM fx_edges WHERE net = 0", "SELECT cell FROM fx_cells")
+EDGE_BETWEENNESS = f"WITH RECURSIVE {betweenness('1 / weight', *_NET0)} SELECT * FROM eb"
+HOP_BETWEENNESS = f"WITH RECURSIVE {betweenness('1', *_NET0)} SELECT * FROM eb"
+
+_HIGHWAYS = "SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM fx_pairs WHERE orig <> dest GROUP BY 1, 2 HAVING count(*) >= 8"
+_SIX = ", ".join(f"quantile_cont(dest_ivt - orig_ivt, {q}) AS q{i}" for i, q in enumerate((0.1, 0.25, 0.4, 0.6, 0.75, 0.9)))
+HIGHWAYS = f"""WITH RECURSIVE {betweenness('1 / weight', _HIGHWAYS, 'SELECT orig AS cell FROM e UNION SELECT dest FROM e')},
+    q AS (SELECT {_SIX} FROM fx_pairs), g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2)
+    SELECT orig, dest, weight, round(v, 6) AS ivt_diff, CAST({" + ".join(f"(v >= q{i})::INT" for i in range(6))} - 3 AS BIGINT) AS ivt_class, edge_betweenness FROM e JOIN g USING (orig, dest) JOIN eb USING (orig, dest) CROSS JOIN q"""
 
 
 #: (information − expected) / (mean entropy − expected); the expectation over tables with the same margins is hypergeometric
