@@ -51,7 +51,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
     n = nodes.count()
     if not n:
         return nodes.select("coord_id", F.lit(0.0).alias("pagerank"))
-    share = edges.withColumn("p", F.col("weight") / F.sum("weight").over(Window.partitionBy("orig"))).select(F.col("orig").alias("coord_id"), "dest", "p")
+    total = edges.groupBy("orig").agg(F.sum("weight").alias("_total"))  # summed before the exchange: a hub's edges need not meet
+    share = edges.join(total, "orig").select(F.col("orig").alias("coord_id"), "dest", (F.col("weight") / F.col("_total")).alias("p"))
     share = written(share, "share")
     ids = written(nodes.select("coord_id").join(share.select("coord_id").distinct().withColumn("linked", F.lit(True)), "coord_id", "left"), "ids")
     rank = ids.select("coord_id", "linked", F.lit(1.0 / n).alias("r"))

@@ -50,6 +50,14 @@ FROM fx_cells CROSS JOIN (VALUES (0), (1), (2)) AS l(level)""",
     "fx_null": """
 SELECT CAST(model AS BIGINT) AS model, CAST(realization AS BIGINT) AS realization, cell, CAST(((cell * 31 + realization * 17 + model * 7) % 100) AS DOUBLE) AS metric
 FROM fx_cells CROSS JOIN (VALUES (1), (2), (3), (4)) AS m(model) CROSS JOIN (VALUES (1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) AS r(realization)""",
+    # a network that grows with the data: orders, parts, suppliers and customers as nodes
+    "fx_trade": """
+SELECT orig, dest, CAST(sum(weight) AS DOUBLE) AS weight
+FROM (SELECT CAST(l_orderkey AS BIGINT) * 4 AS orig, CAST(l_partkey AS BIGINT) * 4 + 1 AS dest, CAST(l_quantity AS DOUBLE) AS weight FROM lineitem
+      UNION ALL SELECT CAST(l_orderkey AS BIGINT) * 4, CAST(l_suppkey AS BIGINT) * 4 + 2, CAST(l_quantity AS DOUBLE) FROM lineitem
+      UNION ALL SELECT CAST(l_partkey AS BIGINT) * 4 + 1, CAST(l_suppkey AS BIGINT) * 4 + 2, CAST(l_quantity AS DOUBLE) FROM lineitem
+      UNION ALL SELECT CAST(o_custkey AS BIGINT) * 4 + 3, CAST(o_orderkey AS BIGINT) * 4, CAST(1 AS DOUBLE) FROM orders) links
+GROUP BY orig, dest""",
 }
 
 

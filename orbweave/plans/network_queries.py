@@ -132,6 +132,16 @@ register("M7_edge_transport", lambda fx: metrics.edge_transport(fx.pairs),
 register("M7_manual_thresholds", lambda fx: metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2) SELECT orig, dest, round(v, 6) AS ivt_diff, CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g")
 register("M8_edge_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), chunks=8), oracles.EDGE_BETWEENNESS)
 register("M8_hop_betweenness", lambda fx: metrics.edge_betweenness(fx.nodes, net0(fx), weighted=False, chunks=8), oracles.HOP_BETWEENNESS)
+# the same on a network whose nodes grow with the tables
+_TRADERS = "n AS (SELECT orig AS cell FROM fx_trade UNION SELECT dest FROM fx_trade)"
+register("M1_large_network", lambda fx: metrics.degree_centrality(N.end_nodes(fx.trade), fx.trade), "SELECT cell AS coord_id, sum(weight) AS degree FROM (SELECT orig AS cell, weight FROM fx_trade UNION ALL SELECT dest, weight FROM fx_trade) e GROUP BY 1")
+register("M3_large_network", lambda fx: metrics.pagerank(N.end_nodes(fx.trade), fx.trade, steps=3, tol=None, every=3).withColumn("pagerank", 1e6 * F.col("pagerank")), oracles.pagerank("SELECT * FROM fx_trade", "SELECT orig AS cell FROM fx_trade UNION SELECT dest FROM fx_trade", 3))
+register("M4_large_network", lambda fx: metrics.clustering(N.end_nodes(fx.trade), fx.trade),
+         f"""WITH {_TRADERS}, s AS (SELECT u, v, count(*) AS m FROM (SELECT orig AS u, dest AS v FROM fx_trade UNION ALL SELECT dest, orig FROM fx_trade) GROUP BY 1, 2),
+             w AS (SELECT x.u AS a, x.v AS b, y.v AS c, x.m * y.m * z.m AS t FROM s x JOIN s y ON y.u = x.v AND x.u < x.v AND x.v < y.v JOIN s z ON z.u = y.v AND z.v = x.u),
+             t AS (SELECT cell, 2 * sum(t) AS t FROM (SELECT unnest([a, b, c]) AS cell, t FROM w) GROUP BY 1),
+             d AS (SELECT u AS cell, sum(m) AS d, count(*) FILTER (m = 2) AS r FROM s GROUP BY 1)
+             SELECT cell AS coord_id, CASE WHEN coalesce(t, 0) = 0 THEN 0 ELSE round(t / (2 * (d * (d - 1) - 2 * r)), 6) END AS clustering FROM n LEFT JOIN t USING (cell) LEFT JOIN d USING (cell)""")
 register("M9_visits", lambda fx: metrics.visits(fx.catalog_a), "SELECT coord_idx AS coord_id, count(*) AS visits FROM fx_catalog_a WHERE coord_idx IS NOT NULL GROUP BY 1")
 register("M10_widths", lambda fx: metrics.edge_widths(net0(fx), True), f"WITH {_E0} SELECT orig, dest, weight, round(log10(weight) / max(log10(weight)) OVER (), 6) AS width, CAST(NOT bool_and(weight = 1) OVER () AS BIGINT) AS weighted FROM e")
 register("M10_sign_widths", lambda fx: metrics.sign_widths(metrics.edge_transport(fx.pairs, thresholds=(-60, -30, -10, 10, 30, 60)), "ivt_class", 2.0).groupBy("ivt_class", "width").count(), "WITH g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2), c AS (SELECT CAST((v >= -60)::INT + (v >= -30)::INT + (v >= -10)::INT + (v >= 10)::INT + (v >= 30)::INT + (v >= 60)::INT - 3 AS BIGINT) AS ivt_class FROM g) SELECT ivt_class, CAST(2 * CASE WHEN ivt_class = 0 THEN 0.5 ELSE abs(ivt_class) END AS DOUBLE) AS width, count(*) AS count FROM c GROUP BY 1, 2")

@@ -30,7 +30,19 @@ _HIGHWAYS = "SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM fx_pairs
 _SIX = ", ".join(f"quantile_cont(dest_ivt - orig_ivt, {q}) AS q{i}" for i, q in enumerate((0.1, 0.25, 0.4, 0.6, 0.75, 0.9)))
 HIGHWAYS = f"""WITH RECURSIVE {betweenness('1 / weight', _HIGHWAYS, 'SELECT orig AS cell FROM e UNION SELECT dest FROM e')},
     q AS (SELECT {_SIX} FROM fx_pairs), g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2)
-    SELECT orig, dest, weight, round(v, 6) AS ivt_diff, CAST({" + ".join(f"(v >= q{i})::INT" for i in range(6))} - 3 AS BIGINT) AS ivt_class, edge_betweenness FROM e JOIN g USING (orig, dest) JOIN eb USING (orig, dest) CROSS JOIN q"""
+    SELECT orig, dest, weight, round(v, 6) + 0.0 AS ivt_diff, CAST({" + ".join(f"(v >= q{i})::INT" for i in range(6))} - 3 AS BIGINT) AS ivt_class, edge_betweenness FROM e JOIN g USING (orig, dest) JOIN eb USING (orig, dest) CROSS JOIN q"""
+
+
+def pagerank(edges: str, nodes: str, steps: int) -> str:
+    """A million times the rank after ``steps`` rounds from equal ranks; what nodes without outgoing weight hold is shared by all."""
+    rounds = ", ".join(
+        f"""f{i} AS (SELECT dest AS cell, sum(r * p) AS f FROM p JOIN r{i - 1} ON cell = orig GROUP BY 1),
+        r{i} AS MATERIALIZED (SELECT cell, 0.85 * (coalesce(f, 0) + (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE cell NOT IN (SELECT orig FROM e)) / n) + 0.15 / n AS r FROM node LEFT JOIN f{i} USING (cell) CROSS JOIN n)"""
+        for i in range(1, steps + 1)
+    )
+    return f"""WITH e AS MATERIALIZED ({edges}), node AS MATERIALIZED ({nodes}), n AS (SELECT count(*) AS n FROM node),
+        p AS MATERIALIZED (SELECT orig, dest, weight / sum(weight) OVER (PARTITION BY orig) AS p FROM e), r0 AS (SELECT cell, CAST(1 AS DOUBLE) / n AS r FROM node, n), {rounds}
+        SELECT cell AS coord_id, round(1e6 * r, 6) AS pagerank FROM r{steps}"""
 
 
 #: (information − expected) / (mean entropy − expected); the expectation over tables with the same margins is hypergeometric
