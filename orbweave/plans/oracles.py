@@ -30,7 +30,7 @@ _HIGHWAYS = "SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM fx_pairs
 _SIX = ", ".join(f"quantile_cont(dest_ivt - orig_ivt, {q}) AS q{i}" for i, q in enumerate((0.1, 0.25, 0.4, 0.6, 0.75, 0.9)))
 HIGHWAYS = f"""WITH RECURSIVE {betweenness('1 / weight', _HIGHWAYS, 'SELECT orig AS cell FROM e UNION SELECT dest FROM e')},
     q AS (SELECT {_SIX} FROM fx_pairs), g AS (SELECT orig, dest, avg(dest_ivt - orig_ivt) AS v FROM fx_pairs GROUP BY 1, 2)
-    SELECT orig, dest, weight, round(v, 6) + 0.0 AS ivt_diff, CAST({" + ".join(f"(v >= q{i})::INT" for i in range(6))} - 3 AS BIGINT) AS ivt_class, edge_betweenness FROM e JOIN g USING (orig, dest) JOIN eb USING (orig, dest) CROSS JOIN q"""
+    SELECT orig, dest, weight, round(v, 12) + 0.0 AS ivt_diff, CAST({" + ".join(f"(v >= q{i})::INT" for i in range(6))} - 3 AS BIGINT) AS ivt_class, edge_betweenness FROM e JOIN g USING (orig, dest) JOIN eb USING (orig, dest) CROSS JOIN q"""
 
 
 def pagerank(edges: str, nodes: str, steps: int) -> str:
