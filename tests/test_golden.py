@@ -292,3 +292,14 @@ def test_operators_take_empty_tables(spark):
               N.transport_matrix(pairs), N.build_edges(N.transport_matrix(pairs)), N.consensus(edges, 2, 0, 0), N.average(edges, "weight"), metrics.clustering(nodes, edges), metrics.cycle_clustering(nodes, edges),
               metrics.node_transport(pairs), metrics.edge_transport(pairs), geometry.split_at_meridian(N.edge_places(edges, nodes)), nulls.rewire(edges, edges, 2), nulls.random_walks(C.track_ends(cat), edges, 2)]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_pagerank_without_edges_and_with_a_hub(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "coord_id long")
+    none = spark.createDataFrame([], "orig long, dest long, weight double")
+    assert {r.pagerank for r in metrics.pagerank(nodes, none, steps=2, tol=None).collect()} == {0.25}
+    hub = spark.createDataFrame([(0, 1, 1.0), (0, 2, 3.0)], "orig long, dest long, weight double")
+    got = {r.coord_id: r.pagerank for r in metrics.pagerank(nodes, hub, steps=1, tol=None).collect()}
+    spread = 0.85 * 0.75 / 4 + 0.15 / 4
+    want = {0: spread, 1: spread + 0.85 / 16, 2: spread + 0.85 * 3 / 16, 3: spread}
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
