@@ -35,11 +35,13 @@ def nothing(spark, tables, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_awkward_tables(spark, tables, nothing, name):
     rows = QUERIES[name](spark, tables).collect()
+    assert QUERIES[name](spark, nothing).count() == 0
+    if name in ("op12_filter_audit", "op13_ranked_search"):  # rows of other things than documents: see test_new_operators
+        return
     source = "pages" if name in ("op1_warc", "op10_html_extract") else "documents"
     key = "page_id" if source == "pages" else "doc_id"
     ids = [r[0] for r in spark.read.parquet(f"{tables}/{source}.parquet").select(key).collect()]
     assert sorted((r[key] for r in rows), key=str) == sorted(ids, key=str)
-    assert QUERIES[name](spark, nothing).count() == 0
     if name == "op3_token_counts":
         assert {r.doc_id for r in rows if r.over_limit} == {7} and all(r.over_limit == (r.n_tokens > 2048) for r in rows)
     if name == "op8_quality_classifier":
