@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.frames import frame
-from ..sources.scratch import written
-from .network import invert_weights
+from ..sources.scratch import bucketed, written
+from .paths import edge_betweenness  # noqa: F401
 
 
 def strengths(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -42,69 +38,83 @@ def divergence(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> Da
     return strengths(nodes, edges, by).select(*by, "coord_id", (F.col("out_strength") - F.col("in_strength")).alias("divergence"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 100, tol: float | None = 1e-6, normalised: bool = False, every: int = 5) -> DataFrame:
-    """PageRank by power iteration: weighted links, uniform teleport, dangling mass spread evenly.
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: int = 100, tol: float | None = 1e-6, normalised: bool = False, every: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """(by, coord_id, pagerank) by power iteration: weighted links, uniform teleport, dangling mass spread evenly.
 
-    Stops when the L1 change falls below n · tol (or after ``steps``; exactly then if tol is None). Lineage is cut by
-    a written table every few steps. ``normalised``: in per cent.
+    ``by``: columns of nodes and edges that tell graphs apart; all go through the same rounds. A graph stops when the L1
+    change falls below its n · tol, looked at every few steps (or after ``steps``; exactly then if tol is None). Each step is a written
+    table; shares lie in buckets by origin, so only ranks and sums move. ``normalised``: in per cent.
     """
-    n = nodes.count()
-    if not n:
-        return nodes.select("coord_id", F.lit(0.0).alias("pagerank"))
-    total = edges.groupBy("orig").agg(F.sum("weight").alias("_total"))  # summed before the exchange: a hub's edges need not meet
-    share = edges.join(total, "orig").select(F.col("orig").alias("coord_id"), "dest", (F.col("weight") / F.col("_total")).alias("p"))
-    share = written(share, "share")
-    ids = written(nodes.select("coord_id").join(share.select("coord_id").distinct().withColumn("linked", F.lit(True)), "coord_id", "left"), "ids")
-    rank = ids.select("coord_id", "linked", F.lit(1.0 / n).alias("r"))
+    by = list(by)
+    key = [*by, "coord_id"]
+    meet = lambda df, one: df.join(one, by) if by else df.join(F.broadcast(one), F.lit(True))
+    total = edges.groupBy(*by, "orig").agg(F.sum("weight").alias("_total"))  # summed before the exchange: a hub's edges need not meet
+    share = edges.join(total, [*by, "orig"]).select(*by, F.col("orig").alias("coord_id"), "dest", (F.col("weight") / F.col("_total")).alias("p"))
+    share = bucketed(share, "share", key)
+    size = nodes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    linked = share.select(*key).distinct().withColumn("linked", F.lit(True))
+    rank = written(meet(nodes.select(*key), size).join(linked, key, "left").select(*key, "linked", "n", (1 / F.col("n")).alias("r")), "rank")
+    done: list[DataFrame] = []
     for step in range(1, steps + 1):
-        lost = rank.agg(F.sum(F.when(F.col("linked").isNull(), F.col("r")).otherwise(0.0)).alias("_lost"))
-        came = rank.join(share, "coord_id").groupBy(F.col("dest").alias("coord_id")).agg(F.sum(F.col("r") * F.col("p")).alias("c"))
-        new = rank.join(came, "coord_id", "left").join(F.broadcast(lost), F.lit(True))
-        new = new.select("coord_id", "linked", F.col("r").alias("was"), (damping * (F.coalesce("c", F.lit(0.0)) + F.col("_lost") / n) + (1 - damping) / n).alias("r"))
-        if step % every == 0 or step == steps:
-            new = written(new, "rank")
-            if tol is not None and new.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] < n * tol:
-                rank = new
+        lost = rank.groupBy(*by).agg(F.sum(F.when(F.col("linked").isNull(), F.col("r")).otherwise(0.0)).alias("_lost"))
+        came = rank.join(share, key).select(*by, F.col("dest").alias("coord_id"), (F.col("r") * F.col("p")).alias("c"))
+        none = lambda t: F.lit(None).cast(t)
+        rows = rank.select(*key, "linked", "n", "r", none("double").alias("c")).unionByName(came.select(*key, none("boolean").alias("linked"), none("long").alias("n"), none("double").alias("r"), "c"))
+        sums = rows.groupBy(*key).agg(F.max("linked").alias("linked"), F.max("n").alias("n"), F.max("r").alias("was"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("c")).where("n IS NOT NULL")
+        new = meet(sums, lost).select(*key, "linked", "n", "was", (damping * (F.col("c") + F.col("_lost") / F.col("n")) + (1 - damping) / F.col("n")).alias("r"))
+        rank = written(new, "rank")
+        if tol is not None and step < steps and step % every == 0:
+            moved = rank.groupBy(*by).agg((F.sum(F.abs(F.col("r") - F.col("was"))) < F.max("n") * tol).alias("_stop"))
+            if by:
+                judged = rank.join(moved, by)
+                done.append(written(judged.where("_stop").select(*key, "r"), "rank"))
+                rank = written(judged.where("NOT _stop").drop("_stop"), "rank")
+                if rank.isEmpty():
+                    break
+            elif (moved.first() or [True])[0] in (True, None):
                 break
-        rank = new.drop("was")
-    return rank.select("coord_id", (F.col("r") * 100 if normalised else F.col("r")).alias("pagerank"))
+        rank = rank.drop("was")
+    out = rank.select(*key, "r")
+    for df in done:
+        out = out.unionByName(df)
+    return out.select(*key, (F.col("r") * 100 if normalised else F.col("r")).alias("pagerank"))
 
 
-def _triangles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v, m): the ties, m = 2 where both directions exist; (a, b, c, ab, ac, bc): each triangle once, with its ties' m.
+def _triangles(edges: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(by, u, v, m): the ties, m = 2 where both directions exist; (by, a, b, c, ab, ac, bc): each triangle once, with its ties' m.
 
     A tie belongs to its end of fewer ties (of equals that of smaller id), and wedges form over the ties of one end, so a hub
     forms none with its leaves and a graph of m ties at most m to the power 1.5.
     """
-    arcs = edges.where("orig <> dest").select("orig", "dest").distinct()
-    ties = arcs.select(F.least("orig", "dest").alias("u"), F.greatest("orig", "dest").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("m"))
-    size = ties.select("u").unionByName(ties.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("k"))
-    both = ties.join(size.select("u", F.struct("k", F.col("u").alias("id")).alias("x")), "u").join(size.select(F.col("u").alias("v"), F.struct("k", F.col("u").alias("id")).alias("y")), "v")
-    owned = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "m")
-    side = lambda n: owned.select(F.col("x.id").alias("a"), F.col("y").alias(n), F.col("m").alias("a" + n))
-    wedges = side("b").join(side("c"), "a").where("b < c").select("a", F.col("b.id").alias("b"), F.col("c.id").alias("c"), "ab", "ac")
-    return ties, wedges.join(owned.select(F.col("x.id").alias("b"), F.col("y.id").alias("c"), F.col("m").alias("bc")), ["b", "c"])
+    arcs = edges.where("orig <> dest").select(*by, "orig", "dest").distinct()
+    ties = arcs.select(*by, F.least("orig", "dest").alias("u"), F.greatest("orig", "dest").alias("v")).groupBy(*by, "u", "v").agg(F.count(F.lit(1)).alias("m"))
+    size = ties.select(*by, "u").unionByName(ties.select(*by, F.col("v").alias("u"))).groupBy(*by, "u").agg(F.count(F.lit(1)).alias("k"))
+    both = ties.join(size.select(*by, "u", F.struct("k", F.col("u").alias("id")).alias("x")), [*by, "u"]).join(size.select(*by, F.col("u").alias("v"), F.struct("k", F.col("u").alias("id")).alias("y")), [*by, "v"])
+    owned = both.select(*by, F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "m")
+    side = lambda n: owned.select(*by, F.col("x.id").alias("a"), F.col("y").alias(n), F.col("m").alias("a" + n))
+    wedges = side("b").join(side("c"), [*by, "a"]).where("b < c").select(*by, "a", F.col("b.id").alias("b"), F.col("c.id").alias("c"), "ab", "ac")
+    return ties, wedges.join(owned.select(*by, F.col("x.id").alias("b"), F.col("y.id").alias("c"), F.col("m").alias("bc")), [*by, "b", "c"])
 
 
-def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def clustering(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Directed unweighted clustering coefficient (Fagiolo): triangles over possible ones, 0 without triangles."""
-    ties, tri = _triangles(edges)
-    degree = ties.select("u", "m").unionByName(ties.select(F.col("v").alias("u"), "m")).groupBy("u").agg(F.sum("m").alias("d"), F.sum(F.when(F.col("m") == 2, 1).otherwise(0)).alias("r"))
+    ties, tri = _triangles(edges, by)
+    degree = ties.select(*by, "u", "m").unionByName(ties.select(*by, F.col("v").alias("u"), "m")).groupBy(*by, "u").agg(F.sum("m").alias("d"), F.sum(F.when(F.col("m") == 2, 1).otherwise(0)).alias("r"))
     # each triangle counts twice the product of its ties at each of its corners in (A + A')³
-    t = tri.select(F.explode(F.array("a", "b", "c")).alias("coord_id"), (2 * F.col("ab") * F.col("ac") * F.col("bc")).alias("m")).groupBy("coord_id").agg(F.sum("m").alias("t"))
-    rows = nodes.select("coord_id").join(degree.withColumnRenamed("u", "coord_id"), "coord_id", "left").join(t, "coord_id", "left")
-    return rows.select("coord_id", F.when(F.coalesce("t", F.lit(0)) == 0, 0.0).otherwise(F.col("t") / (2 * (F.col("d") * (F.col("d") - 1) - 2 * F.col("r")))).alias("clustering"))
+    t = tri.select(*by, F.explode(F.array("a", "b", "c")).alias("coord_id"), (2 * F.col("ab") * F.col("ac") * F.col("bc")).alias("m")).groupBy(*by, "coord_id").agg(F.sum("m").alias("t"))
+    rows = nodes.select(*by, "coord_id").join(degree.withColumnRenamed("u", "coord_id"), [*by, "coord_id"], "left").join(t, [*by, "coord_id"], "left")
+    return rows.select(*by, "coord_id", F.when(F.coalesce("t", F.lit(0)) == 0, 0.0).otherwise(F.col("t") / (2 * (F.col("d") * (F.col("d") - 1) - 2 * F.col("r")))).alias("clustering"))
 
 
-def cycle_clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cycle_clustering(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Of each node's reciprocal neighbours R: directed edges among them over |R|(|R| - 1); 0 if |R| < 2."""
-    ties, tri = _triangles(edges)
+    ties, tri = _triangles(edges, by)
     mutual = ties.where("m = 2")
-    size = mutual.select("u").unionByName(mutual.select(F.col("v").alias("u"))).groupBy(F.col("u").alias("coord_id")).agg(F.count(F.lit(1)).alias("r"))
+    size = mutual.select(*by, "u").unionByName(mutual.select(*by, F.col("v").alias("u"))).groupBy(*by, F.col("u").alias("coord_id")).agg(F.count(F.lit(1)).alias("r"))
     corners = F.array(*[F.struct(F.col(i).alias("coord_id"), ((F.col(p) == 2) & (F.col(q) == 2)).alias("in"), F.col(o).alias("e")) for i, p, q, o in (("a", "ab", "ac", "bc"), ("b", "ab", "bc", "ac"), ("c", "ac", "bc", "ab"))])
-    inner = tri.select(F.explode(corners).alias("k")).where("k.in").groupBy("k.coord_id").agg(F.sum("k.e").alias("e"))
-    rows = nodes.select("coord_id").join(size, "coord_id", "left").join(inner, "coord_id", "left")
-    return rows.select("coord_id", F.when(F.col("r") >= 2, F.coalesce("e", F.lit(0)) / (F.col("r") * (F.col("r") - 1))).otherwise(0.0).alias("cycle_clustering"))
+    inner = tri.select(*by, F.explode(corners).alias("k")).where("k.in").groupBy(*by, F.col("k.coord_id").alias("coord_id")).agg(F.sum("k.e").alias("e"))
+    rows = nodes.select(*by, "coord_id").join(size, [*by, "coord_id"], "left").join(inner, [*by, "coord_id"], "left")
+    return rows.select(*by, "coord_id", F.when(F.col("r") >= 2, F.coalesce("e", F.lit(0)) / (F.col("r") * (F.col("r") - 1))).otherwise(0.0).alias("cycle_clustering"))
 
 
 def node_transport(pairs: DataFrame, output: str = "classes", quantiles: Sequence[float] = (0.75, 0.85, 0.95), thresholds: Sequence[float] | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -144,73 +154,6 @@ def _classed(df: DataFrame, pool: DataFrame, column: str, output: str, quantiles
     return out.withColumn("ivt_class", S.digitize(F.col(column), [F.col("_q")[i] for i in range(6)], -3, "null" if nan_class == "null" else "last")).drop("_q")
 
 
-def brandes(adjacency: dict, sources: Sequence, weighted: bool = True) -> dict:
-    """Σ over the sources of each edge's dependency (Brandes); ``adjacency``: node → [(neighbour, length)]."""
-    out: dict = {}
-    for s in sources:
-        dist, sigma, before, done, order = {s: 0.0}, {s: 1.0}, {s: []}, set(), []
-        heap, tick = [(0.0, 0, s)], 0
-        while heap:
-            d, _, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done.add(v)
-            order.append(v)
-            for w, length in adjacency.get(v, ()):
-                new = d + (length if weighted else 1.0)
-                if math.isinf(new) or w in done:
-                    if w in done and w != s and not math.isinf(new) and new == dist[w]:
-                        sigma[w] += sigma[v]
-                        before[w].append(v)
-                    continue
-                if w not in dist or new < dist[w]:
-                    dist[w], sigma[w], before[w] = new, sigma[v], [v]
-                    tick += 1
-                    heapq.heappush(heap, (new, tick, w))
-                elif new == dist[w]:
-                    sigma[w] += sigma[v]
-                    before[w].append(v)
-        delta = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                c = sigma[v] / sigma[w] * (1.0 + delta[w])
-                out[v, w] = out.get((v, w), 0.0) + c
-                delta[v] += c
-    return out
-
-
-MOST_EDGES = 5_000_000
-
-
-def edge_betweenness(nodes: DataFrame, edges: DataFrame, weighted: bool = True, normalised: bool = True, chunks: int = 64) -> DataFrame:
-    """Shortest-path betweenness of each directed edge (orig, dest, edge_betweenness); path lengths are 1 / weight.
-
-    Sources are dealt over tasks, each of which runs Brandes' algorithm from its share over the whole network and
-    returns partial sums. The network travels as one broadcast value: its edges are counted first, and more than
-    MOST_EDGES are refused (grids of this kind have some ten thousand).
-    """
-    n = nodes.count()
-    size = edges.count()
-    if size > MOST_EDGES:
-        raise ValueError(f"{size} edges: at most {MOST_EDGES}")
-    lengths = invert_weights(edges.where("orig <> dest"))
-    adjacency: dict = {}
-    for r in lengths.orderBy("orig", "dest").select("orig", "dest", "weight").collect():
-        adjacency.setdefault(r.orig, []).append((r.dest, r.weight))
-    kind = edges.schema["orig"].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            got = brandes(adjacency, part["coord_id"].tolist(), weighted)
-            yield frame({"orig": [k[0] for k in got], "dest": [k[1] for k in got], "b": list(got.values())})
-
-    sources = nodes.select("coord_id").repartition(chunks)
-    part = sources.mapInPandas(run, f"orig {kind}, dest {kind}, b double")
-    scale = 1.0 / (n * (n - 1)) if normalised and n > 1 else 1.0
-    total = part.groupBy("orig", "dest").agg((F.sum("b") * scale).alias("edge_betweenness"))
-    return edges.select("orig", "dest").distinct().join(total, ["orig", "dest"], "left").na.fill(0.0, ["edge_betweenness"])
-
-
 def visits(catalog: DataFrame, node: str = "coord_idx") -> DataFrame:
     """Rows in each cell."""
     return catalog.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("coord_id")).agg(F.count(F.lit(1)).alias("visits"))

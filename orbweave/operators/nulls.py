@@ -1,22 +1,25 @@
 """Null models: lattices, random walks and rewired networks.
 
-A realization is a value of a column, so an ensemble is one plan. Random choices are seeded by a hash of
-(seed, realization, track), so they don't depend on how rows are dealt over tasks.
+A realization is a value of a column, so an ensemble is one plan. Random choices are MD5 sums of (seed, realization,
+track, step), so they don't depend on how rows are dealt over tasks, and any engine draws the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.frames import frame
+from ..functions.running import running_places
+from ..sources.scratch import written
 from .network import axis_cells
 
+DRAWS = 1 << 52
+CHUNK = 16  #: steps of a walk between two written tables
+
 
 def rect_lattice(spark, res: float) -> DataFrame:
     """(orig, dest, weight 1) between each cell of the rectangular grid and its up to eight neighbours, round the date line; the doubled
@@ -28,14 +31,58 @@ def rect_lattice(spark, res: float) -> DataFrame:
     return inside.select(S.cell_id(F.col("lat"), F.col("lon")).alias("orig"), S.cell_id(F.col("lat2"), F.col("lon2")).alias("dest"), F.lit(1.0).alias("weight")).distinct()
 
 
-def _adjacency(lattice: DataFrame) -> dict:
-    """Neighbours and weights of each cell; a lattice is a grid of fixed resolution, so its size doesn't grow with the data."""
-    out: dict = {}
-    for r in lattice.select("orig", "dest", "weight").orderBy("orig", "dest").collect():
-        out.setdefault(r.orig, ([], []))
-        out[r.orig][0].append(r.dest)
-        out[r.orig][1].append(float(r.weight))
-    return {k: (d, np.cumsum(w) / sum(w)) for k, (d, w) in out.items()}
+def draw(seed: int, *parts: Column) -> Column:
+    """A whole number in 0 .. DRAWS - 1 drawn for these values: the first 13 hex digits of the MD5 sum of them, joined by colons."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
+def numbered_cells(lattice: DataFrame) -> DataFrame:
+    """(cell, at): the lattice's cells in order, from 0."""
+    cells = lattice.select(F.col("orig").alias("cell")).unionByName(lattice.select(F.col("dest").alias("cell"))).distinct().withColumn("one", F.lit(1))
+    return running_places(cells, ["cell"], "one").select("cell", F.col("before").cast("long").alias("at"))
+
+
+def ways_on(lattice: DataFrame, ways: Sequence[int] = (1,)) -> DataFrame:
+    """(way, cell, on, total): the neighbours of each cell with their weights' running sums, in order; way -1 goes against the links."""
+    link = {1: lattice.select(F.lit(1).alias("way"), F.col("orig").alias("cell"), F.col("dest").alias("to"), "weight"), -1: lattice.select(F.lit(-1).alias("way"), F.col("dest").alias("cell"), F.col("orig").alias("to"), "weight")}
+    rows = link[ways[0]]
+    for w in ways[1:]:
+        rows = rows.unionByName(link[w])
+    # a cell's neighbours, not a frame: the window is as long as a cell has links
+    upto = Window.partitionBy("way", "cell").orderBy("to").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.where("weight > 0").withColumn("sum", F.sum(F.col("weight").cast("double")).over(upto))
+    near = rows.groupBy("way", "cell").agg(F.sort_array(F.collect_list(F.struct("sum", "to"))).alias("on"), F.max("sum").alias("total"))
+    return written(near, "ways")
+
+
+def walk(walkers: DataFrame, near: DataFrame, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """(key, step, cell): the cells of each walker (key, n, way, cell), n of them, the first its own.
+
+    All walkers take a step at a time, each a join with ``near`` (see ``ways_on``), which Spark broadcasts while its files are
+    small and shuffles when they aren't; a table is written every CHUNK steps. A walk ends where no way leads on.
+    """
+    key = list(key)
+    own = [*key, "n", "way"]
+    at = written(walkers.where("n > 0 AND cell IS NOT NULL").select(*own, F.lit(1).cast("long").alias("step"), "cell"), "walkers")
+    out = None
+    while True:
+        # every step has the same columns and constants, so all share their compiled code
+        rows = at.select(*own, "step", "cell", F.array().cast(f"array<{at.schema['cell'].dataType.simpleString()}>").alias("past"))
+        for _ in range(CHUNK):
+            rows = rows.join(near, ["way", "cell"], "left")
+            # a column of its own: inside a lambda a name that the select also makes would mean the new one
+            rows = rows.withColumn("mark", draw(seed, *[F.col(k) for k in key], F.col("step")) / F.lit(float(DRAWS)) * F.col("total"))
+            ahead = F.filter("on", lambda e: e["sum"] > F.col("mark"))
+            took = F.when(F.col("n") > F.col("step"), F.coalesce(F.try_element_at(ahead, F.lit(1)), F.element_at("on", -1))["to"])
+            rows = rows.select(*own, (F.col("step") + 1).alias("step"), took.alias("cell"), F.concat("past", F.array("cell")).alias("past"))
+        done = written(rows, "walk")
+        seen = done.select(*key, "step", F.posexplode("past").alias("i", "cell")).where("cell IS NOT NULL")
+        seen = seen.select(*key, (F.col("step") - CHUNK + F.col("i")).alias("step"), "cell")
+        out = seen if out is None else out.unionByName(seen)
+        at = done.where("cell IS NOT NULL").drop("past")
+        if at.isEmpty():
+            return out
 
 
 def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start: str | None = "first", end: str | None = None, seed: int = 0) -> DataFrame:
@@ -46,45 +93,32 @@ def random_walks(tracks: DataFrame, lattice: DataFrame, realizations: int, start
     than its track; a track without rows has no walk.
     """
     # a walk that is fixed at its end goes against the lattice's directions, and is turned round
-    steps = _adjacency(lattice.select(F.col("dest").alias("orig"), F.col("orig").alias("dest"), "weight") if end else lattice)
-    cells = sorted({*steps, *(c for near, _ in steps.values() for c in near)})
-    own = {k: k for k in cells}  # pandas may hand ids over as floats
-    kind = lattice.schema["orig"].dataType.simpleString()
-    anchor = "last" if end else "first" if start else None
-    rows = tracks.select("trackid", "n", F.col(anchor).alias("a") if anchor else F.lit(None).cast(kind).alias("a"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(realizations - 1).cast("long"))).alias("realization"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "realization", F.col("trackid").cast("string")))
-    track = tracks.schema["trackid"].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = {"realization": [], "trackid": [], "seq": [], "coord_idx": []}
-            for t, n, a, k, h in part[["trackid", "n", "a", "realization", "h"]].itertuples(index=False):
-                r = np.random.default_rng(int(h) & 0xFFFFFFFFFFFFFFFF)
-                if n < 1 or not cells or anchor and a not in own:
-                    continue
-                at = own[a] if anchor else cells[int(r.integers(len(cells)))]
-                walk = [at]
-                for _ in range(int(n) - 1):
-                    if at not in steps:
-                        break
-                    near, p = steps[at]
-                    at = near[min(int(np.searchsorted(p, r.random(), side="right")), len(near) - 1)]
-                    walk.append(at)
-                if end:
-                    walk.reverse()
-                out["realization"] += [k] * len(walk)
-                out["trackid"] += [t] * len(walk)
-                out["seq"] += range(1, len(walk) + 1)
-                out["coord_idx"] += walk
-            yield frame(out)
-
-    return rows.mapInPandas(run, f"realization long, trackid {track}, seq long, coord_idx {kind}")
+    way = -1 if end else 1
+    key = ["realization", "trackid"]
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(realizations - 1).cast("long"))).alias("realization")
+    walks = walk(anchored(tracks.select("*", runs), lattice, key, "last" if end else "first" if start else None, way, seed), ways_on(lattice, [way]), key, seed)
+    return turned(walks, key).select(*key, "seq", "coord_idx") if end else walks.select(*key, F.col("step").alias("seq"), F.col("cell").alias("coord_idx"))
+
+
+def anchored(tracks: DataFrame, lattice: DataFrame, key: Sequence[str], anchor: str | None, way: int, seed: int = 0) -> DataFrame:
+    """(key, n, way, cell): where each walker begins, its ``anchor`` column if that is on the lattice, or else a cell drawn."""
+    cells = numbered_cells(lattice)
+    if anchor:
+        return tracks.join(cells.select(F.col("cell").alias(anchor)), anchor).select(*key, "n", F.lit(way).alias("way"), F.col(anchor).alias("cell"))
+    many = cells.count()
+    pick = F.pmod(draw(seed, *[F.col(k) for k in key], F.lit(0)), F.lit(max(1, many)))
+    return tracks.withColumn("at", pick).join(cells, "at").select(*key, "n", F.lit(way).alias("way"), "cell")
+
+
+def turned(walks: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key, seq, coord_idx) of walks (key, step, cell) that were taken backwards."""
+    last = walks.groupBy(*key).agg(F.max("step").alias("_last"))
+    return walks.join(last, list(key)).select(*key, (F.col("_last") + 1 - F.col("step")).alias("seq"), F.col("cell").alias("coord_idx"))
 
 
 def rewire(edges: DataFrame, lattice: DataFrame, realizations: int, maxdist: int = 3, seed: int = 0) -> DataFrame:
     """(realization, orig, dest, weight): each edge gets a destination among the other cells within ``maxdist`` lattice steps of
-    its origin, picked by hash; weights stay and edges that fall together add up. An edge whose origin has no such cell keeps
+    its origin, drawn; weights stay and edges that fall together add up. An edge whose origin has no such cell keeps
     its destination."""
     ring = lattice.select("orig", "dest").distinct()
     reach = ring
@@ -92,5 +126,5 @@ def rewire(edges: DataFrame, lattice: DataFrame, realizations: int, maxdist: int
         reach = reach.unionByName(reach.select("orig", F.col("dest").alias("m")).join(ring.select(F.col("orig").alias("m"), "dest"), "m").select("orig", "dest")).where("orig <> dest").distinct()
     near = reach.groupBy("orig").agg(F.sort_array(F.collect_list("dest")).alias("near"))
     many = edges.select("orig", "dest", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(realizations - 1).cast("long"))).alias("realization")).join(near, "orig", "left")
-    pick = F.pmod(F.xxhash64(F.lit(seed), "realization", F.col("orig").cast("string"), F.col("dest").cast("string")), F.size("near").cast("long"))
+    pick = F.pmod(draw(seed, F.col("realization"), F.col("orig"), F.col("dest")), F.size("near").cast("long"))
     return many.select("realization", "orig", F.coalesce(F.element_at("near", (pick + 1).cast("int")), F.col("dest")).alias("dest"), "weight").groupBy("realization", "orig", "dest").agg(F.sum("weight").alias("weight"))

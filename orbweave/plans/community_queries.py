@@ -11,7 +11,7 @@ from ..operators import climate, hexgrid, metrics, nulls, stats
 from ..operators import community as H
 from ..operators import network as N
 from ..sources import tables
-from . import oracles, pipelines
+from . import ensembles, oracles, pipelines
 from .network_queries import net0
 from .registry import register
 
@@ -168,7 +168,12 @@ register("entry_a_consensus", lambda fx: pipelines.consensus_strengths(fx.catalo
 # twelve places: means of values with two decimals often end in a five at the seventh
 register("entry_b_highways", lambda fx: pipelines.highways(fx.catalog_a, fx.nodes, 8).select("orig", "dest", "weight", (F.round("ivt_diff", 12) + F.lit(0.0)).alias("ivt_diff"), F.col("ivt_class").cast("long"), F.round("edge_betweenness", 6).alias("edge_betweenness")), oracles.HIGHWAYS, as_is=True)
 register("entry_c_community_ensemble", lambda fx: pipelines.community_ensemble(fx.nodes, net0(fx), (1, 2, 3), 2))
-register("entry_d_significance", lambda fx: pipelines.node_significance(_real(fx), fx.null, "metric", 0.4), f"WITH {_P1}, {_BH}, {_W}, rr AS (SELECT cell, metric FROM re) SELECT cell, metric, s1::INT::BIGINT AS s1, s2::INT::BIGINT AS s2, s3::INT::BIGINT AS s3, s4::INT::BIGINT AS s4 FROM rr LEFT JOIN w USING (cell)")
+_parts2 = lambda fx: fx.catalog_a.withColumn("class", F.col("trackid") % 2)
+_near = lambda fx: fx.spark.sql(ensembles.NEIGHBOURS.replace("fx_cells", "{cells}"), cells=fx.cells)
+_graphs = lambda fx, n: ensembles.graphs(_parts2(fx), pipelines.consensus_edges(fx.catalog_a, 4, 5), _near(fx), n)
+register("entry_d_significance", lambda fx: ensembles.node_importance(_graphs(fx, 9), 0.4), ensembles.sql_importance(9, 0.4))
+register("central_edges", lambda fx: ensembles.central_edges(_graphs(fx, 3), 0.5), ensembles.sql_central(3, 0.5))
+register("N6_N10_significance", lambda fx: pipelines.node_significance(_real(fx), fx.null, "metric", 0.4), f"WITH {_P1}, {_BH}, {_W}, rr AS (SELECT cell, metric FROM re) SELECT cell, metric, s1::INT::BIGINT AS s1, s2::INT::BIGINT AS s2, s3::INT::BIGINT AS s3, s4::INT::BIGINT AS s4 FROM rr LEFT JOIN w USING (cell)")
 register("seasonal_networks", lambda fx: pipelines.class_networks(fx.catalog_b, "season", {"DJF": 1, "MAM": 1, "JJA": 2, "SON": 2}),
          "WITH s AS (SELECT *, CASE WHEN month(time) IN (12,1,2) THEN 'DJF' WHEN month(time) < 6 THEN 'MAM' WHEN month(time) < 9 THEN 'JJA' ELSE 'SON' END AS class FROM fx_catalog_b), p AS (SELECT class, coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY class, trackid ORDER BY seq) AS dest FROM s), c AS (SELECT class, orig, dest, count(*) AS n FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2, 3) SELECT class, orig, dest, CAST(n AS DOUBLE) AS weight FROM c WHERE n >= CASE WHEN class IN ('JJA', 'SON') THEN 2 ELSE 1 END")
 register("upstream_network", lambda fx: pipelines.upstream_network(fx.catalog_a, fx.levels.where("level = 0").select(F.col("node").alias("hex_id"), "community"), 2, 2),

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 
-def betweenness(length: str, edges: str, nodes: str) -> str:
+def betweenness(length: str, edges: str, nodes: str, steps: int = 24) -> str:
     """Common table expressions up to ``eb`` (orig, dest, edge_betweenness): shortest paths over ``edges``, each ``length`` long, between all ``nodes`` (cell).
 
-    Distances relax once for each possible hop; the other two recursions walk the arcs that lie on shortest paths.
+    Distances relax ``steps`` times, as often as a path has hops; the other two recursions walk the arcs that lie on shortest paths.
     """
     return f"""e AS MATERIALIZED ({edges}), node AS MATERIALIZED ({nodes}),
         arc AS MATERIALIZED (SELECT orig AS v, dest AS w, CAST({length} AS DOUBLE) AS len FROM e WHERE orig <> dest),
         hop AS MATERIALIZED (SELECT * FROM arc UNION ALL SELECT cell, cell, CAST(0 AS DOUBLE) FROM node),
-        far(step, s, v, d) AS (SELECT 0, cell, cell, CAST(0 AS DOUBLE) FROM node UNION ALL SELECT step + 1, s, hop.w, min(d + len) FROM far JOIN hop USING (v) WHERE step < 24 GROUP BY step, s, hop.w),
-        dist AS MATERIALIZED (SELECT s, v, d FROM far WHERE step = 24),
+        far(step, s, v, d) AS (SELECT 0, cell, cell, CAST(0 AS DOUBLE) FROM node UNION ALL SELECT step + 1, s, hop.w, min(d + len) FROM far JOIN hop USING (v) WHERE step < {steps} GROUP BY step, s, hop.w),
+        dist AS MATERIALIZED (SELECT s, v, d FROM far WHERE step = {steps}),
         dag AS MATERIALIZED (SELECT a.s, arc.v, arc.w FROM arc JOIN dist a ON a.v = arc.v JOIN dist b ON b.s = a.s AND b.v = arc.w WHERE a.d + len = b.d),
         walk(step, s, v, c) AS (SELECT 0, cell, cell, CAST(1 AS DOUBLE) FROM node UNION ALL SELECT step + 1, s, dag.w, sum(c) FROM walk JOIN dag USING (s, v) GROUP BY step, s, dag.w),
         sigma AS MATERIALIZED (SELECT s, v, sum(c) AS c FROM walk GROUP BY 1, 2),
@@ -26,6 +26,9 @@ _NET0 = ("SELECT * FROM fx_edges WHERE net = 0", "SELECT cell FROM fx_cells")
 EDGE_BETWEENNESS = f"WITH RECURSIVE {betweenness('1 / weight', *_NET0)} SELECT * FROM eb"
 HOP_BETWEENNESS = f"WITH RECURSIVE {betweenness('1', *_NET0)} SELECT * FROM eb"
 
+#: fx_trade leads from customers over orders and parts to suppliers; a path has three hops at most
+LARGE_BETWEENNESS = f"WITH RECURSIVE {betweenness('1 / weight', 'SELECT * FROM fx_trade', 'SELECT orig AS cell FROM fx_trade UNION SELECT dest FROM fx_trade', 3)} SELECT e.orig, e.dest, round(coalesce(b, 0), 6) AS edge_betweenness FROM e LEFT JOIN b ON b.v = e.orig AND b.w = e.dest"
+
 _HIGHWAYS = "SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM fx_pairs WHERE orig <> dest GROUP BY 1, 2 HAVING count(*) >= 8"
 _SIX = ", ".join(f"quantile_cont(dest_ivt - orig_ivt, {q}) AS q{i}" for i, q in enumerate((0.1, 0.25, 0.4, 0.6, 0.75, 0.9)))
 HIGHWAYS = f"""WITH RECURSIVE {betweenness('1 / weight', _HIGHWAYS, 'SELECT orig AS cell FROM e UNION SELECT dest FROM e')},

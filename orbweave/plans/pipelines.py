@@ -30,7 +30,7 @@ def highways(catalog: DataFrame, nodes: DataFrame, eps: float, quantiles: Sequen
     pairs = C.pairs(catalog)
     edges = N.build_edges(N.transport_matrix(pairs), eps=eps)
     ivt = metrics.edge_transport(pairs, quantiles=quantiles)
-    central = metrics.edge_betweenness(N.end_nodes(edges), edges, chunks=8)
+    central = metrics.edge_betweenness(N.end_nodes(edges), edges)
     return edges.join(ivt, ["orig", "dest"], "left").join(central, ["orig", "dest"], "left")
 
 

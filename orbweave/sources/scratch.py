@@ -31,3 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """``df`` as a written table in buckets by ``columns``: joins on these leave it where it lies."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = "orbweave_" + path.rsplit("-", 1)[1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # dealt as the buckets are, so that each is one file
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).sortBy(*columns).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)

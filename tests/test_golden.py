@@ -163,7 +163,7 @@ def test_edge_betweenness_against_enumeration(spark, weighted):
     nodes = list(range(7))
     n = spark.createDataFrame([(i,) for i in nodes], "coord_id long")
     e = spark.createDataFrame(edges, "orig long, dest long, weight double")
-    got = {(r.orig, r.dest): r.edge_betweenness for r in metrics.edge_betweenness(n, e, weighted, chunks=3).collect()}
+    got = {(r.orig, r.dest): r.edge_betweenness for r in metrics.edge_betweenness(n, e, weighted).collect()}
     ref = brute_betweenness(nodes, edges, weighted)
     assert got == {k: pytest.approx(v) for k, v in ref.items()}
 
@@ -303,3 +303,67 @@ def test_pagerank_without_edges_and_with_a_hub(spark):
     spread = 0.85 * 0.75 / 4 + 0.15 / 4
     want = {0: spread, 1: spread + 0.85 / 16, 2: spread + 0.85 * 3 / 16, 3: spread}
     assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_metrics_of_many_graphs_are_those_of_each(spark):
+    import random
+
+    r = random.Random(2)
+    edges = [(g, a, b, float(r.randrange(1, 5))) for g in range(2) for a in range(8) for b in range(8) if a != b and r.random() < 0.3 + 0.3 * g]
+    edges.append((2, 0, 1, 2.0))
+    nodes = [(g, i) for g in range(3) for i in range(8 if g < 2 else 2)]
+    e = spark.createDataFrame([(g, f"r{g}", a, b, w) for g, a, b, w in edges], "model long, realization string, orig long, dest long, weight double")
+    n = spark.createDataFrame([(g, f"r{g}", i) for g, i in nodes], "model long, realization string, coord_id long")
+    by = ["model", "realization"]
+    many = {
+        "pagerank": metrics.pagerank(n, e, tol=1e-2, every=2, by=by), "clustering": metrics.clustering(n, e, by), "cycle_clustering": metrics.cycle_clustering(n, e, by),
+        "edge_betweenness": metrics.edge_betweenness(n, e, by=by),
+    }
+    for g in (0, 2):
+        e1, n1 = e.where(f"model = {g}").drop(*by), n.where(f"model = {g}").drop(*by)
+        one = {"pagerank": metrics.pagerank(n1, e1, tol=1e-2, every=2), "clustering": metrics.clustering(n1, e1), "cycle_clustering": metrics.cycle_clustering(n1, e1), "edge_betweenness": metrics.edge_betweenness(n1, e1)}
+        for name, df in one.items():
+            got = {tuple(x[:-1]): x[-1] for x in many[name].where(f"model = {g}").drop(*by).collect()}
+            assert got == {tuple(x[:-1]): pytest.approx(x[-1], abs=1e-12) for x in df.collect()}, (g, name)
+
+
+def test_betweenness_from_some_sources_adds_up(spark):
+    edges = [(a, b, float(1 + (a * 7 + b * 3) % 4)) for a in range(6) for b in range(6) if a != b and (a + 2 * b) % 3] + [(0, 0, 9.0), (5, 7, 0.0)]
+    n = spark.createDataFrame([(i,) for i in range(8)], "coord_id long")
+    e = spark.createDataFrame(edges, "orig long, dest long, weight double")
+    total = {}
+    for part in ("coord_id < 2", "coord_id >= 2"):
+        for r in metrics.edge_betweenness(n, e, normalised=False, sources=n.where(part)).collect():
+            total[r.orig, r.dest] = total.get((r.orig, r.dest), 0) + r.edge_betweenness
+    assert total == {(r.orig, r.dest): pytest.approx(r.edge_betweenness) for r in metrics.edge_betweenness(n, e, normalised=False).collect()}
+    assert total[5, 7] == 0 and total[0, 0] == 0
+    assert metrics.edge_betweenness(n.where("coord_id < 0"), e.limit(0)).count() == 0
+
+
+def test_walks_take_many_steps_by_the_draws(spark):
+    """A plain walk with the same draws, beyond one chunk of steps, also against the links."""
+    import hashlib
+
+    links = {(a, b): float(1 + (a + 2 * b) % 3) for a in range(7) for b in range(7) if a != b and (a * b + a) % 4 != 1}
+    lattice = spark.createDataFrame([(*k, w) for k, w in links.items()], "orig long, dest long, weight double")
+    tracks = spark.createDataFrame([(t, 3 + 5 * t, t % 7, (t + 3) % 7) for t in range(6)], "trackid long, n long, first long, last long")
+    for end in (None, "last"):
+        want = []
+        for k in range(2):
+            for t in range(6):
+                at, path = ((t + 3) % 7 if end else t % 7), []
+                for step in range(1, 3 + 5 * t + 1):
+                    path.append(at)
+                    near = sorted((b, w) if not end else (a, w) for (a, b), w in links.items() if (b if end else a) == at)
+                    if not near:
+                        break
+                    u = int(hashlib.md5(f"4:{k}:{t}:{step}".encode()).hexdigest()[:13], 16) / 2**52 * sum(w for _, w in near)
+                    run = 0.0
+                    for c, w in near:
+                        run += w
+                        if run > u:
+                            at = c
+                            break
+                path = path[: 3 + 5 * t]
+                want += [(k, t, i + 1, c) for i, c in enumerate(path[::-1] if end else path)]
+        assert sorted(map(tuple, nulls.random_walks(tracks, lattice, 2, end=end, seed=4).collect())) == sorted(want)
