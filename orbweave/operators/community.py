@@ -8,7 +8,6 @@ communities that share a node, never pairs of nodes.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,161 +17,75 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.frames import frame
+from ..functions.running import running_places
 from ..schema import UNASSIGNED
+from ..sources.scratch import written
+from . import mapequation
 
-# the map equation (Rosvall & Bergstrom 2008)
-
-
-def stationary(n: int, links: Sequence[tuple[int, int, float]], node_flow: str = "pagerank", damping: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
-    """Visit rates of the nodes and flows along the links."""
-    src, dst = np.array([a for a, _, _ in links], int), np.array([b for _, b, _ in links], int)
-    w = np.array([x for _, _, x in links], float)
-    out = np.bincount(src, w, n)
-    p = np.full(n, 1.0 / max(1, n))
-    if node_flow == "pagerank":
-        for _ in range(200):
-            new = damping * (np.bincount(dst, p[src] * w / out[src], n) + p[out == 0].sum() / n) + (1 - damping) / n
-            done = np.abs(new - p).sum() < 1e-12
-            p = new
-            if done:
-                break
-    flow = p[src] * w / out[src] if len(w) else w
-    return p, flow / flow.sum() if len(flow) and flow.sum() else flow
-
-
-def _plogp(x: float) -> float:
-    return x * math.log2(x) if x > 0 else 0.0
-
-
-def codelength_of(rates: np.ndarray, src: np.ndarray, dst: np.ndarray, flow: np.ndarray, module: np.ndarray) -> float:
-    """Bits for each step of the walk, described in two levels by the given modules."""
-    k = int(module.max()) + 1 if len(module) else 0
-    leave = np.bincount(module[src], flow * (module[src] != module[dst]), k)
-    inside = np.bincount(module, rates, k)
-    return _plogp(leave.sum()) - 2 * sum(map(_plogp, leave)) - sum(map(_plogp, rates)) + sum(_plogp(a + b) for a, b in zip(leave, inside, strict=True))
-
-
-def search_modules(n: int, links: Sequence[tuple[int, int, float]], seed: int, node_flow: str = "pagerank") -> np.ndarray:
-    """A partition of low codelength: seeded greedy moves of nodes, then of modules, until none helps."""
-    rng = np.random.default_rng(seed)
-    links = [x for x in links if x[0] != x[1] and x[2] > 0]
-    rates, flow = stationary(n, links, node_flow)
-    label = np.arange(n)
-    member = np.arange(n)  # of the current (merged) graph
-    arcs = {(a, b): f for (a, b, _), f in zip(links, flow, strict=True)} if len({x[:2] for x in links}) == len(links) else _summed(links, flow)
-    size = rates.copy()
-    while True:
-        moved, module = _move(len(size), arcs, size, rng)
-        kept = {c: i for i, c in enumerate(sorted(set(module.tolist())))}
-        module = np.array([kept[c] for c in module], int)
-        member = module[member]
-        label = member.copy()
-        if not moved or len(kept) == len(size):
-            return label
-        merged: dict = defaultdict(float)
-        for (a, b), f in arcs.items():
-            merged[module[a], module[b]] += f
-        arcs, size = dict(merged), np.bincount(module, size, len(kept))
-
-
-def _summed(links, flow) -> dict:
-    out: dict = defaultdict(float)
-    for (a, b, _), f in zip(links, flow, strict=True):
-        out[a, b] += f
-    return dict(out)
-
-
-def _move(n: int, arcs: dict, size: np.ndarray, rng) -> tuple[bool, np.ndarray]:
-    out, into = [{} for _ in range(n)], [{} for _ in range(n)]
-    for (a, b), f in arcs.items():
-        if a != b:
-            out[a][b] = f
-            into[b][a] = f
-    module = np.arange(n)
-    leave = np.array([sum(x.values()) for x in out])
-    own_out = leave.copy()
-    inside = size.copy()
-    total = leave.sum()
-    ever = False
-    for _ in range(50):
-        changed = False
-        for v in rng.permutation(n):
-            near: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-            for w, f in out[v].items():
-                near[module[w]][0] += f
-            for w, f in into[v].items():
-                near[module[w]][1] += f
-            a = module[v]
-            to_a, from_a = near.get(a, [0.0, 0.0])
-            leave_a = leave[a] - own_out[v] + to_a + from_a  # once v is out
-            best, choice = -1e-12, a
-            for b, (to_b, from_b) in sorted(near.items()):
-                if b == a:
-                    continue
-                leave_b = leave[b] + own_out[v] - to_b - from_b
-                new_total = total - leave[a] - leave[b] + leave_a + leave_b
-                d = _plogp(new_total) - _plogp(total) - 2 * (_plogp(leave_a) + _plogp(leave_b) - _plogp(leave[a]) - _plogp(leave[b]))
-                d += _plogp(leave_a + inside[a] - size[v]) + _plogp(leave_b + inside[b] + size[v]) - _plogp(leave[a] + inside[a]) - _plogp(leave[b] + inside[b])
-                if d < best:
-                    best, choice, ends = d, b, (leave_a, leave_b, new_total)
-            if choice != a:
-                leave[a], leave[choice], total = ends
-                inside[a] -= size[v]
-                inside[choice] += size[v]
-                module[v] = choice
-                changed = ever = True
-        if not changed:
-            break
-    return ever, module
-
-
-def _graph(edges: DataFrame, nodes: DataFrame) -> tuple[list, list[tuple[int, int, float]]]:
-    """A network as driver-side lists; for searches that need all of it at once (refused beyond a million links)."""
-    if edges.count() > 1_000_000:
-        raise ValueError("more than a million links")
-    ids = [r[0] for r in nodes.select("coord_id").orderBy("coord_id").collect()]
-    at = {k: i for i, k in enumerate(ids)}
-    links = [(at[r.orig], at[r.dest], float(r.weight)) for r in edges.select("orig", "dest", "weight").orderBy("orig", "dest").collect()]
-    return ids, links
+# search by the map equation
 
 
-def communities(nodes: DataFrame, edges: DataFrame, seeds: Sequence[int] = (1,), node_flow: str = "pagerank") -> DataFrame:
-    """(seed, node, community): two-level partitions, one search for each seed, in parallel. Isolated nodes are alone."""
-    spark = edges.sparkSession
-    ids, links = _graph(edges, nodes)
-    kind = nodes.schema["coord_id"].dataType.simpleString()
+def communities(nodes: DataFrame, edges: DataFrame, seeds: Sequence[int] = (1,), node_flow: str = "pagerank", still: float = mapequation.STILL) -> DataFrame:
+    """(seed, node, community): two-level partitions of short code, all seeds in one plan. Isolated nodes are alone. See ``mapequation``."""
+    rates, flows = mapequation.random_walk(nodes, edges, node_flow)
+    each = F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])).alias("seed")
+    flows = written(flows, "flows")
+    out = flows.groupBy(F.col("src").alias("node")).agg(F.sum("flow").alias("out"))
+    start = rates.join(out, "node", "left").select(each, F.col("node").alias("v"), F.col("rate").alias("size"), F.coalesce("out", F.lit(0.0)).alias("out"))
+    extra = start.select("seed").distinct().withColumn("extra", F.lit(0.0))
+    found = mapequation.search(start, mapequation.both_ends(flows).select(each, "v", "w", "o", "i"), extra, ["seed"], still)
+    return _numbered(found.select("seed", F.col("v").alias("node"), F.col("a").alias("community")), nodes)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        seed = int(part["seed"].iloc[0])
-        return frame({"seed": seed, "node": ids, "community": search_modules(len(ids), links, seed, node_flow)})
 
-    rows = spark.createDataFrame([(int(s),) for s in seeds], "seed long")
-    return rows.groupBy("seed").applyInPandas(run, f"seed long, node {kind}, community long")
+def _numbered(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Communities, named by a node, as the place of that node among all."""
+    place = running_places(nodes.select(F.col("coord_id").alias("community")).distinct().withColumn("_one", F.lit(1)), ["community"], "_one").select("community", F.col("before").cast("long").alias("_place"))
+    return parts.join(place, "community").withColumn("community", F.col("_place")).select(*parts.columns)
 
 
 def hierarchical_communities(nodes: DataFrame, edges: DataFrame, seed: int = 1, least: int = 4, deepest: int = 6) -> DataFrame:
-    """(level, node, community): top modules at level 0, each split again within itself; a label never comes back at another level's number."""
-    ids, links = _graph(edges, nodes)
-    level = [search_modules(len(ids), links, seed)]
+    """(level, node, community): top modules at level 0, each split again within itself where that shortens the code; a label never comes
+    back at another level. All modules of a level are searched in one plan; those of fewer than ``least`` nodes stay whole.
+
+    The parts of a module count all flow that leaves them, and the module's own leaving flow goes into their index codebook.
+    """
+    rates, flows = mapequation.random_walk(nodes, edges)
+    flows = written(flows, "flows")
+    out = flows.groupBy(F.col("src").alias("node")).agg(F.sum("flow").alias("out"))
+    node = written(rates.join(out, "node", "left").select(F.lit(int(seed)).cast("long").alias("seed"), F.col("node").alias("v"), F.col("rate").alias("size"), F.coalesce("out", F.lit(0.0)).alias("out")), "nodes")
+    zero = node.select("seed").distinct().withColumn("extra", F.lit(0.0))
+    top = mapequation.search(node, mapequation.both_ends(flows).select(F.lit(int(seed)).cast("long").alias("seed"), "v", "w", "o", "i"), zero, ["seed"])
+    level = [written(top.select("v", F.col("a").alias("module")), "level")]
     while len(level) < deepest:
-        up, new, used = level[-1], np.zeros(len(ids), int), 0
-        for c in sorted(set(up.tolist())):
-            own = np.flatnonzero(up == c)
-            at = {v: i for i, v in enumerate(own.tolist())}
-            inner = [(at[a], at[b], w) for a, b, w in links if a in at and b in at]
-            part = search_modules(len(own), inner, seed) if len(own) >= least and inner else np.zeros(len(own), int)
-            new[own] = part + used
-            used += int(part.max()) + 1 if len(part) else 0
-        if len(set(new.tolist())) == len(set(up.tolist())):
+        up = level[-1]
+        home = flows.join(up.select(F.col("v").alias("src"), "module"), "src").join(up.select(F.col("v").alias("dst"), F.col("module").alias("_m")), "dst")
+        leaves = home.where("module <> _m").groupBy("module").agg(F.sum("flow").alias("extra"))
+        whole = node.join(up, "v").groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("p")).join(leaves, "module", "left").na.fill(0.0, ["extra"])
+        whole = written(whole.where(F.col("n") >= least), "whole")
+        if whole.isEmpty():
+            break
+        key = ["seed", "module"]
+        inner = node.join(up, "v").join(whole.select("module"), "module", "left_semi").select(*key, "v", "size", "out")
+        within = mapequation.both_ends(home.where("module = _m").join(whole.select("module"), "module", "left_semi").withColumn("seed", F.lit(int(seed)).cast("long")), key)
+        parts = mapequation.search(inner, within, whole.select(F.lit(int(seed)).cast("long").alias("seed"), "module", "extra"), key)
+        terms = mapequation.module_terms(rates, flows, parts.select("module", F.col("v").alias("node"), F.col("a").alias("community")), ["module"])
+        # flow to other modules leaves a part too
+        outer = home.where("module <> _m").join(parts.select(F.col("v").alias("src"), "a"), "src").groupBy("module", F.col("a").alias("community")).agg(F.sum("flow").alias("_o"))
+        terms = terms.join(outer, ["module", "community"], "left").withColumn("q", F.col("q") + F.coalesce("_o", F.lit(0.0)))
+        plogp = mapequation.plogp
+        cost = terms.groupBy("module").agg(F.count(F.lit(1)).alias("k"), F.sum("q").alias("s"), F.sum(plogp(F.col("q") + F.col("p")) - 2 * plogp(F.col("q"))).alias("h"))
+        gain = cost.join(whole, "module").where((F.col("k") > 1) & (plogp(F.col("s") + F.col("extra")) + F.col("h") < plogp(F.col("extra") + F.col("p")) - 1e-10)).select("module", F.lit(True).alias("splits"))
+        gain = written(gain, "splits")
+        if gain.isEmpty():
             break
-        level.append(new)
-    rows, base = [], 0
-    for k, labels in enumerate(level):
-        rows += [(k, n, int(c) + base) for n, c in zip(ids, labels, strict=True)]
-        base += int(labels.max()) + 1 if len(labels) else 0
-    kind = nodes.schema["coord_id"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(rows, f"level long, node {kind}, community long")
+        down = up.join(gain, "module", "left").join(parts.select("module", "v", "a"), ["module", "v"], "left")
+        level.append(written(down.select("v", F.when(F.col("splits"), F.col("a")).otherwise(F.col("module")).alias("module")), "level"))
+    many = nodes.select("coord_id").distinct().count()
+    rows = None
+    for i, df in enumerate(level):
+        one = _numbered(df.select(F.lit(i).cast("long").alias("level"), F.col("v").alias("node"), F.col("module").alias("community")), nodes).withColumn("community", F.col("community") + i * many)
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def codelength(rates: DataFrame, flows: DataFrame, modules: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import catalog as C
-from ..operators import climate, hexgrid, metrics, nulls, stats
+from ..operators import climate, hexgrid, mapequation, metrics, nulls, stats
 from ..operators import community as H
 from ..operators import network as N
 from ..sources import tables
+from ..sources.scratch import written
 from . import ensembles, oracles, pipelines
 from .network_queries import net0
 from .registry import register
@@ -88,6 +89,41 @@ def _gain(fx):
 
 
 register("H1_codelength_gain", _gain, "SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS better FROM fx_cells")
+
+
+def _large_gain(fx):
+    """The same on the network that grows with the tables, too large for one task at most sizes."""
+    found = written(H.communities(N.end_nodes(fx.trade), fx.trade, (1,)).select("node", "community"), "found")
+    rates, flow = mapequation.random_walk(N.end_nodes(fx.trade), fx.trade)
+    one = H.codelength(rates, flow, found.withColumn("community", F.lit(0).cast("long"))).withColumnRenamed("codelength", "one")
+    return found.agg(F.count(F.lit(1)).alias("nodes")).join(H.codelength(rates, flow, found), F.lit(True)).join(one, F.lit(True)).select("nodes", (F.col("codelength") < 0.7 * F.col("one")).alias("better"))
+
+
+register("H1_large_network", _large_gain, "SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS better FROM (SELECT orig FROM fx_trade UNION SELECT dest FROM fx_trade) n")
+_nested = lambda fx: fx.cells.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("level"), F.floor(F.col("cell") / 10).alias("community")), F.struct(F.lit(1).cast("long").alias("level"), (F.floor(F.col("cell") / 5) + 100).alias("community")))).alias("x"), F.col("cell").alias("node")).select("x.level", "node", "x.community")
+register("H2_codelength", lambda fx: mapequation.hierarchical_codelength(_rates(fx), fx.flow, _nested(fx)),
+         f"""WITH v AS (SELECT 0 AS level, cell AS node, floor(cell / 10) AS c FROM fx_cells UNION ALL SELECT 1, cell, floor(cell / 5) + 100 FROM fx_cells), ra AS (SELECT src AS node, sum(flow) AS rate FROM fx_flow GROUP BY 1),
+             q AS (SELECT a.level, a.c, sum(flow) AS q FROM fx_flow JOIN v a ON a.node = src JOIN v b ON b.node = dst AND b.level = a.level WHERE a.c <> b.c GROUP BY 1, 2),
+             t AS (SELECT level, c, coalesce(q, 0) AS q, p, e FROM (SELECT level, c, sum(rate) AS p, sum({_LOG.format('rate')}) AS e FROM v JOIN ra USING (node) GROUP BY 1, 2) i LEFT JOIN q USING (level, c)),
+             u AS (SELECT DISTINCT a.c AS up, b.c AS c FROM v a JOIN v b ON a.node = b.node AND a.level = 0 AND b.level = 1), k AS (SELECT up FROM u GROUP BY 1 HAVING count(*) > 1),
+             x AS (SELECT up, sum(q) AS s, sum({_LOG.format('q')}) AS h FROM u JOIN k USING (up) JOIN t ON t.c = u.c AND level = 1 GROUP BY 1),
+             b AS (SELECT {_LOG.format('sq')} - hq AS b FROM (SELECT sum(q) AS sq, sum({_LOG.format('q')}) AS hq FROM t WHERE level = 0) z
+                   UNION ALL SELECT {_LOG.format('(q + s)')} - {_LOG.format('q')} - h FROM x JOIN t ON t.c = up AND level = 0 UNION ALL SELECT {_LOG.format('(q + p)')} - {_LOG.format('q')} - e FROM t WHERE level = 1)
+             SELECT round(sum(b), 6) AS codelength FROM b""")
+
+
+def _nesting(fx):
+    """Nodes at the top, whether each module lies in one of the level above, and whether the tree takes no more bits than one module."""
+    tree = written(H.hierarchical_communities(fx.nodes, net0(fx)), "tree")
+    up = tree.select((F.col("level") + 1).alias("level"), "node", F.col("community").alias("above"))
+    apart = tree.join(up, ["level", "node"]).groupBy("level", "community").agg(F.count_distinct("above").alias("k")).agg(F.coalesce(F.max("k"), F.lit(1)).alias("k"))
+    rates, flow = mapequation.random_walk(fx.nodes, net0(fx))
+    one = H.codelength(rates, flow, tree.where("level = 0").select("node", F.lit(0).cast("long").alias("community"))).withColumnRenamed("codelength", "one")
+    top = tree.where("level = 0").agg(F.count(F.lit(1)).alias("nodes"))
+    return top.join(apart, F.lit(True)).join(mapequation.hierarchical_codelength(rates, flow, tree), F.lit(True)).join(one, F.lit(True)).select("nodes", (F.col("k") == 1).alias("nested"), (F.col("codelength") <= F.col("one") + 1e-9).alias("better"))
+
+
+register("H2_nesting", _nesting, "SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS nested, CAST(1 AS BIGINT) AS better FROM fx_cells")
 _flows = lambda fx: H.module_flow(fx.levels.where("level = 0"), fx.flow)[0].select("c1", "c2", "flow")
 register("M12_module_graph", lambda fx: metrics.module_graph(_flows(fx), 0.3)[1],
          f"""WITH {_M0}, g AS (SELECT c1, c2, sum(flow) AS flow FROM f GROUP BY 1, 2), ids AS (SELECT c1 AS c FROM g UNION SELECT c2 FROM g), al AS (SELECT a.c AS c1, b.c AS c2, coalesce(flow, 0) AS flow FROM ids a CROSS JOIN ids b LEFT JOIN g ON c1 = a.c AND c2 = b.c),

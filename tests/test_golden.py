@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import scalar as S
 from orbweave.operators import catalog as C
-from orbweave.operators import climate, geometry, hexgrid, metrics, nulls, stats
+from orbweave.operators import climate, geometry, hexgrid, mapequation, metrics, nulls, stats
 from orbweave.operators import community as H
 from orbweave.operators import network as N
 from orbweave.schema import locator
@@ -168,21 +168,98 @@ def test_edge_betweenness_against_enumeration(spark, weighted):
     assert got == {k: pytest.approx(v) for k, v in ref.items()}
 
 
-def test_modules_of_two_cliques():
-    links = [(a + o, b + o, 1.0) for o in (0, 5) for a in range(5) for b in range(5) if a != b] + [(0, 5, 0.1), (5, 0, 0.1)]
-    for seed in range(3):
-        m = H.search_modules(10, links, seed)
-        assert len(set(m[:5])) == 1 and len(set(m[5:])) == 1 and m[0] != m[5]
-
-
-def test_codelength_not_above_one_module():
-    links = [(a, b, float(1 + (a * b) % 3)) for a in range(8) for b in range(8) if (a + b) % 3 == 1 and a != b]
-    rates, flow = H.stationary(8, links)
+def plain_walk(n, links):
+    """Visit rates and flows by the same PageRank, without Spark."""
+    out = [sum(w for a, _, w in links if a == v) for v in range(n)]
+    p = [1 / n] * n
+    for _ in range(200):
+        lost = sum(p[v] for v in range(n) if not out[v])
+        new = [0.85 * lost / n + 0.15 / n] * n
+        for a, b, w in links:
+            new[b] += 0.85 * p[a] * w / out[a]
+        p = new
+    flow = {(a, b): p[a] * w / out[a] for a, b, w in links}
+    total = sum(flow.values())
+    return p, {k: f / total for k, f in flow.items()}
+
+
+def plain_codelength(p, flow, module, within=None, extra=0.0):
+    h = mapequation._h
+    q, inside = {}, {}
+    for v, c in module.items():
+        inside[c] = inside.get(c, 0) + p[v]
+    for (a, b), f in flow.items():
+        if a in module and module[a] != module.get(b):
+            q[module[a]] = q.get(module[a], 0) + f
+    return h(extra + sum(q.values())) - 2 * sum(map(h, q.values())) - sum(h(p[v]) for v in module) + sum(h(q.get(c, 0) + x) for c, x in inside.items())
+
+
+CLIQUES = [(a + o, b + o, 1.0) for o in (0, 5) for a in range(5) for b in range(5) if a != b] + [(0, 5, 0.1), (5, 0, 0.1)]
+
+
+@pytest.mark.parametrize("local", [50_000, 0])
+def test_modules_of_two_cliques(spark, local, monkeypatch):
+    """In one task, and by rounds of joins."""
+    monkeypatch.setattr(mapequation, "LOCAL_LINKS", local)
+    nodes = spark.createDataFrame([(i,) for i in range(11)], "coord_id long")
+    edges = spark.createDataFrame([*CLIQUES, (3, 3, 5.0)], "orig long, dest long, weight double")
+    got = {}
+    for r in H.communities(nodes, edges, (1, 2), still=1e-3).collect():
+        got.setdefault(r.seed, {})[r.node] = r.community
+    for m in got.values():
+        assert len(m) == 11 and len({m[i] for i in range(5)}) == 1 and len({m[i] for i in range(5, 10)}) == 1 and len(set(m.values())) == 3
+
+
+def test_codelength_of_a_search(spark):
+    links = [(a, b, float(1 + (a * b) % 3)) for a in range(8) for b in range(8) if (a + b) % 3 == 1 and a != b] + [(8, 0, 2.0), (9, 8, 1.0), (8, 9, 1.0)]
+    p, flow = plain_walk(10, links)
+    nodes, edges = spark.createDataFrame([(i,) for i in range(10)], "coord_id long"), spark.createDataFrame(links, "orig long, dest long, weight double")
+    m = {r.node: r.community for r in H.communities(nodes, edges, (1,)).collect()}
+    rates, flows = mapequation.random_walk(nodes, edges, steps=200, tol=1e-13)
+    got = H.codelength(rates, flows, spark.createDataFrame(list(m.items()), "node long, community long")).first()[0]
+    assert got == pytest.approx(plain_codelength(p, flow, m)) and got <= plain_codelength(p, flow, dict.fromkeys(range(10), 0)) + 1e-9
+
+
+def test_greedy_moves_take_the_extra_flow_into_account():
     import numpy as np
 
-    src, dst = np.array([x[0] for x in links]), np.array([x[1] for x in links])
-    m = H.search_modules(8, links, 1)
-    assert H.codelength_of(rates, src, dst, flow, m) <= H.codelength_of(rates, src, dst, flow, np.zeros(8, int)) + 1e-9
+    out = np.zeros(10)
+    for a, _, w in CLIQUES:
+        out[a] += w / 41
+    links = {(a, b): w / 41 for a, b, w in CLIQUES}
+    for seed in range(3):
+        m = mapequation.greedy(np.full(10, 0.1), out, links, 0.0, seed)
+        assert len(set(m[:5])) == 1 and len(set(m[5:])) == 1 and m[0] != m[5]
+        p, flow = dict(enumerate([0.1] * 10)), links
+        assert plain_codelength(p, flow, dict(enumerate(m))) < plain_codelength(p, flow, dict.fromkeys(range(10), 0))
+
+
+def test_hierarchy_of_cliques_of_cliques(spark):
+    """Four groups of three cliques: the tree has two levels that nest, and its code is shorter than any single level's."""
+    links = [(12 * g + 4 * c + i, 12 * g + 4 * c + j, 10.0) for g in range(4) for c in range(3) for i in range(4) for j in range(4) if i != j]
+    links += [(12 * g + 4 * c, 12 * g + 4 * d, 1.5) for g in range(4) for c in range(3) for d in range(3) if c != d]
+    links += [(12 * g + 1, 12 * h + 1, 0.02) for g in range(4) for h in range(4) if g != h]
+    nodes, edges = spark.createDataFrame([(i,) for i in range(48)], "coord_id long"), spark.createDataFrame(links, "orig long, dest long, weight double")
+    tree = H.hierarchical_communities(nodes, edges).cache()
+    level = {}
+    for r in tree.collect():
+        level.setdefault(r.level, {})[r.node] = r.community
+    assert sorted(level) == list(range(len(level))) and not set(level[0].values()) & set(level[max(level)].values()) or len(level) == 1
+    for k in range(1, len(level)):
+        assert len({(level[k][v], level[k - 1][v]) for v in range(48)}) == len(set(level[k].values()))
+    rates, flows = mapequation.random_walk(nodes, edges)
+    bits = mapequation.hierarchical_codelength(rates, flows, tree).first()[0]
+    p = {r.node: r.rate for r in rates.collect()}
+    flow = {(r.src, r.dst): r.flow for r in flows.collect()}
+    single = [plain_codelength(p, flow, {v: f(v) for v in range(48)}) for f in (lambda v: 0, lambda v: v // 12, lambda v: v // 4)]
+    assert bits <= min(single) + 1e-9
+    two = spark.createDataFrame([(0, v, v // 12) for v in range(48)] + [(1, v, 100 + v // 4) for v in range(48)], "level long, node long, community long")
+    h = mapequation._h
+    q = lambda f: [sum(x for (a, b), x in flow.items() if f(a) == c and f(b) != c) for c in range(f(47) + 1)]
+    top, low = q(lambda v: v // 12), q(lambda v: v // 4)
+    want = h(sum(top)) - sum(map(h, top)) + sum(h(top[g] + sum(low[3 * g : 3 * g + 3])) - h(top[g]) - sum(map(h, low[3 * g : 3 * g + 3])) for g in range(4))
+    want += sum(h(low[c] + sum(p[v] for v in range(4 * c, 4 * c + 4))) - h(low[c]) - sum(h(p[v]) for v in range(4 * c, 4 * c + 4)) for c in range(12))
+    assert mapequation.hierarchical_codelength(rates, flows, two).first()[0] == pytest.approx(want)
 
 
 def test_clustering_of_a_full_triangle(spark):
