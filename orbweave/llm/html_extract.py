@@ -15,8 +15,10 @@ counts for the innermost matched one around it. ``template`` decides from these
 * a node that holds most of the text, or an article or main element, is never template as a whole;
 * a node whose text mostly recurs is constant, hence template (inside the article more evidence is asked for);
 * a node that is nearly all link text is a menu, hence template (not inside the article);
-* a node that is named as page furniture by tag, role or class is template: a prior, for slots that vary
-  without being content (reader comments, rotating adverts) and for hosts of few pages.
+* a node that is named as page furniture by tag, role or class is template, for slots that vary without being content
+  (reader comments, rotating adverts). Inside the article a class or id names only where a whole token of it is such a
+  word, or begins with one for adverts or comments, and only where the slot is met on other pages of the host too; without any
+  other page the name decides. Text that the skeleton has no slot for needs a name of adverts or comments.
 
 A second pass aligns each page again and returns the text of all that is not template. Nodes that the skeleton
 doesn't have take the verdict of the node that they lie in, or of like-named siblings; else name and links decide.
@@ -58,29 +60,31 @@ CELLS = 1 << 20  #: size of a matching table beyond which it is split
 # HTML element names and the words that name page furniture.
 SECTIONS = ("article", "main", "nav", "aside", "header", "footer", "section", "table", "form")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("title script style noscript template iframe svg math object canvas".split())
+RAW = frozenset("title script style noscript template iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea tfoot th thead tr ul button label caption video audio".split())
 CHROME_TAGS = frozenset("head nav footer aside form menu dialog button label select option textarea fieldset search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search form share sharing social comment comments commentlist respond reply replies disqus related recommended recommendations widget pagination pager skip copyright legal disclaimer".split())
 HEADER_WORDS = frozenset("header masthead".split())  #: page furniture unless within an article
+SLOT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist respond replies disqus".split())  #: adverts and reader comments
 ABOUT = frozenset("has with no without".split())  #: before a name they say what the page is like, not what the element is
 CLOSED_BY = {"p": BLOCK, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"}), "head": frozenset({"body"})}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_NAMES = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_NAMES = re.compile(r"\b(class|id|role)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
     """The block elements of a page in order, and the text of each that has some of its own.
 
-    ``symbol``, ``parent``, ``kids``, ``named`` (as page furniture): by node, 0 being the root, parents first.
+    ``symbol``, ``parent``, ``kids``, ``named`` (as page furniture), ``strict`` (named so that it counts inside an article; 2 for adverts
+    and comments): by node, 0 being the root, parents first.
     ``blocks``: (node, text, characters of it in links).
     """
 
     def __init__(self, source: str):
-        self.symbol, self.parent, self.kids, self.named = ["#"], [-1], [[]], [False]
+        self.symbol, self.parent, self.kids, self.named, self.strict = ["#"], [-1], [[]], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.shapes: tuple[list[int], dict] | None = None  # kept for a skeleton
         self._read(source)
@@ -161,7 +165,7 @@ class Page:
                 if stack[k][0] != "p":
                     break
             here = stack[-1][1]
-            words, out, head = _names(m[3]) if m[3] else ("", False, False)
+            words, out, head, strict = _names(m[3]) if m[3] else ("", False, False, 0)
             head = (head or name == "header") and not within[here]
             out = (out or head) and name not in ("html", "body", "main", "article")
             if name in BLOCK or out:
@@ -172,6 +176,7 @@ class Page:
                 self.kids.append([])
                 self.kids[here].append(node)
                 self.named.append(out or name in CHROME_TAGS)
+                self.strict.append(strict if name not in CHROME_TAGS else max(1, strict))
                 within.append(within[here] or name in ("article", "main"))
                 here = node
                 block_at.append(len(stack))
@@ -217,23 +222,26 @@ _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 
 
 @lru_cache(4096)
-def _names(attributes: str) -> tuple[str, bool, bool]:
-    """Class and id words of an element, and whether they name page furniture or a header."""
-    words, out, head = [], False, False
+def _names(attributes: str) -> tuple[str, bool, bool, int]:
+    """Class and id words of an element, whether they name page furniture or a header, and whether a whole token does (2: adverts or comments)."""
+    words, out, head, strict = [], False, False, 0
     for m in _NAMES.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if kind == "hidden":
-            out = True
-        elif kind == "style":
-            out |= "display:none" in value.replace(" ", "").lower()
-        elif kind == "role":
-            out |= value.lower() in CHROME_ROLES
-        else:
-            own = [w.lower() for w in _WORD.findall(value)]
-            out |= any(w in CHROME_WORDS and (not i or own[i - 1] not in ABOUT) for i, w in enumerate(own))
-            head |= not HEADER_WORDS.isdisjoint(own)
-            words += own
-    return " ".join(words), out, head
+        if kind == "role":
+            if value.lower() in CHROME_ROLES:
+                out, strict = True, max(strict, 1)
+            continue
+        own = [w.lower() for w in _WORD.findall(value)]
+        out |= any(w in CHROME_WORDS and (not i or own[i - 1] not in ABOUT) for i, w in enumerate(own))
+        head |= not HEADER_WORDS.isdisjoint(own)
+        words += own
+        for token in value.split():
+            parts = [w.lower() for w in _WORD.findall(token)]
+            if parts and parts[0] in SLOT_WORDS:
+                strict = 2
+            elif len(parts) == 1 and parts[0] in CHROME_WORDS:
+                strict = max(strict, 1)
+    return " ".join(words), out, head, strict
 
 
 def _shapes(page: Page, known: dict) -> list[int]:
@@ -414,6 +422,7 @@ def template(skeleton: Page, counts: list[tuple[int, int, int, int, int]]) -> fr
 
     A node below a template node is template. Nodes without text on any page are left to their names.
     """
+    alone = all(c[1] < 2 for c in counts)  # no other page of the host speaks
     n, chars, again, links = (np.zeros(len(skeleton.symbol), np.int64) for _ in range(4))
     for node, *c in counts:
         n[node], chars[node], again[node], links[node] = c
@@ -430,9 +439,11 @@ def template(skeleton: Page, counts: list[tuple[int, int, int, int, int]]) -> fr
         elif not holds[x] and chars[x] < MOST * max(1, chars[0]):
             if inside[x]:
                 constant, menu = n[x] >= INNER_PIECES and again[x] >= INNER_CONSTANT * chars[x], False
+                named = skeleton.strict[x] and (alone or n[x] >= 2 or not chars[x])
             else:
+                named = skeleton.named[x]
                 constant, menu = chars[x] > 0 and again[x] >= CONSTANT * chars[x], chars[x] > 0 and links[x] >= MENU * chars[x]
-            if constant or menu or skeleton.named[x]:
+            if constant or menu or named:
                 out.add(x)
     return frozenset(out)
 
@@ -456,7 +467,8 @@ def content(skeleton: Page, page: Page, fixed: frozenset[int]) -> str:
             gone[y] = at[y] in fixed
         elif not holds[y] and chars[y] < MOST * chars[0]:
             like = named.get((at[above], page.symbol[y]), False) if above in at else False
-            gone[y] = like or page.named[y] or (not inside[y] and chars[y] > 0 and links[y] >= MENU * chars[y])
+            own = page.strict[y] > (0 if page.symbol[y].split(".")[0] in CHROME_TAGS else 1) if inside[y] else page.named[y]
+            gone[y] = like or own or (not inside[y] and chars[y] > 0 and links[y] >= MENU * chars[y])
     return " ".join(text for node, text, _ in page.blocks if not gone[node])
 
 

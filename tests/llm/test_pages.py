@@ -185,8 +185,33 @@ def test_the_wrapper_decides(spark):
     plain = spark.createDataFrame([(i, u, neutral(html)) for i, u, html in rows], pages.schema)
     got = {r.page_id: r.text for r in html_extract.extract(plain).collect()}
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
-    without = html_extract.extract(pages, html_extract.induce(pages).withColumn("counts", F.lit(None).cast("array<struct<node:int,n:long,chars:long,again:long,links:long>>")))
-    assert without.count() == len(rows)
+    # nothing counted: no name and no evidence, so menus and footers stay
+    bare = html_extract.induce(plain).withColumn("counts", F.lit(None).cast("array<struct<node:int,n:long,chars:long,again:long,links:long>>"))
+    without = {r.page_id: r.text for r in html_extract.extract(plain, bare).collect()}
+    assert sum(without[i] != got[i] for i in want) >= 0.95 * len(want)
+
+
+SECTIONS = ["social-policy", "legal-history", "search-history", "form-of-government", "notice-board", "related-work", "share-price", "sidebar-effects"]
+
+
+@pytest.mark.parametrize("everywhere", [True, False])
+def test_sections_of_articles_stay(spark, everywhere):
+    """A word of furniture within a longer class or id doesn't take text out of an article; whole names of slots do."""
+    rows, want = [], {}
+    for i in range(8):
+        own = SECTIONS if everywhere else [SECTIONS[i]]
+        inner = "".join(f'<section id="{c}"><p>About {c} {i}.</p></section><div class="{c}"><p>More of it {i}.</p></div>' for c in own)
+        rows.append(page(i, f'<p>Text {i}.</p>{inner}<div hidden><p>Unseen {i}.</p></div><p>Sum <math><mi>x{i}</mi></math> end.</p><div class="ad-slot">Buy {i} now</div><section class="comments"><p>Nice {i}</p></section>'))
+        want[i] = f"Title {i} & more Text {i}. " + "".join(f"About {c} {i}. More of it {i}. " for c in own) + f"Unseen {i}. Sum x{i} end."
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_a_name_needs_other_pages_inside_an_article(spark):
+    """One page has a notice in its article: no slot of the host. All pages have a share box: a slot."""
+    rows = [page(i, f"<p>Text {i} of the article.</p>" + ("<div class=notice><p>Notice is hereby given.</p></div>" if i == 4 else "") + f"<div class=share>Share {i}</div>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} & more Text {i} of the article." + (" Notice is hereby given." if i == 4 else "") for i in range(6)}
 
 
 def test_templates_null_keeps_everything():
