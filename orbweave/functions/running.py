@@ -43,21 +43,37 @@ def running_places(df: DataFrame, order: Sequence[str], count: str) -> DataFrame
     return rows.select(*df.columns, (F.col("_b") + F.col("_c")).alias("before"))
 
 
-def quantiles(df: DataFrame, x: str, at: Sequence[float], count: str | None = None) -> DataFrame:
-    """One row with ``q``: the quantiles ``at`` of x, interpolated between neighbours; NULL and NaN don't count, an array of NULLs without values.
+def quantiles(df: DataFrame, x: str, at: Sequence[float], count: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, q): of each group the quantiles ``at`` of x, interpolated between neighbours; NULL and NaN don't count, an array of NULLs
+    without values. Without ``by`` one row. ``count`` weighs each row.
 
-    ``count`` weighs each row. Exact in bounded memory: counts of distinct values run up to each quantile's place
-    (``running_sums``), and only the values at these places are gathered.
+    Exact in bounded memory, in two light passes: counts of distinct values are written once, dealt by ranges of (by, x); the ranges'
+    totals tell in which of them a quantile's place lies, and only these ranges' values are ordered and summed.
     """
+    by = list(by)
     n = F.sum(count) if count else F.count(F.lit(1))
-    values = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(x).cast("double").alias("x"), *([count] if count else [])).groupBy("x").agg(n.cast("long").alias("n"))
-    run = running_sums(values, "x", ["n"], 1024)
-    total = F.broadcast(values.agg(F.sum("n").alias("total")))
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("p")) for i, q in enumerate(at)])
-    asked = F.filter(F.transform(places, lambda a: F.struct(a["i"].alias("i"), (a["p"] * (F.col("total") - 1)).alias("r"))), lambda a: (F.floor(a["r"]) >= F.col("cum_n") - F.col("n")) & (F.floor(a["r"]) < F.col("cum_n")))
-    hits = run.join(total, F.lit(True)).select("x", "next", "cum_n", F.explode(asked).alias("a"))
-    low = F.floor("a.r")
-    high = F.when((low + 1 < F.col("cum_n")) | F.col("next").isNull(), F.col("x")).otherwise(F.col("next"))
-    q = F.col("x") + (F.col("a.r") - low) * (high - F.col("x"))
-    got = hits.agg(F.map_from_entries(F.collect_list(F.struct(F.col("a.i").alias("i"), q.alias("q")))).alias("s"))
-    return got.select(F.array(*[F.try_element_at("s", F.lit(i)) for i in range(len(at))]).alias("q"))
+    known = F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    values = df.where(known).select(*by, (F.col(x).cast("double") + F.lit(0.0)).alias("_x"), *([F.col(count).alias("_k")] if count else []))
+    counts = values.groupBy(*by, "_x").agg((F.sum("_k") if count else n).cast("long").alias("_n")).where("_n > 0")
+    dealt = written(counts.repartitionByRange(*by, "_x").withColumn("_part", F.spark_partition_id()), "values")
+    inner = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*by, "_part").agg(F.sum("_n").alias("_t"))  # no more rows than ranges and groups
+    parts = parts.select(*by, "_part", "_t", F.coalesce(F.sum("_t").over(inner), F.lit(0)).alias("_b"), F.sum("_t").over(Window.partitionBy(*by)).alias("_all"))
+    place = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(q)) * (F.col("_all") - 1)).alias("r")) for i, q in enumerate(at)])
+    ends = lambda a: F.array(F.struct(a["i"].alias("i"), (a["r"] - F.floor(a["r"])).alias("f"), F.lit(0).alias("up"), F.floor(a["r"]).alias("k")), F.struct(a["i"].alias("i"), (a["r"] - F.floor(a["r"])).alias("f"), F.lit(1).alias("up"), F.ceil(a["r"]).alias("k")))
+    mine = F.filter(F.flatten(F.transform(place, ends)), lambda a: (a["k"] >= F.col("_b")) & (a["k"] < F.col("_b") + F.col("_t")))
+    asked = parts.withColumn("_asked", mine).where(F.size("_asked") > 0).select(*by, "_part", "_b", "_asked")
+    run = Window.partitionBy(*by, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    other = asked.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)], F.col("_part").alias("_p"), "_b", "_asked")
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(by):
+        same &= F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    rows = dealt.join(other, same).withColumn("_c", F.col("_b") + F.sum("_n").over(run))
+    hits = rows.select(*by, "_x", F.explode(F.filter("_asked", lambda a: (a["k"] < F.col("_c")) & (a["k"] >= F.col("_c") - F.col("_n")))).alias("a"))
+    value = hits.groupBy(*by, F.col("a.i").alias("i")).agg(F.max(F.when(F.col("a.up") == 0, F.col("_x"))).alias("lo"), F.max(F.when(F.col("a.up") == 1, F.col("_x"))).alias("hi"), F.max("a.f").alias("f"))
+    q = F.col("lo") + F.col("f") * (F.col("hi") - F.col("lo"))
+    found = value.select(*by, "i", q.alias("q"))
+    if by:  # groups without values too
+        found = found.unionByName(df.select(*by, F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("q")).distinct())
+    got = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "q")))).alias("s"))
+    return got.select(*by, F.array(*[F.try_element_at("s", F.lit(i)) for i in range(len(at))]).alias("q"))

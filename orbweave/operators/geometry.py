@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.running import quantiles
 from .network import edge_places
 
 
@@ -97,7 +98,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
 def plot_table(edges: DataFrame, nodes: DataFrame, n_bins: int = 7, discard: float = 180.0) -> DataFrame:
     """A row for each drawn segment: places, width bin of the weight (between the rounded least and the rounded 0.999 quantile), bearing."""
     df = edge_bearings(edges, nodes)
-    ends = df.agg(F.bround(F.min("weight")).alias("_a"), F.bround(F.percentile("weight", F.lit(0.999))).alias("_b"))
+    ends = df.agg(F.bround(F.min("weight")).alias("_a")).join(F.broadcast(quantiles(df, "weight", [0.999]).select(F.bround(F.col("q")[0]).alias("_b"))), F.lit(True))
     w = F.least(F.greatest(F.col("weight"), F.col("_a")), F.col("_b"))
     bin_ = F.when(F.col("_b") > F.col("_a"), F.floor((w - F.col("_a")) * (n_bins - 1) / (F.col("_b") - F.col("_a")))).otherwise(0)
     df = df.join(F.broadcast(ends), F.lit(True)).withColumn("bin", bin_.cast("long")).drop("_a", "_b")

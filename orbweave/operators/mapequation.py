@@ -28,7 +28,7 @@ from .metrics import pagerank
 
 ROUNDS = 200  #: of one search on one level; each shortens the code, so this only bounds the time
 STILL = 0.02  #: two rounds that gain less than this share of the code end a level
-LOCAL_LINKS = 50_000  #: rows of ``ends`` that one task takes
+LOCAL_LINKS = 500_000  #: rows of ``ends`` that one task takes, some 150 MB
 
 
 def plogp(x: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
+from ..functions.running import quantiles
 from ..sources.scratch import bucketed, written
 from .paths import edge_betweenness  # noqa: F401
 
@@ -175,7 +176,7 @@ def sign_widths(edges: DataFrame, attribute: str, linewidth: float = 1.0) -> Dat
 
 def ensemble_threshold(values: DataFrame, column: str, alpha: float, model: str = "model") -> DataFrame:
     """The largest over models of the alpha quantile of the pooled values."""
-    return values.groupBy(model).agg(F.percentile(S.no_nan(F.col(column)), F.lit(alpha)).alias("q")).agg(F.max("q").alias("threshold"))
+    return quantiles(values, column, [alpha], by=[model]).agg(F.max(F.col("q")[0]).alias("threshold"))
 
 
 def above(edges: DataFrame, attribute: str, threshold: float) -> DataFrame:
@@ -190,15 +191,12 @@ def module_graph(flows: DataFrame, q: float = 0.01) -> tuple[DataFrame, DataFram
     ids = flows.select(F.col("c1").alias("c")).unionByName(flows.select(F.col("c2").alias("c"))).distinct()
     total = flows.select(F.col("c1").alias("c"), "flow", F.lit(0.0).alias("into")).unionByName(flows.select(F.col("c2").alias("c"), "flow", F.col("flow").alias("into"))).groupBy("c").agg(F.sqrt(F.sum("flow")).alias("size"), F.sum("into").alias("into"))
     nodes = total.where("into > 0").select("c", "size")
-    # the matrix's zeros need no rows: its quantile is one of the flows' after as many zeros
-    n = ids.agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("_n"))
-    cells = flows.groupBy("c1", "c2").agg(F.sum("flow").alias("flow"))
-    place = cells.where("flow > 0").agg(F.sort_array(F.collect_list("flow")).alias("_f")).join(n)
-    at = F.lit(q) * (F.col("_n") - 1)
-    zeros = F.col("_n") - F.size("_f")
-    value = lambda k: F.when(k < zeros, 0.0).otherwise(F.element_at("_f", F.greatest(F.lit(1), k - zeros + 1).cast("int")))
-    lo, hi = value(F.floor(at)), value(F.ceil(at))
-    edge = place.select((lo + (hi - lo) * (at - F.floor(at))).alias("_q"))
+    # the matrix's zeros need no rows: one stands for all of them
+    cells = written(flows.groupBy("c1", "c2").agg(F.sum("flow").alias("flow")), "cells")
+    n = ids.agg((F.count(F.lit(1)) * F.count(F.lit(1))).alias("n"))
+    some = cells.where("flow > 0").select("flow", F.lit(1).cast("long").alias("n"))
+    zeros = some.agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(n), F.lit(True)).select(F.lit(0.0).alias("flow"), (F.col("n") - F.col("k")).alias("n"))
+    edge = quantiles(some.unionByName(zeros), "flow", [q], "n").select(F.col("q")[0].alias("_q"))
     links = cells.where("c1 <> c2").join(F.broadcast(edge), F.col("flow") > F.col("_q")).drop("_q")
     return nodes, links.join(nodes.select(F.col("c").alias("c1")), "c1").join(nodes.select(F.col("c").alias("c2")), "c2").select("c1", "c2", "flow")
 

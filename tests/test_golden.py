@@ -444,3 +444,24 @@ def test_walks_take_many_steps_by_the_draws(spark):
                 path = path[: 3 + 5 * t]
                 want += [(k, t, i + 1, c) for i, c in enumerate(path[::-1] if end else path)]
         assert sorted(map(tuple, nulls.random_walks(tracks, lattice, 2, end=end, seed=4).collect())) == sorted(want)
+
+
+def test_quantiles_of_groups(spark):
+    """Groups of very different size, a hot value, a group of unknown values only, weights; and with a grouping by two columns."""
+    import numpy as np
+
+    from orbweave.functions.running import quantiles
+
+    r = np.random.default_rng(4)
+    rows = [("a", 1, float(x)) for x in r.integers(0, 50, 3000)] + [("a", 2, 7.0)] * 500 + [("b", 1, float(x)) for x in r.normal(size=40)] + [("b", 2, None), ("b", 2, float("nan")), (None, 1, 1.5), (None, 1, 2.5)]
+    df = spark.createDataFrame(rows, "g string, h long, v double").repartition(5)
+    at = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {(x.g, x.h): x.q for x in quantiles(df, "v", at, by=["g", "h"]).collect()}
+    known = {}
+    for g, h, v in rows:
+        known.setdefault((g, h), []).extend([v] if v is not None and v == v else [])
+    assert set(got) == set(known)
+    for k, v in known.items():
+        assert got[k] == (pytest.approx(np.quantile(v, at).tolist()) if v else [None] * 5)
+    weighed = df.where("g = 'a'").groupBy("h", "v").count()
+    assert {x.h: x.q for x in quantiles(weighed, "v", at, "count", ["h"]).collect()} == {h: pytest.approx(np.quantile(known["a", h], at).tolist()) for h in (1, 2)}
