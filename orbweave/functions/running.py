@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import written
 
 
+def with_group(df: DataFrame, keys: Sequence[str], **of: Column) -> DataFrame:
+    """``df`` with aggregates of each row's group, NULL being a key like others.
+
+    Summed before the exchange and joined back, where a large group can be split; a window would hold it in one task.
+    """
+    names = [f"_key{i}" for i in range(len(keys))]
+    group = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(*[c.alias(n) for n, c in of.items()])
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same &= F.col(k).eqNullSafe(F.col(n))
+    return df.join(group, same).drop(*names)
+
+
 def running_sums(df: DataFrame, x: str, columns: Sequence[str], bins: int = 128) -> DataFrame:
     """``df`` (one row for each value of x) with ``next`` (the next larger x) and ``cum_<column>`` (its sum up to and with x).
 

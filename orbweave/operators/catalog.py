@@ -246,8 +246,8 @@ def track_means(catalog: DataFrame, *columns: str) -> DataFrame:
 
 
 def sample_tracks(catalog: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Rows of n tracks picked by a hash of id and seed: the same for the same seed."""
-    ids = catalog.select("trackid").distinct().orderBy(F.xxhash64(F.col("trackid").cast("string"), F.lit(seed)), "trackid").limit(n)
+    """Rows of n tracks, those of smallest MD5 sum of seed and id: the same for the same seed, in any engine."""
+    ids = catalog.select("trackid").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trackid").cast("string")).cast("binary")), "trackid").limit(n)
     return catalog.join(F.broadcast(ids), "trackid", "left_semi")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.running import running_places
+from ..functions.running import running_places, with_group
 from ..schema import UNASSIGNED
 from ..sources.scratch import written
 from . import mapequation
@@ -104,15 +104,14 @@ def codelength(rates: DataFrame, flows: DataFrame, modules: DataFrame) -> DataFr
 
 def filter_small(levels: DataFrame, least: int = 10) -> DataFrame:
     """``small``: the node is in a community of fewer than ``least`` nodes at this level or an earlier one."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("level", "community"))
-    flagged = levels.withColumn("_s", (size < least).cast("int"))
+    flagged = with_group(levels, ["level", "community"], _n=F.count(F.lit(1))).withColumn("_s", (F.col("_n") < least).cast("int")).drop("_n")
     return flagged.withColumn("small", F.max("_s").over(Window.partitionBy("node").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)) == 1).drop("_s")
 
 
 def unassign_small(partitions: DataFrame, least: int = 10, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Communities of fewer than ``least`` nodes become -999."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*by, "community"))
-    return partitions.withColumn("community", F.when(size < least, F.lit(UNASSIGNED)).otherwise(F.col("community")))
+    sized = with_group(partitions, [*by, "community"], _n=F.count(F.lit(1)))
+    return sized.withColumn("community", F.when(F.col("_n") < least, F.lit(UNASSIGNED)).otherwise(F.col("community"))).drop("_n")
 
 
 def both_assigned(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalar as S
-from ..functions.running import quantiles
+from ..functions.running import quantiles, running_places, with_group
 from ..schema import Network
 
 
@@ -29,8 +28,8 @@ def cell_ids(pairs: DataFrame) -> DataFrame:
 
 
 def dense_index(ids: DataFrame, column: str = "cell") -> DataFrame:
-    """``idx`` from 0 in order of the ids. For node dimensions only: one window orders them all."""
-    return ids.withColumn("idx", (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))
+    """``idx`` from 0 in order of the ids, which differ."""
+    return running_places(ids.withColumn("_one", F.lit(1)), [column], "_one").withColumn("idx", F.col("before").cast("long")).select(*ids.columns, "idx")
 
 
 def no_loops(edges: DataFrame) -> DataFrame:
@@ -57,12 +56,16 @@ def build_edges(counts: DataFrame, weighted: bool = True, directed: bool = True,
     if not self_links or (weighted and not directed):
         df = no_loops(df)
     if weighted and directed:
-        weight = F.col("cnt") / F.sum("cnt").over(Window.partitionBy(*by, "orig")) if weighing == "relative" else F.col("cnt")
+        if weighing == "relative":
+            df = with_group(df, [*by, "orig"], _total=F.sum("cnt"))
+        weight = F.col("cnt") / F.col("_total") if weighing == "relative" else F.col("cnt")
         return df.withColumn("weight", weight).where(F.col("cnt") >= least).select(*by, "orig", "dest", "weight")
     if weighted:
         both = df.unionByName(df.select(*by, F.col("dest").alias("orig"), F.col("orig").alias("dest"), "cnt", "eps"))
         half = both.groupBy(*by, "orig", "dest").agg((F.sum("cnt") / 2).alias("s"), F.max("eps").alias("eps"))
-        weight = F.col("s") / F.sum("s").over(Window.partitionBy(*by, "orig")) if weighing == "relative" else F.col("s")
+        if weighing == "relative":
+            half = with_group(half, [*by, "orig"], _total=F.sum("s"))
+        weight = F.col("s") / F.col("_total") if weighing == "relative" else F.col("s")
         return half.withColumn("weight", weight).where((F.col("s") >= least) & (F.col("orig") < F.col("dest"))).select(*by, "orig", "dest", "weight")
     met = df.where(F.col("cnt") >= least)
     if directed:
@@ -131,8 +134,8 @@ def complete_nodes(nodes: DataFrame, cells: DataFrame) -> DataFrame:
 
 def normalize_outgoing(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``probability``: weight over the origin's total, 0 where that isn't positive."""
-    total = F.sum("weight").over(Window.partitionBy(*by, "orig"))
-    return edges.withColumn("probability", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
+    df = with_group(edges, [*by, "orig"], _total=F.sum("weight"))
+    return df.withColumn("probability", F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(0.0)).drop("_total")
 
 
 def invert_weights(edges: DataFrame, attribute: str = "weight") -> DataFrame:

@@ -151,8 +151,13 @@ _two = lambda fx: fx.catalog_a.select(F.col("mean_ivt").alias("v"), (F.col("trac
 _EC = """v AS (SELECT mean_ivt AS v, trackid % 2 AS g FROM fx_catalog_a), d AS (SELECT v, count(*) FILTER (g = 0) AS na, count(*) FILTER (g = 1) AS nb FROM v GROUP BY 1),
          ec AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, na, nb, sum(na) OVER (ORDER BY v) AS ca, sum(nb) OVER (ORDER BY v) AS cb, sum(na) OVER () AS ta, sum(nb) OVER () AS tb FROM d)"""
 register("N14_wasserstein", lambda fx: stats.wasserstein(_two(fx), "v", "g", 0, 1), f"WITH {_EC}, s AS (SELECT var_pop(v) FILTER (g = 0) AS va, var_pop(v) FILTER (g = 1) AS vb FROM v) SELECT round((SELECT sum(abs(ca / ta - cb / tb) * (nx - v)) FROM ec) / sqrt((va + vb) / 2), 6) AS distance FROM s")
-register("N15_kolmogorov_smirnov", lambda fx: stats.kolmogorov_smirnov(_two(fx), "v", "g", 0, 1).select("statistic"), f"WITH {_EC} SELECT round(max(abs(ca / ta - cb / tb)), 6) AS statistic FROM ec")
-register("N16_mann_whitney", lambda fx: stats.mann_whitney(_two(fx), "v", "g", 0, 1).select("u"), f"WITH {_EC} SELECT round(sum((ca + cb - (na + nb) + (na + nb + 1) / 2) * na) - max(ta) * (max(ta) + 1) / 2, 6) AS u FROM ec")
+register("N15_kolmogorov_smirnov", lambda fx: stats.kolmogorov_smirnov(_two(fx), "v", "g", 0, 1),
+         f"WITH {_EC}, d AS (SELECT max(abs(ca / ta - cb / tb)) AS d, sqrt(max(ta) * max(tb) / (max(ta) + max(tb))) AS s FROM ec) SELECT round(d, 6) AS statistic, round(CASE WHEN s * d > 0.2 THEN least(1, greatest(0, 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * s * d * s * d)) FROM range(1, 101) AS r(k)))) ELSE 1 END, 6) AS p FROM d")
+register("N16_mann_whitney", lambda fx: stats.mann_whitney(_two(fx), "v", "g", 0, 1),
+         f"""WITH {_EC}, r AS (SELECT CAST(sum((ca + cb - (na + nb) + (na + nb + 1) / 2) * na) AS DOUBLE) AS r, CAST(max(ta) AS DOUBLE) AS na, CAST(max(tb) AS DOUBLE) AS nb, CAST(sum(pow(na + nb, 3) - (na + nb)) AS DOUBLE) AS t FROM ec),
+             u AS (SELECT *, r - na * (na + 1) / 2 AS u, na + nb AS n FROM r), z AS (SELECT u, (greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - t / (n * (n - 1)))) AS z FROM u),
+             g AS (SELECT sum((CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(i * greatest(z, 0) / 1000, 2) / 2)) * max(greatest(z, 0)) / 3000 AS g FROM z, range(0, 1001) AS t(i))
+             SELECT round(u, 6) AS u, round(z, 6) AS z, round(CASE WHEN z > 12 THEN 0 ELSE least(1, greatest(0, 1 - 2 * g / sqrt(2 * pi()))) END, 6) AS p FROM z, g""")
 register("N17_A4_group_median", lambda fx: stats.group_median(fx.catalog_a, "mean_ivt", "regime"), "SELECT regime, round(quantile_cont(mean_ivt, 0.5), 6) AS median FROM fx_catalog_a GROUP BY 1")
 register("N18_percentile", lambda fx: stats.group_percentile(fx.null, "metric", 0.95, "model"), "SELECT model, round(quantile_cont(metric, 0.95), 6) AS q FROM fx_null GROUP BY 1")
 register("N19_summary", lambda fx: stats.summary(fx.catalog_a, "mean_ivt", "regime"), "SELECT regime, round(avg(mean_ivt), 6) AS mean, round(var_pop(mean_ivt), 6) AS \"var\", round(quantile_cont(mean_ivt, 0.25), 6) AS q25, round(quantile_cont(mean_ivt, 0.75), 6) AS q75, round(quantile_cont(mean_ivt, 0.75) - quantile_cont(mean_ivt, 0.25), 6) AS iqr FROM fx_catalog_a GROUP BY 1")
@@ -214,7 +219,7 @@ register("seasonal_networks", lambda fx: pipelines.class_networks(fx.catalog_b,
          "WITH s AS (SELECT *, CASE WHEN month(time) IN (12,1,2) THEN 'DJF' WHEN month(time) < 6 THEN 'MAM' WHEN month(time) < 9 THEN 'JJA' ELSE 'SON' END AS class FROM fx_catalog_b), p AS (SELECT class, coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY class, trackid ORDER BY seq) AS dest FROM s), c AS (SELECT class, orig, dest, count(*) AS n FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2, 3) SELECT class, orig, dest, CAST(n AS DOUBLE) AS weight FROM c WHERE n >= CASE WHEN class IN ('JJA', 'SON') THEN 2 ELSE 1 END")
 register("upstream_network", lambda fx: pipelines.upstream_network(fx.catalog_a, fx.levels.where("level = 0").select(F.col("node").alias("hex_id"), "community"), 2, 2),
          "WITH r AS (SELECT *, coalesce(coord_idx IN (SELECT node FROM fx_levels WHERE level = 0 AND community = 2), false) AS r FROM fx_catalog_a), b AS (SELECT *, min(CASE WHEN r THEN seq END) OVER (PARTITION BY trackid) AS en FROM r), k AS (SELECT trackid, seq, coord_idx FROM b WHERE seq <= en AND coord_idx IS NOT NULL), p AS (SELECT coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY trackid ORDER BY seq) AS dest FROM k) SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2 HAVING count(*) >= 2")
-register("ensemble_stability", lambda fx: pipelines.ensemble_stability(fx.partitions), f"WITH ari AS ({_ARI}) SELECT count(*) AS pairs, round(avg(ari), 6) AS mean, round(min(ari), 6) AS least FROM ari")
+register("ensemble_stability", lambda fx: pipelines.ensemble_stability(fx.partitions), f"WITH ari AS ({_ARI}), ami AS ({oracles.ADJUSTED_INFORMATION}) SELECT count(*) AS pairs, round(avg(ari), 6) AS mean, round(min(ari), 6) AS least, round(avg(ami), 6) AS mean_ami, round(min(ami), 6) AS least_ami FROM ari JOIN ami USING (s1, s2)")
 register("basin_highways", lambda fx: pipelines.basin_highways(fx.catalog_a, fx.levels, 0, 2, 2, 0.5),
          "WITH r AS (SELECT *, coalesce(coord_idx IN (SELECT node FROM fx_levels WHERE level = 0 AND community = 2), false) AS r FROM fx_catalog_a), b AS (SELECT *, min(CASE WHEN r THEN seq END) OVER (PARTITION BY trackid) AS en FROM r), k AS (SELECT trackid, seq, coord_idx FROM b WHERE seq <= en AND coord_idx IS NOT NULL), p AS (SELECT coord_idx AS orig, lead(coord_idx) OVER (PARTITION BY trackid ORDER BY seq) AS dest FROM k), e AS (SELECT orig, dest, CAST(count(*) AS DOUBLE) AS weight FROM p WHERE dest IS NOT NULL AND orig <> dest GROUP BY 1, 2 HAVING count(*) >= 2) SELECT * FROM e WHERE weight >= 0.5 * (SELECT max(weight) FROM e)")
 _LEVEL = "x AS (SELECT a.level, a.community AS c1, b.community AS c2, flow FROM fx_flow JOIN fx_levels a ON a.node = src JOIN fx_levels b ON b.node = dst AND b.level = a.level), l AS (SELECT level, c1, sum(CASE WHEN c1 <> c2 THEN flow ELSE 0 END) / sum(flow) AS x FROM x GROUP BY 1, 2), rl AS (SELECT level, count(*) AS modules, avg(x) AS mean FROM l GROUP BY 1)"

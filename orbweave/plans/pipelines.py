@@ -82,9 +82,9 @@ def typed_track_tests(catalog: DataFrame, edges: DataFrame, feature: str, attrib
 
 
 def ensemble_stability(partitions: DataFrame) -> DataFrame:
-    """(seeds, mean, least): adjusted Rand index over all pairs of seeds."""
-    pairs = H.adjusted_rand(partitions)
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("mean"), F.min("ari").alias("least"))
+    """(pairs, mean, least, mean_ami, least_ami): adjusted Rand index and mutual information over all pairs of seeds."""
+    pairs = H.adjusted_rand(partitions).join(H.adjusted_mutual_info(partitions), ["s1", "s2"])
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg("ari").alias("mean"), F.min("ari").alias("least"), F.avg("ami").alias("mean_ami"), F.min("ami").alias("least_ami"))
 
 
 def basin_highways(catalog: DataFrame, levels: DataFrame, level: int, community: int, eps: float, share: float) -> DataFrame:

@@ -465,3 +465,39 @@ def test_quantiles_of_groups(spark):
         assert got[k] == (pytest.approx(np.quantile(v, at).tolist()) if v else [None] * 5)
     weighed = df.where("g = 'a'").groupBy("h", "v").count()
     assert {x.h: x.q for x in quantiles(weighed, "v", at, "count", ["h"]).collect()} == {h: pytest.approx(np.quantile(known["a", h], at).tolist()) for h in (1, 2)}
+
+
+def test_groups_of_hubs_are_summed_before_they_meet(spark):
+    """Totals of an origin or a community come from aggregates, not from windows that hold a hub in one task; NULL is a group too."""
+    edges = spark.createDataFrame([("x", 0, i, 2.0) for i in range(1, 9)] + [(None, 0, 1, 1.0), (None, 0, 2, 3.0), ("x", 5, 6, 0.0)], "class string, orig long, dest long, weight double")
+    prob = N.normalize_outgoing(edges, ["class"])
+    assert sorted(((r["class"] or "", r.orig, r.dest, r.probability) for r in prob.collect())) == sorted([("x", 0, i, 0.125) for i in range(1, 9)] + [("", 0, 1, 0.25), ("", 0, 2, 0.75), ("x", 5, 6, 0.0)])
+    relative = N.build_edges(edges.withColumnRenamed("weight", "cnt"), weighing="relative", by=["class"])
+    assert relative.where("class = 'x'").agg(F.sum("weight")).first()[0] == pytest.approx(1) and relative.where("class IS NULL").count() == 2
+    parts = spark.createDataFrame([(1, i, 7) for i in range(30)] + [(1, 30, 8), (2, 0, None)], "seed long, node long, community long")
+    small = H.unassign_small(parts, 10)
+    assert {(r.seed, r.community) for r in small.collect()} == {(1, 7), (1, -999), (2, -999)}
+    levels = spark.createDataFrame([(0, i, 1) for i in range(20)] + [(1, i, 10 + i // 15) for i in range(20)], "level long, node long, community long")
+    flagged = H.filter_small(levels, 10)
+    assert {(r.level, r.node) for r in flagged.where("small").collect()} == {(1, i) for i in range(15, 20)}
+    for df in (prob, relative, small):
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    numbers = N.dense_index(spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "cell long").repartition(7))
+    assert {r.cell: r.idx for r in numbers.collect()} == {i: i for i in range(50)}
+    assert "Window [row_number" not in numbers._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_sample_p_values(spark):
+    a, b = [1.0, 2.0, 2.0, 3.5, 9.0, 11.0], [2.0, 4.0, 5.0, 9.5, 12.0, 13.0, 14.0]
+    df = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b], "g string, v double")
+    d = max(abs(sum(x <= t for x in a) / 6 - sum(x <= t for x in b) / 7) for t in a + b)
+    t = math.sqrt(42 / 13) * d
+    r = stats.kolmogorov_smirnov(df, "v", "g", "a", "b").first()
+    assert (r.statistic, r.p) == (pytest.approx(d), pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))
+    r = stats.mann_whitney(df, "v", "g", "a", "b").first()
+    assert r.u == sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+    assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), abs=1e-9)
+    tails = spark.createDataFrame([(z,) for z in (0.0, 0.3, 1.96, 5.0, 11.9, 40.0)], "z double").select("z", stats.normal_tails(F.col("z")).alias("p"))
+    assert all(x.p == pytest.approx(math.erfc(x.z / math.sqrt(2)), abs=1e-9) for x in tails.collect())
+    assert tuple(stats.kolmogorov_smirnov(df.where("g = 'a'"), "v", "g", "a", "b").first()) == (None, None)
+    assert stats.mann_whitney(df.where("g = 'a'"), "v", "g", "a", "b").first().z is None
