@@ -152,7 +152,7 @@ _EC = """v AS (SELECT mean_ivt AS v, trackid % 2 AS g FROM fx_catalog_a), d AS (
          ec AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, na, nb, sum(na) OVER (ORDER BY v) AS ca, sum(nb) OVER (ORDER BY v) AS cb, sum(na) OVER () AS ta, sum(nb) OVER () AS tb FROM d)"""
 register("N14_wasserstein", lambda fx: stats.wasserstein(_two(fx), "v", "g", 0, 1), f"WITH {_EC}, s AS (SELECT var_pop(v) FILTER (g = 0) AS va, var_pop(v) FILTER (g = 1) AS vb FROM v) SELECT round((SELECT sum(abs(ca / ta - cb / tb) * (nx - v)) FROM ec) / sqrt((va + vb) / 2), 6) AS distance FROM s")
 register("N15_kolmogorov_smirnov", lambda fx: stats.kolmogorov_smirnov(_two(fx), "v", "g", 0, 1),
-         f"WITH {_EC}, d AS (SELECT max(abs(ca / ta - cb / tb)) AS d, sqrt(max(ta) * max(tb) / (max(ta) + max(tb))) AS s FROM ec) SELECT round(d, 6) AS statistic, round(CASE WHEN s * d > 0.2 THEN least(1, greatest(0, 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * s * d * s * d)) FROM range(1, 101) AS r(k)))) ELSE 1 END, 6) AS p FROM d")
+         f"WITH {_EC}, kd AS (SELECT max(abs(ca / ta - cb / tb)) AS d, sqrt(max(ta) * max(tb) / (max(ta) + max(tb))) AS s FROM ec) SELECT round(d, 6) AS statistic, round(CASE WHEN s * d > 0.2 THEN least(1, greatest(0, 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * s * d * s * d)) FROM range(1, 101) AS r(k)))) ELSE 1 END, 6) AS p FROM kd")
 register("N16_mann_whitney", lambda fx: stats.mann_whitney(_two(fx), "v", "g", 0, 1),
          f"""WITH {_EC}, r AS (SELECT CAST(sum((ca + cb - (na + nb) + (na + nb + 1) / 2) * na) AS DOUBLE) AS r, CAST(max(ta) AS DOUBLE) AS na, CAST(max(tb) AS DOUBLE) AS nb, CAST(sum(pow(na + nb, 3) - (na + nb)) AS DOUBLE) AS t FROM ec),
              u AS (SELECT *, r - na * (na + 1) / 2 AS u, na + nb AS n FROM r), z AS (SELECT u, (greatest(u, na * nb - u) - na * nb / 2 - 0.5) / sqrt(na * nb / 12 * (n + 1 - t / (n * (n - 1)))) AS z FROM u),
