@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import scalar as S
 from ..functions.running import running_places
 from ..sources.scratch import written
+from .icosphere import IcosaGrid
 from .network import axis_cells
 
 DRAWS = 1 << 52
@@ -31,6 +32,11 @@ def rect_lattice(spark, res: float) -> DataFrame:
     return inside.select(S.cell_id(F.col("lat"), F.col("lon")).alias("orig"), S.cell_id(F.col("lat2"), F.col("lon2")).alias("dest"), F.lit(1.0).alias("weight")).distinct()
 
 
+def sphere_lattice(grid: IcosaGrid, spark, res: int) -> DataFrame:
+    """(orig, dest, weight 1) between each cell of the spherical grid and its neighbours, over the poles and the date line alike."""
+    return grid.sides(grid.all_cells(spark, res), "coord_id").select(F.col("coord_id").alias("orig"), F.col("neighbour").alias("dest"), F.lit(1.0).alias("weight"))
+
+
 def draw(seed: int, *parts: Column) -> Column:
     """A whole number in 0 .. DRAWS - 1 drawn for these values: the first 13 hex digits of the MD5 sum of them, joined by colons."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])

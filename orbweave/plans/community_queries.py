@@ -7,13 +7,13 @@ from pyspark.sql.window import Window
 
 from ..functions import scalar as S
 from ..operators import catalog as C
-from ..operators import climate, hexgrid, mapequation, metrics, nulls, stats
+from ..operators import climate, icosphere, mapequation, metrics, nulls, stats
 from ..operators import community as H
 from ..operators import network as N
 from ..sources import tables
 from ..sources.scratch import written
 from . import ensembles, oracles, pipelines
-from .network_queries import net0
+from .network_queries import GRID, net0, sphere_cell
 from .registry import register
 
 _P = "SELECT * FROM fx_partitions"
@@ -64,7 +64,15 @@ _ARI = """WITH p AS (SELECT * FROM fx_partitions WHERE community <> -999), c AS
             SELECT s1, s2, round((x - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t - 1) / 2)), 6) AS ari FROM x JOIN a USING (s1, s2) JOIN b USING (s1, s2)"""
 register("H17_J13_adjusted_rand", lambda fx: H.adjusted_rand(fx.partitions), _ARI)
 register("H18_adjusted_mutual_info", lambda fx: H.adjusted_mutual_info(fx.partitions), oracles.ADJUSTED_INFORMATION)
-register("H19_outlines", lambda fx: H.boundary_cells(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("node"), F.when(F.col("lat") > 0, 1).otherwise(0).alias("community")), hexgrid.AxialHexGrid().neighbours(hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select(F.col("coord_id").alias("cell"))).select(F.col("cell").alias("node"), "neighbour")), oracles.HEX_OUTLINES)
+
+
+def _regimes(fx):
+    """The regime that most steps in a cell of the sphere have; of several the first by name."""
+    return fx.catalog_a.groupBy(sphere_cell(0).alias("cell"), "regime").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.min_by("regime", F.struct(-F.col("n"), "regime")).alias("community"))
+
+
+register("H19_boundary_sides", lambda fx: H.boundary_cells(_regimes(fx).withColumnRenamed("cell", "node"), GRID.sides(_regimes(fx)).select(F.col("cell").alias("node"), "neighbour")), oracles.ICO_SIDES)
+register("H19_outlines", lambda fx: icosphere.ring_areas(icosphere.outlines(GRID, _regimes(fx))), oracles.ICO_OUTLINES)
 _LOG = "CASE WHEN {0} > 0 THEN {0} * log2({0}) ELSE 0 END"
 register("H_codelength", lambda fx: H.codelength(_rates(fx), fx.flow, _modules(fx)),
          f"""WITH {_M0}, ra AS (SELECT src AS node, sum(flow) AS rate FROM fx_flow GROUP BY 1), q AS (SELECT c1 AS community, coalesce(sum(flow) FILTER (c1 <> c2), 0) AS q FROM f GROUP BY 1),

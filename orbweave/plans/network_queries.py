@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import catalog as C
 from ..operators import geometry as G
-from ..operators import hexgrid, metrics, nulls
+from ..operators import icosphere, metrics, nulls
 from ..operators import network as N
 from ..schema import Network
 from ..sources import tables
@@ -48,9 +48,14 @@ register("G11_relabel", lambda fx: N.relabel(net0(fx), fx.cells.select(F.col("ce
 register("G12_node_numbers", lambda fx: N.dense_index(fx.catalog_b.select(F.col("trackid").alias("coord_id")).distinct(), "coord_id"), "SELECT trackid AS coord_id, row_number() OVER (ORDER BY trackid) - 1 AS idx FROM (SELECT DISTINCT trackid FROM fx_catalog_b)")
 _GRID = "g AS (SELECT -90 + 30 * a AS lat, -180 + 30 * b AS lon FROM unnest(range(0, 7)) x(a), unnest(range(0, 13)) y(b))"
 _HASH = "CAST(CAST(concat('0x', substr(sha256(printf('%.6f_%.6f', CAST(lat AS DOUBLE), CAST(lon AS DOUBLE))), 1, 16)) AS UBIGINT) AS VARCHAR)"
-register("G13_complete_nodes", lambda fx: N.complete_nodes(N.rect_cells(fx.spark, 30).where("lat > 20").withColumn("v", F.lit(1)), N.rect_cells(fx.spark, 30)),
-         f"WITH {_GRID} SELECT {_HASH} AS coord_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, CASE WHEN lat > 20 THEN CAST(1 AS BIGINT) END AS v FROM g")
-register("G13_hex_cells", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 1), oracles.HEX_CELLS)
+_visited = lambda fx: fx.catalog_a.groupBy(S.cell_lat(F.col("centroid_lat"), 30).alias("lat"), S.cell_lon(F.col("centroid_lon"), 30).alias("lon")).agg(F.count(F.lit(1)).alias("v")).select(S.cell_id(F.col("lat"), F.col("lon")).alias("coord_id"), "lat", "lon", "v")
+_PLACED = "p AS (SELECT CAST(-90 + 30 * least(6, greatest(0, ceil((centroid_lat + 90) / 30 - 0.5))) AS BIGINT) AS lat, CAST(-180 + 30 * least(12, greatest(0, ceil((centroid_lon + 180) / 30 - 0.5))) AS BIGINT) AS lon, count(*) AS v FROM fx_catalog_a GROUP BY 1, 2)"
+register("G13_complete_nodes", lambda fx: N.complete_nodes(_visited(fx), N.rect_cells(fx.spark, 30)),
+         f"WITH {_GRID}, {_PLACED} SELECT {_HASH} AS coord_id, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, v FROM g LEFT JOIN p USING (lat, lon)")
+GRID = icosphere.IcosaGrid()
+sphere_cell = lambda res: GRID.encode(F.col("centroid_lat"), F.col("centroid_lon"), res)
+register("P6_sphere_encode", lambda fx: fx.catalog_a.groupBy(sphere_cell(1).alias("coord_id")).agg(F.count(F.lit(1)).alias("n")), oracles.ICO_ENCODE)
+register("G13_hex_cells", lambda fx: GRID.all_cells(fx.spark, 1).join(fx.catalog_a.groupBy(sphere_cell(1).alias("coord_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("mean_ivt").alias("ivt")), "coord_id", "left"), oracles.ICO_CELLS)
 register("G14_probabilities", lambda fx: N.normalize_outgoing(net0(fx)), f"WITH {_E0} SELECT orig, dest, weight, round(weight / sum(weight) OVER (PARTITION BY orig), 6) AS probability FROM e")
 register("G15_invert", lambda fx: N.invert_weights(net0(fx)), f"WITH {_E0} SELECT orig, dest, round(1 / weight, 6) AS weight FROM e")
 _mask = lambda fx: fx.catalog_a.select(F.floor(F.col("k") / 10).cast("long").alias("row"), (F.col("k") % 10).alias("col"), (F.col("k") * 7 % 4).alias("value")).distinct()
@@ -179,8 +184,9 @@ _flat = lambda c: F.concat_ws(";", F.transform(c, lambda p: F.concat_ws(" ", F.f
 register("P19_split_polygons", lambda fx: G.split_polygons(fx.cells.select("cell", F.transform(G.rect_boundary(F.col("lon") - 36, F.col("lat"), 10), lambda p: F.struct(S.wrap(p["lon"]).alias("lon"), p["lat"].alias("lat"))).alias("boundary"))).select("cell", "part", F.size("boundary").alias("n")),
          "SELECT cell, CAST(p AS BIGINT) AS part, CAST(5 AS BIGINT) AS n FROM fx_cells, unnest(CASE WHEN lon - 36 = -180 THEN [0, 1] ELSE [0] END) AS t(p)")
 register("P20_rect_boundary", lambda fx: fx.cells.select("cell", _flat(G.rect_boundary(F.col("lon"), F.col("lat"), 7)).alias("ring")), "SELECT cell, printf('%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f', lon - 3.5, lat - 3.5, lon + 3.5, lat - 3.5, lon + 3.5, lat + 3.5, lon - 3.5, lat + 3.5, lon - 3.5, lat - 3.5) AS ring FROM fx_cells")
-register("P20_hex_boundary", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select("coord_id", F.size(hexgrid.AxialHexGrid().boundary(F.col("coord_id"))).alias("n")), f"SELECT coord_id, count(*) + 1 AS n FROM ({oracles.HEX_RINGS}) r GROUP BY 1")
-register("P20_hex_corners", lambda fx: hexgrid.AxialHexGrid().all_cells(fx.spark, 0).select("coord_id", F.posexplode(F.slice(hexgrid.AxialHexGrid().boundary(F.col("coord_id")), 1, 6)).alias("corner", "p")).select("coord_id", "corner", F.round("p.lon", 4).alias("lon"), F.round("p.lat", 4).alias("lat")), oracles.HEX_RINGS)
+_sides = lambda fx: GRID.sides(fx.catalog_a.select(sphere_cell(0).alias("coord_id")).distinct(), "coord_id")
+register("P20_hex_boundary", lambda fx: _sides(fx).groupBy("coord_id").agg((F.count(F.lit(1)) + 1).alias("n")), f"SELECT coord_id, count(*) + 1 AS n FROM ({oracles.ICO_CORNERS}) r GROUP BY 1")
+register("P20_hex_corners", lambda fx: _sides(fx).select("coord_id", F.col("start").alias("corner"), *[c.alias(n) for n, c in zip(("lat", "lon"), GRID.center(F.col("start")), strict=True)]), oracles.ICO_CORNERS)
 _shifted_nodes = lambda fx: fx.nodes.withColumn("lon", F.col("lon") + 36)
 register("plot_table", lambda fx: G.plot_table(net0(fx), _shifted_nodes(fx)).select("orig", "dest", "segment", "x1", "x2", "weight", "bin"),
          f"WITH {_E0}, {_SEG}, q AS (SELECT round_even(min(weight), 0) AS a, round_even(quantile_cont(weight, 0.999), 0) AS b FROM e) SELECT orig, dest, segment, CAST(x1 AS DOUBLE) AS x1, CAST(x2 AS DOUBLE) AS x2, weight, CAST(floor((least(greatest(weight, a), b) - a) * 6 / (b - a)) AS BIGINT) AS bin FROM seg JOIN e USING (orig, dest), q WHERE shift = 36 AND abs(x1 - x2) <= 180")
@@ -223,7 +229,17 @@ def _polygons(fx):
 
 register("S7_read_polygons", lambda fx: _polygons(fx).select("cell", "continent", _flat("boundary").alias("ring")), "SELECT cell, continent, printf('%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f;%.1f %.1f', lon - 3.5, lat - 3.5, lon + 3.5, lat - 3.5, lon + 3.5, lat + 3.5, lon - 3.5, lat + 3.5, lon - 3.5, lat - 3.5) AS ring FROM fx_cells")
 
-register("N1_rect_lattice", lambda fx: nulls.rect_lattice(fx.spark, 30).groupBy("orig").agg(F.count(F.lit(1)).alias("n")),
-         f"""WITH g AS (SELECT -90 + 30 * a AS lat, -180 + 30 * b AS lon FROM unnest(range(0, 7)) x(a), unnest(range(0, 12)) y(b)),
+register("N1_rect_lattice", lambda fx: nulls.rect_lattice(fx.spark, 30).join(_visited(fx).select(F.col("coord_id").alias("orig"), "v"), "orig").join(_visited(fx).select(F.col("coord_id").alias("dest"), F.col("v").alias("w")), "dest", "left").groupBy("orig", "v").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("around")),
+         f"""WITH g AS (SELECT -90 + 30 * a AS lat, -180 + 30 * b AS lon FROM unnest(range(0, 7)) x(a), unnest(range(0, 12)) y(b)), {_PLACED},
              w AS (SELECT DISTINCT g.lat, g.lon, lat + 30 * da AS la, (lon + 30 * db + 540) % 360 - 180 AS lo FROM g, unnest([-1, 0, 1]) x(da), unnest([-1, 0, 1]) y(db) WHERE (da <> 0 OR db <> 0) AND lat + 30 * da BETWEEN -90 AND 90)
-             SELECT {_HASH} AS orig, count(*) AS n FROM w GROUP BY 1""")
+             SELECT {_HASH.replace("lat", "w.lat").replace("lon", "w.lon")} AS orig, p.v, count(*) AS n, CAST(coalesce(sum(q.v), 0) AS BIGINT) AS around FROM w JOIN p ON p.lat = w.lat AND p.lon = w.lon LEFT JOIN p q ON q.lat = la AND q.lon = lo GROUP BY 1, 2""")
+
+
+def _sphere_lattice(fx):
+    """Neighbours of each visited cell, and the visits of these."""
+    seen = fx.catalog_a.groupBy(sphere_cell(0).alias("coord_id")).agg(F.count(F.lit(1)).alias("n")).where("coord_id IS NOT NULL")
+    near = nulls.sphere_lattice(GRID, fx.spark, 0).join(seen.withColumnRenamed("coord_id", "orig"), "orig").join(seen.select(F.col("coord_id").alias("dest"), F.col("n").alias("m")), "dest", "left")
+    return near.groupBy(F.col("orig").alias("coord_id"), "n").agg(F.count(F.lit(1)).alias("neighbours"), F.coalesce(F.sum("m"), F.lit(0)).alias("around"))
+
+
+register("N1_sphere_lattice", _sphere_lattice, oracles.ICO_NEIGHBOURS)

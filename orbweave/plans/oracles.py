@@ -73,22 +73,54 @@ def nearest_hexagon(points: str, res: int) -> str:
                 SELECT key, lat AS y, {lon} AS x, CAST(round(lat / (1.5 * {a})) AS BIGINT) + ds AS s FROM ({points}) p, (VALUES (-1), (0), (1)) o(ds)) o, (VALUES (-1), (0), (1)) i(dq)) c) d GROUP BY key"""
 
 
-def hexagons(res: int) -> str:
-    """(q, s) of all hexagons that hold a point of a lattice of half a radius."""
-    step = f"({radius(res)} / 2)"
-    points = f"SELECT row_number() OVER () AS key, -90 + {step} * i AS lat, -180 + {step} * j AS lon FROM range(0, CAST(ceil(180 / {step}) AS BIGINT) + 1) a(i), range(0, CAST(ceil(360 / {step}) AS BIGINT)) b(j) WHERE -90 + {step} * i <= 90"
-    return f"SELECT DISTINCT q, s FROM ({nearest_hexagon(points, res)}) h"
-
-
 HEX_ENCODE = f"""WITH pts AS (SELECT DISTINCT k AS key, centroid_lat AS lat, centroid_lon AS lon FROM fx_catalog_a),
     {", ".join(f"h{r} AS ({nearest_hexagon('SELECT * FROM pts', r)})" for r in range(3))}
     SELECT {", ".join(f"printf('{r}:%d:%d', h{r}.q, h{r}.s) AS res{r}" for r in range(3))}, count(*) AS count FROM fx_catalog_a JOIN h0 ON h0.key = k JOIN h1 ON h1.key = k JOIN h2 ON h2.key = k GROUP BY 1, 2, 3"""
 
-HEX_CELLS = f"SELECT printf('1:%d:%d', q, s) AS coord_id, round({radius(1)} * 1.5 * s, 6) AS lat, round({radius(1)} * sqrt(3) * (q + s / 2), 6) AS lon FROM ({hexagons(1)}) c"
-
-HEX_OUTLINES = f"""WITH c AS MATERIALIZED (SELECT q, s, CAST(s > 0 AS BIGINT) AS m FROM ({hexagons(0)}) c)
-    SELECT printf('0:%d:%d', c.q, c.s) AS node, printf('0:%d:%d', c.q + dq, c.s + ds) AS neighbour, c.m AS community
-    FROM c CROSS JOIN (VALUES (1, 0), (1, -1), (0, -1), (-1, 0), (-1, 1), (0, 1)) o(dq, ds) LEFT JOIN c d ON d.q = c.q + dq AND d.s = c.s + ds WHERE d.m IS NULL OR d.m <> c.m"""
 
-HEX_RINGS = f"""SELECT printf('0:%d:%d', q, s) AS coord_id, CAST(i AS BIGINT) AS corner, round(12 * sqrt(3) * (q + s / 2) + 12 * cos(radians(60 * i - 30)), 4) + 0.0 AS lon, round(18 * s + 12 * sin(radians(60 * i - 30)), 4) + 0.0 AS lat
-    FROM ({hexagons(0)}) c, range(0, 6) r(i)"""
+def icosphere(res: int) -> str:
+    """Table expressions of the spherical grid at ``res``: vertices, faces, ``lattice`` (every point of every face with its cell's name),
+    ``cells``, and ``place``: the cells of the catalog's points, yb solving for weights and trying all points of the face."""
+    n = 4 << res
+    named = lambda i, j, k: f"concat_ws('-', CASE WHEN {i} > 0 THEN concat(a, 'x', {i}) END, CASE WHEN {j} > 0 THEN concat(b, 'x', {j}) END, CASE WHEN {k} > 0 THEN concat(c, 'x', {k}) END)"
+    middle = lambda x: f"i * {x}a + j * {x}b + k * {x}c"
+    det = lambda p, q, r: f"(x{p} * (y{q} * z{r} - z{q} * y{r}) + y{p} * (z{q} * x{r} - x{q} * z{r}) + z{p} * (x{q} * y{r} - y{q} * x{r}))"
+    near = lambda p, q: f"{p}.x * {q}.x + {p}.y * {q}.y + {p}.z * {q}.z > 0.4"
+    corner = lambda t: f"concat('c{res}:', a, 'x', 3 * i + {t}, '-', b, 'x', 3 * j + {t}, '-', c, 'x', 3 * k + {t})"
+    return f"""v AS (SELECT v, CASE WHEN v IN (0, 11) THEN 0 ELSE cos(la) * cos(lo) END AS x, CASE WHEN v IN (0, 11) THEN 0 ELSE cos(la) * sin(lo) END AS y, CASE v WHEN 0 THEN 1 WHEN 11 THEN -1 ELSE sin(la) END AS z
+            FROM (SELECT v, CASE WHEN v < 6 THEN atan(0.5) ELSE -atan(0.5) END AS la, radians(11 + CASE WHEN v < 6 THEN 72 * (v - 1) ELSE 72 * (v - 6) + 36 END) AS lo FROM range(12) t(v)) r),
+        f AS MATERIALIZED (SELECT a.v AS a, b.v AS b, c.v AS c, a.x AS xa, a.y AS ya, a.z AS za, b.x AS xb, b.y AS yb, b.z AS zb, c.x AS xc, c.y AS yc, c.z AS zc FROM v a, v b, v c WHERE a.v < b.v AND b.v < c.v AND {near("a", "b")} AND {near("b", "c")} AND {near("a", "c")}),
+        lattice AS MATERIALIZED (SELECT *, {n} - i - j AS k FROM f, range({n + 1}) t(i), range({n + 1}) u(j) WHERE i + j <= {n}),
+        cells AS MATERIALIZED (SELECT coord_id, any_value(mx / r) AS x, any_value(my / r) AS y, any_value(mz / r) AS z FROM (SELECT coord_id, mx, my, mz, sqrt(mx * mx + my * my + mz * mz) AS r FROM (SELECT concat('{res}:', {named("i", "j", "k")}) AS coord_id, {middle("x")} AS mx, {middle("y")} AS my, {middle("z")} AS mz FROM lattice) m) r GROUP BY 1),
+        points AS (SELECT key, cos(radians(lat)) * cos(radians(lon)) AS xp, cos(radians(lat)) * sin(radians(lon)) AS yp, sin(radians(lat)) AS zp FROM (SELECT DISTINCT k AS key, centroid_lat AS lat, centroid_lon AS lon FROM fx_catalog_a) d),
+        on_face AS (SELECT key, f.*, {det("p", "b", "c")} / {det("a", "b", "c")} AS wa, {det("a", "p", "c")} / {det("a", "b", "c")} AS wb, {det("a", "b", "p")} / {det("a", "b", "c")} AS wc FROM points, f QUALIFY row_number() OVER (PARTITION BY key ORDER BY xp * (xa + xb + xc) + yp * (ya + yb + yc) + zp * (za + zb + zc) DESC) = 1),
+        place AS MATERIALIZED (SELECT key, arg_min(concat('{res}:', {named("i", "j", "k")}), pow(i - {n} * wa / (wa + wb + wc), 2) + pow(j - {n} * wb / (wa + wb + wc), 2) + pow(k - {n} * wc / (wa + wb + wc), 2)) AS coord_id
+            FROM (SELECT key, o.a, o.b, o.c, wa, wb, wc, i, j, k FROM on_face o JOIN lattice l ON l.a = o.a AND l.b = o.b AND l.c = o.c) c GROUP BY key),
+        corner AS MATERIALIZED (SELECT corner, concat('{res}:', cell) AS cell, mx / sqrt(mx * mx + my * my + mz * mz) AS x, my / sqrt(mx * mx + my * my + mz * mz) AS y, mz / sqrt(mx * mx + my * my + mz * mz) AS z FROM (
+            SELECT {corner(1)} AS corner, unnest([{named("i + 1", "j", "k")}, {named("i", "j + 1", "k")}, {named("i", "j", "k + 1")}]) AS cell, {", ".join(f"(3 * i + 1) * {x}a + (3 * j + 1) * {x}b + (3 * k + 1) * {x}c AS m{x}" for x in "xyz")} FROM (SELECT * EXCLUDE (k), k - 1 AS k FROM lattice WHERE k >= 1) u
+            UNION ALL SELECT {corner(2)}, unnest([{named("i", "j + 1", "k + 1")}, {named("i + 1", "j", "k + 1")}, {named("i + 1", "j + 1", "k")}]), {", ".join(f"(3 * i + 2) * {x}a + (3 * j + 2) * {x}b + (3 * k + 2) * {x}c" for x in "xyz")} FROM (SELECT * EXCLUDE (k), k - 2 AS k FROM lattice WHERE k >= 2) d) t)"""
+
+
+ICO_ENCODE = f"WITH {icosphere(1)} SELECT coord_id, count(*) AS n FROM fx_catalog_a JOIN place ON key = k GROUP BY 1"
+
+ICO_CELLS = f"""WITH {icosphere(1)}, s AS (SELECT coord_id, count(*) AS n, sum(mean_ivt) AS ivt FROM fx_catalog_a JOIN place ON key = k GROUP BY 1)
+    SELECT coord_id, degrees(asin(z)) AS lat, degrees(atan2(y, x)) AS lon, n, ivt FROM cells LEFT JOIN s USING (coord_id)"""
+
+ICO_CORNERS = f"""WITH {icosphere(0)} SELECT coord_id, corner, degrees(asin(z)) AS lat, degrees(atan2(y, x)) AS lon FROM (SELECT DISTINCT coord_id FROM place) p JOIN corner ON cell = coord_id"""
+
+ICO_NEIGHBOURS = f"""WITH {icosphere(0)}, s AS (SELECT coord_id, count(*) AS n FROM fx_catalog_a JOIN place ON key = k GROUP BY 1),
+    d AS (SELECT DISTINCT p.cell, q.cell AS neighbour FROM corner p JOIN corner q ON p.corner = q.corner AND p.cell <> q.cell)
+    SELECT coord_id, any_value(s.n) AS n, count(*) AS neighbours, CAST(coalesce(sum(o.n), 0) AS BIGINT) AS around FROM s JOIN d ON cell = s.coord_id LEFT JOIN (SELECT coord_id AS neighbour, n FROM s) o USING (neighbour) GROUP BY 1"""
+
+_REGIMES = "c AS (SELECT coord_id AS cell, regime AS m FROM (SELECT coord_id, regime, count(*) AS n FROM fx_catalog_a JOIN place ON key = k GROUP BY 1, 2) g QUALIFY row_number() OVER (PARTITION BY coord_id ORDER BY n DESC, regime) = 1)"
+
+ICO_SIDES = f"""WITH {icosphere(0)}, {_REGIMES} SELECT DISTINCT c.cell AS node, q.cell AS neighbour, c.m AS community FROM c JOIN corner p ON p.cell = c.cell JOIN corner q ON p.corner = q.corner AND p.cell <> q.cell LEFT JOIN c o ON o.cell = q.cell WHERE o.m IS NULL OR o.m <> c.m"""
+
+ICO_OUTLINES = f"""WITH RECURSIVE {icosphere(0)}, {_REGIMES},
+    side AS MATERIALIZED (SELECT p.cell, q.cell AS other, min(p.corner) AS c1, max(p.corner) AS c2 FROM corner p JOIN corner q ON p.corner = q.corner AND p.cell <> q.cell GROUP BY 1, 2),
+    link AS MATERIALIZED (SELECT c.m, c.cell, c1, c2 FROM c JOIN side ON side.cell = c.cell LEFT JOIN c o ON o.cell = other WHERE o.m IS NULL OR o.m <> c.m),
+    r(m, x, y) AS (SELECT m, c1, c1 FROM link UNION SELECT m, c2, c2 FROM link UNION SELECT r.m, r.x, l.y FROM r JOIN (SELECT m, c1 AS x, c2 AS y FROM link UNION SELECT m, c2, c1 FROM link) l ON l.m = r.m AND l.x = r.y),
+    ring AS (SELECT m, x, min(y) AS ring FROM r GROUP BY 1, 2), spot AS (SELECT DISTINCT corner, x, y, z FROM corner),
+    e AS (SELECT l.m, ring, sign(o.x * (p.y * q.z - p.z * q.y) + o.y * (p.z * q.x - p.x * q.z) + o.z * (p.x * q.y - p.y * q.x)) * 2 * atan2(p.x * q.y - p.y * q.x, 1 + p.z + q.z + p.x * q.x + p.y * q.y + p.z * q.z) AS e
+        FROM link l JOIN ring ON ring.m = l.m AND ring.x = c1 JOIN spot p ON p.corner = c1 JOIN spot q ON q.corner = c2 JOIN cells o ON o.coord_id = l.cell)
+    SELECT community, ring, n_corners, area, CAST(area > 2 * pi() AS BIGINT) AS hole FROM (SELECT m AS community, ring, count(*) AS n_corners, sum(e) - 4 * pi() * floor(sum(e) / (4 * pi())) AS area FROM e GROUP BY 1, 2) a"""
