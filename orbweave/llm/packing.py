@@ -1,10 +1,9 @@
 """Length buckets of least padding, and token-budget batches inside each bucket.
 
-The histogram of token counts covers all texts and is exact up to ``EXACT`` tokens; longer counts
-are rounded up to 1/1024 of their power of two, so its size doesn't grow with the corpus. Dynamic
-programming over it places ``n_buckets`` boundaries such that padding every text, its length taken
-as rounded, to the boundary above costs the fewest tokens; as the cost of a bucket is linear in its boundary, each layer of the
-programme is one sweep along a convex hull of lines.
+The histogram of token counts covers all texts and is exact: one bin for each length that occurs. d different lengths
+need d² / 2 tokens at least, so bins grow as the square root of the corpus at most. Dynamic programming over it places
+``n_buckets`` boundaries such that padding every text to the boundary above costs the fewest tokens; as the
+cost of a bucket is linear in its boundary, each layer of the programme is one sweep along a convex hull of lines.
 
 A batch of a bucket holds as many texts as fit the token budget at the bucket's length (one text at
 least). Batches form within shards of a bucket, so no bucket is sorted in one task; each shard leaves
@@ -18,23 +17,18 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from array import array
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import written
 from .token_counts import count_tokens
 
-EXACT = 8192
 SHARD_ROWS = 4096
 
 
-def rounded(n: Column) -> Column:
-    """``n`` up to EXACT, beyond that the next multiple of 1/1024 of its power of two."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 10)
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / unit) * unit).cast("long")).cast("long")
-
-
 def boundaries(histogram: list[tuple[int, int]], n_buckets: int) -> list[int]:
     """Bucket lengths, ascending, for (length, count) bins: padding is least; the fewest buckets among equals."""
     bins = sorted((length, n) for length, n in histogram if length > 0 and n > 0)
@@ -46,12 +40,12 @@ def boundaries(histogram: list[tuple[int, int]], n_buckets: int) -> list[int]:
         total.append(total[-1] + n)
     length = [b[0] for b in bins]
     cost: list[int | None] = [0] + [None] * m  # of the first j bins in k buckets
-    choice: list[list[int]] = []
+    choice: list[array] = []
     best = None
     for k in range(1, min(n_buckets, m) + 1):
         hull: list[tuple[int, int, int]] = []  # lines (slope, intercept, i), slopes falling
         new: list[int | None] = [None] * (m + 1)
-        back = [0] * (m + 1)
+        back = array("l", bytes(array("l").itemsize * (m + 1)))
         at = 0
         for j in range(1, m + 1):
             i = j - 1
@@ -82,8 +76,8 @@ def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataF
 
     ``lengths`` is read several times: pass a written table.
     """
-    sized = lengths.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens")).withColumn("bin", rounded(F.col("n_tokens")))
-    histogram = [(r.bin, r["count"]) for r in sized.groupBy("bin").count().collect()]
+    sized = lengths.select(F.col("doc_id").cast("long"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"))
+    histogram = [(r.n_tokens, r["count"]) for r in sized.groupBy("n_tokens").count().collect()]
     edges = boundaries(histogram, n_buckets)
     bucket = padded = F.lit(None)
     room = F.lit(1)
@@ -92,7 +86,7 @@ def pack(lengths: DataFrame, n_buckets: int = 16, budget: int = 65_536) -> DataF
     for i in range(len(edges) - 1, -1, -1):
         below = edges[i - 1] if i else 0
         rows = sum(n for length, n in histogram if below < length <= edges[i])
-        fits = F.col("bin") <= edges[i]
+        fits = F.col("n_tokens") <= edges[i]
         bucket = F.when(fits, F.lit(i)).otherwise(bucket)
         padded = F.when(fits, F.lit(edges[i])).otherwise(padded)
         shards = F.when(fits, F.lit(-(-rows // SHARD_ROWS))).otherwise(shards)
