@@ -18,8 +18,9 @@ or more that occurs twice marks its windows, and halving covers the rest of the
 
 Defined cases: a null or empty text has no words and nothing to remove; repeated rows (same id
 or not) are occurrences of their own, so their windows repeat; texts shorter than the window
-keep all words; a text of more than 2**26 - 1 words is an error; an empty table gives an empty result;
-other columns of the input are ignored.
+keep all words; a text may have any number of words (a task holds about 100 bytes for each word of its longest text); an
+empty table gives an empty result; other columns of the input are ignored. Segments are fetched from one of the
+rows of the same id and text, so such rows add to the numbers of their segments and to nothing else.
 """
 
 from __future__ import annotations
@@ -44,7 +45,24 @@ SHARD_WORDS = 400_000
 PART = 512  #: different segments of one key that go to one part
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-_PLACE = np.uint64((1 << 26) - 1)
+_BITS = 26  #: of a gram's hash that give way to its place while the smallest is sought
+
+
+def _lowest(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the gram of smallest hash (the first of equal ones) among each ``span`` in a row, worked out in blocks of 2**26 places."""
+    low_bits = np.uint64((1 << _BITS) - 1)
+    out = np.zeros(len(grams) - span + 1, np.int64)
+    block = (1 << _BITS) - span
+    for at in range(0, len(out), block):
+        part = grams[at : at + block + span - 1]
+        low = (part & ~low_bits) | np.arange(len(part), dtype=np.uint64)
+        have = 1
+        while have * 2 <= span:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
+        out[at : at + len(low)] = (low & low_bits).astype(np.int64) + at
+    return out
 
 
 def anchors(words: Words, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -53,16 +71,8 @@ def anchors(words: Words, h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarr
     none = np.zeros(0, np.int64)
     if n < window:
         return none, none, none, none, none
-    if n > int(_PLACE):
-        raise ValueError(f"a text of more than {int(_PLACE)} words")
     grams = gram_hashes(h, GRAM)
-    low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
-    span, have = window - GRAM + 1, 1
-    while have * 2 <= span:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    low = np.minimum(low[: len(low) - (span - have)], low[span - have :])
-    place = (low & _PLACE).astype(np.int64)
+    place = _lowest(grams, window - GRAM + 1)
     ok = whole(words.off, window, n - window + 1)
     fresh = ok.copy()
     fresh[1:] &= ~ok[:-1] | (place[1:] != place[:-1])
@@ -120,9 +130,17 @@ def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, count:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of whole (key, part) groups, about ``SHARD_WORDS`` words at a time; rows come sorted."""
+    """Rows of whole (key, part) groups, about ``SHARD_WORDS`` words at a time; rows come sorted, and of equal (key, seg) one is held."""
     held: list[pa.RecordBatch] = []
     size = 0
+    last = None
+
+    def fresh(b: pa.RecordBatch) -> pa.RecordBatch:
+        nonlocal last
+        key, seg = b.column(0).to_numpy(), b.column(3).to_numpy()
+        new = np.append((key[0], seg[0]) != last, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
+        last = (key[-1], seg[-1])
+        return b if new.all() else b.filter(pa.array(new))
 
     def last_group(b: pa.RecordBatch) -> int:
         key, part = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -134,6 +152,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             b = batch.slice(at, 1000)
             at += b.num_rows
+            b = fresh(b)
             held.append(b)
             size += len(b.column(5).flatten()) if b.num_rows else 0
             if size >= SHARD_WORDS:
@@ -154,8 +173,6 @@ def _search(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _shards(batches):
             key, seg = b.column(0).to_numpy(), b.column(3).to_numpy()
-            fresh = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
-            b = b.filter(pa.array(fresh))  # equal rows of the table give the same segment again
             words = b.column(5)
             size = np.diff(words.offsets.to_numpy())
             h = words.flatten().to_numpy().view(np.uint64)
@@ -191,6 +208,34 @@ def _search(window: int):
     return run
 
 
+def _fetch(window: int):
+    """(text, did, tid, x) → the words of the segments x; of rows of one id and text the first of the task gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[int, int]] = set()
+        for b in slices(batches):
+            b = b.filter(b.column(3).is_valid())
+            new = []
+            for pair in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                new.append(pair not in done)
+                done.add(pair)
+            b = b.filter(pa.array(new, pa.bool_()))
+            if not b.num_rows:
+                continue
+            words = Words(Texts(b.column(0)), PLAIN)
+            h = words.hashes().view(np.int64)
+            x = b.column(3)
+            row = np.repeat(np.arange(b.num_rows), np.diff(x.offsets.to_numpy()))
+            x = x.flatten()
+            w0, nw = x.field("w0").to_numpy(), x.field("nw").to_numpy()
+            size = nw.astype(np.int64) + window - 1
+            off = np.concatenate([[0], np.cumsum(size)])
+            at = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(words.off[row] + w0, size)
+            yield pa.RecordBatch.from_arrays([*(x.field(k) for k in ("key", "part", "parts", "seg", "c")), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h[at]))], names=["key", "part", "parts", "seg", "c", "words"])
+
+    return run
+
+
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(did, tid, x) of the texts with repeated windows; x: segments (w0, nw, mask), bit w of mask being window w0 + w."""
     if not GRAM <= window <= 60:
@@ -209,24 +254,8 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     by_text = wanted.groupBy("did", "tid").agg(F.collect_list("x").alias("x"))
     texts = _identified(docs)
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            b = b.filter(b.column(1).is_valid())
-            if not b.num_rows:
-                continue
-            words = Words(Texts(b.column(0)), PLAIN)
-            h = words.hashes().view(np.int64)
-            x = b.column(1)
-            row = np.repeat(np.arange(b.num_rows), np.diff(x.offsets.to_numpy()))
-            x = x.flatten()
-            w0, nw = x.field("w0").to_numpy(), x.field("nw").to_numpy()
-            size = nw.astype(np.int64) + window - 1
-            off = np.concatenate([[0], np.cumsum(size)])
-            at = np.arange(off[-1]) - np.repeat(off[:-1], size) + np.repeat(words.off[row] + w0, size)
-            yield pa.RecordBatch.from_arrays([*(x.field(k) for k in ("key", "part", "parts", "seg", "c")), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h[at]))], names=["key", "part", "parts", "seg", "c", "words"])
-
     # both uses of the texts are left joins on the same columns, so the plan shuffles them once
-    pieces = texts.join(by_text, ["did", "tid"], "left").select("text", "x").mapInArrow(fetch, "key long, part int, parts int, seg long, c int, words array<long>")
+    pieces = texts.join(by_text, ["did", "tid"], "left").select("text", "did", "tid", "x").mapInArrow(_fetch(window), "key long, part int, parts int, seg long, c int, words array<long>")
     found = pieces.repartition("key", "part").sortWithinPartitions("key", "part", "seg").mapInArrow(_search(window), "kind byte, key long, seg long, mask long, hash long")
     # windows that two parts of a split key have; a part gives each of its windows once, so the groups are small
     parts_with = F.sum((F.col("kind") == 1).cast("int")).over(Window.partitionBy("key", "hash"))
