@@ -5,13 +5,13 @@ the better one wins with probability sigmoid(worth difference); the weights maxi
 likelihood, that is logistic loss on feature differences. Pairs are drawn anew in each step
 from a bounded sample of labelled rows (``per_class`` of each label at most). As a ranking has
 no origin, a shift and a slope fitted on the same sample turn worth into a score in (0, 1).
-``select`` keeps texts above a quantile of the scores of all texts.
+``select`` marks the texts at or above a quantile of the scores of all texts.
 
 Features are shares of the whole text (kinds of characters, words, lines) and their squares;
 labels, lang, source and doc_id are never among them.
 
 Defined cases: a null or empty text has features 0 and a score like any other; without labels
-of both classes every score is 0.5; repeated rows are scored each on their own; an empty table
+of both classes every score is 0.5; a null doc_id stays null (and its ``held_out`` in the query); repeated rows are scored each on their own; an empty table
 gives an empty result; other columns of the input are ignored.
 """
 
@@ -25,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import quantiles
 from .arrays import slices, sums
 from .quality_rules import FEATURES, Lines, sample
+from .store import written
 
 SCHEMA = "doc_id long, score double"
 
@@ -113,7 +115,9 @@ def score(docs: DataFrame, ranker: Ranker | None) -> DataFrame:
 
 
 def select(docs: DataFrame, ranker: Ranker | None, quantile: float) -> DataFrame:
-    """(doc_id, score) of the texts at or above the given quantile of all scores."""
-    scored = score(docs, ranker)
-    edge = scored.agg(F.percentile_approx("score", F.lit(quantile), F.lit(10000)).alias("edge"))
-    return scored.join(F.broadcast(edge), F.col("score") >= F.col("edge")).select("doc_id", "score")
+    """(doc_id, score, selected): each text's score, and whether it lies at or above the given quantile of all scores (exact,
+    interpolated between neighbours). Equal scores are selected together; without a ranker all are."""
+    scored = written(score(docs, ranker), "scores")
+    edge = quantiles(scored, "score", [quantile]).first()
+    edge = edge.q[0] if edge and edge.q[0] is not None else 0.0  # no texts
+    return scored.withColumn("selected", F.col("score") >= edge)

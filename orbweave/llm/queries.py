@@ -54,8 +54,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ranker = quality_classifier.train(docs, labels.withColumn("m", _remainder(5)), where="m <> 0")
-    got = quality_classifier.score(docs, ranker)
-    return got.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    got = quality_classifier.select(docs, ranker, 0.25)
+    return got.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "selected")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

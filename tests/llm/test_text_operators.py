@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from orbweave.llm import arrays, decontaminate, jaccard_join, language_id, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
@@ -164,6 +165,43 @@ def test_substring_dedup_removes_every_repeat(monkeypatch, docs, empty, part):
     assert substring_dedup.digests(substring_dedup.repeats(empty)).count() == 0
 
 
+def test_smallest_grams_are_the_same_in_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    grams = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) << np.uint64(1)
+    grams[100:400] = grams[7]
+    high = grams >> np.uint64(26)
+    want = [i + int(np.argmin(high[i : i + 28])) for i in range(3000 - 27)]
+    assert substring_dedup._lowest(grams, 28).tolist() == want
+    monkeypatch.setattr(substring_dedup, "_BITS", 7)  # blocks of 100 places
+    high = grams >> np.uint64(7)
+    assert substring_dedup._lowest(grams, 28).tolist() == [i + int(np.argmin(high[i : i + 28])) for i in range(3000 - 27)]
+
+
+def test_a_long_text_in_blocks(monkeypatch, spark):
+    monkeypatch.setattr(substring_dedup, "_BITS", 9)
+    r = random.Random(4)
+    long = [f"w{r.randrange(10**6)}" for _ in range(5000)]
+    long[4000:4060] = long[470:530]  # a passage across the end of a block
+    rows = [(1, " ".join(long)), (2, " ".join(long[900:1100]))]
+    want = {(d, len(w), len(g)) for (d, _), (w, g) in zip(rows, brute_repeats(rows, 35), strict=True)}
+    got = substring_dedup.digests(substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {tuple(x)[:3] for x in got} == want and all(n for _, _, n in want)
+
+
+def test_rows_of_one_id_and_text_give_their_segments_once(spark):
+    r = random.Random(6)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(120))
+    other = " ".join(text.split()[:60] + ["other"] * 3)
+    x = pa.array([[{"key": 1, "seg": 2, "parts": 1, "part": 0, "c": 2, "w0": 0, "nw": 3}]] * 100_000 + [None])
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 100_000 + [other]), pa.array([0] * 100_001), pa.array([9] * 100_000 + [8]), x], names=["text", "did", "tid", "x"])
+    assert sum(b.num_rows for b in substring_dedup._fetch(35)(iter([batch]))) == 1
+    one = pa.RecordBatch.from_arrays([pa.array([k] * 3000) for k in (5, 0, 1, 7, 2)] + [pa.array([[1, 2]] * 3000)], names=["key", "part", "parts", "seg", "c", "words"])
+    assert sum(b.num_rows for b in substring_dedup._shards(iter([one, one]))) == 1
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(1, other)], "doc_id long, text string"))
+    got = substring_dedup.digests(substring_dedup.repeats(rows)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(g) for g in got} == {(None, 120, 120, 100_000), (1, 63, 60, 1)}
+
+
 def brute_hits(rows, items, window):
     windows = collections.defaultdict(set)
     for k, t in items:
@@ -296,7 +334,10 @@ def test_quality_models_learn(spark):
     s = {r.doc_id: r.score for r in quality_classifier.score(docs, ranker).collect()}
     assert min(v for k, v in s.items() if k % 3) > max(v for k, v in s.items() if k % 3 == 0)
     assert all((v >= 0.3) == (k % 3 > 0) for k, v in s.items())
-    assert {r.doc_id for r in quality_classifier.select(docs, ranker, 0.9).collect()} <= {i for i in range(160) if i % 3}
+    chosen = quality_classifier.select(docs, ranker, 0.9).collect()
+    edge = np.quantile([r.score for r in chosen], 0.9)
+    assert len(chosen) == docs.count() and all(r.selected == (r.score >= edge - 1e-12) for r in chosen)
+    assert {r.doc_id for r in chosen if r.selected} <= {i for i in range(160) if i % 3}
 
 
 def test_models_without_labels(spark, docs, empty):
@@ -523,3 +564,39 @@ def test_weighed_index_counts_occurrences():
             for end in range(1, len(p) + 1):
                 want = max((n for n in range(1, end + 1) if full[tuple(p[end - n : end])] >= least), default=0)
                 assert index.statistics(p, np.array([0]), np.array([end]), least)[0] == want
+
+
+@pytest.mark.parametrize("buckets, budget", [(3, 500), (16, 65_536)])
+def test_packed_texts_against_plain_search(spark, docs, buckets, budget):
+    """Token counts by the library, the best edges by trying them all in turn, and batches that hold what they may."""
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(token_counts.vocabulary_path())
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(7_001, "long " * 20_000), (7_002, "long " * 9_001), (7_003, "longer " * 9_100)]
+    counts = collections.Counter((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    got = packing.pack_texts(spark.createDataFrame(rows, "doc_id long, text string"), buckets, budget).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == counts
+    lengths = collections.Counter({0: 0})
+    for (_, n), k in counts.items():
+        lengths[n] += k
+    sizes = sorted(n for n in lengths if n)
+    least = {0: 0}  # padded tokens of the i shortest lengths
+    for _ in range(buckets):
+        new = dict(least)
+        for j in range(1, len(sizes) + 1):
+            for i in range(j):
+                if i in least:
+                    cost = least[i] + sizes[j - 1] * sum(lengths[n] for n in sizes[i:j])
+                    new[j] = min(new.get(j, cost), cost)
+        least = new
+    assert sum(r.padded_to for r in got) == least[len(sizes)]
+    edges = sorted({r.padded_to for r in got} - {0})
+    assert len(edges) <= buckets and all(r.padded_to == min((e for e in edges if e >= r.n_tokens), default=0) if r.n_tokens else r.bucket is r.batch is r.slot is None and r.padded_to == 0 for r in got)
+    batches = collections.defaultdict(list)
+    for r in got:
+        if r.n_tokens:
+            batches[r.batch].append(r)
+    for rs in batches.values():
+        assert len({r.padded_to for r in rs}) == 1 and sorted(r.slot for r in rs) == list(range(len(rs)))
+        assert len(rs) == 1 or len(rs) * rs[0].padded_to <= budget
+    for e in edges:  # one shard here, so one batch of a bucket at most is not full
+        full = max(1, budget // e)
+        assert sum(len(rs) < full for rs in batches.values() if rs[0].padded_to == e) <= 1
