@@ -21,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +32,44 @@ OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
+class Characters:
+    """Classes and lower cases of all code points as the library has them, whose Unicode version is neither Python's nor another package's.
+
+    The library is asked once, on the driver; tasks get runs of equal class and the few lower cases that differ from Python's.
+    """
+
+    def __init__(self):
+        from tokenizers import Regex
+        from tokenizers.normalizers import Lowercase
+        from tokenizers.pre_tokenizers import Split
+
+        every = [*range(0xD800), *range(0xE000, 0x110000)]
+        text, code, kinds = "".join(map(chr, every)), np.array(every), np.zeros(0x110000, np.uint8)
+        for kind, other in ((SPACE, r"\S"), (LETTER, r"\P{L}"), (NUMBER, r"\P{N}")):
+            for _, (start, end) in Split(Regex(other), "removed").pre_tokenize_str(text):
+                kinds[code[start:end]] = kind
+        self.start = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1])).astype(np.int32)
+        self.kind = kinds[self.start]
+        lines = "\n".join(map(chr, every))  # the line feed itself gives one line more
+        pairs = zip([*every[:10], 10, *every[10:]], lines.replace("Σ", "σ").lower().split("\n"), Lowercase().normalize_str(lines).split("\n"), strict=True)
+        self.lower = {ord("Σ"): "σ"} | {c: theirs for c, mine, theirs in pairs if mine != theirs}
+
+    def classes(self) -> np.ndarray:
+        """The class of every code point."""
+        return np.repeat(self.kind, np.diff(np.append(self.start, 0x110000)))
+
+    def normalised(self, text: str) -> str:
+        """NFC, then lower case character by character (a capital sigma has one lower case here)."""
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return text.translate(self.lower).lower()
+
+
 @lru_cache(1)
-def _classes() -> np.ndarray:
-    """The class of every code point."""
-    t = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
-        t[[ord(c) for c in regex.findall(pattern, every)]] = kind
-    return t
+def characters() -> Characters:
+    return Characters()
 
 
 def _byte_symbols() -> list[str]:
@@ -106,16 +135,7 @@ class Vocabulary:
         return out
 
 
-def normalised(text: str) -> str:
-    """NFC, then lower case character by character (a capital sigma has one lower case here)."""
-    if text.isascii():
-        return text.lower()
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
-    return text.replace("Σ", "σ").lower()
-
-
-def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pretokens(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes (8 spare ones at the end), byte start and end, and text number of each pre-token of normalised texts."""
     joined = "\n".join(texts) + "\n"
     data = np.frombuffer(joined.encode("utf-8") + b"\0" * 8, dtype=np.uint8)
@@ -124,7 +144,7 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     else:
         code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         byte = np.append(np.flatnonzero((data[:-8] & 0xC0) != 0x80), len(data) - 8)
-    kind = _classes()[code]
+    kind = classes[code]
     cut = np.ones(len(code) + 1, bool)
     cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
     quote = np.flatnonzero((code == 39) & cut[:-1] & cut[1:])
@@ -147,8 +167,10 @@ def pretokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 class Counter:
     """Counts tokens of texts; remembers the counts of up to ``memo`` pre-tokens by their 64-bit hash and length."""
 
-    def __init__(self, vocabulary: Vocabulary, memo: int = MEMO):
+    def __init__(self, vocabulary: Vocabulary, memo: int = MEMO, known: Characters | None = None):
         self.vocabulary, self.memo = vocabulary, memo
+        self.characters = known or characters()
+        self.classes = self.characters.classes()
         self.known, self.value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.added = re.compile("|".join(map(re.escape, vocabulary.added))) if vocabulary.added else None
 
@@ -160,14 +182,14 @@ class Counter:
             if self.added and "<|" in text:
                 total[i] += len(self.added.findall(text))
                 for piece in self.added.split(text):
-                    pieces.append(normalised(piece))
+                    pieces.append(self.characters.normalised(piece))
                     owner.append(i)
             else:
-                pieces.append(normalised(text))
+                pieces.append(self.characters.normalised(text))
                 owner.append(i)
         if not pieces:
             return total
-        data, start, end, of = pretokens(pieces)
+        data, start, end, of = pretokens(pieces, self.classes)
         if not len(start):
             return total
         key, first, back = np.unique(range_hashes(data, start, end), return_index=True, return_inverse=True)
@@ -202,11 +224,12 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     ``path``: the vocabulary file, at the same place on every executor; by default that of the installed package.
     """
+    known = characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = None
         for b in slices(batches):
-            counter = counter or Counter(_vocabulary(path or vocabulary_path()))
+            counter = counter or Counter(_vocabulary(path or vocabulary_path()), known=known)
             texts = b.column(1).to_pylist()
             size = pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(counter(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

@@ -83,6 +83,17 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_every_code_point_counts_as_in_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(token_counts.vocabulary_path())
+    count = token_counts.Counter(token_counts.Vocabulary(token_counts.vocabulary_path()))
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    for at in range(0, len(every), 100_000):
+        texts = [f"a{c}b {c}1{c}" for c in map(chr, every[at : at + 100_000])]
+        want = np.array([len(e.ids) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        assert [hex(every[at + i]) for i in np.flatnonzero(count(texts) != want)] == []
+
+
 def components_of(rows, k, percent):
     sets = []
     for _, t in rows:
