@@ -10,7 +10,8 @@ so the states have context before the first pooled position. All segments of a s
 together, one byte a step.
 
 Training takes a bounded sample of the rows that the caller passes as labelled: ``per_lang`` different
-texts of each language at most, ``per_text`` characters of each at most.
+texts of each language at most, and of all their segments, wherever in a text they lie, ``most_segments`` at most, as many of
+each language.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; labels that are
 null are not learned; with nothing to learn from every text is ``und``; repeated rows are
@@ -183,19 +184,20 @@ def loss_and_gradient(net: Network, part: np.ndarray, label: np.ndarray, weight:
     return loss, [*gradient(net.forth, fs, tf, df), *gradient(net.back, bs, tb, db), np.einsum("tsh,tsl->hl", both, p), p.sum(axis=(0, 1))]
 
 
-def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int = 400, rate: float = 0.01, seed: int = 7) -> Network | None:
-    """A network for the labels met, by Adam on the mean cross entropy of all letter positions."""
+def fit(parts: list[bytes], labels: list[str], batch: int = 256, most_steps: int = 400, rate: float = 0.01, seed: int = 7) -> Network | None:
+    """A network for the labels met, from segments (as ``segments`` cuts them), by Adam on the mean cross entropy of all letter positions."""
     langs = sorted(set(labels))
     if not langs:
         return None
     net = fresh(langs, seed)
-    steps, of = segments(Texts(pa.array(texts, pa.string())))
-    if len(langs) == 1 or not len(of):
+    steps = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), STEPS + 2 * WARM).T
+    if len(langs) == 1:
         return net
-    y = np.array([langs.index(v) for v in labels])[of]
+    number = {v: i for i, v in enumerate(langs)}
+    y = np.array([number[v] for v in labels])
     r = np.random.default_rng(seed)
-    batch = min(batch, len(of))
-    order = np.concatenate([r.permutation(len(of)) for _ in range(-(-most_steps * batch // len(of)))])
+    batch = min(batch, len(parts))
+    order = np.concatenate([r.permutation(len(parts)) for _ in range(-(-most_steps * batch // len(parts)))])
     # languages weigh the same whatever their share of the sample
     weight = (1 / np.bincount(y, minlength=len(langs)).clip(1))[y]
     weight = (weight / weight.mean()).astype(np.float32)
@@ -214,19 +216,12 @@ def fit(texts: list[str], labels: list[str], batch: int = 256, most_steps: int =
     return net
 
 
-def _thinned(text: str, most: int, run: int = 960) -> str:
-    """``text``, or of a longer one evenly spaced runs with ``most`` characters in all."""
-    if len(text) <= most:
-        return text
-    n = max(1, most // run)
-    return " ".join(text[len(text) * i // n :][:run] for i in range(n))
-
-
-def train(labelled: DataFrame, per_lang: int = 200, per_text: int = 65_536) -> Network | None:
+def train(labelled: DataFrame, per_lang: int = 200, most_segments: int = 160_000) -> Network | None:
     """A network from (text, lang) rows: of each language ``per_lang`` different texts at most, those of smallest hash.
 
-    Copies of a text count once, however many there are. Only the sample comes to the driver, of a text longer than
-    ``per_text`` characters evenly spaced runs with that many.
+    Copies of a text count once, however many there are. Texts are cut into segments where they lie, whole; each language
+    gives an equal share of ``most_segments``, those of smallest hash, so what comes to the driver (112 bytes a segment)
+    grows neither with the texts' lengths nor with the number of languages.
     """
     rows = labelled.select("text", "lang").where("lang IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64("text"))
     distinct = written(rows.select("lang", "h").distinct(), "texts")
@@ -237,12 +232,16 @@ def train(labelled: DataFrame, per_lang: int = 200, per_text: int = 65_536) -> N
     drawn = distinct.join(F.broadcast(count), "lang").where(below).withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "h")
     some = rows.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "h", "text")
 
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.set_column(2, "text", pa.array([_thinned(t, per_text) for t in b.column(2).to_pylist()], pa.string()))
-
-    found = sorted((r.lang, r.h, r.text) for r in some.mapInArrow(thin, "lang string, h long, text string").collect())
-    return fit([t for _, _, t in found], [k for k, _, _ in found]) if found else None
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            steps, of = segments(Texts(b.column(0)))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(of)), pa.array([s.tobytes() for s in np.ascontiguousarray(steps.T)], pa.binary())], names=["lang", "part"])
+
+    parts = some.select("text", "lang").mapInArrow(cut, "lang string, part binary").withColumn("h", F.xxhash64("part"))
+    share = most_segments // max(1, count.count())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))
+    found = sorted((r.lang, r.h, bytes(r.part)) for r in parts.withColumn("nth", nth).where(F.col("nth") <= max(1, share)).select("lang", "h", "part").collect())
+    return fit([p for _, _, p in found], [k for k, _, _ in found]) if found else None
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:

@@ -445,7 +445,7 @@ def test_shards_of_equal_rows(spark, monkeypatch):
 
 def test_language_id_learns_from_different_texts(monkeypatch, spark):
     seen = []
-    monkeypatch.setattr(language_id, "fit", lambda texts, langs: seen.extend(texts))
+    monkeypatch.setattr(language_id, "fit", lambda parts, langs: seen.extend(parts))
     rows = [(f"text {i}", "en") for i in range(40) for _ in range(1 if i % 2 else 50)]
     language_id.train(spark.createDataFrame(rows, "text string, lang string"), per_lang=30)
     assert len(seen) == len(set(seen)) == 30
@@ -544,9 +544,19 @@ def test_pooling_is_the_mean_over_letters():
 def test_many_copies_do_not_hide_a_language(spark):
     rows = [("the same english words again", "en")] * 20_000 + [("ein paar deutsche worte " + "abcdefgh"[i % 8] * i, "de") for i in range(40)] + [("x" * 200_000 + " y", "fr")]
     df = spark.createDataFrame(rows, "text string, lang string")
-    net = language_id.train(df, per_lang=30, per_text=2000)
+    net = language_id.train(df, per_lang=30)
     assert net.langs == ["de", "en", "fr"]
-    assert len(language_id._thinned("ab" * 50_000, 2000)) <= 2100
+
+
+def test_long_texts_give_segments_of_every_part(monkeypatch, spark):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda parts, langs: seen.extend(zip(langs, parts, strict=True)))
+    long = " ".join(f"{i:07d}" for i in range(60_000))
+    df = spark.createDataFrame([(long, "en"), ("kurz", "de"), ("", "fr")], "text string, lang string")
+    language_id.train(df, most_segments=1000)
+    en = [int(p[16:].split()[1]) for k, p in seen if k == "en"]
+    assert len(en) == 500 and len(seen) == 501 and all(len(p) == 112 for _, p in seen)
+    assert np.histogram(en, 10, (0, 60_000))[0].min() > 25  # the whole text, not its beginning
 
 
 def test_operators_take_empty_tables(spark, docs, empty):
