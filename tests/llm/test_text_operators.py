@@ -351,6 +351,30 @@ def test_quality_models_learn(spark):
     assert {r.doc_id for r in chosen if r.selected} <= {i for i in range(160) if i % 3}
 
 
+def test_ranker_is_near_the_optimum_of_the_pair_loss():
+    rng = np.random.default_rng(3)
+    true = np.array([1.5, -1.0, 0.5, 0.0])
+
+    def draw(n):
+        x = rng.normal(size=(n, 4)) * [1, 2, 0.5, 1] + [3, 0, 1, 0]
+        return x, (rng.random(n) < 1 / (1 + np.exp(-(x - [3, 0, 1, 0]) @ true))).astype(int)
+
+    x, label = draw(300)
+    ridge = 1e-4
+    ranker = quality_classifier.fit(x, label, ridge=ridge)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    pairs = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, 4)  # every pair
+    loss = lambda w: np.logaddexp(0, -pairs @ w).mean() + ridge / 2 * w @ w
+    best = np.zeros(4)
+    for _ in range(30):  # Newton's method on the whole loss
+        p = 1 / (1 + np.exp(pairs @ best))
+        best += np.linalg.solve((pairs.T * (p * (1 - p))) @ pairs / len(pairs) + ridge * np.eye(4), pairs.T @ p / len(pairs) - ridge * best)
+    assert loss(ranker.weights) <= loss(best) * 1.005 and np.abs(ranker.weights - best).max() < 0.15
+    more, truth = draw(4000)  # held out: as many pairs in order as the worths that made the labels
+    ordered = lambda s: (s[truth == 1][:, None] > s[truth == 0][None]).mean()
+    assert ordered(ranker.score(more)) > ordered(more @ true) - 0.01
+
+
 def test_models_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.train(docs, none) is quality_rules.DEFAULT
