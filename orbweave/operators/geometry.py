@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,6 +82,33 @@ def curve_control(edges: DataFrame, curvature: float = 0.2) -> DataFrame:
     return edges.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2 + curvature * (F.col("x2") - F.col("x1"))})
 
 
+def equal_earth(lon: Column, lat: Column, radius: float = 1.0, center: float = 0.0) -> tuple[Column, Column]:
+    """x and y of the Equal Earth projection of a sphere (Šavrič, Patterson and Jenny 2018), ``center`` being the longitude in the middle.
+
+    Longitudes are taken as they are: segments are split at the edge of the map first (``split_at_meridian``).
+    """
+    a1, a2, a3, a4 = 1.340264, -0.081106, 0.000893, 0.003796  # the projection's fixed values
+    t = F.asin(math.sqrt(3) / 2 * F.sin(F.radians(lat)))
+    t2 = t * t
+    t6 = t2 * t2 * t2
+    x = radius * 2 * math.sqrt(3) * F.radians(lon - F.lit(center)) * F.cos(t) / (3 * (9 * a4 * t6 * t2 + 7 * a3 * t6 + 3 * a2 * t2 + a1))
+    return x, radius * t * (a4 * t6 * t2 + a3 * t6 + a2 * t2 + a1)
+
+
+def projected_arcs(segments: DataFrame, curvature: float = 0.2, parts: int = 10, project=equal_earth) -> DataFrame:
+    """Each segment (x1, y1, x2, y2 in degrees) as ``parts`` + 1 points of a quadratic Bezier arc, bent in projected coordinates:
+    ``step`` from 0, ``px``, ``py``, and ``heading``, the direction of the arc there in radians (for arrows). The control point is the projected
+    midpoint, moved up by curvature times the arc's projected extent in x. A segment without a place has points without places."""
+    (ax, ay), (bx, by) = project(F.col("x1"), F.col("y1")), project(F.col("x2"), F.col("y2"))
+    df = segments.withColumn("_e", F.struct(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by")))
+    df = df.withColumn("_c", F.struct(((F.col("_e.ax") + F.col("_e.bx")) / 2).alias("x"), ((F.col("_e.ay") + F.col("_e.by")) / 2 + curvature * (F.col("_e.bx") - F.col("_e.ax"))).alias("y")))
+    df = df.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(parts))))
+    t = F.col("step") / parts
+    at = lambda k: (1 - t) * (1 - t) * F.col(f"_e.a{k}") + 2 * t * (1 - t) * F.col(f"_c.{k}") + t * t * F.col(f"_e.b{k}")
+    slope = lambda k: (1 - t) * (F.col(f"_c.{k}") - F.col(f"_e.a{k}")) + t * (F.col(f"_e.b{k}") - F.col(f"_c.{k}"))
+    return df.withColumns({"px": at("x"), "py": at("y"), "heading": F.atan2(slope("y"), slope("x"))}).drop("_e", "_c")
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(point columns, polygon id) of points (lon, lat) inside polygons (poly, boundary), by ray casting in array functions.
 

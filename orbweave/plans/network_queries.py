@@ -192,6 +192,13 @@ register("plot_table", lambda fx: G.plot_table(net0(fx), _shifted_nodes(fx)).sel
          f"WITH {_E0}, {_SEG}, q AS (SELECT round_even(min(weight), 0) AS a, round_even(quantile_cont(weight, 0.999), 0) AS b FROM e) SELECT orig, dest, segment, CAST(x1 AS DOUBLE) AS x1, CAST(x2 AS DOUBLE) AS x2, weight, CAST(floor((least(greatest(weight, a), b) - a) * 6 / (b - a)) AS BIGINT) AS bin FROM seg JOIN e USING (orig, dest), q WHERE shift = 36 AND abs(x1 - x2) <= 180")
 register("plot_nodes", lambda fx: G.node_table(fx.nodes.select("coord_id"), metrics.degree_centrality(fx.nodes, net0(fx))), "WITH e AS (SELECT * FROM fx_edges WHERE net = 0), d AS (SELECT c, sum(w) AS degree FROM (SELECT orig AS c, weight AS w FROM e UNION ALL SELECT dest, weight FROM e) GROUP BY 1) SELECT cell AS coord_id, coalesce(degree, 0) AS degree, CAST(CASE WHEN degree > 0 THEN 0.6 ELSE 0.1 END AS DOUBLE) AS alpha FROM fx_cells LEFT JOIN d ON c = cell")
 register("plot_curves", lambda fx: G.curve_control(G.split_at_meridian(_shifted(fx))).select("orig", "dest", "shift", "segment", "cx", "cy"), f"WITH {_E0}, {_SEG} SELECT orig, dest, shift, segment, round((x1 + x2) / 2, 6) AS cx, round((y1 + y2) / 2 + 0.2 * (x2 - x1), 6) AS cy FROM seg")
+register("plot_arcs", lambda fx: G.projected_arcs(G.split_at_meridian(_shifted(fx))).select("orig", "dest", "shift", "segment", "step", "px", "py", F.cos("heading").alias("towards_x"), F.sin("heading").alias("towards_y")), f"""WITH {_E0}, {_SEG},
+             ends AS (SELECT orig, dest, shift, segment, unnest([0, 1]) AS k, unnest([x1, x2]) AS lon, unnest([y1, y2]) AS lat FROM seg), t AS (SELECT *, asin(sqrt(3) / 2 * sin(radians(lat))) AS t FROM ends),
+             xy AS (SELECT *, 2 * sqrt(3) * radians(lon) * cos(t) / (3 * (9 * 0.003796 * pow(t, 8) + 7 * 0.000893 * pow(t, 6) - 3 * 0.081106 * pow(t, 2) + 1.340264)) AS x, 0.003796 * pow(t, 9) + 0.000893 * pow(t, 7) - 0.081106 * pow(t, 3) + 1.340264 * t AS y FROM t),
+             arc AS (SELECT a.orig, a.dest, a.shift, a.segment, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, (a.x + b.x) / 2 AS cx, (a.y + b.y) / 2 + 0.2 * (b.x - a.x) AS cy FROM xy a JOIN xy b ON a.orig = b.orig AND a.dest = b.dest AND a.shift = b.shift AND a.segment = b.segment AND a.k = 0 AND b.k = 1),
+             pt AS (SELECT *, s / 10 AS t FROM arc, range(11) r(s)), d AS (SELECT *, (1 - t) * (cx - ax) + t * (bx - cx) AS dx, (1 - t) * (cy - ay) + t * (by_ - cy) AS dy FROM pt)
+             SELECT orig, dest, shift, segment, s AS step, (1 - t) * (1 - t) * ax + 2 * t * (1 - t) * cx + t * t * bx AS px, (1 - t) * (1 - t) * ay + 2 * t * (1 - t) * cy + t * t * by_ AS py,
+                 CASE WHEN dx = 0 AND dy = 0 THEN 1 ELSE dx / sqrt(dx * dx + dy * dy) END AS towards_x, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE dy / sqrt(dx * dx + dy * dy) END AS towards_y FROM d""")
 register("V2_pivot", lambda fx: fx.edges.groupBy("orig").pivot("net", [0, 1]).agg(F.sum("weight")).select("orig", F.col("0").alias("a"), F.col("1").alias("b")), "SELECT orig, sum(weight) FILTER (net = 0) AS a, sum(weight) FILTER (net = 1) AS b FROM fx_edges GROUP BY 1")
 
 

@@ -501,3 +501,14 @@ def test_two_sample_p_values(spark):
     assert all(x.p == pytest.approx(math.erfc(x.z / math.sqrt(2)), abs=1e-9) for x in tails.collect())
     assert tuple(stats.kolmogorov_smirnov(df.where("g = 'a'"), "v", "g", "a", "b").first()) == (None, None)
     assert stats.mann_whitney(df.where("g = 'a'"), "v", "g", "a", "b").first().z is None
+
+
+def test_equal_earth_and_arcs(spark):
+    seg = spark.createDataFrame([(1, -180.0, 0.0, 180.0, 0.0), (2, 0.0, 90.0, 0.0, -90.0), (3, 10.0, 20.0, 10.0, 20.0), (4, None, 0.0, 0.0, 0.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.id, r.step): r for r in geometry.projected_arcs(seg, 0.2, 4).collect()}
+    assert len(got) == 20
+    wide = 2.7066299836960748  # half of the map's width and height on the unit sphere
+    assert got[1, 0].px == pytest.approx(-wide) and got[1, 4].px == pytest.approx(wide) and got[1, 2].px == pytest.approx(0)
+    assert got[1, 2].py == pytest.approx(0.2 * wide) and got[1, 2].heading == pytest.approx(0)  # half way to the control point
+    assert got[2, 0].py == pytest.approx(1.3173627591574133) and got[2, 4].py == pytest.approx(-1.3173627591574133)
+    assert (got[3, 0].px, got[3, 0].py) == (got[3, 3].px, got[3, 3].py) and got[4, 2].px is None
