@@ -512,3 +512,25 @@ def test_equal_earth_and_arcs(spark):
     assert got[1, 2].py == pytest.approx(0.2 * wide) and got[1, 2].heading == pytest.approx(0)  # half way to the control point
     assert got[2, 0].py == pytest.approx(1.3173627591574133) and got[2, 4].py == pytest.approx(-1.3173627591574133)
     assert (got[3, 0].px, got[3, 0].py) == (got[3, 3].px, got[3, 3].py) and got[4, 2].px is None
+
+
+def test_walks_in_pieces_and_by_joins_are_those_of_one_task(spark, monkeypatch):
+    """Walks taken in their own tasks, in short pieces or by joins are the same, also on a lattice with a dead end; and one round of few plans does a whole walk."""
+    links = [(a, b, 1.0 + (a * b) % 3) for a in range(6) for b in range(7) if a != b]
+    lattice = spark.createDataFrame(links, "orig long, dest long, weight double")  # 6 leads nowhere
+    tracks = spark.createDataFrame([(t, t, t % 7, (t + 2) % 7) for t in range(7)], "trackid long, n long, first long, last long")
+    for end in ("last",):
+        run = lambda: sorted(map(tuple, nulls.random_walks(tracks, lattice, 1, end=end, seed=5).collect()))  # noqa: B023, E731
+        want = run()
+        with monkeypatch.context() as m:
+            m.setattr(nulls, "CHUNK", 3)
+            assert run() == want
+        with monkeypatch.context() as m:
+            m.setattr(nulls.walk, "__defaults__", (0, 0))
+            assert run() == want
+    done = []
+    real = nulls.written
+    monkeypatch.setattr(nulls, "written", lambda df, name: done.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Join"))) or real(df, name))
+    long = spark.createDataFrame([(1, 80, 1, 1)], "trackid long, n long, first long, last long")
+    assert nulls.random_walks(long, lattice.where("dest < 6"), 2, seed=5).count() == 160
+    assert [joins <= 5 for name, joins in done if name == "walk"] == [True]  # sixteen joins a round, six rounds before
