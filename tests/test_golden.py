@@ -534,3 +534,11 @@ def test_walks_in_pieces_and_by_joins_are_those_of_one_task(spark, monkeypatch):
     long = spark.createDataFrame([(1, 80, 1, 1)], "trackid long, n long, first long, last long")
     assert nulls.random_walks(long, lattice.where("dest < 6"), 2, seed=5).count() == 160
     assert [joins <= 5 for name, joins in done if name == "walk"] == [True]  # sixteen joins a round, six rounds before
+
+
+def test_tracks_of_equal_values_are_of_one_class(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last place, and the median lies between them."""
+    values = {0: [0.0, 0.0], 1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [1.0, 1.0]}
+    df = spark.createDataFrame([(t, i, x) for t, xs in values.items() for i, x in enumerate(xs)], "trackid long, seq long, x double")
+    got = dict(map(tuple, C.feature_classes(df.coalesce(1), "x", True, 2)[0].select("trackid", "class").distinct().collect()))
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2}
