@@ -542,3 +542,14 @@ def test_tracks_of_equal_values_are_of_one_class(spark):
     df = spark.createDataFrame([(t, i, x) for t, xs in values.items() for i, x in enumerate(xs)], "trackid long, seq long, x double")
     got = dict(map(tuple, C.feature_classes(df.coalesce(1), "x", True, 2)[0].select("trackid", "class").distinct().collect()))
     assert got == {0: 1, 1: 1, 2: 1, 3: 2}
+
+
+def test_some_edges_lack_the_attribute_on_tables_of_any_size(spark):
+    """On large tables every edge weighs more than 5."""
+    from orbweave.plans import network_queries as Q
+    from orbweave.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "")
+    fx._made["fx_cells"] = spark.createDataFrame([(c, 0.0, 0.0, "Sea") for c in (1, 2, 3)], "cell long, lat double, lon double, continent string")
+    fx._made["fx_edges"] = spark.createDataFrame([(n, 1, d, 90.0 + d + n) for n in (0, 1) for d in (2, 3)], "net long, orig long, dest long, weight double")
+    assert N.average_networks(Q._gaps(fx, 0), Q._gaps(fx, 1), "x").edges.columns == ["orig", "dest", "weight", "edge_betweenness"]
