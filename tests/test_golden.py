@@ -553,3 +553,15 @@ def test_some_edges_lack_the_attribute_on_tables_of_any_size(spark):
     fx._made["fx_cells"] = spark.createDataFrame([(c, 0.0, 0.0, "Sea") for c in (1, 2, 3)], "cell long, lat double, lon double, continent string")
     fx._made["fx_edges"] = spark.createDataFrame([(n, 1, d, 90.0 + d + n) for n in (0, 1) for d in (2, 3)], "net long, orig long, dest long, weight double")
     assert N.average_networks(Q._gaps(fx, 0), Q._gaps(fx, 1), "x").edges.columns == ["orig", "dest", "weight", "edge_betweenness"]
+
+
+def test_hubs_that_own_no_tie_form_no_wedges(spark):
+    """Many nodes that share a pair of hubs without a tie between them: no wedge, and the ties are counted once."""
+    arcs = [(i, h, 1.0) for i in range(10, 60) for h in (1, 2)] + [(10, 11, 1.0), (11, 10, 1.0)]
+    edges = spark.createDataFrame(arcs, "orig long, dest long, weight double")
+    ties, tri = metrics._triangles(edges)
+    assert sorted(tuple(r) for r in tri.select("a", "b", "c", "ab", "ac", "bc").collect()) == [(10, 11, 1, 2, 1, 1), (10, 11, 2, 2, 1, 1)]
+    assert "left_semi" in tri._jdf.queryExecution().analyzed().toString().lower().replace("leftsemi", "left_semi")
+    assert {(r.u, r.v): r.m for r in ties.collect()}[(10, 11)] == 2
+    ends = metrics.degree_centrality(None, edges).collect()
+    assert {r.coord_id: r.degree for r in ends} == {r.coord_id: r.degree for r in metrics.degree_centrality(N.end_nodes(edges), edges).collect()}
