@@ -565,3 +565,15 @@ def test_hubs_that_own_no_tie_form_no_wedges(spark):
     assert {(r.u, r.v): r.m for r in ties.collect()}[(10, 11)] == 2
     ends = metrics.degree_centrality(None, edges).collect()
     assert {r.coord_id: r.degree for r in ends} == {r.coord_id: r.degree for r in metrics.degree_centrality(N.end_nodes(edges), edges).collect()}
+
+
+def test_a_place_is_encoded_once(spark):
+    """Rows of one place are counted before the place is encoded."""
+    from orbweave.plans import community_queries as Q
+    from orbweave.plans.fixtures import Fixtures
+
+    fx = Fixtures(spark, "")
+    fx._made["fx_catalog_a"] = spark.createDataFrame([(10.0, 20.0, r, 1.0) for r in "aab" * 5], "centroid_lat double, centroid_lon double, regime string, mean_ivt double")
+    plan = Q._regimes(fx)._jdf.queryExecution().optimizedPlan().toString()
+    assert [line.strip().split("[")[1].split("#")[0] for line in plan.splitlines() if "Aggregate" in line][-1] == "centroid_lat"
+    assert [r.community for r in Q._regimes(fx).collect()] == ["a"]
