@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if held:
             yield _lists(pa.concat_batches(held))
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX), "lists")
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX), "lists", 1)
 
 
 @dataclass(frozen=True)

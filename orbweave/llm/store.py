@@ -22,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage ends at durable files."""
+def written(df: DataFrame, name: str, rows_in_file: int = 0) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: lineage ends at durable files.
+
+    ``rows_in_file``: the most rows of a file, if any; a reader decodes a file's rows together, so large ones go one by one.
+    """
     path = f"{shared_dir(df.sparkSession)}/orbweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_in_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -209,6 +209,12 @@ def plain_search(docs, items, top=20):
 ITEMS = [("a", "Alpha alpha beta"), ("b", "w5 w77 the of"), ("c", None), ("d", ""), (None, "gamma"), ("e", "nothing here is found zzz"), ("a", "delta"), ("f", "日本 x1"), ("g", "the " * 500 + "Épsilon épsilon")]
 
 
+def test_shards_of_a_task_are_read_one_by_one(spark):
+    docs = spark.range(0, 5, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("alpha "), 400_000).alias("text"))  # each a slice, and a shard
+    index = ranked_search.build_index(docs, shard_bytes=1)
+    assert index.count() == index.select(F.input_file_name()).distinct().count() == 5
+
+
 @pytest.mark.parametrize("shard_bytes", [1, 2000, ranked_search.SHARD_BYTES])
 def test_search_equals_brute_force(spark, documents, shard_bytes, monkeypatch):
     monkeypatch.setattr(ranked_search, "MOST_TERMS", 4)  # several blocks
