@@ -614,6 +614,24 @@ def test_hubs_that_own_no_tie_form_no_wedges(spark):
     assert {r.coord_id: r.degree for r in ends} == {r.coord_id: r.degree for r in metrics.degree_centrality(N.end_nodes(edges), edges).collect()}
 
 
+def test_shuffles_of_a_written_step_are_gone(spark):
+    """Wedges move as one row for two ends, and what a written table was shuffled through goes with the write."""
+    import os
+    from orbweave.sources import scratch
+
+    def shuffled():
+        folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+        return sum(n.startswith("shuffle_") for _, _, names in os.walk(folder) for n in names)
+
+    was = spark.conf.get(scratch._CLEANUP)
+    before = shuffled()
+    scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert shuffled() <= before and spark.conf.get(scratch._CLEANUP) == was
+    edges = spark.createDataFrame([(a, b, 1.0) for a in range(8) for b in range(a)], "orig long, dest long, weight double")
+    _, tri = metrics._triangles(edges)
+    assert tri.count() == 56 and "array_intersect" in tri._jdf.queryExecution().analyzed().toString()
+
+
 def test_a_place_is_encoded_once(spark):
     """Rows of one place are counted before the place is encoded."""
     from orbweave.plans import community_queries as Q
